@@ -1,0 +1,6 @@
+"""All registered queries with their SQL."""
+
+from streetlens.catalog import filters  # noqa: F401
+from streetlens.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

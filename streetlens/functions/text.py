@@ -74,14 +74,17 @@ def phrases(text: Column, k: int = 5, stop_words: Iterable[str] | None = None) -
     return most_common(phrase_tokens(text, default_stop_words() if stop_words is None else stop_words), k)
 
 
+def simple_words(text: Column, stop_words: Iterable[str] = SHORT_STOP_WORDS, min_length: int = 4) -> Column:
+    """Whole ASCII words of a text in order of appearance, without stop words and short words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD.format(n=min_length)), F.lit(0))
+    return F.filter(words, lambda w: ~_is_stop(w, stop_words))
+
+
 def simple_keywords(
     text: Column, k: int = 15, stop_words: Iterable[str] = SHORT_STOP_WORDS, min_length: int = 4
 ) -> Column:
-    """Unique whole ASCII words of a text in order of appearance, at most ``k``."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD.format(n=min_length)), F.lit(0))
-    return F.slice(
-        F.array_distinct(F.filter(words, lambda w: ~_is_stop(w, stop_words))), 1, k
-    )
+    """The first ``k`` different simple words of a text."""
+    return F.slice(F.array_distinct(simple_words(text, stop_words, min_length)), 1, k)
 
 
 def word_count(text: Column) -> Column:

@@ -58,6 +58,9 @@ def extract_business_pages(pages: DataFrame) -> DataFrame:
         F.lit(r"(?s)<tr\b[^>]*>\s*<th\b[^>]*>[^<]+</th>\s*<td\b[^>]*>\s*<p\b[^>]*>[^<]+"), F.lit(0))
     day = lambda row: F.regexp_extract(row, r"<th\b[^>]*>([^<]+)", 1)
     time = lambda row: F.regexp_extract(row, r"<p\b[^>]*>([^<]+)", 1)
+    # a day given twice keeps its last line
+    last_per_day = F.filter(
+        hours, lambda r, i: ~F.exists(F.slice(hours, i + 2, F.size(hours)), lambda later: day(later) == day(r)))
     scripts = F.filter(
         F.regexp_extract_all(html, F.lit(r"(?s)<script\b[^>]*>(.*?)</script>"), F.lit(1)),
         lambda s: F.contains(s, F.lit("mapMarkerProps")) & s.rlike(r'"latitude":-?\d') & s.rlike(r'"longitude":-?\d'))
@@ -73,7 +76,7 @@ def extract_business_pages(pages: DataFrame) -> DataFrame:
         _first(html, r'<a\b[^>]*href="([^"]*biz_redir[^"]*)"').alias("website"),
         *[c.alias(n) for n, c in _categories(links).items()],
         _first(_block(html, _test_id("business-price")), _SPAN).alias("price_range"),
-        F.map_from_entries(F.transform(hours, lambda r: F.struct(unescape(day(r)), unescape(time(r))))).alias("hours"),
+        F.map_from_entries(F.transform(last_per_day, lambda r: F.struct(unescape(day(r)), unescape(time(r))))).alias("hours"),
         _first(_block(html, _test_id("business-description")), _P).alias("description"),
         F.slice(_all(html, rf'(?s)<[^>]*{_class("photo-box")}[^>]*>\s*<img\b[^>]*src="([^"]*)"'), 1, 5).alias("images"),
         scalars.coordinate(script, "latitude").alias("latitude"), scalars.coordinate(script, "longitude").alias("longitude"),
