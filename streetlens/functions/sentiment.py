@@ -77,6 +77,10 @@ def rating_sentiment(rating: Column, text: Column) -> Column:
     return F.when(has_text, let(rating_keyword_score(rating, text), with_text)).otherwise(without_text)
 
 
+def _among(words: list[str]):
+    return lambda token: token.isin(words)
+
+
 def lexicon_sum(tokens: Column, lexicon: Mapping[str, float]) -> Column:
     """``struct<total, hits>`` of the valences of the tokens found in the lexicon.
 
@@ -89,7 +93,7 @@ def lexicon_sum(tokens: Column, lexicon: Mapping[str, float]) -> Column:
 
     def totals(found: Column) -> Column:
         parts = [
-            F.size(F.filter(found, lambda t, ws=words: t.isin(ws))) * F.lit(valence)
+            F.size(F.filter(found, _among(words))) * F.lit(valence)
             for valence, words in sorted(by_valence.items())
         ]
         return F.struct(

@@ -49,6 +49,11 @@ def _categories(links: Column) -> dict[str, Column]:
     }
 
 
+def page_name(html: Column) -> Column:
+    """Text of the first main heading."""
+    return _first(html, r"<h1\b[^>]*>([^<]+)")
+
+
 def extract_business_pages(pages: DataFrame) -> DataFrame:
     """Business pages (``url``, ``html``) to business rows."""
     html = F.col("html")
@@ -68,7 +73,7 @@ def extract_business_pages(pages: DataFrame) -> DataFrame:
     rating = _first(html, rf'(?s){_test_id("rating")}[^>]*>.*?<span\b[^>]*aria-label="([^"]*)"')
     reviews = _first(html, r'(?s)<a\b[^>]*href="[^"]*reviews[^"]*"[^>]*>\s*<span\b[^>]*>([^<]+)')
     return pages.select(
-        _first(html, r"<h1\b[^>]*>([^<]+)").alias("name"), F.lit("yelp").alias("source"),
+        page_name(html).alias("name"), F.lit("yelp").alias("source"),
         scalars.slug(F.col("url")).alias("source_id"),
         scalars.star_rating(rating).alias("rating"), scalars.leading_count(reviews).alias("review_count"),
         _joined(_all(_block(html, _test_id("business-address")), _P)).alias("address"),
@@ -112,7 +117,7 @@ def extract_directory_pages(pages: DataFrame) -> DataFrame:
     links = _all(_block(html, _class("categories")), _A)
     hours = _joined(_all(html, rf'<[^>]*{_class("hours-info")}[^>]*>([^<]+)'))
     found = pages.select(
-        _first(html, r"<h1\b[^>]*>([^<]+)").alias("name"), F.lit("yellowpages").alias("source"),
+        page_name(html).alias("name"), F.lit("yellowpages").alias("source"),
         scalars.slug(F.col("url"), cut_query=False).alias("source_id"),
         _joined(_all(_block(html, _class("address")), _SPAN)).alias("address"),
         _first(html, rf'<[^>]*{_class("phone")}[^>]*>([^<]+)').alias("phone"),
