@@ -33,17 +33,17 @@ SELECT source_review_id, seq, CASE WHEN rating >= 4 THEN 0.5 + (rating - 4) * 0.
     lambda t: t.reviews.select("source_review_id", "seq", sentiment.rating_sentiment(F.col("rating"), F.lit(None).cast("string")).alias("s")).select("source_review_id", "seq", "s.*"))
 
 # words that occur in the given texts, so that scores differ
-LEXICON_WIDE = {**LEXICON, **{w: 1.0 for w in ("the", "der", "la", "with")}, **{w: -1.0 for w in ("of", "und", "de", "from")}, "that": 0.5, "was": -1.5}
-_SUM = "list_sum(list_concat([0.0], list_transform(words, lambda w: CASE w " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in LEXICON_WIDE.items()) + " ELSE 0.0 END)))"
-_HITS = f"len(list_filter(words, lambda w: list_contains([{quoted(LEXICON_WIDE)}], w)))"
+WIDE_LEXICON = {**LEXICON, **{w: 1.0 for w in ("the", "der", "la", "with")}, **{w: -1.0 for w in ("of", "und", "de", "from")}, "that": 0.5, "was": -1.5}
+_SUM = "list_sum(list_concat([0.0], list_transform(words, lambda w: CASE w " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in WIDE_LEXICON.items()) + " ELSE 0.0 END)))"
+_HITS = f"len(list_filter(words, lambda w: list_contains([{quoted(WIDE_LEXICON)}], w)))"
 _LABEL = "CASE WHEN score >= 0.05 THEN 'positive' WHEN score <= -0.05 THEN 'negative' ELSE 'neutral' END"
 query("sent_lexicon", "review_id:i score:d label", f"""
 SELECT *, {_LABEL} AS label FROM (SELECT review_id, s / sqrt(s * s + 15) AS score FROM (SELECT review_id, {_SUM} AS s FROM cleaned) AS x) AS y""", "cleaned")(
-    lambda t: t.texts.select("review_id", sentiment.lexicon_score(F.col("review_text"), LEXICON_WIDE).alias("score")).withColumn("label", sentiment.label(F.col("score"))))
+    lambda t: t.texts.select("review_id", sentiment.lexicon_score(F.col("review_text"), WIDE_LEXICON).alias("score")).withColumn("label", sentiment.label(F.col("score"))))
 query("sent_lexicon_mean", "review_id:i score:d label", f"""
 SELECT *, CASE WHEN score > 0.1 THEN 'positive' WHEN score < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM (
  SELECT review_id, CASE WHEN {_HITS} > 0 THEN {_SUM} / {_HITS} ELSE 0 END AS score FROM cleaned) AS y""", "cleaned")(
-    lambda t: t.texts.select("review_id", sentiment.lexicon_score(F.col("review_text"), LEXICON_WIDE, "mean").alias("score")).withColumn(
+    lambda t: t.texts.select("review_id", sentiment.lexicon_score(F.col("review_text"), WIDE_LEXICON, "mean").alias("score")).withColumn(
         "label", sentiment.label(F.col("score"), 0.1, inclusive=False)))
 # the phrases query opens a view of its own, so it becomes a nested WITH here
 ENRICHED = f"""
@@ -53,7 +53,7 @@ scores AS (SELECT review_id, s / sqrt(s * s + 15) AS score FROM (SELECT review_i
 SELECT t.review_id, score AS sentiment_score, {_LABEL} AS sentiment_label, keywords, phrases, {_COUNTS} AS word_count, length(review_text) AS character_count
 FROM texts t JOIN scores USING (review_id) JOIN keyed USING (review_id) JOIN phrased USING (review_id) WHERE review_text <> ''"""
 query("enrich_review", "review_id:i sentiment_score:d sentiment_label keywords:l phrases:l word_count:i character_count:i", ENRICHED, "texts words cleaned")(
-    lambda t: enrich.enrich_reviews(t.texts.filter("review_text <> ''"), LEXICON_WIDE, stop_words=STOP_WORDS).withColumns(
+    lambda t: enrich.enrich_reviews(t.texts.filter("review_text <> ''"), WIDE_LEXICON, stop_words=STOP_WORDS).withColumns(
         {c: _listed(F.col(c)) for c in ("keywords", "phrases")}))
 query("scl_label", "source_review_id seq:i inclusive strict", """
 SELECT source_review_id, seq, CASE WHEN v >= 0.05 THEN 'positive' WHEN v <= -0.05 THEN 'negative' ELSE 'neutral' END AS inclusive,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from streetlens.functions import text
 from streetlens.operators import aggregates, enrich, windows
-from streetlens.session import scratch_path
+from streetlens.session import scratch_path, stage_table
 from streetlens.sinks import tables
 
 
@@ -38,9 +38,12 @@ def _append(stream: DataFrame, name: str) -> DataFrame:
 
 
 def _each_batch(stream: DataFrame, name: str, mode: str, step: Callable[[DataFrame, str, int], None]) -> str:
+    """Run ``step`` on every batch; the batch is written first, so that the steps that read it
+    several times do not run the stateful part of the stream again."""
     path = scratch_path(stream.sparkSession, name)
     _drain(
-        stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: step(batch, f"{path}/table", number)),
+        stream.writeStream.outputMode(mode).foreachBatch(
+            lambda batch, number: step(stage_table(batch, "batch"), f"{path}/table", number)),
         f"{path}/checkpoint",
     )
     return f"{path}/table"
@@ -112,14 +115,25 @@ def rating_anomalies(reviews: DataFrame, ties: Sequence[str] = ("source_review_i
     return spark.read.parquet(path).drop(tables.BUCKET).filter(F.col("business_id").isNotNull())
 
 
-def ingest_dedupe(reviews: DataFrame, keys: Sequence[str], order: Sequence[Column], lateness: str = "1 day", buckets: int = 64) -> DataFrame:
-    """Landed reviews, repeats within the watermark dropped, upserted by key."""
-    fresh = reviews.withWatermark("review_date", lateness).dropDuplicatesWithinWatermark(list(keys))
+def with_arrival(stream: DataFrame) -> DataFrame:
+    """Arrival time of each row: when its file landed."""
+    return stream.select("*", F.col("_metadata.file_modification_time").alias("arrived_at"))
+
+
+def ingest_dedupe(landed: DataFrame, keys: Sequence[str], order: Sequence[Column], lateness: str = "7 days", buckets: int = 64) -> DataFrame:
+    """Landed rows upserted by key, the first in ``order`` winning.
+
+    Rows that repeat in every column are dropped while the watermark remembers them. The watermark
+    runs on ``arrived_at``, not on the date of the review, so an old review that arrives now is never
+    late; changed versions of a row all reach the upsert.
+    """
+    columns = [c for c in landed.columns if c != "arrived_at"]
+    fresh = landed.withWatermark("arrived_at", lateness).dropDuplicatesWithinWatermark(columns).select(*columns)
     path = _each_batch(
         fresh, "ingested", "append",
         lambda batch, table, _: tables.merge_batch(batch, table, keys, order, buckets),
     )
-    return reviews.sparkSession.read.parquet(path).drop(tables.BUCKET)
+    return landed.sparkSession.read.parquet(path).drop(tables.BUCKET)
 
 
 def monthly_sentiment(reviews: DataFrame) -> DataFrame:
