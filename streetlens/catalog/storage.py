@@ -75,7 +75,7 @@ SELECT source_id AS place_id, name, concat(address, ', ', state) AS address, cit
     lambda t: places.businesses_from_legacy(legacy_json(t)))
 
 
-def details_json(t: Tables) -> DataFrame:
+def details_json(t: Tables, place_id: str = "concat('place_', review_id)") -> DataFrame:
     """One details response per text: a review with the text, one translated, one without text."""
     def body(text, lang):
         return F.struct(text.alias("text"), lang.alias("languageCode"))
@@ -96,7 +96,7 @@ def details_json(t: Tables) -> DataFrame:
         F.lit(4.5).alias("rating"), F.lit(12).alias("userRatingCount"), F.struct(F.lit(30.5).alias("latitude"), F.lit(-97.5).alias("longitude")).alias("location"),
         F.array(*[F.lit(x) for x in ("cafe", "food", "store")]).alias("types"), F.lit("PRICE_LEVEL_MODERATE").alias("priceLevel"),
         hours.alias("regularOpeningHours"), reviews.alias("reviews"))
-    return t.texts.select(F.concat(F.lit("place_"), "review_id").alias("place_id"), F.to_json(details).alias("json"))
+    return t.texts.select(F.expr(place_id).alias("place_id"), F.to_json(details).alias("json"))
 
 
 query("src_place_reviews_json", "place_id business_name reviewer_name rating:i language review_date:t review_length:i sentiment_score:d sentiment_label sentiment_confidence:d sentiment_method keywords:l", """

@@ -78,11 +78,11 @@ FROM businesses LEFT JOIN (SELECT business_id, count(*) AS n FROM anomalies GROU
 
 
 @query("job_import", "businesses:i reviews:i analytics:i", """
-SELECT (SELECT 2 * count(*) FROM businesses) AS businesses, (SELECT 2 * count(*) FROM texts WHERE review_text <> '') AS reviews,
- 0 AS analytics""", "businesses texts")
+SELECT (SELECT 2 * count(*) FROM businesses) AS businesses, (SELECT count(*) + count(DISTINCT (business_id, review_date)) FROM texts WHERE review_text <> '') AS reviews,
+ (SELECT count(DISTINCT business_id) FROM texts WHERE review_text <> '') AS analytics""", "businesses texts")
 def _(t: Tables):
     none_b, none_r = (t.spark.createDataFrame([], s) for s in (schemas.BUSINESSES, schemas.REVIEWS))
-    return jobs.import_places(places_json(t), details_json(t), none_b, none_r, TEXT_AS_OF, WIDE_LEXICON, S.STOP_WORDS)
+    return jobs.import_places(places_json(t), details_json(t, "business_id"), none_b, none_r, TEXT_AS_OF, WIDE_LEXICON, S.STOP_WORDS)
 
 
 def _place_reviews(t: Tables) -> DataFrame:

@@ -172,9 +172,10 @@ def hours_text(periods: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Common named entities to characters; ``&amp;`` last, so it cannot chain."""
+    plain = text
     for entity, char in (
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"),
         ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
     ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)

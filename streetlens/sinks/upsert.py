@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.operators.windows import latest_per_key
 
+_KEY = "__key"
 
-def _same_key(left: str, right: str, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct column: equal also where a field is null, and one partitioning that
+    the ranking of the batch and the joins share."""
+    return df.withColumn(_KEY, F.struct(*keys))
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -26,16 +29,11 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequ
     both let Spark broadcast a small batch, so the large table is not shuffled, and both may be split
     on a hot key.
     """
-    winners = latest_per_key(batch, keys, order)
-    overlaid = update_columns(target, winners, keys)
-    present = _present_keys(target, winners, keys)
-    fresh = winners.alias("u").join(present.alias("t"), _same_key("u", "t", keys), "left_anti")
-    return overlaid.unionByName(fresh, allowMissingColumns=True)
-
-
-def _present_keys(target: DataFrame, winners: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of the batch that the target holds: no larger than the batch."""
-    return target.select(*keys).alias("t").join(winners.select(*keys).alias("u"), _same_key("t", "u", keys), "left_semi").distinct()
+    held = _keyed(target, keys)
+    winners = latest_per_key(_keyed(batch, keys), [_KEY], order)
+    present = held.select(_KEY).join(winners.select(_KEY), _KEY, "left_semi")
+    fresh = winners.join(present, _KEY, "left_anti").drop(_KEY)
+    return _overlay(held, winners.drop(*keys)).unionByName(fresh, allowMissingColumns=True)
 
 
 def update_columns(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,20 +41,24 @@ def update_columns(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -
 
     ``changes`` holds one row per key.
     """
-    supplied = [c for c in changes.columns if c not in keys]
-    marked = changes.withColumn("__hit", F.lit(True))
-    joined = target.alias("t").join(marked.alias("u"), _same_key("t", "u", keys), "left")
+    return _overlay(_keyed(target, keys), _keyed(changes, keys).drop(*keys))
+
+
+def _overlay(held: DataFrame, changes: DataFrame) -> DataFrame:
+    columns = [c for c in held.columns if c != _KEY]
+    supplied = [c for c in changes.columns if c != _KEY]
+    joined = held.alias("t").join(changes.withColumn("__hit", F.lit(True)).alias("u"), _KEY, "left")
     hit = F.coalesce("u.__hit", F.lit(False))
 
     def value(name: str) -> Column:
         if name not in supplied:
             return F.col(f"t.{name}")
-        if name not in target.columns:
+        if name not in columns:
             return F.col(f"u.{name}")
-        return F.when(hit, F.col(f"u.{name}")).otherwise(F.col(f"t.{name}")).alias(name)
+        return F.when(hit, F.col(f"u.{name}")).otherwise(F.col(f"t.{name}"))
 
-    extra = [c for c in supplied if c not in target.columns]
-    return joined.select(*[value(c).alias(c) for c in [*target.columns, *extra]])
+    extra = [c for c in supplied if c not in columns]
+    return joined.select(*[value(c).alias(c) for c in [*columns, *extra]])
 
 
 BUSINESS_KEY = ("source_id", "source")

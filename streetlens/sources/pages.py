@@ -14,8 +14,8 @@ from streetlens.functions.scalars import unescape
 
 
 def _first(source: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a group; null when there is none."""
-    return unescape(F.get(F.regexp_extract_all(source, F.lit(pattern), F.lit(group)), F.lit(0)))
+    """First match of a group; null when there is none or it is empty."""
+    return unescape(F.nullif(F.regexp_extract(source, pattern, group), F.lit("")))
 
 
 def _all(source: Column, pattern: str, group: int = 1) -> Column:
@@ -32,7 +32,7 @@ def _test_id(name: str) -> str:
 
 
 def _class(name: str) -> str:
-    return rf'class="[^"]*(?<![\w-]){name}(?![\w-])[^"]*"'
+    return rf'class="(?:[^"]* )?{name}(?: [^"]*)?"'
 
 
 _P, _SPAN, _A = r"<p\b[^>]*>([^<]+)", r"<span\b[^>]*>([^<]+)", r"<a\b[^>]*>([^<]+)"
@@ -93,7 +93,9 @@ def extract_review_pages(pages: DataFrame) -> DataFrame:
     listing = F.regexp_extract("html", rf'(?s){_test_id("reviews-list")}[^>]*>(.*)', 1)
     # each review block starts at its user-name element
     pieces = F.split(listing, rf'(?=<[^>]*{_class("user-name")})')
-    rows = pages.select("business_id", "business_name", F.explode(F.filter(pieces, lambda p: F.contains(p, F.lit("user-name")))).alias("b"))
+    # the outer explode keeps the optimizer from splitting every page twice for a "size > 0" filter
+    rows = pages.select("business_id", "business_name", F.explode_outer(pieces).alias("b")).filter(
+        F.contains("b", F.lit("user-name")))
     b = F.col("b")
     stars = _first(b, r'(?s)<[^>]*role="img"[^>]*aria-label="([^"]*)"')
     helpful = _first(b, rf'<[^>]*{_class("helpful-count")}[^>]*>([^<]+)')
