@@ -14,7 +14,7 @@ from streetlens.operators import windows
 from streetlens.session import scratch_path
 from streetlens.sinks import maintenance, tables, upsert
 from streetlens.sources import pages, places
-from streetlens.sources.collections import read_collection
+from streetlens.sources.collections import read_collection, spread
 
 AS_OF = dt.datetime(2001, 11, 1)
 
@@ -142,7 +142,7 @@ SELECT source_id, name || ' & Co' AS name, rating, 1100 + review_count AS review
 
 def review_pages(t: Tables) -> DataFrame:
     """A review page per review row: two reviews, one of them without text."""
-    return t.reviews.selectExpr(
+    return spread(t.reviews).selectExpr(
         "business_id", "concat('Shop ', business_id) AS business_name", "seq",
         """concat('<html><section data-testid="reviews-list"><div><span class="user-name"><a href="/user/', source_review_id, '">Ann</a></span><div role="img" aria-label="', CAST(rating AS STRING), ' star rating"></div>',
  '<span class="review-date">', date_format(review_date, 'M/d/yyyy'), '</span><div class="comment big"><p lang="en">Seen ', source_review_id, '</p></div><span class="helpful-count">', CAST(seq AS STRING), ' found it helpful</span></div>',

@@ -21,7 +21,9 @@ from streetlens.streaming import streams
 
 
 def _landed(t: Tables, name: str) -> DataFrame:
-    return streams.read_stream(t.spark, t.sf_dir, f"{name}.parquet")
+    # each given table is one file, so text work on it is spread over the cores
+    spread_to = t.spark.sparkContext.defaultParallelism if name == "documents" else None
+    return streams.read_stream(t.spark, t.sf_dir, f"{name}.parquet", spread_to=spread_to)
 
 
 def _review_stream(t: Tables) -> DataFrame:

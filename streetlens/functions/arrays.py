@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,14 @@ def adjacent_pairs(tokens: Column) -> Column:
             lambda a, b: F.struct(a.alias("a"), b.alias("b")),
         )
     return let(tokens, pairs)
+
+
+def exploded(df: DataFrame, array: Column | str, name: str, *others: Column | str, position: str | None = None) -> DataFrame:
+    """One row per array element, next to the ``others``; empty and null arrays give no row.
+
+    A plain explode makes the optimizer add a "size > 0" filter below it, which computes the whole
+    array expression a second time. The outer explode plus a filter on its result does not.
+    """
+    if position is None:
+        return df.select(*others, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*others, F.posexplode_outer(array).alias(position, name)).filter(F.col(position).isNotNull())

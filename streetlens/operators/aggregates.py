@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from streetlens.constants import MONDAY_FIRST_DAYS, TRENDING_STOP_WORDS
 from streetlens.functions import scalars
+from streetlens.functions.arrays import exploded
 from streetlens.operators import filters, joins, tfidf
 from streetlens.operators.windows import newest_first, top_n_per_group
 
@@ -67,7 +68,7 @@ def business_profile(reviews: DataFrame, top_k: int = 20) -> DataFrame:
     by_month = months.groupBy("business_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("month", "n")))).alias("monthly_review_counts"),
         F.sort_array(F.collect_list(F.struct("month", "avg_sentiment"))).alias("sentiment_trend"))
-    words = reviews.select("business_id", F.explode("keywords").alias("keyword")).groupBy("business_id", "keyword").agg(_n().alias("n"))
+    words = exploded(reviews, "keywords", "keyword", "business_id").groupBy("business_id", "keyword").agg(_n().alias("n"))
     best = top_n_per_group(words, ["business_id"], [F.col("n").desc(), F.col("keyword").asc()], top_k, rank_column="rank_no")
     by_word = best.groupBy("business_id").agg(
         F.sort_array(F.collect_list(F.struct("rank_no", "keyword", "n"))).alias("top_keywords"))
@@ -98,7 +99,7 @@ def trending_words(
 ) -> DataFrame:
     """Most frequent words of the recent reviews, split at single spaces, case kept."""
     kept = reviews if days is None else filters.recent(reviews, days, as_of)
-    words = kept.select(F.explode(F.split("review_text", " ")).alias("word")).filter(~F.col("word").isin(list(stop_words)))
+    words = exploded(kept, F.split("review_text", " "), "word").filter(~F.col("word").isin(list(stop_words)))
     return words.groupBy("word").agg(_n().alias("count")).orderBy(F.col("count").desc(), "word").limit(k)
 
 
@@ -120,10 +121,8 @@ def keyword_bucket(label: Column, rating: Column) -> Column:
 
 def keyword_rows(reviews: DataFrame) -> DataFrame:
     """One row per review and keyword with the review's bucket and score."""
-    return reviews.select(
-        F.explode("keywords").alias("keyword"),
-        keyword_bucket(F.col("sentiment_label"), F.col("rating")).alias("bucket"), "sentiment_score",
-    )
+    bucket = keyword_bucket(F.col("sentiment_label"), F.col("rating")).alias("bucket")
+    return exploded(reviews, "keywords", "keyword", bucket, "sentiment_score")
 
 
 def keyword_buckets(reviews: DataFrame, k: int = 20) -> DataFrame:
@@ -162,18 +161,15 @@ def keyword_sentiment(reviews: DataFrame, min_count: int = 3, k: int = 10) -> Da
 
 def label_words(reviews: DataFrame, label: str, k: int = 10, longer_than: int = 3) -> DataFrame:
     """Words of the reviews with a label: the ``k`` most frequent, and of these the long ones."""
-    words = (
-        reviews.filter(F.col("sentiment_label") == label)
-        .select(F.explode(F.split(F.lower("review_text"), r"[ \t\n\x0B\f\r]+")).alias("word"))
-        .filter(F.col("word") != "")
-    )
+    labelled = reviews.filter(F.col("sentiment_label") == label)
+    words = exploded(labelled, F.split(F.lower("review_text"), r"[ \t\n\x0B\f\r]+"), "word").filter(F.col("word") != "")
     top = words.groupBy("word").agg(_n().alias("count")).orderBy(F.col("count").desc(), "word").limit(k)
     return top.filter(F.length("word") > longer_than)
 
 
 def top_keywords(reviews: DataFrame, k: int = 20) -> DataFrame:
     """Most frequent keywords with their share of all keyword occurrences."""
-    counts = reviews.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(_n().alias("count"))
+    counts = exploded(reviews, "keywords", "keyword").groupBy("keyword").agg(_n().alias("count"))
     total = reviews.agg(F.sum(F.greatest(F.size("keywords"), F.lit(0))))
     return counts.orderBy(F.col("count").desc(), "keyword").limit(k).withColumn(
         "frequency", F.col("count") / total.scalar())

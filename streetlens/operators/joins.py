@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from streetlens.constants import (
     EARTH_RADIUS_M, GAZETTEER, LEGACY_GAZETTEER, PLACE_TYPE_DEFAULT, PLACE_TYPE_FALLBACKS, PLACE_TYPES,
 )
-from streetlens.functions.arrays import let
+from streetlens.functions.arrays import exploded, let
 from streetlens.functions.scalars import clean_city
 from streetlens.operators import topk
 from streetlens.operators.windows import newest_first, top_n_per_group
@@ -100,7 +100,7 @@ def containing_values(values: DataFrame, column: str) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
         lambda i: F.transform(F.sequence(i, F.greatest(n, i)), lambda j: F.substring(F.col("value"), i, j - i + 1)),
     ))))
-    pieces = distinct.select(F.col("value").alias("container"), F.explode(parts).alias("value"))
+    pieces = exploded(distinct, parts, "value", F.col("value").alias("container"))
     return pieces.join(distinct, "value")
 
 
@@ -251,7 +251,8 @@ def keyword_review_counts(keywords: DataFrame, reviews: DataFrame, text_column:
     top = keywords.agg(F.collect_list(F.struct(*keywords.columns)).alias("top"))
     found = reviews.select(F.col(text_column).alias("body"), top.scalar().alias("top")).select(
         let(F.lower("body"), lambda b: F.filter("top", lambda t: F.contains(b, t["text"]))).alias("hits")
-    ).select(F.explode_outer("hits").alias("t")).select("t.text")
+    )
+    found = exploded(found, "hits", "t").select("t.text")
     counts = found.groupBy("text").agg(F.count(F.lit(1)).alias("count"))
     listed = keywords.sparkSession.range(1).select(top.scalar().alias("top")).select(F.inline("top"))
     return listed.join(counts, "text", "left").withColumn("count", F.coalesce("count", F.lit(0)))

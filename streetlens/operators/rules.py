@@ -30,7 +30,7 @@ def improvement(businesses: DataFrame, reviews: DataFrame) -> DataFrame:
         _insight(count < 50, "info", "increase_review_volume", count),
     ))
     return businesses.join(shares, "source_id").select(
-        F.col("source_id").alias("business_id"), F.explode(insights).alias("i")).select("business_id", "i.*")
+        F.col("source_id").alias("business_id"), F.explode_outer(insights).alias("i")).filter(F.col("i").isNotNull()).select("business_id", "i.*")
 
 
 def competitive(position: DataFrame) -> DataFrame:

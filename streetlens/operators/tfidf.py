@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.functions.arrays import let, occurrence_counts
+from streetlens.functions.arrays import exploded, let, occurrence_counts
 from streetlens.functions.text import default_stop_words, ngram_tokens
 from streetlens.operators.joins import keyword_review_counts
 
@@ -36,8 +36,7 @@ def tfidf_keywords(
         F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
     )
     totals = (
-        grams.select(F.explode_outer(tally).alias("t"))
-        .filter(F.col("t").isNotNull())
+        exploded(grams, tally, "t")
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.sum("t.n").alias("total"), F.sum("t.d").alias("df"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n.scalar()))
@@ -60,9 +59,7 @@ def tfidf_keywords(
     )
     norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
     scores = (
-        weighted.select("terms", norm.alias("norm"))
-        .select("norm", F.explode_outer("terms").alias("t"))
-        .filter(F.col("t").isNotNull())
+        exploded(weighted.select("terms", norm.alias("norm")), "terms", "t", "norm")
         .groupBy(F.col("t.term").alias("text"))
         .agg((F.sum(F.col("t.w") / F.col("norm")) / n.scalar()).alias("weight"))
     )

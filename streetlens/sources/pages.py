@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.functions import scalars
+from streetlens.functions.arrays import exploded
 from streetlens.functions.scalars import unescape
 
 
@@ -83,7 +84,7 @@ def extract_business_pages(pages: DataFrame) -> DataFrame:
         _first(_block(html, _test_id("business-price")), _SPAN).alias("price_range"),
         F.map_from_entries(F.transform(last_per_day, lambda r: F.struct(unescape(day(r)), unescape(time(r))))).alias("hours"),
         _first(_block(html, _test_id("business-description")), _P).alias("description"),
-        F.slice(_all(html, rf'(?s)<[^>]*{_class("photo-box")}[^>]*>\s*<img\b[^>]*src="([^"]*)"'), 1, 5).alias("images"),
+        F.slice(_all(html, rf'(?s)\b{_class("photo-box")}[^>]*>\s*<img\b[^>]*src="([^"]*)"'), 1, 5).alias("images"),
         scalars.coordinate(script, "latitude").alias("latitude"), scalars.coordinate(script, "longitude").alias("longitude"),
     )
 
@@ -92,13 +93,11 @@ def extract_review_pages(pages: DataFrame) -> DataFrame:
     """Review pages (``business_id``, ``business_name``, ``html``) to review rows with text."""
     listing = F.regexp_extract("html", rf'(?s){_test_id("reviews-list")}[^>]*>(.*)', 1)
     # each review block starts at its user-name element
-    pieces = F.split(listing, rf'(?=<[^>]*{_class("user-name")})')
-    # the outer explode keeps the optimizer from splitting every page twice for a "size > 0" filter
-    rows = pages.select("business_id", "business_name", F.explode_outer(pieces).alias("b")).filter(
-        F.contains("b", F.lit("user-name")))
+    pieces = F.split(listing, rf'(?=\b{_class("user-name")})')
+    rows = exploded(pages, pieces, "b", "business_id", "business_name").filter(F.contains("b", F.lit("user-name")))
     b = F.col("b")
-    stars = _first(b, r'(?s)<[^>]*role="img"[^>]*aria-label="([^"]*)"')
-    helpful = _first(b, rf'<[^>]*{_class("helpful-count")}[^>]*>([^<]+)')
+    stars = _first(b, r'(?s)role="img"[^>]*aria-label="([^"]*)"')
+    helpful = _first(b, rf'\b{_class("helpful-count")}[^>]*>([^<]+)')
     reviewer = _first(b, rf'(?s){_class("user-name")}[^>]*>\s*<a\b[^>]*href="([^"]*)"')
     found = rows.select(
         "business_id", "business_name", F.lit("yelp").alias("source"),
@@ -106,7 +105,7 @@ def extract_review_pages(pages: DataFrame) -> DataFrame:
         reviewer.alias("reviewer_id"),
         F.regexp_extract(stars, r"(\d+) star", 1).try_cast("int").alias("rating"),
         _first(b, rf'(?s){_class("comment")}[^>]*>\s*<p\b[^>]*>([^<]+)').alias("review_text"),
-        scalars.parse_date(_first(b, rf'<[^>]*{_class("review-date")}[^>]*>([^<]+)')).alias("review_date"),
+        scalars.parse_date(_first(b, rf'\b{_class("review-date")}[^>]*>([^<]+)')).alias("review_date"),
         scalars.leading_count(helpful).alias("helpful_votes"),
         F.concat_ws("_", "business_id", F.coalesce(reviewer, F.lit("None"))).alias("source_review_id"),
     )
@@ -117,12 +116,12 @@ def extract_directory_pages(pages: DataFrame) -> DataFrame:
     """Directory pages to business rows with a name; the id keeps the query part of the URL."""
     html = F.col("html")
     links = _all(_block(html, _class("categories")), _A)
-    hours = _joined(_all(html, rf'<[^>]*{_class("hours-info")}[^>]*>([^<]+)'))
+    hours = _joined(_all(html, rf'\b{_class("hours-info")}[^>]*>([^<]+)'))
     found = pages.select(
         page_name(html).alias("name"), F.lit("yellowpages").alias("source"),
         scalars.slug(F.col("url"), cut_query=False).alias("source_id"),
         _joined(_all(_block(html, _class("address")), _SPAN)).alias("address"),
-        _first(html, rf'<[^>]*{_class("phone")}[^>]*>([^<]+)').alias("phone"),
+        _first(html, rf'\b{_class("phone")}[^>]*>([^<]+)').alias("phone"),
         F.coalesce(
             _first(html, r'<a\b[^>]*title="Website"[^>]*href="([^"]*)"'),
             _first(html, r'<a\b[^>]*href="([^"]*)"[^>]*title="Website"')).alias("website"),
@@ -137,9 +136,9 @@ def extract_search_cards(pages: DataFrame, limit: int = 10) -> DataFrame:
     """Result pages to their first ``limit`` cards with a name."""
     pieces = F.slice(
         F.filter(F.split("html", r"(?=<\w+\b[^>]*\bdata-cid=)"), lambda p: p.rlike(r"^<\w+\b[^>]*\bdata-cid=")), 1, limit)
-    rows = pages.select("url", F.posexplode(pieces).alias("position", "b"))
+    rows = exploded(pages, pieces, "b", "url", position="position")
     b = F.col("b")
-    stars = _first(b, r'(?s)<[^>]*role="img"[^>]*aria-label="([^"]*)"')
+    stars = _first(b, r'(?s)role="img"[^>]*aria-label="([^"]*)"')
     found = rows.select(
         "url", "position", _first(b, r"<h3\b[^>]*>([^<]+)").alias("name"), F.lit("google").alias("source"),
         _first(b, r'data-cid="([^"]*)"').alias("source_id"),
@@ -155,7 +154,7 @@ def extract_links(pages: DataFrame, prefix: str = "/biz/", limit: int | None = 2
     links = _all(F.col("html"), r'<a\b[^>]*href="([^"]*)"')
     hits = F.filter(links, lambda x: F.contains(x, F.lit(prefix)))
     kept = hits if limit is None else F.slice(hits, 1, limit)
-    return pages.select("url", F.posexplode(kept).alias("position", "link")).filter(F.startswith("link", F.lit(prefix)))
+    return exploded(pages, kept, "link", "url", position="position").filter(F.startswith("link", F.lit(prefix)))
 
 
 def next_page(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streetlens.constants import LEGACY_PLACE_TYPE_DEFAULT, LEGACY_PLACE_TYPE_FALLBACKS, LEGACY_PLACE_TYPES
 from streetlens.functions import scalars
+from streetlens.functions.arrays import exploded
 from streetlens.operators import aggregates, enrich
 from streetlens.operators.joins import type_category
 from streetlens.operators.windows import top_n_per_group
@@ -19,7 +20,7 @@ def _or(value: Column, default) -> Column:
 
 def businesses_from_places(raw: DataFrame, json_column: str = "json", query_column: str = "city_query") -> DataFrame:
     """Place-search responses to business rows, absent fields by their defaults."""
-    places = raw.select(F.col(query_column).alias("q"), F.explode(F.from_json(json_column, PLACES_RESPONSE)["places"]).alias("p"))
+    places = exploded(raw, F.from_json(json_column, PLACES_RESPONSE)["places"], "p", F.col(query_column).alias("q"))
     kind = type_category(F.coalesce("p.types", F.array().cast("array<string>")))
     region = scalars.city_region(F.col("q"), F.coalesce("p.formattedAddress", F.lit("")))
     return places.withColumns({"kind": kind, "where": region}).select(
@@ -36,7 +37,7 @@ def businesses_from_places(raw: DataFrame, json_column: str = "json", query_colu
 
 def businesses_from_legacy(raw: DataFrame, json_column: str = "json") -> DataFrame:
     """Older nearby-search responses to business rows; rows without name, id or point are dropped."""
-    places = raw.select(F.explode(F.from_json(json_column, LEGACY_RESPONSE)["results"]).alias("p")).filter(
+    places = exploded(raw, F.from_json(json_column, LEGACY_RESPONSE)["results"], "p").filter(
         F.col("p.name").isNotNull() & F.col("p.place_id").isNotNull()
         & F.col("p.geometry.location.lat").isNotNull() & F.col("p.geometry.location.lng").isNotNull())
     kind = type_category(F.coalesce("p.types", F.array().cast("array<string>")),
@@ -66,9 +67,9 @@ def reviews_from_places(
     """
     reviews = F.col("d.reviews")
     kept = reviews if max_reviews is None else F.slice(reviews, 1, max_reviews)
-    rows = _details(raw, json_column, id_column).select(
-        "place_id", F.col("d.displayName.text").alias("business_name"), F.col("d.rating").alias("business_rating"),
-        F.posexplode(kept).alias("position", "r"))
+    rows = exploded(
+        _details(raw, json_column, id_column), kept, "r", "place_id", F.col("d.displayName.text").alias("business_name"),
+        F.col("d.rating").alias("business_rating"), position="position")
     body = F.coalesce(F.nullif(F.col("r.originalText.text"), F.lit("")), F.col("r.text.text"), F.lit(""))
     author, published = _or(F.col("r.authorAttribution.displayName"), "Anonymous"), _or(F.col("r.publishTime"), "")
     shaped = rows.select(
@@ -93,7 +94,7 @@ def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: s
         # at most max_reviews entries per place
         F.sort_array(F.collect_list(F.struct("position", "reviewer_name", "rating", "review_text", "sentiment_label", "sentiment_score"))).alias("reviews"),
     )
-    words = reviews.select("place_id", F.explode("keywords").alias("keyword")).groupBy("place_id", "keyword").agg(F.count(F.lit(1)).alias("count"))
+    words = exploded(reviews, "keywords", "keyword", "place_id").groupBy("place_id", "keyword").agg(F.count(F.lit(1)).alias("count"))
     best = top_n_per_group(words, ["place_id"], [F.col("count").desc(), F.col("keyword").asc()], 20, rank_column="rank_no")
     keywords = best.groupBy("place_id").agg(F.sort_array(F.collect_list(F.struct("rank_no", "keyword", "count"))).alias("top_keywords"))
     place = scalars.city_state(_or(F.col("d.formattedAddress"), ""))

@@ -13,18 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetlens.functions import text
+from streetlens.functions.arrays import exploded
 from streetlens.operators import aggregates, enrich, windows
 from streetlens.session import scratch_path, stage_table
 from streetlens.sinks import tables
 
 
-def read_stream(spark: SparkSession, folder: str, file_pattern: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files that arrive in a folder, with the schema of those already there."""
+def read_stream(
+    spark: SparkSession, folder: str, file_pattern: str, files_per_trigger: int = 1000, spread_to: int | None = None,
+) -> DataFrame:
+    """Parquet files that arrive in a folder, with the schema of those already there.
+
+    ``spread_to`` spreads each batch over that many tasks, for costly work on few files.
+    """
     schema = spark.read.option("pathGlobFilter", file_pattern).parquet(folder).schema
-    return (
+    stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", file_pattern)
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     )
+    return stream if spread_to is None else stream.repartition(spread_to)
 
 
 def _drain(writer, checkpoint: str) -> None:
@@ -69,7 +76,7 @@ PANE, SPAN = "6 hours", "7 days"
 
 def keyword_panes(reviews: DataFrame) -> DataFrame:
     """Keyword counts per 6-hour pane: ``pane`` (start), ``keyword``, ``count``."""
-    words = reviews.select("review_date", F.explode("keywords").alias("keyword"))
+    words = exploded(reviews, "keywords", "keyword", "review_date")
     return words.groupBy(F.window("review_date", PANE).alias("w"), "keyword").agg(F.count(F.lit(1)).alias("count")).select(
         F.col("w.start").alias("pane"), "keyword", "count")
 
