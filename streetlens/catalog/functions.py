@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streetlens.catalog.base import Tables, query
-from streetlens.catalog.relations import _TOP_PHRASES, _TOP_WORDS, CITY_QUERY, CLEAN_CITY, _listed, _queries
+from streetlens.catalog.relations import _TOP_PHRASES, _TOP_WORDS, CITY_QUERY, CLEAN_CITY, _queries
 from streetlens.catalog.aggregates import SEGMENT
 from streetlens.catalog.sql import LEXICON, RATING_SCORE, STOP_WORDS, clean, quoted
 from streetlens.functions import scalars, sentiment, text
@@ -53,8 +53,7 @@ scores AS (SELECT review_id, s / sqrt(s * s + 15) AS score FROM (SELECT review_i
 SELECT t.review_id, score AS sentiment_score, {_LABEL} AS sentiment_label, keywords, phrases, {_COUNTS} AS word_count, length(review_text) AS character_count
 FROM texts t JOIN scores USING (review_id) JOIN keyed USING (review_id) JOIN phrased USING (review_id) WHERE review_text <> ''"""
 query("enrich_review", "review_id:i sentiment_score:d sentiment_label keywords:l phrases:l word_count:i character_count:i", ENRICHED, "texts words cleaned")(
-    lambda t: enrich.enrich_reviews(t.texts.filter("review_text <> ''"), WIDE_LEXICON, stop_words=STOP_WORDS).withColumns(
-        {c: _listed(F.col(c)) for c in ("keywords", "phrases")}))
+    lambda t: enrich.enrich_reviews(t.texts.filter("review_text <> ''"), WIDE_LEXICON, stop_words=STOP_WORDS))
 query("scl_label", "source_review_id seq:i inclusive strict", """
 SELECT source_review_id, seq, CASE WHEN v >= 0.05 THEN 'positive' WHEN v <= -0.05 THEN 'negative' ELSE 'neutral' END AS inclusive,
  CASE WHEN v > 0.1 THEN 'positive' WHEN v < -0.1 THEN 'negative' ELSE 'neutral' END AS strict FROM (SELECT *, round(sentiment_score / 4, 2) AS v FROM reviews) AS r""", "reviews")(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from streetlens.catalog.base import Tables, query
@@ -162,25 +160,20 @@ query("win_dedupe_latest", R, f"SELECT * FROM (SELECT *, row_number() OVER (PART
 
 # words and phrases of one review, most frequent first, then by first position
 _TOP_WORDS = f"""
-SELECT t.review_id, list(word ORDER BY rn) FILTER (WHERE rn <= 10) AS keywords FROM texts t LEFT JOIN (
+SELECT t.review_id, coalesce(list(word ORDER BY rn) FILTER (WHERE rn <= 10), []) AS keywords FROM texts t LEFT JOIN (
  SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY n DESC, p) AS rn FROM (SELECT review_id, word, count(*) AS n, min(pos) AS p FROM words
   WHERE length(word) > 2 AND word NOT IN ({quoted(STOP_WORDS)}) GROUP BY 1, 2) AS c) AS k USING (review_id) GROUP BY 1"""
 _TOP_PHRASES = f"""
 , pairs AS (SELECT a.review_id, a.word || ' ' || b.word AS phrase, a.pos FROM words a JOIN words b ON a.review_id = b.review_id AND b.pos = a.pos + 1
  WHERE a.word NOT IN ({quoted(STOP_WORDS)}) AND b.word NOT IN ({quoted(STOP_WORDS)}))
-SELECT t.review_id, list(phrase ORDER BY rn) FILTER (WHERE rn <= 5) AS phrases FROM texts t LEFT JOIN (
+SELECT t.review_id, coalesce(list(phrase ORDER BY rn) FILTER (WHERE rn <= 5), []) AS phrases FROM texts t LEFT JOIN (
  SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY n DESC, p) AS rn FROM (SELECT review_id, phrase, count(*) AS n, min(pos) AS p FROM pairs
   WHERE length(phrase) > 5 GROUP BY 1, 2) AS c) AS k USING (review_id) GROUP BY 1"""
 
 
-def _listed(column):
-    return F.when(F.size(column) > 0, column)
-
-
 for _name in ("win_keywords_per_review", "txt_keywords"):
     query(_name, "review_id:i keywords:l", _TOP_WORDS, "texts words")(
-        lambda t: t.texts.select("review_id", _listed(text.keywords(F.col("review_text"), 10, STOP_WORDS)).alias("keywords")))
+        lambda t: t.texts.select("review_id", text.keywords(F.col("review_text"), 10, STOP_WORDS).alias("keywords")))
 for _name in ("win_phrases_per_review", "txt_phrases"):
     query(_name, "review_id:i phrases:l", _TOP_PHRASES, "texts words")(
-        lambda t: t.texts.select("review_id", _listed(text.phrases(F.col("review_text"), 5, STOP_WORDS)).alias("phrases")))
-AS_OF = dt.datetime(2001, 11, 1)
+        lambda t: t.texts.select("review_id", text.phrases(F.col("review_text"), 5, STOP_WORDS).alias("phrases")))

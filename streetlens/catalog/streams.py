@@ -12,7 +12,7 @@ from streetlens.catalog import sql as S
 from streetlens.catalog.aggregates import _LABELS
 from streetlens.catalog.base import Tables, query
 from streetlens.catalog.functions import ENRICHED, WIDE_LEXICON
-from streetlens.catalog.relations import _TOP_WORDS, ALL_TIES, ANOMALIES, NEWEST, TIES, _listed
+from streetlens.catalog.relations import _TOP_WORDS, ALL_TIES, ANOMALIES, NEWEST, TIES
 from streetlens.catalog.storage import _old_anomalies, details_json, places_json
 from streetlens.operators import joins, windows
 from streetlens.plans import jobs
@@ -33,8 +33,7 @@ def _review_stream(t: Tables) -> DataFrame:
 _TEXT_STREAM = [c for c in S.TEXT_COLUMNS if "n_suppliers" not in c]
 
 query("str_enrich_reviews", "review_id:i sentiment_score:d sentiment_label keywords:l phrases:l word_count:i character_count:i", ENRICHED, "texts words cleaned")(
-    lambda t: streams.enrich_reviews(_landed(t, "documents").selectExpr(*_TEXT_STREAM).filter("review_text <> ''"), WIDE_LEXICON, S.STOP_WORDS).withColumns(
-        {c: _listed(F.col(c)) for c in ("keywords", "phrases")}))
+    lambda t: streams.enrich_reviews(_landed(t, "documents").selectExpr(*_TEXT_STREAM).filter("review_text <> ''"), WIDE_LEXICON, S.STOP_WORDS))
 query("str_business_analytics", "business_id avg_rating:d total_reviews:i avg_sentiment:d latest_review:t earliest_review:t", """
 SELECT business_id, avg(rating) AS avg_rating, count(*) AS total_reviews, avg(sentiment_score) AS avg_sentiment,
  max(review_date) AS latest_review, min(review_date) AS earliest_review FROM reviews GROUP BY 1""", "reviews")(

@@ -103,14 +103,19 @@ def lexicon_sum(tokens: Column, lexicon: Mapping[str, float]) -> Column:
     return let(F.filter(tokens, lambda t: t.isin(list(lexicon))), totals)
 
 
-def lexicon_score(text: Column, lexicon: Mapping[str, float], mode: str = "compound") -> Column:
-    """Polarity of a text: ``compound`` = s / sqrt(s^2 + 15), ``mean`` = mean matched valence.
+def lexicon_score_of(tokens: Column, lexicon: Mapping[str, float], mode: str = "compound") -> Column:
+    """Polarity of cleaned words: ``compound`` = s / sqrt(s^2 + 15), ``mean`` = mean matched valence.
 
-    Empty text or no matched word gives 0. Negation, boosters and punctuation are not considered.
+    No matched word gives 0. Negation, boosters and punctuation are not considered.
     """
     def score(found: Column) -> Column:
         if mode == "mean":
             return F.when(found["hits"] > 0, found["total"] / found["hits"]).otherwise(F.lit(0.0))
         return found["total"] / F.sqrt(found["total"] * found["total"] + 15)
 
-    return F.coalesce(let(lexicon_sum(cleaned_tokens(text), lexicon), score), F.lit(0.0))
+    return F.coalesce(let(lexicon_sum(tokens, lexicon), score), F.lit(0.0))
+
+
+def lexicon_score(text: Column, lexicon: Mapping[str, float], mode: str = "compound") -> Column:
+    """Polarity of a text; empty text gives 0."""
+    return lexicon_score_of(cleaned_tokens(text), lexicon, mode)

@@ -46,32 +46,43 @@ def _is_stop(token: Column, stop_words: Iterable[str]) -> Column:
     return token.isin(list(stop_words))
 
 
-def keyword_tokens(text: Column, stop_words: Iterable[str], min_length: int = 3) -> Column:
+def _stops(stop_words: Iterable[str] | None) -> list[str]:
+    return default_stop_words() if stop_words is None else list(stop_words)
+
+
+def keyword_tokens(tokens: Column, stop_words: Iterable[str], min_length: int = 3) -> Column:
     """Cleaned words without stop words and short words."""
-    return F.filter(
-        cleaned_tokens(text),
-        lambda t: (F.length(t) >= min_length) & ~_is_stop(t, stop_words),
-    )
+    return F.filter(tokens, lambda t: (F.length(t) >= min_length) & ~_is_stop(t, stop_words))
+
+
+def keywords_of(tokens: Column, k: int = 10, stop_words: Iterable[str] | None = None) -> Column:
+    """The ``k`` most frequent keywords among the cleaned words of a review."""
+    return most_common(keyword_tokens(tokens, _stops(stop_words)), k)
 
 
 def keywords(text: Column, k: int = 10, stop_words: Iterable[str] | None = None) -> Column:
     """The ``k`` most frequent keywords of a review."""
-    return most_common(keyword_tokens(text, default_stop_words() if stop_words is None else stop_words), k)
+    return keywords_of(cleaned_tokens(text), k, stop_words)
 
 
-def phrase_tokens(text: Column, stop_words: Iterable[str], min_length: int = 6) -> Column:
+def phrase_tokens(tokens: Column, stop_words: Iterable[str], min_length: int = 6) -> Column:
     """Pairs of neighbouring cleaned words, neither a stop word, joined by a space."""
     kept = F.filter(
-        adjacent_pairs(cleaned_tokens(text)),
+        adjacent_pairs(tokens),
         lambda p: ~_is_stop(p["a"], stop_words) & ~_is_stop(p["b"], stop_words)
         & (F.length(p["a"]) + F.length(p["b"]) + 1 >= min_length),
     )
     return F.transform(kept, lambda p: F.concat_ws(" ", p["a"], p["b"]))
 
 
+def phrases_of(tokens: Column, k: int = 5, stop_words: Iterable[str] | None = None) -> Column:
+    """The ``k`` most frequent phrases among the cleaned words of a review."""
+    return most_common(phrase_tokens(tokens, _stops(stop_words)), k)
+
+
 def phrases(text: Column, k: int = 5, stop_words: Iterable[str] | None = None) -> Column:
     """The ``k`` most frequent phrases of a review."""
-    return most_common(phrase_tokens(text, default_stop_words() if stop_words is None else stop_words), k)
+    return phrases_of(cleaned_tokens(text), k, stop_words)
 
 
 def simple_words(text: Column, stop_words: Iterable[str] = SHORT_STOP_WORDS, min_length: int = 4) -> Column:
@@ -102,7 +113,7 @@ def ngram_tokens(text: Column, stop_words: Iterable[str]) -> Column:
 
     Stop words are removed before pairing, so a pair may bridge a removed word.
     """
-    words = keyword_tokens(text, stop_words, min_length=2)
+    words = keyword_tokens(cleaned_tokens(text), stop_words, min_length=2)
     return let(
         words,
         lambda w: F.concat(w, F.transform(adjacent_pairs(w), lambda p: F.concat_ws(" ", p["a"], p["b"]))),

@@ -28,18 +28,20 @@ def enrich_reviews(
     stops = text.default_stop_words() if stop_words is None else list(stop_words)
     has_text = F.coalesce(F.length(body) > 0, F.lit(False))
     threshold, inclusive = (0.05, True) if mode == "compound" else (0.1, False)
-    score = score_fn(body) if score_fn else sentiment.lexicon_score(body, lexicon, mode)
+    tokens = F.col("__tokens")
+    score = score_fn(body) if score_fn else sentiment.lexicon_score_of(tokens, lexicon, mode)
 
     def where_text(value: Column) -> Column:
         return F.when(has_text, value)
 
-    return reviews.withColumns({
+    # the words are cleaned once and read by the score, the keywords and the phrases
+    return reviews.withColumn("__tokens", text.cleaned_tokens(body)).withColumns({
         "sentiment_score": where_text(score),
-        "keywords": where_text(text.keywords(body, max_keywords, stops)),
-        "phrases": where_text(text.phrases(body, max_phrases, stops)),
+        "keywords": where_text(text.keywords_of(tokens, max_keywords, stops)),
+        "phrases": where_text(text.phrases_of(tokens, max_phrases, stops)),
         "word_count": where_text(text.word_count(body)),
         "character_count": where_text(text.character_count(body)),
-    }).withColumn("sentiment_label", sentiment.label(F.col("sentiment_score"), threshold, inclusive))
+    }).drop("__tokens").withColumn("sentiment_label", sentiment.label(F.col("sentiment_score"), threshold, inclusive))
 
 
 def process_new_reviews(reviews: DataFrame, as_of: Column, **kwargs) -> DataFrame:
