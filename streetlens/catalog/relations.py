@@ -40,8 +40,13 @@ _TOP = f"""SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY business_i
 WHERE rn <= 20 AND business_id IN (SELECT source_id FROM (SELECT source_id FROM businesses WHERE {{c}} ORDER BY rating DESC NULLS LAST, source_id LIMIT 50) AS b)"""
 query("jn_top_reviews", R, _TOP.format(c="TRUE"), "businesses reviews")(
     lambda t: joins.top_business_reviews(t.businesses, t.reviews, 50, 20, ties=ALL_TIES))
-query("get_reviews", R, _TOP.format(c="regexp_matches(category, 'Restaurant', 'i')"), "businesses reviews")(
-    lambda t: joins.top_business_reviews(t.businesses, t.reviews, 50, 20, category="Restaurant", ties=ALL_TIES))
+_OF_KIND = "regexp_matches(category, 'Restaurant', 'i') AND (regexp_matches(city, 'NATION_', 'i') OR regexp_matches(address, 'NATION_', 'i'))"
+query("get_reviews", R, _TOP.format(c=_OF_KIND).replace("rn <= 20", "rn <= 100").replace("LIMIT 50", "LIMIT 200"), "businesses reviews")(
+    lambda t: joins.get_reviews(t.businesses, t.reviews, "Restaurant", "NATION_", ties=ALL_TIES))
+query("get_reviews_limited", R, f"SELECT * FROM ({_TOP.format(c=_OF_KIND)}) AS x {NEWEST} LIMIT 250", "businesses reviews")(
+    lambda t: joins.get_reviews(t.businesses, t.reviews, "Restaurant", "NATION_", 250, ties=ALL_TIES))
+query("get_reviews_by_city", R, f"SELECT * FROM named_reviews WHERE regexp_matches(business_city, 'NATION_1', 'i') {NEWEST} LIMIT 1000", "named_reviews")(
+    lambda t: joins.get_reviews(t.businesses, t.named_reviews, city="NATION_1", limit=1000, ties=ALL_TIES))
 
 for _name, _pairs, _match in (("jn_competitors", CONTAINS, "contains"), ("jn_competitors_equal", EQUAL, "equal")):
     query(_name, "business_id source_id name rating:d review_count:i", f", {_pairs} SELECT * FROM pairs WHERE rn <= 20", "businesses")(

@@ -13,9 +13,18 @@ from streetlens.constants import (
 from streetlens.functions.arrays import exploded, let
 from streetlens.functions.scalars import clean_city
 from streetlens.operators import topk
+from streetlens.operators.filters import by_review_city
 from streetlens.operators.windows import newest_first, top_n_per_group
 
 
+_BROADCAST_ROWS = 10_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a frame that a limit holds below a bound; a larger one is left to Spark's own choice."""
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
+
+
 def with_business_analytics(businesses: DataFrame, analytics: DataFrame) -> DataFrame:
     """Attach per-business review measures; businesses without a review drop out."""
     return businesses.join(
@@ -42,7 +51,7 @@ def with_competitor_sentiment(businesses: DataFrame, chosen: DataFrame, analytic
 def category_reviews(businesses: DataFrame, reviews: DataFrame, category: str, top: int = 1000) -> DataFrame:
     """Reviews of the ``top`` best-rated businesses of a category."""
     ids = topk.top_by_category(businesses, category, top).select(F.col("source_id").alias("business_id"))
-    return reviews.join(F.broadcast(ids), "business_id", "left_semi")
+    return reviews.join(_small(ids, top), "business_id", "left_semi")
 
 
 def by_names(reviews: DataFrame, names: DataFrame, anti: bool = False) -> DataFrame:
@@ -52,18 +61,36 @@ def by_names(reviews: DataFrame, names: DataFrame, anti: bool = False) -> DataFr
 
 
 def top_business_reviews(
-    businesses: DataFrame, reviews: DataFrame, m: int = 50, n: int = 20, category: str = "",
-    ties: Sequence[str] = ("source_review_id",), salts: int = 64,
+    businesses: DataFrame, reviews: DataFrame, m: int = 50, n: int = 20,
+    ties: Sequence[str] = ("source_review_id",), salts: int = 64, **business_filters,
 ) -> DataFrame:
     """Newest ``n`` reviews of each of the ``m`` best-rated businesses.
 
-    The broadcast side holds at most ``m`` ids.
+    The side of the best businesses holds at most ``m`` ids.
     """
-    best = topk.top_filtered(businesses, m, category=category).select(F.col("source_id").alias("business_id"))
-    kept = reviews.join(F.broadcast(best), "business_id", "left_semi")
+    best = topk.top_filtered(businesses, m, **business_filters).select(F.col("source_id").alias("business_id"))
+    kept = reviews.join(_small(best, m), "business_id", "left_semi")
     return top_n_per_group(kept, ["business_id"], newest_first(*ties), n, salts)
 
 
+def get_reviews(
+    businesses: DataFrame, reviews: DataFrame, category: str = "", city: str = "", limit: int | None = None,
+    ties: Sequence[str] = ("source_review_id",), literal: bool = False, **business_filters,
+) -> DataFrame:
+    """Reviews under the business filters, newest first when limited.
+
+    With a category: of its best-rated businesses, the first 50 (200 without a limit), each with its
+    newest 20 (100) reviews. Without one: all reviews, or those of a city by ``business_city``.
+    """
+    if category:
+        m, n = (200, 100) if limit is None else (50, 20)
+        kept = top_business_reviews(
+            businesses, reviews, m, n, ties, category=category, city=city, literal=literal, **business_filters)
+    else:
+        kept = by_review_city(reviews, city, literal) if city else reviews
+    return kept if limit is None else kept.orderBy(*newest_first(*ties)).limit(limit)
+
+
 def denormalise(reviews: DataFrame, businesses: DataFrame) -> DataFrame:
     """Copy name, category and city of the business onto each review."""
     attributes = businesses.select(

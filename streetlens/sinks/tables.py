@@ -74,14 +74,19 @@ def touched_buckets(batch: DataFrame) -> list[int]:
 
 
 def overwrite_buckets(df: DataFrame, path: str) -> None:
-    """Replace only the buckets that ``df`` holds."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+    """Replace only the buckets that ``df`` holds.
+
+    Rows are brought together by bucket before writing, so a bucket is a few files and not one per
+    task; AQE splits a bucket that is larger than the advisory size.
+    """
+    (df.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
 
 
 def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column], buckets: int = 64) -> None:
     """Upsert a batch into a bucketed table, rewriting only the buckets it touches.
 
     Running the same batch again gives the same table, so a replay after a failure is harmless.
+    Choose ``buckets`` so that one bucket of the table is a few GB.
     """
     spark = batch.sparkSession
     placed = with_bucket(batch, keys, buckets)
