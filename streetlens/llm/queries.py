@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streetlens.llm.token_files import read_documents, write_token_files
 from streetlens.llm.topk_search import max_score_search
 
 
@@ -12,12 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return read_documents(spark, manifest)
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op10_top_k,)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
