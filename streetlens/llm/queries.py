@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streetlens.llm.decontaminate import contamination
 from streetlens.llm.token_files import read_documents, write_token_files
 from streetlens.llm.topk_search import max_score_search
 
@@ -24,12 +25,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, manifest)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report.select("row.doc_id", *[c for c in report.columns if c != "row"])
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
