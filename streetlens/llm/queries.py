@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetlens.llm.decontaminate import contamination
+from streetlens.llm.html_text import main_text
 from streetlens.llm.pieces import encode_pieces
 from streetlens.llm.token_files import read_documents, write_token_files
 from streetlens.llm.topk_search import max_score_search
@@ -36,12 +37,16 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("row.doc_id", "n_pieces", "n_bytes_spelled", "ids_crc32", "round_trip")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op7_sentence_pieces, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op7_sentence_pieces, op8_main_text, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
