@@ -159,19 +159,26 @@ def labelled_pages() -> list[str]:
 
     pages = []
     for size in (1, 3, 8, 20, 60, 200):
-        for beside in (2, 9, 30):
+        for beside in (1, 3, 9, 30, 120, 300):
             body = f"<h1>{main(4)}</h1>" + "".join(f"<p>{main(size + i)}</p>" for i in (0, 7, 2, 31, 1))
-            top = f'<nav><ul>{menu(beside)}</ul></nav><header>{other(beside)}</header><div class="ad">{other(beside)}</div>'
+            top = f'<nav><ul>{menu(beside)}</ul></nav><header>{other(beside)}</header><div class="ad">{other(beside)}</div><nav><p>{other(size)}</p></nav>'
             end = (
                 f'<aside>{other(beside)}</aside><form>{other(beside)}</form><div class="comments"><p>{other(size)}</p></div>'
-                f'<div class="cookie">{other(beside)}</div><footer>{other(beside)}</footer>')
+                f'<div class="cookie">{other(beside)}</div><footer>{other(beside)}</footer><footer><p>{other(size)}</p></footer>')
             inner = f'<div class="share">{other(beside)}</div>'
             pages.append(f"{top}<article>{body}{inner}</article><p>{other(beside)}</p>{end}")
             pages.append(f"{top}<main><div>{body}</div>{inner}<p>{main(3)} <a>{main(2)}</a></p></main>{end}")
+            pages.append(f"{top}<article><p><a>{main(2)}</a></p><p>{main(size)}</p>{body}<p><a>{main(3)}</a></p><p>{main(3)}</p><ul><li><a>{main(size)}</a></li></ul></article>")
+            pages.append(f"<article><p>{main(size)}</p></article>")
             if size >= 20:
                 # pages that mark nothing: only the flow of long blocks tells
                 plain = "".join(f"<p>{main(size + i)}</p>" for i in (0, 20, 9, 33))
-                pages.append(f"<ul>{menu(beside)}</ul><div><h1>{main(5)}</h1>{plain}<p>{main(3)}</p><p>{main(size)}</p></div><ul>{menu(beside)}</ul><p>{other(3)}</p>")
+                flow = f"<h1>{main(5)}</h1>{plain}<p>{main(3)}</p><p>{main(size)}</p>"
+                links = f"<ul>{menu(1 + beside % 20)}</ul>"
+                pages.append(f"{links}<div>{flow}</div>{links}<p>{other(3)}</p>")
+                pages.append(f"{top}{links}<div>{flow}</div>{end}")
+                pages.append(f"<div>{flow}</div><footer>{other(beside)}</footer>")
+                pages.append(f"{links}<div>{flow}</div>")
     return pages
 
 
