@@ -170,6 +170,7 @@ def labelled_pages() -> list[str]:
             pages.append(f"{top}<main><div>{body}</div>{inner}<p>{main(3)} <a>{main(2)}</a></p></main>{end}")
             pages.append(f"{top}<article><p><a>{main(2)}</a></p><p>{main(size)}</p>{body}<p><a>{main(3)}</a></p><p>{main(3)}</p><ul><li><a>{main(size)}</a></li></ul></article>")
             pages.append(f"<article><p>{main(size)}</p><p><a>{main(3)}</a></p><p>{main(2)}</p></article>")
+            pages += [f"<article><p>{main(size)}</p></article>", f"<main>{main(size)} <a>{main(1)}</a></main>"] * 2
             if size >= 20:
                 # pages that mark nothing: only the flow of long blocks tells
                 plain = "".join(f"<p>{main(size + i)}</p>" for i in (0, 20, 9, 33))
