@@ -182,7 +182,7 @@ def reporter(sent, window: int, share: int):
                 hit = np.diff(np.concatenate(([0], np.cumsum(flags)))[first])
                 doc, item = pairs_of(benchmark, np.searchsorted(first, position, "right") - 1, found)
                 edges = np.flatnonzero(np.diff(doc, prepend=-1))
-                for start, stop in zip(edges, np.append(edges[1:], len(doc)), strict=True):
+                for start, stop in zip(edges, np.append(edges, len(doc))[1:], strict=True):
                     names = sorted({benchmark.names[i] for i in item[start:stop]})
                     items[doc[start]] = len(names)
                     digests[doc[start]] = hashlib.sha256(",".join(names).encode()).hexdigest()
