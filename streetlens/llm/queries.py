@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streetlens.llm.decontaminate import contamination
 from streetlens.llm.html_text import main_text
+from streetlens.llm.language_id import identify_language
 from streetlens.llm.pieces import encode_pieces
 from streetlens.llm.token_files import read_documents, write_token_files
 from streetlens.llm.topk_search import max_score_search
@@ -32,6 +33,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("row.doc_id", *[c for c in report.columns if c != "row"])
 
 
+def part(modulus: int):
+    """Remainder of the checksum of the id as text: the fixed folds of labelled data."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = identify_language(docs, docs.filter(part(4) != 2), ["doc_id"])
+    return predicted.select("row.doc_id", "lang_pred", "score").select("doc_id", (part(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return encoded.select("row.doc_id", "n_pieces", "n_bytes_spelled", "ids_crc32", "round_trip")
@@ -46,7 +58,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op7_sentence_pieces, op8_main_text, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_language, op7_sentence_pieces, op8_main_text, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
