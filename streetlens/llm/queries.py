@@ -9,6 +9,7 @@ from streetlens.llm.decontaminate import contamination
 from streetlens.llm.html_text import main_text
 from streetlens.llm.language_id import identify_language
 from streetlens.llm.pieces import encode_pieces
+from streetlens.llm.quality import score_quality
 from streetlens.llm.token_files import read_documents, write_token_files
 from streetlens.llm.topk_search import max_score_search
 
@@ -44,6 +45,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("row.doc_id", "lang_pred", "score").select("doc_id", (part(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(part(5) != 0))
+    return scored.select("row.doc_id", "score", "predicted").select("doc_id", (part(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return encoded.select("row.doc_id", "n_pieces", "n_bytes_spelled", "ids_crc32", "round_trip")
@@ -58,7 +64,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_language, op7_sentence_pieces, op8_main_text, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_language, op6_quality, op7_sentence_pieces, op8_main_text, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
