@@ -10,6 +10,7 @@ from streetlens.llm.html_text import main_text
 from streetlens.llm.language_id import identify_language
 from streetlens.llm.pieces import encode_pieces
 from streetlens.llm.quality import score_quality
+from streetlens.llm.token_counts import edited_token_counts
 from streetlens.llm.token_files import read_documents, write_token_files
 from streetlens.llm.topk_search import max_score_search
 
@@ -59,12 +60,26 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: a replacement, an insertion of its own opening and a deletion."""
+    import public_tokenizers
+
+    def edit(number: int, removed: int, inserted):
+        start = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.coalesce(F.length("text"), F.lit(0)).cast("bigint") + 1)
+        return F.struct(start.alias("start"), F.lit(removed).alias("removed"), inserted.alias("inserted"))
+
+    edits = F.array(edit(1, 5, F.lit(" edited words")), edit(2, 0, F.substring("text", 1, 12)), edit(3, 40, F.lit("")))
+    docs = table(spark, sf_dir, "documents").withColumn("edits", edits)
+    counted = edited_token_counts(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.select("row.doc_id", "n_before", "n_tokens", "n_chars", "n_edits", "n_recounted")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_language, op6_quality, op7_sentence_pieces, op8_main_text, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_language, op6_quality, op7_sentence_pieces, op8_main_text, op9_token_counts, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
