@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streetlens.llm.decontaminate import contamination
 from streetlens.llm.html_text import main_text
+from streetlens.llm.jaccard_join import similar_groups
 from streetlens.llm.language_id import identify_language
 from streetlens.llm.pieces import encode_pieces
 from streetlens.llm.quality import score_quality
@@ -25,6 +26,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return read_documents(spark, manifest)
@@ -79,7 +84,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_language, op6_quality, op7_sentence_pieces, op8_main_text, op9_token_counts, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_token_files, op4_decontaminate, op5_language, op6_quality, op7_sentence_pieces, op8_main_text, op9_token_counts, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
