@@ -11,6 +11,7 @@ from streetlens.llm.jaccard_join import similar_groups
 from streetlens.llm.language_id import identify_language
 from streetlens.llm.pieces import encode_pieces
 from streetlens.llm.quality import score_quality
+from streetlens.llm.suffix_dedup import without_repeats
 from streetlens.llm.token_counts import edited_token_counts
 from streetlens.llm.token_files import read_documents, write_token_files
 from streetlens.llm.topk_search import max_score_search
@@ -26,6 +27,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
@@ -84,7 +90,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_token_files, op4_decontaminate, op5_language, op6_quality, op7_sentence_pieces, op8_main_text, op9_token_counts, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_token_files, op4_decontaminate, op5_language, op6_quality, op7_sentence_pieces, op8_main_text, op9_token_counts, op10_top_k)}
 
 ORACLES = {
     "op10_top_k": """
