@@ -146,7 +146,8 @@ def describer(width: int):
         for batch in chunks(batches, "text"):
             values, first = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_shingles": np.diff(first), "set_id": signed(set_keys(values, first))})
+                "doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_shingles": np.diff(first),
+                "set_id": signed(set_keys(values, first))})
 
     return run
 
@@ -245,11 +246,12 @@ def comparer(share: int):
 
 
 def similar_groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """Groups of similar documents: ``doc_id``, ``n_shingles``, ``set_id`` and ``component_id``.
+    """Groups of similar documents: ``doc_id``, ``n_shingles``, ``component_id``, ``key``, ``set_id``, ``label``.
 
     A document's set holds its distinct shingles of ``width`` words (of fewer words, all of them as one; of none,
     nothing). Two documents are linked when ``100 * common >= share * union``. ``component_id`` is the smallest
     ``doc_id`` that links lead to. Equal sets have the same ``set_id``; an empty set (0) is linked with nothing.
+    ``label`` is the same within a group and in no other; ``key`` is a hash of id and text.
 
     Nulls: a null text has an empty set; a null ``doc_id`` is never a component's id unless there is no other.
     Repeated rows are copies of one another. Only ``doc_id`` and ``text`` are read. Empty tables stay empty.
@@ -266,9 +268,9 @@ def similar_groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFram
       connect. No candidate is left out.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
     plain = texts.select("text")
-    about = stage_table(texts.mapInArrow(describer(width), "doc_id bigint, n_shingles bigint, set_id bigint"), "sets")
+    about = stage_table(texts.mapInArrow(describer(width), "doc_id bigint, key bigint, n_shingles bigint, set_id bigint"), "sets")
     limit = Rule(share).largest(LARGEST_SMALL)
     sizes = about.filter(F.col("n_shingles").between(1, limit)).groupBy("n_shingles").agg(F.count(F.lit(1)))
     boundary = best_boundary(share, {int(s): int(n) for s, n in sizes.collect()})
@@ -295,7 +297,22 @@ def similar_groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFram
     ids = stage_table(about.filter("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least_doc")), "ids")
     named = ids.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = stage_table(named.groupBy("label").agg(F.min("least_doc").alias("component_id")), "smallest")
-    classes = stage_table(named.join(smallest, "label").select("set_id", "component_id"), "classes")
-    alone = about.filter("set_id = 0").withColumn("component_id", F.col("doc_id"))
-    return about.filter("set_id <> 0").join(classes, "set_id").select("doc_id", "n_shingles", "set_id", "component_id").union(
-        alone.select("doc_id", "n_shingles", "set_id", "component_id"))
+    classes = stage_table(named.join(smallest, "label").select("set_id", "label", "component_id"), "classes")
+    columns = ["doc_id", "n_shingles", "component_id", "key", "set_id", "label"]
+    alone = about.filter("set_id = 0").withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("bigint")})
+    return about.filter("set_id <> 0").join(classes, "set_id").select(*columns).union(alone.select(*columns))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """The document with the smallest ``doc_id`` of each group of similar ones, with all its columns.
+
+    Documents without words are similar to nothing and stay. Of repeated rows one stays.
+    """
+    similar = similar_groups(docs, width, share).filter("set_id <> 0")
+    # a null id comes last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    kept = similar.groupBy("label").agg(first).select(F.col("first.key").alias("similar_key"))
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = docs.filter(worded).select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("similar_key"))
+    chosen = rows.join(stage_table(kept, "kept"), "similar_key").dropDuplicates(["similar_key"])
+    return chosen.select("row.*").union(docs.filter(~worded))
