@@ -121,9 +121,6 @@ def stream(pieces: Pieces, data: bytes) -> Iterator[int]:
                 elif b in lead:
                     lead[p] = lead[b]
             back = {p: b for p, b in back.items() if p in lead}
-            window = [p for p in window if p > at]
-            if not window:
-                break
     path, at = [], n
     while at > committed:
         path.append(at)
