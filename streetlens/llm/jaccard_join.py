@@ -19,6 +19,9 @@ from streetlens.session import stage_table
 #: Growth of the set sizes that share one division into segments; larger ones share more and cut finer.
 CLASS_GROWTH = 1.5
 
+#: Segments of a set, in times those that a pair may differ in: the more, the more of them a pair must share.
+SEGMENT_SLACK = 1.25
+
 #: What reading one row of an inverted list costs, in rows written.
 SCAN_COST = 8.0
 
@@ -26,7 +29,7 @@ SCAN_COST = 8.0
 LARGEST_SMALL = 29
 
 #: Sets of a group of candidates that one task compares with one another.
-BLOCK_SETS = 1024
+BLOCK_SETS = 256
 
 
 class Rule:
@@ -51,7 +54,7 @@ class Rule:
 
     def segments(self, number: int) -> int:
         """Segments of class ``number``: two linked sets agree in one at least that is not empty in both."""
-        return math.ceil(1.05 * (self.apart(2 * self.largest(self.edges[number + 1] - 1)) + 1)) + 1
+        return math.ceil(SEGMENT_SLACK * (self.apart(2 * self.largest(self.edges[number + 1] - 1)) + 1)) + 1
 
     def needed(self, number: int) -> int:
         return self.apart(2 * self.largest(self.edges[number + 1] - 1)) + 1
@@ -100,15 +103,21 @@ def subset_keys(rule: Rule, values: np.ndarray) -> list[int]:
     return out
 
 
-def join_keys(rule: Rule, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key and number of the set for every list a set is in: subsets of small sets, segments of large ones."""
+def join_keys(rule: Rule, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key and number of the set for every list a set is in: subsets of small sets, segments of large ones.
+
+    With each the kind of list (the class, -1 for subsets, less for empty segments), and in how many lists of
+    this kind the set must meet others: a partner differs in so many segments at most, and agrees in the rest.
+    """
     sizes = np.diff(first)
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, owners, needs, kinds = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))
     spread = mixed(values + np.uint64(5))
     for i in np.flatnonzero((sizes > 0) & (sizes <= rule.largest(rule.boundary))):
         found = np.array(subset_keys(rule, spread[first[i]:first[i + 1]]), np.uint64)
         keys.append(mixed(found + np.uint64(0x51)))
         owners.append(np.full(len(found), i))
+        needs.append(np.ones(len(found), np.int64))
+        kinds.append(np.full(len(found), -1))
     large = np.flatnonzero(sizes > rule.boundary)
     number, owner = [], []
     for i in large:
@@ -132,11 +141,16 @@ def join_keys(rule: Rule, values: np.ndarray, first: np.ndarray) -> tuple[np.nda
         owners.append(sets[which[edge]])
         # a set with too many empty segments can agree in empty ones only, with another such set
         filled = np.bincount(which[edge], minlength=len(sets))
+        most = np.array([rule.apart(s + rule.largest(s)) for s in size.tolist()])
+        needs.append(np.maximum(filled - most, 1)[which[edge]])
+        kinds.append(np.full(len(edge), c))
         for j in np.flatnonzero(filled < rule.needed(int(c))):
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), segment[edge][which[edge] == j])
             keys.append(mixed(mixed((empty + np.uint64(int(c) << 32)) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0xE)))
             owners.append(np.full(len(empty), sets[j]))
-    return np.concatenate(keys), np.concatenate(owners)
+            needs.append(np.ones(len(empty), np.int64))
+            kinds.append(np.full(len(empty), -2 - c))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(needs), np.concatenate(kinds)
 
 
 def describer(width: int):
@@ -153,17 +167,19 @@ def describer(width: int):
 
 
 def lister(width: int, share: int, boundary: int, wanted):
-    """Task: the rows of the inverted lists; with a filter only those of keys that may be wanted."""
+    """Task: the rows of the inverted lists; with a filter only those of keys that may be wanted, with what they need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = Rule(share, boundary)
         for batch in chunks(batches, "text"):
             values, first = shingle_sets(batch.column("text"), width)
-            key, owner = join_keys(rule, values, first)
+            key, owner, need, kind = join_keys(rule, values, first)
+            columns = {"key": signed(key), "set_id": signed(set_keys(values, first)[owner])}
             if wanted is not None:
-                keep = maybe(wanted.value, key)
-                key, owner = key[keep], owner[keep]
-            yield pa.RecordBatch.from_pydict({"key": signed(key), "set_id": signed(set_keys(values, first)[owner])})
+                columns |= {"need": need.astype(np.int32), "kind": kind.astype(np.int32)}
+                keep = np.flatnonzero(maybe(wanted.value, key))
+                columns = {name: column[keep] for name, column in columns.items()}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -262,7 +278,8 @@ def similar_groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFram
       an inverted list for each segment's content. Lists of single shingles would hold a third of all documents
       where a passage is common; lists of segments hold only texts that agree around it, too. The boundary between
       small and large is the one of least cost for the sizes counted.
-    * Only the least and the greatest set of each list are kept first; lists with one set only are dropped, and the
+    * Only the least and the greatest set of each list are kept first; lists with one set only are dropped. A set
+      that is left in fewer lists than it must share with any partner has none and is dropped, too. Lists of the
       rest give each set a link to the least one: a star, no pairs. Connected stars are a group of candidates.
     * Groups are compared in blocks of bounded size, with whole sets, and each task gives only the links that
       connect. No candidate is left out.
@@ -278,8 +295,14 @@ def similar_groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFram
     rows = plain.mapInArrow(lister(width, share, boundary, None), "key bigint, set_id bigint")
     lists = rows.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"))
     lists = stage_table(lists.filter("least <> most").select("key", "least"), "lists")
-    members = plain.mapInArrow(lister(width, share, boundary, value_filter(lists.select("key"))), "key bigint, set_id bigint")
-    stars = members.join(lists, "key").filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct()
+    members = plain.mapInArrow(
+        lister(width, share, boundary, value_filter(lists.select("key"))), "key bigint, set_id bigint, need int, kind int")
+    # copies are one row; what is in too few shared lists has no partner
+    members = stage_table(members.join(lists.select("key"), "key").distinct(), "members")
+    able = members.groupBy("set_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need")
+    members = stage_table(members.join(stage_table(able.select("set_id", "kind"), "able"), ["set_id", "kind"]).select("key", "set_id"), "members")
+    least = stage_table(members.groupBy("key").agg(F.min("set_id").alias("least")), "least")
+    stars = members.join(least, "key").filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct()
     groups = connected_components(stars).select(F.col("id").alias("set_id"), F.col("label").alias("group"))
 
     whole = plain.mapInArrow(set_reader(width, value_filter(groups.select("set_id"))), "set_id bigint, shingles binary")
