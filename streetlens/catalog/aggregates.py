@@ -20,8 +20,7 @@ SELECT business_id, avg(rating) AS avg_rating, count(*) AS total_reviews, avg(se
  max(review_date) AS latest_review, min(review_date) AS earliest_review FROM reviews GROUP BY 1""", "reviews")(
     lambda t: A.business_analytics(t.reviews))
 
-CATEGORY_SEMI = """r.business_id IN (SELECT source_id FROM (SELECT source_id FROM businesses WHERE regexp_matches(category, 'Restaurant', 'i')
- ORDER BY rating DESC NULLS LAST, source_id LIMIT 1000) AS best)"""
+CATEGORY_SEMI = "r.business_id IN (SELECT source_id FROM businesses WHERE regexp_matches(category, 'Restaurant', 'i'))"
 query("agg_category_analytics", "avg_rating:d total_reviews:i avg_sentiment:d", f"""
 SELECT avg(rating) AS avg_rating, count(*) AS total_reviews, avg(sentiment_score) AS avg_sentiment FROM reviews r WHERE {CATEGORY_SEMI} HAVING count(*) > 0""", "businesses reviews")(
     lambda t: A.category_analytics(t.businesses, t.reviews, "Restaurant"))
@@ -68,8 +67,9 @@ query("tfidf_keywords", "text weight:d", tfidf_sql(50) + " SELECT * FROM ranked"
     lambda t: tfidf.tfidf_keywords(t.texts, 50, stop_words=STOP_WORDS))
 query("agg_keyword_cloud", "text weight:d count:i", tfidf_sql(100) + f" {_CLOUD} FROM ranked", "texts words")(
     lambda t: tfidf.keyword_cloud(t.texts, 100, stop_words=STOP_WORDS))
-query("agg_trending_keywords", "text weight:d count:i generated_at:t period_days:i",
-      tfidf_sql(100, "review_date >= DATE '2024-11-23'") + f" {_CLOUD}, TIMESTAMP '2024-11-30' AS generated_at, 7 AS period_days FROM ranked", "texts words")(
+TRENDING = tfidf_sql(100, "review_date >= DATE '2024-11-23'")
+TRENDING_RESULT = TRENDING + f" {_CLOUD}, TIMESTAMP '2024-11-30' AS generated_at, 7 AS period_days FROM ranked"
+query("agg_trending_keywords", "text weight:d count:i generated_at:t period_days:i", TRENDING_RESULT, "texts words")(
     lambda t: A.trending_keywords(t.texts, TEXT_AS_OF, 7, stop_words=STOP_WORDS))
 
 # -- businesses ----------------------------------------------------------------------------------
@@ -183,8 +183,8 @@ SELECT business_id, count(*) FILTER (WHERE sentiment_label = 'positive') * 100.0
     lambda t: A.positive_pct(t.reviews, 50, (*TIES, "sentiment_score")))
 for _label in ("positive", "negative"):
     query("agg_label_words" if _label == "positive" else "agg_label_words_negative", "word count:i", f"""
-SELECT * FROM (SELECT word, count(*) AS count FROM (SELECT unnest(regexp_split_to_array(lower(review_text), '[ \\t\\n\\x{{0B}}\\f\\r]+')) AS word FROM scored WHERE sentiment_label = '{_label}') AS w
- WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40) AS t WHERE length(word) > 3""", "scored")(
+SELECT word, count(*) AS count FROM (SELECT unnest(regexp_split_to_array(lower(review_text), '[ \\t\\n\\x{{0B}}\\f\\r]+')) AS word FROM scored WHERE sentiment_label = '{_label}') AS w
+ WHERE length(word) > 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40""", "scored")(
         lambda t, l=_label: A.label_words(t.scored, l, k=40))
 query("agg_label_distribution", "business_id positive:i neutral:i negative:i", f"SELECT business_id, {_LABELS} FROM reviews GROUP BY 1", "reviews")(
     lambda t: A.label_distribution(t.reviews))
@@ -196,8 +196,8 @@ query("agg_rating_distribution", "business_id rating_1:i rating_2:i rating_3:i r
     lambda t: A.rating_distribution(t.reviews))
 query("agg_avg_sentiment_zero", "business_id avg_sentiment:d", """
 SELECT source_id AS business_id, coalesce(avg(CASE WHEN r.business_id IS NOT NULL THEN coalesce(CASE WHEN seq % 4 <> 0 THEN sentiment_score END, 0) END), 0) AS avg_sentiment
-FROM businesses LEFT JOIN (SELECT * FROM reviews WHERE business_id <> 'biz_5') AS r ON r.business_id = source_id GROUP BY 1""", "businesses reviews")(
-    lambda t: A.avg_sentiment_zero(t.businesses, t.reviews.filter("business_id <> 'biz_5'").withColumn(
+FROM more_businesses LEFT JOIN reviews AS r ON r.business_id = source_id GROUP BY 1""", "more_businesses reviews")(
+    lambda t: A.avg_sentiment_zero(t.more_businesses, t.reviews.withColumn(
         "sentiment_score", F.when(F.col("seq") % 4 != 0, F.col("sentiment_score")))))
 query("agg_score_histogram", "bin:i count:i", """
 SELECT greatest(0, least(19, floor((sentiment_score + 1) / 0.1 + 1e-9))) AS bin, count(*) AS count FROM reviews GROUP BY 1""", "reviews")(
@@ -206,25 +206,25 @@ SELECT greatest(0, least(19, floor((sentiment_score + 1) / 0.1 + 1e-9))) AS bin,
 # -- competitors and overviews --------------------------------------------------------------------
 
 query("agg_competitor_metrics", "business_id name rating:d review_count:i avg_sentiment:d category price_level:i market_rating:d market_review_count:i market_sentiment:d", """
-, a AS (SELECT business_id, avg(sentiment_score) AS s FROM reviews WHERE business_id <> 'biz_5' GROUP BY 1),
-c AS (SELECT source_id AS business_id, name, coalesce(rating, 0) AS rating, review_count, coalesce(s, 0) AS avg_sentiment, category, price_level FROM businesses LEFT JOIN a ON a.business_id = source_id)
-SELECT *, (SELECT round(avg(rating), 2) FROM c) AS market_rating, (SELECT floor(avg(review_count)) FROM c) AS market_review_count, (SELECT round(avg(avg_sentiment), 3) FROM c) AS market_sentiment FROM c""", "businesses reviews")(
+, a AS (SELECT business_id, avg(sentiment_score) AS s FROM reviews GROUP BY 1),
+c AS (SELECT source_id AS business_id, name, coalesce(rating, 0) AS rating, review_count, coalesce(s, 0) AS avg_sentiment, category, price_level FROM more_businesses LEFT JOIN a ON a.business_id = source_id)
+SELECT *, (SELECT round(avg(rating), 2) FROM c) AS market_rating, (SELECT floor(avg(review_count)) FROM c) AS market_review_count, (SELECT round(avg(avg_sentiment), 3) FROM c) AS market_sentiment FROM c""", "more_businesses reviews")(
     lambda t: A.competitor_metrics(
-        t.businesses, t.reviews.filter("business_id <> 'biz_5'"),
-        t.businesses.select(F.explode(F.array("source_id", F.concat(F.lit("unknown_"), "source_id"))).alias("business_id"))))
+        t.more_businesses, t.reviews,
+        t.more_businesses.select(F.explode(F.array("source_id", F.concat(F.lit("unknown_"), "source_id"))).alias("business_id"))))
 
 POSITION = f""", {CONTAINS},
 position AS (SELECT business_id, coalesce(any_value(own_rating), 0) AS rating, any_value(own_reviews) AS review_count,
  avg(coalesce(rating, 0)) AS avg_competitor_rating, avg(review_count) AS avg_competitor_reviews,
  count(*) FILTER (WHERE coalesce(rating, 0) < coalesce(own_rating, 0)) + 1 AS rating_rank, count(*) + 1 AS total_businesses
- FROM pairs WHERE rn <= 20 GROUP BY 1),
+ FROM pairs GROUP BY 1),
 placed AS (SELECT *, (total_businesses - rating_rank) * 100.0 / total_businesses AS percentile, rating - avg_competitor_rating AS rating_diff,
  review_count - avg_competitor_reviews AS review_diff FROM position)"""
 _POSITION_SPEC = "business_id rating:d review_count:i avg_competitor_rating:d avg_competitor_reviews:d rating_rank:i total_businesses:i percentile:d rating_diff:d review_diff:d"
 
 
 def _position(t: Tables):
-    return A.competitive_position(joins.competitors(t.businesses, match="contains"))
+    return A.competitive_position(t.businesses, "contains")
 
 
 query("agg_competitive_position", _POSITION_SPEC, POSITION + " SELECT * FROM placed", "businesses")(_position)

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from streetlens.catalog import sql as S
 from streetlens.functions import sentiment, text
 from streetlens.operators import joins
-from streetlens.sources.collections import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +72,12 @@ class Tables:
             .join(self.raw("region"), F.expr("n_regionkey = r_regionkey")).selectExpr(*S.BUSINESS_COLUMNS)
         )
 
+    @cached_property
+    def more_businesses(self) -> DataFrame:
+        """The businesses and one more, of which there is no review."""
+        more = self.businesses.filter("source_id = 'biz_5'").withColumn("source_id", F.lit("biz_new"))
+        return self.businesses.unionByName(more)
+
     @cached_property
     def reviews(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(*S.REVIEW_COLUMNS)
@@ -90,8 +95,7 @@ class Tables:
     def texts(self) -> DataFrame:
         """Documents as reviews with text."""
         n = self.raw("supplier").agg(F.count(F.lit(1)).alias("n"))
-        documents = spread(self.raw("documents"))
-        return documents.withColumn("n_suppliers", n.scalar()).selectExpr(*S.TEXT_COLUMNS)
+        return self.raw("documents").withColumn("n_suppliers", n.scalar()).selectExpr(*S.TEXT_COLUMNS)
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -95,7 +95,7 @@ def _marked(reviews):
 
 query("flt_unprocessed", R, "SELECT * FROM reviews WHERE seq % 3 <> 0", "reviews")(lambda t: filters.unprocessed(_marked(t.reviews)))
 query("flt_processed", R, "SELECT * FROM reviews WHERE seq % 3 = 0", "reviews")(lambda t: filters.processed(_marked(t.reviews)))
-query("flt_reviews_pending", B, "SELECT * FROM businesses WHERE source_id IS NOT NULL AND NOT coalesce(CASE price_level WHEN 0 THEN TRUE WHEN 1 THEN FALSE END, FALSE) ORDER BY source_id LIMIT 20", "businesses")(
+query("flt_reviews_pending", B, "SELECT * FROM businesses WHERE source_id IS NOT NULL AND NOT coalesce(CASE price_level WHEN 0 THEN TRUE WHEN 1 THEN FALSE END, FALSE)", "businesses")(
     lambda t: filters.reviews_pending(t.businesses.withColumn(
         "reviews_fetched", F.when(F.col("price_level") == 0, True).when(F.col("price_level") == 1, False))))
 _businesses("flt_by_source", "source = 'city_search'", lambda b: filters.by_source(b, "city_search"))
@@ -160,13 +160,12 @@ UNION ALL SELECT business_id, source_id, name, rating, review_count, 'Competitor
 
 
 @query("set_concat_sources", "search_no:i source_id name category", """
-SELECT * FROM (SELECT 0 AS search_no, * FROM (SELECT * FROM businesses WHERE regexp_matches(category, 'restaurant', 'i') ORDER BY source_id LIMIT 4) a
-UNION ALL SELECT 1, * FROM (SELECT * FROM businesses WHERE regexp_matches(category, 'cafe|bar', 'i') ORDER BY source_id LIMIT 4) b
-UNION ALL SELECT 2, * FROM (SELECT * FROM businesses WHERE regexp_matches(category, 'bar', 'i') ORDER BY source_id LIMIT 4) c) AS u
-ORDER BY search_no, source_id LIMIT 20""", "businesses")
+SELECT 0 AS search_no, * FROM businesses WHERE regexp_matches(category, 'restaurant', 'i')
+UNION ALL SELECT 1, * FROM businesses WHERE regexp_matches(category, 'cafe|bar', 'i')
+UNION ALL SELECT 2, * FROM businesses WHERE regexp_matches(category, 'bar', 'i')""", "businesses")
 def _(t: Tables):
     searches = [filters.by_category(t.businesses, p) for p in ("restaurant", "cafe|bar", "bar")]
-    return sets.concat_sources(searches, [F.col("source_id")], per_frame=4, cap=20)
+    return sets.concat_sources(searches, [F.col("source_id")])
 
 
 query("set_unique_keywords", "review_id:i words:i", f"""

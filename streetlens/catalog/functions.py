@@ -50,10 +50,11 @@ ENRICHED = f"""
 , phrased AS ({_TOP_PHRASES.strip().replace(", pairs AS", "WITH pairs AS", 1)}),
 keyed AS ({_TOP_WORDS}),
 scores AS (SELECT review_id, s / sqrt(s * s + 15) AS score FROM (SELECT review_id, {_SUM} AS s FROM cleaned) AS x)
-SELECT t.review_id, score AS sentiment_score, {_LABEL} AS sentiment_label, keywords, phrases, {_COUNTS} AS word_count, length(review_text) AS character_count
-FROM texts t JOIN scores USING (review_id) JOIN keyed USING (review_id) JOIN phrased USING (review_id) WHERE review_text <> ''"""
+SELECT t.review_id, CASE WHEN full_ THEN score END AS sentiment_score, CASE WHEN full_ THEN {_LABEL} END AS sentiment_label, CASE WHEN full_ THEN keywords END AS keywords,
+ CASE WHEN full_ THEN phrases END AS phrases, CASE WHEN full_ THEN {_COUNTS} END AS word_count, CASE WHEN full_ THEN length(review_text) END AS character_count
+FROM (SELECT *, coalesce(length(review_text) > 0, FALSE) AS full_ FROM texts) t JOIN scores USING (review_id) JOIN keyed USING (review_id) JOIN phrased USING (review_id)"""
 query("enrich_review", "review_id:i sentiment_score:d sentiment_label keywords:l phrases:l word_count:i character_count:i", ENRICHED, "texts words cleaned")(
-    lambda t: enrich.enrich_reviews(t.texts.filter("review_text <> ''"), WIDE_LEXICON, stop_words=STOP_WORDS))
+    lambda t: enrich.enrich_reviews(t.texts, WIDE_LEXICON, stop_words=STOP_WORDS))
 query("scl_label", "source_review_id seq:i inclusive strict", """
 SELECT source_review_id, seq, CASE WHEN v >= 0.05 THEN 'positive' WHEN v <= -0.05 THEN 'negative' ELSE 'neutral' END AS inclusive,
  CASE WHEN v > 0.1 THEN 'positive' WHEN v < -0.1 THEN 'negative' ELSE 'neutral' END AS strict FROM (SELECT *, round(sentiment_score / 4, 2) AS v FROM reviews) AS r""", "reviews")(

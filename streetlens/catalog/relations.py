@@ -19,15 +19,15 @@ ALL_TIES = (*TIES, "sentiment_score", "rating")
 # -- joins -----------------------------------------------------------------------------------
 
 query("jn_business_reviews", "source_id name avg_rating:d total_reviews:i", """
-SELECT source_id, any_value(name) AS name, avg(r.rating) AS avg_rating, count(*) AS total_reviews FROM businesses JOIN reviews r ON r.business_id = source_id
-WHERE source_id <> 'biz_5' GROUP BY 1""", "businesses reviews")(
-    lambda t: joins.with_business_analytics(t.businesses, aggregates.business_analytics(t.reviews.filter("business_id <> 'biz_5'"))))
+SELECT source_id, any_value(name) AS name, avg(r.rating) AS avg_rating, count(*) AS total_reviews FROM more_businesses JOIN reviews r ON r.business_id = source_id
+GROUP BY 1""", "more_businesses reviews")(
+    lambda t: joins.with_business_analytics(t.more_businesses, aggregates.business_analytics(t.reviews)))
 query("jn_competitor_reviews", "business_id name rating:d review_count:i avg_sentiment:d", """
 SELECT source_id AS business_id, any_value(name) AS name, coalesce(any_value(b.rating), 0) AS rating, any_value(review_count) AS review_count, coalesce(avg(sentiment_score), 0) AS avg_sentiment
-FROM businesses b LEFT JOIN (SELECT * FROM reviews WHERE business_id <> 'biz_5') r ON r.business_id = source_id WHERE b.category IN ('Cafe', 'Bar', 'Fitness') GROUP BY 1""", "businesses reviews")(
+FROM more_businesses b LEFT JOIN reviews r ON r.business_id = source_id WHERE b.category IN ('Cafe', 'Bar', 'Fitness') GROUP BY 1""", "more_businesses reviews")(
     lambda t: joins.with_competitor_sentiment(
-        t.businesses, t.businesses.filter(F.col("category").isin("Cafe", "Bar", "Fitness")).select(F.col("source_id").alias("business_id")),
-        aggregates.business_analytics(t.reviews.filter("business_id <> 'biz_5'"))))
+        t.more_businesses, t.more_businesses.filter(F.col("category").isin("Cafe", "Bar", "Fitness")).select(F.col("source_id").alias("business_id")),
+        aggregates.business_analytics(t.reviews)))
 query("jn_category_semi", R, f"SELECT * FROM reviews r WHERE {CATEGORY_SEMI}", "businesses reviews")(
     lambda t: joins.category_reviews(t.businesses, t.reviews, "Restaurant"))
 _NAMES = "(SELECT name FROM businesses WHERE city = 'NATION_1')"
@@ -41,9 +41,10 @@ WHERE rn <= 20 AND business_id IN (SELECT source_id FROM (SELECT source_id FROM
 query("jn_top_reviews", R, _TOP.format(c="TRUE"), "businesses reviews")(
     lambda t: joins.top_business_reviews(t.businesses, t.reviews, 50, 20, ties=ALL_TIES))
 _OF_KIND = "regexp_matches(category, 'Restaurant', 'i') AND (regexp_matches(city, 'NATION_', 'i') OR regexp_matches(address, 'NATION_', 'i'))"
-query("get_reviews", R, _TOP.format(c=_OF_KIND).replace("rn <= 20", "rn <= 100").replace("LIMIT 50", "LIMIT 200"), "businesses reviews")(
+_ALL_OF_KIND = f"SELECT * FROM reviews WHERE business_id IN (SELECT source_id FROM businesses WHERE {_OF_KIND})"
+query("get_reviews", R, _ALL_OF_KIND, "businesses reviews")(
     lambda t: joins.get_reviews(t.businesses, t.reviews, "Restaurant", "NATION_", ties=ALL_TIES))
-query("get_reviews_limited", R, f"SELECT * FROM ({_TOP.format(c=_OF_KIND)}) AS x {NEWEST} LIMIT 250", "businesses reviews")(
+query("get_reviews_limited", R, f"{_ALL_OF_KIND} {NEWEST} LIMIT 250", "businesses reviews")(
     lambda t: joins.get_reviews(t.businesses, t.reviews, "Restaurant", "NATION_", 250, ties=ALL_TIES))
 query("get_reviews_by_city", R, f"SELECT * FROM named_reviews WHERE regexp_matches(business_city, 'NATION_1', 'i') {NEWEST} LIMIT 1000", "named_reviews")(
     lambda t: joins.get_reviews(t.businesses, t.named_reviews, city="NATION_1", limit=1000, ties=ALL_TIES))
@@ -112,15 +113,15 @@ SELECT customer, key, lat, lng FROM q LEFT JOIN (SELECT * FROM m WHERE rn = 1) A
 
 _DISTANCE = """2 * 6378100 * asin(sqrt(least(1.0, pow(sin(radians(latitude - 26.5) / 2), 2)
  + cos(radians(latitude)) * cos(radians(26.5)) * pow(sin(radians(longitude + 118) / 2), 2))))"""
-query("jn_near", "source_id name distance_m:d", f"SELECT source_id, name, {_DISTANCE} AS distance_m FROM businesses WHERE {_DISTANCE} <= 300000 ORDER BY distance_m, source_id LIMIT 50", "businesses")(
+query("jn_near", "source_id name distance_m:d", f"SELECT source_id, name, {_DISTANCE} AS distance_m FROM businesses WHERE {_DISTANCE} <= 300000", "businesses")(
     lambda t: joins.near(t.businesses, -118.0, 26.5, 300_000))
-query("jn_nest_reviews", "source_id reviews_fetched:i avg_sentiment:d positive:i neutral:i negative:i first_review", f"""
-, r AS (SELECT *, row_number() OVER (PARTITION BY business_id {NEWEST}) AS rn FROM reviews WHERE business_id <> 'biz_5')
+query("jn_nest_reviews", "source_id reviews_fetched:i avg_sentiment:d positive:i neutral:i negative:i newest:l", f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY business_id {NEWEST}) AS rn FROM reviews)
 SELECT source_id, count(business_id) AS reviews_fetched, coalesce(avg(sentiment_score), 0) AS avg_sentiment, count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
- count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral, count(*) FILTER (WHERE sentiment_label = 'negative') AS negative, any_value(CASE WHEN rn = 1 THEN source_review_id END) AS first_review
-FROM businesses LEFT JOIN (SELECT * FROM r WHERE rn <= 20) AS n ON business_id = source_id GROUP BY 1""", "businesses reviews")(
-    lambda t: joins.nest_reviews(t.businesses.drop("source"), t.reviews.filter("business_id <> 'biz_5'"), 20, ALL_TIES).withColumn(
-        "first_review", F.get("reviews", F.lit(0))["source_review_id"]))
+ count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral, count(*) FILTER (WHERE sentiment_label = 'negative') AS negative, coalesce(list(concat(source_review_id, '/', seq, '/', r.rating) ORDER BY rn) FILTER (WHERE rn <= 20), []) AS newest
+FROM more_businesses LEFT JOIN r ON business_id = source_id GROUP BY 1""", "more_businesses reviews")(
+    lambda t: joins.nest_reviews(t.more_businesses.drop("source"), t.reviews, 20, ALL_TIES).withColumn(
+        "newest", F.transform("reviews", lambda r: F.concat(r["source_review_id"], F.lit("/"), r["seq"], F.lit("/"), r["rating"]))))
 query("jn_denormalise", "source_review_id seq:i business_id business_name business_category business_city", "SELECT * FROM named_reviews", "named_reviews")(
     lambda t: t.named_reviews)
 _KEYWORDS = "SELECT keyword AS text FROM (SELECT unnest(keywords) AS keyword FROM scored) AS k GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100"
@@ -138,8 +139,8 @@ FROM businesses a JOIN best ON best.category = a.category JOIN businesses c ON c
 # -- windows ------------------------------------------------------------------------------------
 
 ANOMALIES = """
-, r AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY review_date DESC, source_review_id DESC, seq DESC) AS rn, count(*) OVER (PARTITION BY business_id) AS c FROM reviews),
-m AS (SELECT business_id, strftime(review_date, '%Y-%m') AS month, avg(rating) AS current_rating FROM r WHERE rn <= 500 AND least(c, 500) >= 10
+, r AS (SELECT *, count(*) OVER (PARTITION BY business_id) AS c FROM reviews),
+m AS (SELECT business_id, strftime(review_date, '%Y-%m') AS month, avg(rating) AS current_rating FROM r WHERE c >= 10
  AND rating IS NOT NULL AND rating <> 0 AND review_date IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3),
 l AS (SELECT *, lag(current_rating) OVER (PARTITION BY business_id ORDER BY month) AS previous_rating FROM m),
 anomalies AS (SELECT *, current_rating - previous_rating AS rating_change, CASE WHEN current_rating > previous_rating THEN 'increase' ELSE 'decrease' END AS type,
@@ -152,7 +153,7 @@ query("win_latest_reviews", R, f"SELECT * FROM (SELECT *, row_number() OVER (PAR
     lambda t: windows.latest_reviews(t.reviews, 100, ALL_TIES))
 query("win_top_per_category", "name category rating:d review_count:i", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rating DESC, source_id) AS rn FROM businesses WHERE category IS NOT NULL AND rating IS NOT NULL) AS r
-WHERE rn = 1 ORDER BY category LIMIT 10""", "businesses")(lambda t: windows.top_per_category(t.businesses))
+WHERE rn = 1""", "businesses")(lambda t: windows.top_per_category(t.businesses))
 _RANKED = """SELECT source_id, category, coalesce(rating, 0) AS rating, rank() OVER w AS rating_rank, count(*) OVER (PARTITION BY category) AS total_businesses, {p} AS percentile
 FROM businesses WINDOW w AS (PARTITION BY category ORDER BY coalesce(rating, 0))"""
 _RANK_SPEC = "source_id category rating:d rating_rank:i total_businesses:i percentile:d"

@@ -88,16 +88,20 @@ _COUNTED = "(SELECT *, (SELECT count(*) FROM supplier) AS n_suppliers FROM {t})
 VIEWS = {
     "businesses": (
         (), _select(BUSINESS_COLUMNS, "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")),
+    # one business more, of which there is no review
+    "more_businesses": (
+        ("businesses",),
+        "SELECT * FROM businesses UNION ALL SELECT * REPLACE ('biz_new' AS source_id) FROM businesses WHERE source_id = 'biz_5'"),
     "reviews": ((), _select(REVIEW_COLUMNS, "lineitem")),
     "named_reviews": (
         ("businesses", "reviews"),
         "SELECT r.*, b.name AS business_name, b.category AS business_category, b.city AS business_city "
-        "FROM reviews r JOIN businesses b ON r.business_id = b.source_id"),
+        "FROM reviews r LEFT JOIN businesses b ON r.business_id = b.source_id"),
     "texts": ((), _select(TEXT_COLUMNS, _COUNTED.format(t="documents"))),
     "scored": (
         ("texts",),
         "SELECT *, CASE WHEN sentiment_score > 0.1 THEN 'positive' WHEN sentiment_score < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment_label, "
-        "list_slice(list_filter(words, lambda w, i: list_position(words, w) = i), 1, 15) AS keywords "
+        "list_filter(words, lambda w, i: list_position(words, w) = i) AS keywords "
         f"FROM (SELECT *, {RATING_SCORE} AS sentiment_score, "
         r"list_filter(regexp_extract_all(lower(review_text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{4,}') "
         f"AND NOT list_contains([{quoted(SHORT_STOP_WORDS)}], w)) AS words FROM texts) AS s"),

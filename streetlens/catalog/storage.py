@@ -14,7 +14,7 @@ from streetlens.operators import windows
 from streetlens.session import scratch_path
 from streetlens.sinks import maintenance, tables, upsert
 from streetlens.sources import pages, places
-from streetlens.sources.collections import read_collection, spread
+from streetlens.sources.collections import read_collection
 
 AS_OF = dt.datetime(2001, 11, 1)
 
@@ -136,13 +136,13 @@ def business_pages(t: Tables) -> DataFrame:
 
 query("extract_business_page", "source_id name rating:d review_count:i address phone website category subcategory:l price_range monday tuesday description images:i latitude:d longitude:d", """
 SELECT source_id, name || ' & Co' AS name, rating, 1100 + review_count AS review_count, address || ' ' || state AS address, concat('555-', 1000 + review_count) AS phone, '/biz_redir?u=' || source_id AS website,
- category, ['Local'] AS subcategory, repeat('$', 1 + price_level) AS price_range, '9 - 5' AS monday, '10 - 6' AS tuesday, 'About ' || name AS description, least(5, 3 + price_level) AS images, -latitude AS latitude, longitude FROM businesses""", "businesses")(
+ category, ['Local'] AS subcategory, repeat('$', 1 + price_level) AS price_range, '9 - 5' AS monday, '10 - 6' AS tuesday, 'About ' || name AS description, 3 + price_level AS images, -latitude AS latitude, longitude FROM businesses""", "businesses")(
     lambda t: pages.extract_business_pages(business_pages(t)).withColumns({"monday": F.col("hours")["Mon"], "tuesday": F.col("hours")["Tue"], "images": F.size("images")}))
 
 
 def review_pages(t: Tables) -> DataFrame:
     """A review page per review row: two reviews, one of them without text."""
-    return spread(t.reviews).selectExpr(
+    return t.reviews.selectExpr(
         "business_id", "concat('Shop ', business_id) AS business_name", "seq",
         """concat('<html><section data-testid="reviews-list"><div><span class="user-name"><a href="/user/', source_review_id, '">Ann</a></span><div role="img" aria-label="', CAST(rating AS STRING), ' star rating"></div>',
  '<span class="review-date">', date_format(review_date, 'M/d/yyyy'), '</span><div class="comment big"><p lang="en">Seen ', source_review_id, '</p></div><span class="helpful-count">', CAST(seq AS STRING), ' found it helpful</span></div>',
@@ -177,10 +177,10 @@ def card_pages(t: Tables) -> DataFrame:
 
 query("extract_search_cards", "url source_id name rating:d review_count:i", """
 SELECT concat('https://search.example/', source_id) AS url, concat(source_id, '-', i) AS source_id, concat(name, ' ', i) AS name, i + 0.5 AS rating, 1200 + i % 10 AS review_count
-FROM businesses, range(1, 11) AS r(i) WHERE i <= 9 + price_level""", "businesses")(lambda t: pages.extract_search_cards(card_pages(t)))
+FROM businesses, range(1, 20) AS r(i) WHERE i <= 9 + price_level""", "businesses")(lambda t: pages.extract_search_cards(card_pages(t)))
 query("extract_links", "page_id:i position:i link", """
 SELECT page_id, i - 1 AS position, link FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM (
- SELECT page_id, list_slice(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1, 20) AS l FROM pages) AS x) AS y WHERE starts_with(link, '/')""")(
+ SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages) AS x) AS y WHERE starts_with(link, '/')""")(
     lambda t: pages.extract_links(t.raw("pages").withColumn("url", F.col("page_id")), "/").withColumn("page_id", F.col("url")))
 query("extract_next_page", "url next_url", "SELECT concat('https://search.example/', source_id) AS url, concat('/search?start=', review_count) AS next_url FROM businesses WHERE price_level > 0", "businesses")(
     lambda t: pages.next_page(t.businesses.selectExpr(

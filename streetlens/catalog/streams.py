@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from streetlens import schemas
 from streetlens.catalog import sql as S
-from streetlens.catalog.aggregates import _LABELS
+from streetlens.catalog.aggregates import _LABELS, TRENDING, TRENDING_RESULT
 from streetlens.catalog.base import Tables, query
-from streetlens.catalog.functions import ENRICHED, WIDE_LEXICON
+from streetlens.catalog.functions import _COUNTS, _SUM, ENRICHED, WIDE_LEXICON
 from streetlens.catalog.relations import _TOP_WORDS, ALL_TIES, ANOMALIES, NEWEST, TIES
 from streetlens.catalog.storage import _old_anomalies, details_json, places_json
 from streetlens.operators import joins, windows
@@ -21,9 +21,7 @@ from streetlens.streaming import streams
 
 
 def _landed(t: Tables, name: str) -> DataFrame:
-    # each given table is one file, so text work on it is spread over the cores
-    spread_to = t.spark.sparkContext.defaultParallelism if name == "documents" else None
-    return streams.read_stream(t.spark, t.sf_dir, f"{name}.parquet", spread_to=spread_to)
+    return streams.read_stream(t.spark, t.sf_dir, f"{name}.parquet")
 
 
 def _review_stream(t: Tables) -> DataFrame:
@@ -33,24 +31,21 @@ def _review_stream(t: Tables) -> DataFrame:
 _TEXT_STREAM = [c for c in S.TEXT_COLUMNS if "n_suppliers" not in c]
 
 query("str_enrich_reviews", "review_id:i sentiment_score:d sentiment_label keywords:l phrases:l word_count:i character_count:i", ENRICHED, "texts words cleaned")(
-    lambda t: streams.enrich_reviews(_landed(t, "documents").selectExpr(*_TEXT_STREAM).filter("review_text <> ''"), WIDE_LEXICON, S.STOP_WORDS))
+    lambda t: streams.enrich_reviews(_landed(t, "documents").selectExpr(*_TEXT_STREAM), WIDE_LEXICON, S.STOP_WORDS))
 query("str_business_analytics", "business_id avg_rating:d total_reviews:i avg_sentiment:d latest_review:t earliest_review:t", """
 SELECT business_id, avg(rating) AS avg_rating, count(*) AS total_reviews, avg(sentiment_score) AS avg_sentiment,
  max(review_date) AS latest_review, min(review_date) AS earliest_review FROM reviews GROUP BY 1""", "reviews")(
     lambda t: streams.business_analytics(_review_stream(t)))
 query("str_trending_keywords", "window_start:t keyword count:i", f"""
 , k AS (SELECT review_id, unnest(keywords) AS keyword FROM ({_TOP_WORDS}) AS w),
-panes AS (SELECT CAST(review_date AS TIMESTAMP) AS pane, keyword, count(*) AS count FROM k JOIN texts USING (review_id)
- WHERE review_date < (SELECT max(review_date) FROM texts) - 1 GROUP BY 1, 2)
+panes AS (SELECT CAST(review_date AS TIMESTAMP) AS pane, keyword, count(*) AS count FROM k JOIN texts USING (review_id) GROUP BY 1, 2)
 SELECT pane - i * INTERVAL 6 HOUR AS window_start, keyword, sum(count) AS count FROM panes, range(28) AS r(i) GROUP BY 1, 2""", "texts words")(
     lambda t: streams.trending_keywords(_landed(t, "documents").selectExpr(*_TEXT_STREAM), S.STOP_WORDS))
 query("str_rating_anomalies", "business_id month previous_rating:d current_rating:d rating_change:d type severity", ANOMALIES + " SELECT * FROM anomalies", "reviews")(
-    lambda t: streams.rating_anomalies(_review_stream(t), TIES))
+    lambda t: streams.rating_anomalies(_review_stream(t)))
 query("str_ingest_dedupe", "source_review_id source seq:i business_id rating:i sentiment_score:d review_date:t", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_review_id, source {NEWEST}) AS rn FROM reviews) AS r WHERE rn = 1""", "reviews")(
-    lambda t: streams.ingest_dedupe(
-        streams.with_arrival(_landed(t, "lineitem")).selectExpr(*S.REVIEW_COLUMNS, "arrived_at"),
-        ["source_review_id", "source"], windows.newest_first(*ALL_TIES)))
+    lambda t: streams.ingest_dedupe(_review_stream(t), ["source_review_id", "source"], windows.newest_first(*ALL_TIES)))
 query("str_monthly_sentiment", "month positive:i negative:i neutral:i total:i",
       f"SELECT strftime(review_date, '%Y-%m') AS month, {_LABELS}, count(*) AS total FROM reviews GROUP BY 1", "reviews")(
     lambda t: streams.monthly_sentiment(_review_stream(t)))
@@ -66,12 +61,26 @@ def _stored_texts(t: Tables) -> DataFrame:
         "review_date": F.col("review_date").cast("timestamp")})
 
 
-query("job_full_run", "processed_reviews:i updated_businesses:i trending_keywords:i", """
-SELECT (SELECT count(*) FROM texts WHERE review_id % 4 <> 0) AS processed_reviews,
- (SELECT count(DISTINCT business_id) FROM texts WHERE review_id % 4 <> 0) AS updated_businesses, least(100, (
- SELECT count(*) FROM (SELECT word FROM words JOIN texts USING (review_id) WHERE review_id % 4 <> 0 AND review_date >= DATE '2024-11-23' AND length(word) > 1 AND word NOT IN ({s})
- GROUP BY 1 HAVING count(DISTINCT review_id) BETWEEN 2 AND 0.8 * (SELECT count(*) FROM texts WHERE review_id % 4 <> 0 AND review_date >= DATE '2024-11-23')) AS w)) AS trending_keywords""".format(s=S.quoted(S.STOP_WORDS)), "texts words")(
-    lambda t: jobs.full_run(_stored_texts(t), t.businesses, TEXT_AS_OF, WIDE_LEXICON, S.STOP_WORDS))
+def _full(t: Tables) -> dict[str, DataFrame]:
+    return jobs.full_run(_stored_texts(t), t.more_businesses, TEXT_AS_OF, WIDE_LEXICON, S.STOP_WORDS)
+
+
+query("job_full_pipeline", "processed_reviews:i updated_businesses:i trending_keywords:i", TRENDING + """
+SELECT (SELECT count(*) FROM texts WHERE review_id % 4 <> 0) AS processed_reviews, (SELECT count(DISTINCT business_id) FROM texts) AS updated_businesses,
+ (SELECT count(*) FROM ranked) AS trending_keywords""", "texts words")(
+    lambda t: _full(t)["summary"])
+# the scores of reviews processed before are not in the given table and stay null
+query("job_full_pipeline_businesses", "source_id avg_rating:d total_reviews:i avg_sentiment:d latest_review:t analytics_updated:t", f"""
+, scores AS (SELECT review_id, CASE WHEN review_text <> '' THEN s / sqrt(s * s + 15) END AS score FROM (SELECT review_id, {_SUM} AS s FROM cleaned) AS x JOIN texts USING (review_id))
+SELECT source_id, avg(t.rating) AS avg_rating, nullif(count(t.review_id), 0) AS total_reviews, avg(CASE WHEN t.review_id % 4 <> 0 THEN score END) AS avg_sentiment,
+ CAST(max(t.review_date) AS TIMESTAMP) AS latest_review, CASE WHEN count(t.review_id) > 0 THEN TIMESTAMP '2024-11-30' END AS analytics_updated
+FROM more_businesses LEFT JOIN texts t ON t.business_id = source_id LEFT JOIN scores USING (review_id) GROUP BY 1""", "more_businesses texts cleaned")(
+    lambda t: _full(t)["businesses"].select("source_id", "analytics.*", "analytics_updated"))
+query("job_full_pipeline_trending", "text weight:d count:i generated_at:t period_days:i", TRENDING_RESULT, "texts words")(
+    lambda t: _full(t)["trending_keywords"])
+query("job_full_pipeline_reviews", "review_id:i processed:b words:i", """
+SELECT review_id, TRUE AS processed, CASE WHEN review_id % 4 <> 0 AND review_text <> '' THEN {c} END AS words FROM texts""".format(c=_COUNTS), "texts")(
+    lambda t: _full(t)["reviews"].select("review_id", F.col("processed_at").isNotNull().alias("processed"), F.col("word_count").alias("words")))
 query("job_anomalies", "business_id business_name anomalies:i detected_at:t", ANOMALIES + """
 SELECT source_id AS business_id, name AS business_name, coalesce(n, 0) AS anomalies, CASE WHEN n > 0 THEN TIMESTAMP '2001-11-01' ELSE TIMESTAMP '2000-11-01' END AS detected_at
 FROM businesses LEFT JOIN (SELECT business_id, count(*) AS n FROM anomalies GROUP BY 1) AS a ON a.business_id = source_id""", "businesses reviews")(

@@ -92,10 +92,11 @@ def simple_words(text: Column, stop_words: Iterable[str] = SHORT_STOP_WORDS, min
 
 
 def simple_keywords(
-    text: Column, k: int = 15, stop_words: Iterable[str] = SHORT_STOP_WORDS, min_length: int = 4
+    text: Column, k: int | None = None, stop_words: Iterable[str] = SHORT_STOP_WORDS, min_length: int = 4
 ) -> Column:
-    """The first ``k`` different simple words of a text."""
-    return F.slice(F.array_distinct(simple_words(text, stop_words, min_length)), 1, k)
+    """The different simple words of a text in order of appearance; the first ``k`` when given."""
+    words = F.array_distinct(simple_words(text, stop_words, min_length))
+    return words if k is None else F.slice(words, 1, k)
 
 
 def word_count(text: Column) -> Column:

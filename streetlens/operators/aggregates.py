@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetlens.constants import MONDAY_FIRST_DAYS, TRENDING_STOP_WORDS
@@ -33,6 +33,25 @@ def _no_row_when_empty(aggregated: DataFrame, count_column: str) -> DataFrame:
 
 # -- per business and per category -----------------------------------------------------------
 
+def business_sums(reviews: DataFrame) -> DataFrame:
+    """Sums per business that add up over parts of the reviews."""
+    return reviews.groupBy("business_id").agg(
+        F.sum(F.col("rating").cast("double")).alias("rating_sum"), F.count("rating").alias("rated"), _n().alias("total_reviews"),
+        F.sum("sentiment_score").alias("score_sum"), F.count("sentiment_score").alias("scored"),
+        F.max("review_date").alias("latest_review"), F.min("review_date").alias("earliest_review"),
+    )
+
+
+def analytics_of(sums: DataFrame) -> DataFrame:
+    """The measures of each business from its sums, of which there may be several rows."""
+    whole = sums.groupBy("business_id").agg(
+        *[F.sum(c).alias(c) for c in ("rating_sum", "rated", "total_reviews", "score_sum", "scored")],
+        F.max("latest_review").alias("latest_review"), F.min("earliest_review").alias("earliest_review"))
+    return whole.select(
+        "business_id", F.try_divide("rating_sum", "rated").alias("avg_rating"), "total_reviews",
+        F.try_divide("score_sum", "scored").alias("avg_sentiment"), "latest_review", "earliest_review")
+
+
 def business_analytics(reviews: DataFrame) -> DataFrame:
     """Per business: mean rating, number of reviews, mean sentiment, latest and earliest review."""
     return reviews.groupBy("business_id").agg(
@@ -42,8 +61,8 @@ def business_analytics(reviews: DataFrame) -> DataFrame:
     )
 
 
-def category_analytics(businesses: DataFrame, reviews: DataFrame, category: str, top: int = 1000) -> DataFrame:
-    """The same measures over the reviews of a category's best-rated businesses; no row when none."""
+def category_analytics(businesses: DataFrame, reviews: DataFrame, category: str, top: int | None = None) -> DataFrame:
+    """The same measures over the reviews of a category's businesses (its ``top`` best-rated when given); no row when none."""
     measured = joins.category_reviews(businesses, reviews, category, top).agg(
         F.avg("rating").alias("avg_rating"), _n().alias("total_reviews"),
         F.avg("sentiment_score").alias("avg_sentiment"),
@@ -160,11 +179,10 @@ def keyword_sentiment(reviews: DataFrame, min_count: int = 3, k: int = 10) -> Da
 
 
 def label_words(reviews: DataFrame, label: str, k: int = 10, longer_than: int = 3) -> DataFrame:
-    """Words of the reviews with a label: the ``k`` most frequent, and of these the long ones."""
+    """The ``k`` most frequent long words of the reviews with a label."""
     labelled = reviews.filter(F.col("sentiment_label") == label)
-    words = exploded(labelled, F.split(F.lower("review_text"), r"[ \t\n\x0B\f\r]+"), "word").filter(F.col("word") != "")
-    top = words.groupBy("word").agg(_n().alias("count")).orderBy(F.col("count").desc(), "word").limit(k)
-    return top.filter(F.length("word") > longer_than)
+    words = exploded(labelled, F.split(F.lower("review_text"), r"[ \t\n\x0B\f\r]+"), "word").filter(F.length("word") > longer_than)
+    return words.groupBy("word").agg(_n().alias("count")).orderBy(F.col("count").desc(), "word").limit(k)
 
 
 def top_keywords(reviews: DataFrame, k: int = 20) -> DataFrame:
@@ -278,8 +296,10 @@ def map_extent(businesses: DataFrame, padding: float = 0.1) -> DataFrame:
 def sentiment_distribution(reviews: DataFrame) -> DataFrame:
     """Reviews per label and the percent of positive ones among all reviews."""
     counts = reviews.groupBy("sentiment_label").agg(_n().alias("count"))
-    positive = reviews.agg(_share(F.col("sentiment_label") == "positive"))
-    return counts.withColumn("positive_pct", positive.scalar())
+    # a row per label: the total is a window over a few rows
+    whole = Window.partitionBy(F.lit(1))
+    positive = F.sum(F.when(F.col("sentiment_label") == "positive", F.col("count")).otherwise(0)).over(whole)
+    return counts.withColumn("positive_pct", positive * 100.0 / F.sum("count").over(whole))
 
 
 def label_counts() -> list[Column]:
@@ -393,28 +413,45 @@ def competitor_metrics(businesses: DataFrame, reviews: DataFrame, chosen: DataFr
     return members.withColumn("m", market.scalar()).select("*", "m.*").drop("m")
 
 
-def competitive_position(competitors: DataFrame) -> DataFrame:
-    """Each business against its competitors array: means, differences, rank and percentile.
+def competitive_position(businesses: DataFrame, match: str = "equal") -> DataFrame:
+    """Each business against all its competitors: means, differences, rank and percentile.
+
+    Competitors are the businesses of the same category and city with another name (``match`` as in
+    ``joins.competitors``). Rank = competitors rated lower + 1; percentile = (N - rank) / N * 100 with N
+    counting the business itself. Missing values count as 0.
 
-    Rank = competitors rated lower + 1; percentile = (N - rank) / N * 100 with N counting the
-    business itself. Missing values count as 0. The array holds at most k entries, so everything is
-    computed inside the row.
+    No pair of businesses is formed: sums per (group, rating) and per (group, name, rating) give what all
+    others of a group add up to, namely the group without those of the same name.
     """
-    def mean(field: str) -> Column:
-        values = F.transform("competitors", lambda c: F.coalesce(c[field], F.lit(0)).cast("double"))
-        total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-        return F.try_divide(total, F.size("competitors"))
-
-    rating, count = F.coalesce("rating", F.lit(0.0)), F.coalesce("review_count", F.lit(0))
-    lower = F.size(F.filter("competitors", lambda c: F.coalesce(c["rating"], F.lit(0.0)) < rating))
-    total = F.size("competitors") + 1
-    return competitors.filter(F.size("competitors") > 0).select(
-        "business_id", rating.alias("rating"), count.alias("review_count"),
-        mean("rating").alias("avg_competitor_rating"), mean("review_count").alias("avg_competitor_reviews"),
+    rated = businesses.select(
+        F.col("source_id").alias("business_id"), F.coalesce("name", F.lit("")).alias("name"),
+        F.lower("category").alias("category_key"), F.lower("city").alias("city_key"),
+        F.coalesce("rating", F.lit(0.0)).alias("rating"), F.coalesce("review_count", F.lit(0)).alias("review_count"),
+    ).filter(F.col("category_key").isNotNull() & F.col("city_key").isNotNull())
+    group = ["category_key", "city_key"]
+    cells = joins.reached(rated.groupBy(*group, "name", "rating").agg(_n().alias("n"), F.sum("review_count").alias("reviews")), match)
+
+    def placed(keys: list[str], prefix: str) -> DataFrame:
+        """Totals of the keys beside each of their ratings, and how many are rated lower."""
+        sums = cells.groupBy(*keys, "rating").agg(F.sum("n").alias("n"), F.sum("reviews").alias("reviews"))
+        whole = Window.partitionBy(*keys)
+        below = whole.orderBy("rating").rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(
+            *keys, "rating", F.coalesce(F.sum("n").over(below), F.lit(0)).alias(f"{prefix}_lower"), F.sum("n").over(whole).alias(f"{prefix}_n"),
+            F.sum(F.col("n") * F.col("rating")).over(whole).alias(f"{prefix}_rating"), F.sum("reviews").over(whole).alias(f"{prefix}_reviews"))
+
+    joined = rated.join(placed(group, "all"), [*group, "rating"]).join(placed([*group, "name"], "own"), [*group, "name", "rating"])
+    others = F.col("all_n") - F.col("own_n")
+    lower = F.col("all_lower") - F.col("own_lower")
+    total = others + 1
+    return joined.filter(others > 0).select(
+        "business_id", "rating", "review_count",
+        ((F.col("all_rating") - F.col("own_rating")) / others).alias("avg_competitor_rating"),
+        ((F.col("all_reviews") - F.col("own_reviews")) / others).alias("avg_competitor_reviews"),
         (lower + 1).alias("rating_rank"), total.alias("total_businesses"),
         ((total - (lower + 1)) * 100.0 / total).alias("percentile"),
     ).withColumns({
-        "rating_diff": F.col("rating") - F.col("avg_competitor_rating"),
+        "rating_diff": F.round(F.col("rating") - F.col("avg_competitor_rating"), 9),
         "review_diff": F.col("review_count") - F.col("avg_competitor_reviews"),
     })
 

@@ -97,12 +97,14 @@ def recent(reviews: DataFrame, days: int, as_of: dt.datetime) -> DataFrame:
     return reviews.filter(F.col("review_date") >= F.lit(as_of - dt.timedelta(days=days)))
 
 
-def by_review_volume(businesses: DataFrame, min_reviews: int = 0, max_reviews: int = 10000) -> DataFrame:
+def by_review_volume(businesses: DataFrame, min_reviews: int | None = None, max_reviews: int | None = None) -> DataFrame:
+    """Businesses within these numbers of reviews; None sets no limit."""
     tests = _volume_tests(min_reviews, max_reviews)
     return businesses.filter(_all(tests)) if tests else businesses
 
 
-def by_rating_range(businesses: DataFrame, min_rating: float = 1.0, max_rating: float = 5.0) -> DataFrame:
+def by_rating_range(businesses: DataFrame, min_rating: float | None = None, max_rating: float | None = None) -> DataFrame:
+    """Businesses within these ratings; None sets no limit."""
     tests = _rating_tests(min_rating, max_rating)
     return businesses.filter(_all(tests)) if tests else businesses
 
@@ -130,14 +132,16 @@ def _all(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def _volume_tests(low: int, high: int) -> list[Column]:
-    count = F.col("review_count")
-    return ([count >= low] if low > 0 else []) + ([count <= high] if high < 10000 else [])
+def _range_tests(value: Column, low: float | None, high: float | None) -> list[Column]:
+    return ([value >= low] if low is not None else []) + ([value <= high] if high is not None else [])
 
 
-def _rating_tests(low: float, high: float) -> list[Column]:
-    rating = F.col("rating")
-    return ([rating >= low] if low > 1.0 else []) + ([rating <= high] if high < 5.0 else [])
+def _volume_tests(low: int | None, high: int | None) -> list[Column]:
+    return _range_tests(F.col("review_count"), low, high)
+
+
+def _rating_tests(low: float | None, high: float | None) -> list[Column]:
+    return _range_tests(F.col("rating"), low, high)
 
 
 def _chain_test(exclude: bool, only: bool, patterns: Iterable[str]) -> Column | None:
@@ -167,7 +171,7 @@ def _focus_tests(focus: str, niche_words: Iterable[str]) -> dict[str, Column]:
 
 def filter_businesses(
     businesses: DataFrame, category: str = "", city: str = "", focus: str = "all",
-    min_reviews: int = 0, max_reviews: int = 10000, min_rating: float = 1.0, max_rating: float = 5.0,
+    min_reviews: int | None = None, max_reviews: int | None = None, min_rating: float | None = None, max_rating: float | None = None,
     types: Iterable[str] = (), exclude_chains: bool = False, only_chains: bool = False,
     chain_patterns: Iterable[str] = CHAIN_PATTERNS, niche_words: Iterable[str] = NICHE_WORDS,
     mode: str = "and", limit: int | None = None, literal: bool = False,
@@ -231,7 +235,7 @@ def processed(reviews: DataFrame) -> DataFrame:
     return reviews.filter(F.col("processed_at").isNotNull())
 
 
-def reviews_pending(businesses: DataFrame, limit: int | None = 20) -> DataFrame:
+def reviews_pending(businesses: DataFrame, limit: int | None = None) -> DataFrame:
     """Businesses with an id whose reviews are not fetched; the first ``limit`` by id when given."""
     kept = businesses.filter(F.col("source_id").isNotNull() & ~F.coalesce("reviews_fetched", F.lit(False)))
     return kept if limit is None else kept.orderBy("source_id").limit(limit)

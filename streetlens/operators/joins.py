@@ -13,18 +13,10 @@ from streetlens.constants import (
 from streetlens.functions.arrays import exploded, let
 from streetlens.functions.scalars import clean_city
 from streetlens.operators import topk
-from streetlens.operators.filters import by_review_city
+from streetlens.operators.filters import by_category, by_review_city, filter_businesses
 from streetlens.operators.windows import newest_first, top_n_per_group
 
 
-_BROADCAST_ROWS = 10_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a frame that a limit holds below a bound; a larger one is left to Spark's own choice."""
-    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
-
-
 def with_business_analytics(businesses: DataFrame, analytics: DataFrame) -> DataFrame:
     """Attach per-business review measures; businesses without a review drop out."""
     return businesses.join(
@@ -32,6 +24,22 @@ def with_business_analytics(businesses: DataFrame, analytics: DataFrame) -> Data
     )
 
 
+def with_stored_analytics(businesses: DataFrame, analytics: DataFrame, as_of, business_id: str | None = None) -> DataFrame:
+    """Businesses with their measures as the struct ``analytics`` and the time they were taken.
+
+    Only the business ``business_id`` when given; the others keep what they hold, if anything.
+    """
+    fields = [c for c in analytics.columns if c != "business_id"]
+    found = analytics if business_id is None else analytics.filter(F.col("business_id") == business_id)
+    record = found.select(F.col("business_id").alias("source_id"), F.struct(*fields).alias("new_analytics"))
+    joined = businesses.join(record, "source_id", "left")
+    held = {c: F.col(c) if c in businesses.columns else F.lit(None) for c in ("analytics", "analytics_updated")}
+    return joined.withColumns({
+        "analytics": F.coalesce("new_analytics", held["analytics"]),
+        "analytics_updated": F.when(F.col("new_analytics").isNotNull(), F.lit(as_of)).otherwise(held["analytics_updated"]),
+    }).drop("new_analytics")
+
+
 def with_competitor_sentiment(businesses: DataFrame, chosen: DataFrame, analytics: DataFrame) -> DataFrame:
     """The chosen businesses that exist, with their sentiment, 0 when they have no reviews.
 
@@ -48,10 +56,10 @@ def with_competitor_sentiment(businesses: DataFrame, chosen: DataFrame, analytic
     )
 
 
-def category_reviews(businesses: DataFrame, reviews: DataFrame, category: str, top: int = 1000) -> DataFrame:
-    """Reviews of the ``top`` best-rated businesses of a category."""
-    ids = topk.top_by_category(businesses, category, top).select(F.col("source_id").alias("business_id"))
-    return reviews.join(_small(ids, top), "business_id", "left_semi")
+def category_reviews(businesses: DataFrame, reviews: DataFrame, category: str, top: int | None = None) -> DataFrame:
+    """Reviews of the businesses of a category; of its ``top`` best-rated ones when given."""
+    chosen = by_category(businesses, category) if top is None else topk.top_by_category(businesses, category, top)
+    return reviews.join(chosen.select(F.col("source_id").alias("business_id")), "business_id", "left_semi")
 
 
 def by_names(reviews: DataFrame, names: DataFrame, anti: bool = False) -> DataFrame:
@@ -64,12 +72,9 @@ def top_business_reviews(
     businesses: DataFrame, reviews: DataFrame, m: int = 50, n: int = 20,
     ties: Sequence[str] = ("source_review_id",), salts: int = 64, **business_filters,
 ) -> DataFrame:
-    """Newest ``n`` reviews of each of the ``m`` best-rated businesses.
-
-    The side of the best businesses holds at most ``m`` ids.
-    """
+    """Newest ``n`` reviews of each of the ``m`` best-rated businesses."""
     best = topk.top_filtered(businesses, m, **business_filters).select(F.col("source_id").alias("business_id"))
-    kept = reviews.join(_small(best, m), "business_id", "left_semi")
+    kept = reviews.join(best, "business_id", "left_semi")
     return top_n_per_group(kept, ["business_id"], newest_first(*ties), n, salts)
 
 
@@ -77,27 +82,26 @@ def get_reviews(
     businesses: DataFrame, reviews: DataFrame, category: str = "", city: str = "", limit: int | None = None,
     ties: Sequence[str] = ("source_review_id",), literal: bool = False, **business_filters,
 ) -> DataFrame:
-    """Reviews under the business filters, newest first when limited.
+    """Reviews under the business filters; the newest ``limit`` of them when given.
 
-    With a category: of its best-rated businesses, the first 50 (200 without a limit), each with its
-    newest 20 (100) reviews. Without one: all reviews, or those of a city by ``business_city``.
+    With a category: those of its businesses that pass the filters. Without one: all reviews, or those of
+    a city by ``business_city``.
     """
     if category:
-        m, n = (200, 100) if limit is None else (50, 20)
-        kept = top_business_reviews(
-            businesses, reviews, m, n, ties, category=category, city=city, literal=literal, **business_filters)
+        chosen = filter_businesses(businesses, category=category, city=city, literal=literal, **business_filters)
+        kept = reviews.join(chosen.select(F.col("source_id").alias("business_id")), "business_id", "left_semi")
     else:
         kept = by_review_city(reviews, city, literal) if city else reviews
     return kept if limit is None else kept.orderBy(*newest_first(*ties)).limit(limit)
 
 
 def denormalise(reviews: DataFrame, businesses: DataFrame) -> DataFrame:
-    """Copy name, category and city of the business onto each review."""
+    """Copy name, category and city of the business onto each review; nulls where it is unknown."""
     attributes = businesses.select(
         F.col("source_id").alias("business_id"), F.col("name").alias("business_name"),
         F.col("category").alias("business_category"), F.col("city").alias("business_city"),
     )
-    return reviews.join(attributes, "business_id")
+    return reviews.join(attributes, "business_id", "left")
 
 
 def pair_compare(businesses: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -123,14 +127,32 @@ def containing_values(values: DataFrame, column: str) -> DataFrame:
     """
     distinct = values.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
     n = F.length("value")
-    parts = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(i, F.greatest(n, i)), lambda j: F.substring(F.col("value"), i, j - i + 1)),
-    ))))
-    pieces = exploded(distinct, parts, "value", F.col("value").alias("container"))
+    # only substrings of lengths that occur among the values
+    lengths = distinct.select(n.alias("n")).distinct().agg(F.collect_set("n")).scalar()
+    sized = distinct.withColumn("lengths", lengths)
+    parts = F.array_distinct(F.flatten(F.transform(
+        F.filter("lengths", lambda m: m <= n),
+        lambda m: F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(F.col("value"), i, m)))))
+    pieces = exploded(sized, parts, "value", F.col("value").alias("container"))
     return pieces.join(distinct, "value")
 
 
+def reached(rows: DataFrame, match: str) -> DataFrame:
+    """Rows of (category_key, city_key) groups dealt to every group that reaches them."""
+    if match == "equal":
+        return rows
+    if match != "contains":
+        raise ValueError(f"unknown match {match!r}")
+    groups = rows.select("category_key", "city_key").distinct()
+    categories = containing_values(groups, "category_key").select(
+        F.col("value").alias("category_key"), F.col("container").alias("category_other"))
+    cities = containing_values(groups, "city_key").select(
+        F.col("value").alias("city_key"), F.col("container").alias("city_other"))
+    other = rows.withColumnRenamed("category_key", "category_other").withColumnRenamed("city_key", "city_other")
+    reach = groups.join(categories, "category_key").join(cities, "city_key")
+    return reach.join(other, ["category_other", "city_other"]).drop("category_other", "city_other")
+
+
 def competitors(businesses: DataFrame, k: int = 20, match: str = "equal") -> DataFrame:
     """Up to ``k`` competitors of every business: same category and city, another name.
 
@@ -150,17 +172,8 @@ def competitors(businesses: DataFrame, k: int = 20, match: str = "equal") -> Dat
     ).filter(F.col("category_key").isNotNull() & F.col("city_key").isNotNull())
     group = ["category_key", "city_key"]
     cut = _candidates(keyed, group, order, k)
-    if match == "contains":
-        groups = keyed.select(*group).distinct()
-        categories = containing_values(groups, "category_key").select(
-            F.col("value").alias("category_key"), F.col("container").alias("category_other"))
-        cities = containing_values(groups, "city_key").select(
-            F.col("value").alias("city_key"), F.col("container").alias("city_other"))
-        other = cut.withColumnRenamed("category_key", "category_other").withColumnRenamed("city_key", "city_other")
-        reach = groups.join(categories, "category_key").join(cities, "city_key")
-        cut = _candidates(reach.join(other, ["category_other", "city_other"]).drop("category_other", "city_other"), group, order, k)
-    elif match != "equal":
-        raise ValueError(f"unknown match {match!r}")
+    if match != "equal":
+        cut = _candidates(reached(cut, match), group, order, k)
     candidate = F.struct((-F.coalesce("rating", F.lit(0.0))).alias("rank_key"), *[F.col(c) for c in _FIELDS])
     lists = cut.groupBy(*group).agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
     mine = F.coalesce("name", F.lit(""))
@@ -228,8 +241,8 @@ def distance_m(lon: Column, lat: Column, to_lon: float, to_lat: float) -> Column
     return F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * EARTH_RADIUS_M)
 
 
-def near(businesses: DataFrame, longitude: float, latitude: float, max_distance: float = 5000, k: int | None = 50) -> DataFrame:
-    """Businesses within ``max_distance`` metres, nearest first.
+def near(businesses: DataFrame, longitude: float, latitude: float, max_distance: float = 5000, k: int | None = None) -> DataFrame:
+    """Businesses within ``max_distance`` metres; the ``k`` nearest, in order, when given.
 
     A latitude band on the plain column reaches the scan before any trigonometry runs.
     """
@@ -250,16 +263,18 @@ def nest_reviews(
     businesses: DataFrame, reviews: DataFrame, n: int = 20, ties: Sequence[str] = ("source_review_id",),
     salts: int = 64,
 ) -> DataFrame:
-    """Each business with an array of its newest ``n`` reviews and measures over them."""
+    """Each business with an array of its newest ``n`` reviews, and measures over all its reviews."""
     newest = top_n_per_group(reviews, ["business_id"], newest_first(*ties), n, salts, rank_column="review_no")
     columns = [c for c in newest.columns if c not in ("business_id", "review_no")]
     nested = newest.groupBy("business_id").agg(
         F.sort_array(F.collect_list(F.struct("review_no", *columns))).alias("reviews"),
+    ).withColumnRenamed("business_id", "source_id")
+    measures = reviews.groupBy("business_id").agg(
         F.count(F.lit(1)).alias("reviews_fetched"),
         F.avg(F.coalesce("sentiment_score", F.lit(0.0))).alias("avg_sentiment"),
         *[F.count_if(F.coalesce("sentiment_label", F.lit("neutral")) == s).alias(s) for s in ("positive", "neutral", "negative")],
     ).withColumnRenamed("business_id", "source_id")
-    joined = businesses.join(nested, "source_id", "left")
+    joined = businesses.join(measures, "source_id", "left").join(nested, "source_id", "left")
     zero = ("reviews_fetched", "positive", "neutral", "negative")
     return joined.withColumns({
         **{c: F.coalesce(c, F.lit(0)) for c in zero},

@@ -30,10 +30,11 @@ def union_with_competitors(businesses: DataFrame, competitors: DataFrame) -> Dat
 
 
 def concat_sources(
-    frames: list[DataFrame], order: list[Column], per_frame: int | None = None, cap: int | None = 20,
+    frames: list[DataFrame], order: list[Column], per_frame: int | None = None, cap: int | None = None,
     distinct: bool = False, max_frames: int | None = None,
 ) -> DataFrame:
-    """Search results one after another: the first rows of each frame, duplicates kept, capped."""
+    """Search results one after another, duplicates kept; the first ``per_frame`` of each and ``cap`` of all
+    when given."""
     parts = []
     for position, frame in enumerate(frames[:max_frames]):
         part = frame if per_frame is None else frame.orderBy(*order).limit(per_frame)

@@ -49,31 +49,46 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return top_n_per_group(df, keys, order, 1)
 
 
+def monthly_ratings(reviews: DataFrame) -> DataFrame:
+    """Sums per business and month (null without a date): ``reviews``, ``rated``, ``rating_sum``.
+
+    Missing and zero ratings count as reviews, not as rated.
+    """
+    rated = F.col("rating").isNotNull() & (F.col("rating") != 0)
+    return reviews.groupBy("business_id", F.date_format("review_date", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("reviews"), F.count_if(rated).alias("rated"),
+        F.coalesce(F.sum(F.when(rated, F.col("rating").cast("double"))), F.lit(0.0)).alias("rating_sum"))
+
+
 def rating_anomalies(
-    reviews: DataFrame, threshold: float = 0.5, newest: int = 500, min_reviews: int = 10,
+    reviews: DataFrame, threshold: float = 0.5, newest: int | None = None, min_reviews: int = 10,
     min_per_month: int = 3, high: float = 1.0, ties: Sequence[str] = ("source_review_id",),
     salts: int = 64,
 ) -> DataFrame:
     """Monthly rating jumps of every business, against its previous qualifying month.
 
     Columns: business_id, month (yyyy-MM), previous_rating, current_rating, rating_change, type,
-    severity. Values are not rounded.
+    severity. Values are not rounded. All reviews count; only the ``newest`` of each business when given.
     """
-    slim = reviews.select("business_id", "review_date", "rating", *ties)
-    recent = latest_reviews(slim, newest, ties, salts)
+    if newest is not None:
+        reviews = latest_reviews(reviews.select("business_id", "review_date", "rating", *ties), newest, ties, salts)
+    return anomalies_of(monthly_ratings(reviews), threshold, min_reviews, min_per_month, high)
+
+
+def anomalies_of(
+    monthly: DataFrame, threshold: float = 0.5, min_reviews: int = 10, min_per_month: int = 3, high: float = 1.0,
+) -> DataFrame:
+    """The same from monthly sums (one row per business and month): no review is sorted or moved."""
     by_business = Window.partitionBy("business_id")
-    monthly = (
-        recent.withColumn("n", F.count(F.lit(1)).over(by_business))
-        .filter(F.col("n") >= min_reviews)
-        .filter(F.col("rating").isNotNull() & (F.col("rating") != 0) & F.col("review_date").isNotNull())
-        .groupBy("business_id", F.date_format("review_date", "yyyy-MM").alias("month"))
-        .agg(F.avg("rating").alias("current_rating"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_per_month)
+    qualifying = (
+        monthly.withColumn("n", F.sum("reviews").over(by_business))
+        .filter((F.col("n") >= min_reviews) & (F.col("rated") >= min_per_month) & F.col("month").isNotNull())
+        .select("business_id", "month", (F.col("rating_sum") / F.col("rated")).alias("current_rating"))
     )
     previous = F.lag("current_rating").over(by_business.orderBy("month"))
     change = F.col("current_rating") - F.col("previous_rating")
     return (
-        monthly.withColumn("previous_rating", previous)
+        qualifying.withColumn("previous_rating", previous)
         .withColumn("rating_change", change)
         .filter(F.abs("rating_change") >= threshold)
         .select(
@@ -87,7 +102,7 @@ def rating_anomalies(
 def anomaly_records(anomalies: DataFrame, businesses: DataFrame, as_of: Column) -> DataFrame:
     """One row per business with its anomalies as an array ordered by month, values to 2 decimals.
 
-    The array holds at most one entry per month of the newest reviews, so its size is bounded.
+    The array holds at most one entry per month.
     """
     entry = F.struct(
         "month", F.bround("rating_change", 2).alias("rating_change"),
@@ -107,13 +122,14 @@ def anomaly_summary(anomalies: DataFrame) -> DataFrame:
     )
 
 
-def top_per_category(businesses: DataFrame, k: int = 10) -> DataFrame:
-    """Best-rated business of each category, categories A to Z, first ``k``."""
+def top_per_category(businesses: DataFrame, k: int | None = None) -> DataFrame:
+    """Best-rated business of each category; of the first ``k`` categories A to Z when given."""
     best = top_n_per_group(
         businesses.filter(F.col("category").isNotNull() & F.col("rating").isNotNull()),
         ["category"], [F.col("rating").desc(), F.col("source_id").asc()], 1,
     )
-    return best.select("name", "category", "rating", "review_count").orderBy("category").limit(k)
+    shown = best.select("name", "category", "rating", "review_count")
+    return shown if k is None else shown.orderBy("category").limit(k)
 
 
 def category_percentiles(businesses: DataFrame, mode: str = "reference") -> DataFrame:

@@ -27,18 +27,26 @@ def _summary(spark, **counts: Column) -> DataFrame:
 def full_run(
     reviews: DataFrame, businesses: DataFrame, as_of: dt.datetime, lexicon: Mapping[str, float],
     stop_words: Sequence[str] | None = None, days: int = 7, out: str | None = None,
-) -> DataFrame:
-    """Enrich what is new, recompute analytics, replace the trending keywords; counts of each."""
-    out = out or scratch_path(reviews.sparkSession, "full-run")
-    enriched = tables.replace_table(enrich.process_new_reviews(reviews, F.lit(as_of), lexicon=lexicon, stop_words=stop_words), f"{out}/reviews")
-    analytics = joins.with_business_analytics(businesses.select("source_id"), aggregates.business_analytics(enriched))
-    analytics = tables.replace_table(analytics, f"{out}/analytics")
-    trending = aggregates.trending_keywords(enriched, as_of, days, stop_words=stop_words)
+) -> dict[str, DataFrame]:
+    """Enrich what is new, then analytics and trending keywords over all reviews.
+
+    Returns the new tables ``reviews`` (processed ones stay as they are), ``businesses`` (with ``analytics``, a
+    struct, and ``analytics_updated``; both stay null without reviews) and ``trending_keywords``, as written, and
+    their counts as ``summary``.
+    """
+    spark = reviews.sparkSession
+    out = out or scratch_path(spark, "full-run")
+    fresh = enrich.process_new_reviews(reviews, F.lit(as_of), lexicon=lexicon, stop_words=stop_words)
+    known = filters.processed(reviews).unionByName(fresh, allowMissingColumns=True)
+    table = tables.replace_table(known.select(*fresh.columns), f"{out}/reviews")
+    measured = joins.with_stored_analytics(businesses, aggregates.business_analytics(table), as_of)
+    measured = tables.replace_table(measured, f"{out}/businesses")
+    trending = aggregates.trending_keywords(table, as_of, days, stop_words=stop_words)
     trending = tables.replace_table(trending, f"{out}/trending_keywords")
-    return _summary(
-        reviews.sparkSession, processed_reviews=_count(enriched),
-        updated_businesses=_count(analytics), trending_keywords=_count(trending),
-    )
+    summary = _summary(
+        spark, processed_reviews=_count(filters.unprocessed(reviews)),
+        updated_businesses=_count(measured, F.col("analytics").isNotNull()), trending_keywords=_count(trending))
+    return {"reviews": table, "businesses": measured, "trending_keywords": trending, "summary": summary}
 
 
 def anomalies(
@@ -90,7 +98,7 @@ def import_places(
 
 def enrich_backlog(
     businesses: DataFrame, landed: DataFrame, reviews: DataFrame, as_of: dt.datetime,
-    limit: int | None = 20, order: Sequence[Column] | None = None,
+    limit: int | None = None, order: Sequence[Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Reviews of pending businesses stored, and those businesses marked as fetched.
 

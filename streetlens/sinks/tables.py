@@ -1,4 +1,4 @@
-"""Writers: whole-table replacement, JSON export, and a table that takes keyed batches."""
+"""Writers: whole-table replacement, JSON export, and a table that takes the batches of a stream."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, StructType, TimestampNTZType, TimestampType
 
-from streetlens.session import stage_table
-from streetlens.sinks.upsert import upsert
-
-BUCKET = "bucket"
-
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Overwrite a table and return it as read back."""
@@ -50,50 +45,21 @@ def export_json(tables: dict[str, DataFrame], path: str, created_at: Column | No
     return paths
 
 
-# -- a table laid out in hash buckets of its key, for keyed batches of a stream ---------------------
+# -- a table that grows by the batches of a stream --------------------------------------------------
 
-def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+def write_delta(batch: DataFrame, path: str, number: int) -> None:
+    """Add what batch ``number`` contributes. Writing the batch again replaces its own rows and no others,
+    so a replay after a failure is harmless, and the work follows the batch, not the table."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def read_buckets(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at ``path``; empty when nothing was written yet."""
+def read_deltas(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All contributions so far; empty when there was no batch yet."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.fieldNames())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def touched_buckets(batch: DataFrame) -> list[int]:
-    """Bucket numbers of a batch: at most as many as the table has buckets."""
-    return [row[0] for row in batch.select(BUCKET).distinct().collect()]
-
-
-def overwrite_buckets(df: DataFrame, path: str) -> None:
-    """Replace only the buckets that ``df`` holds.
-
-    Rows are brought together by bucket before writing, so a bucket is a few files and not one per
-    task; AQE splits a bucket that is larger than the advisory size.
-    """
-    (df.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
-
-
-def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column], buckets: int = 64) -> None:
-    """Upsert a batch into a bucketed table, rewriting only the buckets it touches.
-
-    Running the same batch again gives the same table, so a replay after a failure is harmless.
-    Choose ``buckets`` so that one bucket of the table is a few GB.
-    """
-    spark = batch.sparkSession
-    placed = with_bucket(batch, keys, buckets)
-    touched = touched_buckets(placed)
-    if not touched:
-        return
-    current = read_buckets(spark, path, placed.schema).filter(F.col(BUCKET).isin(touched))
-    merged = upsert(current, placed, [BUCKET, *keys], order)
-    # the new state is written aside first: a folder cannot be read and overwritten in one job
-    overwrite_buckets(stage_table(merged, "merge"), path)

@@ -13,11 +13,3 @@ def read_collection(spark: SparkSession, path: str, schema: StructType, columns:
     df = spark.read.schema(schema).parquet(path)
     return df if columns is None else df.select(*columns)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that sits in fewer splits than there are cores, before costly text work.
-
-    A large table has many splits and is returned as it is: no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -55,8 +55,8 @@ def page_name(html: Column) -> Column:
     return _first(html, r"<h1\b[^>]*>([^<]+)")
 
 
-def extract_business_pages(pages: DataFrame) -> DataFrame:
-    """Business pages (``url``, ``html``) to business rows."""
+def extract_business_pages(pages: DataFrame, max_images: int | None = None) -> DataFrame:
+    """Business pages (``url``, ``html``) to business rows; of the images the first ``max_images`` when given."""
     html = F.col("html")
     links = _all(_block(html, _test_id("business-categories")), _A)
     hours = F.regexp_extract_all(
@@ -72,6 +72,7 @@ def extract_business_pages(pages: DataFrame) -> DataFrame:
         lambda s: F.contains(s, F.lit("mapMarkerProps")) & s.rlike(r'"latitude":-?\d') & s.rlike(r'"longitude":-?\d'))
     script = F.get(scripts, F.lit(0))
     rating = _first(html, rf'(?s){_test_id("rating")}[^>]*>.*?<span\b[^>]*aria-label="([^"]*)"')
+    images = _all(html, rf'(?s)\b{_class("photo-box")}[^>]*>\s*<img\b[^>]*src="([^"]*)"')
     reviews = _first(html, r'(?s)<a\b[^>]*href="[^"]*reviews[^"]*"[^>]*>\s*<span\b[^>]*>([^<]+)')
     return pages.select(
         page_name(html).alias("name"), F.lit("yelp").alias("source"),
@@ -84,7 +85,7 @@ def extract_business_pages(pages: DataFrame) -> DataFrame:
         _first(_block(html, _test_id("business-price")), _SPAN).alias("price_range"),
         F.map_from_entries(F.transform(last_per_day, lambda r: F.struct(unescape(day(r)), unescape(time(r))))).alias("hours"),
         _first(_block(html, _test_id("business-description")), _P).alias("description"),
-        F.slice(_all(html, rf'(?s)\b{_class("photo-box")}[^>]*>\s*<img\b[^>]*src="([^"]*)"'), 1, 5).alias("images"),
+        (images if max_images is None else F.slice(images, 1, max_images)).alias("images"),
         scalars.coordinate(script, "latitude").alias("latitude"), scalars.coordinate(script, "longitude").alias("longitude"),
     )
 
@@ -132,10 +133,10 @@ def extract_directory_pages(pages: DataFrame) -> DataFrame:
     return found.filter(F.length("name") > 0)
 
 
-def extract_search_cards(pages: DataFrame, limit: int = 10) -> DataFrame:
-    """Result pages to their first ``limit`` cards with a name."""
-    pieces = F.slice(
-        F.filter(F.split("html", r"(?=<\w+\b[^>]*\bdata-cid=)"), lambda p: p.rlike(r"^<\w+\b[^>]*\bdata-cid=")), 1, limit)
+def extract_search_cards(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Result pages to their cards with a name; of each page the first ``limit`` cards when given."""
+    pieces = F.filter(F.split("html", r"(?=<\w+\b[^>]*\bdata-cid=)"), lambda p: p.rlike(r"^<\w+\b[^>]*\bdata-cid="))
+    pieces = pieces if limit is None else F.slice(pieces, 1, limit)
     rows = exploded(pages, pieces, "b", "url", position="position")
     b = F.col("b")
     stars = _first(b, r'(?s)role="img"[^>]*aria-label="([^"]*)"')
@@ -148,9 +149,9 @@ def extract_search_cards(pages: DataFrame, limit: int = 10) -> DataFrame:
     return found.filter(F.length("name") > 0)
 
 
-def extract_links(pages: DataFrame, prefix: str = "/biz/", limit: int | None = 20) -> DataFrame:
-    """Outgoing links of a page: those that hold the prefix anywhere, the first ``limit`` of them,
-    and of these the ones that start with it."""
+def extract_links(pages: DataFrame, prefix: str = "/biz/", limit: int | None = None) -> DataFrame:
+    """Outgoing links of a page that start with the prefix; ``limit`` keeps those among the first
+    links that hold it anywhere."""
     links = _all(F.col("html"), r'<a\b[^>]*href="([^"]*)"')
     hits = F.filter(links, lambda x: F.contains(x, F.lit(prefix)))
     kept = hits if limit is None else F.slice(hits, 1, limit)

@@ -58,12 +58,12 @@ def _details(raw: DataFrame, json_column: str, id_column: str) -> DataFrame:
 
 
 def reviews_from_places(
-    raw: DataFrame, json_column: str = "json", id_column: str = "place_id", max_reviews: int | None = 50,
+    raw: DataFrame, json_column: str = "json", id_column: str = "place_id", max_reviews: int | None = None,
 ) -> DataFrame:
     """Place-details responses to review rows with rating-based sentiment.
 
-    The original text wins over the translated one. Each place's first ``max_reviews`` entries are
-    kept, by position in its response, so the cut happens inside the row.
+    The original text wins over the translated one. Of each place the first ``max_reviews`` entries of
+    its response when given.
     """
     reviews = F.col("d.reviews")
     kept = reviews if max_reviews is None else F.slice(reviews, 1, max_reviews)
@@ -85,13 +85,13 @@ def reviews_from_places(
     return enrich.rating_sentiment_columns(shaped)
 
 
-def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: str = "place_id", max_reviews: int = 50) -> DataFrame:
+def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: str = "place_id", max_reviews: int | None = None) -> DataFrame:
     """Place-details responses to one profile row each, with measures over its reviews."""
     reviews = reviews_from_places(raw, json_column, id_column, max_reviews)
     measures = reviews.groupBy("place_id").agg(
         F.count(F.lit(1)).alias("reviews_fetched"), F.avg("sentiment_score").alias("avg_sentiment"),
         *aggregates.label_counts(), *[F.count_if(F.col("rating") == r).alias(f"rating_{r}") for r in range(1, 6)],
-        # at most max_reviews entries per place
+        # no more entries than one landed response holds
         F.sort_array(F.collect_list(F.struct("position", "reviewer_name", "rating", "review_text", "sentiment_label", "sentiment_score"))).alias("reviews"),
     )
     words = exploded(reviews, "keywords", "keyword", "place_id").groupBy("place_id", "keyword").agg(F.count(F.lit(1)).alias("count"))

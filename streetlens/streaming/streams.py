@@ -1,8 +1,12 @@
 """Structured Streaming forms of the batch operators.
 
-Every stream runs over what has arrived (``availableNow``) and stops; its checkpoint remembers what
-was read, which is what a "processed" marker does in a batch job. State and results live below the
-session's shared folder.
+Every stream runs over what has arrived (``availableNow``) and stops. With a folder given as ``out`` its
+checkpoint and its result stay there, and the next call goes on where this one stopped, which is what a
+"processed" marker does in a batch job; without one a new folder below the shared folder is used.
+
+A batch writes only what it contributes: sums, counts or rows. Contributions add up in any order, so files
+may come in any order, late rows count as well, and no state or watermark is kept. The result is folded
+from the contributions when it is read.
 """
 
 from __future__ import annotations
@@ -15,60 +19,39 @@ from pyspark.sql import functions as F
 from streetlens.functions import text
 from streetlens.functions.arrays import exploded
 from streetlens.operators import aggregates, enrich, windows
-from streetlens.session import scratch_path, stage_table
+from streetlens.session import scratch_path
 from streetlens.sinks import tables
 
 
-def read_stream(
-    spark: SparkSession, folder: str, file_pattern: str, files_per_trigger: int = 1000, spread_to: int | None = None,
-) -> DataFrame:
-    """Parquet files that arrive in a folder, with the schema of those already there.
-
-    ``spread_to`` spreads each batch over that many tasks, for costly work on few files.
-    """
+def read_stream(spark: SparkSession, folder: str, file_pattern: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
+    """Parquet files that arrive in a folder, with the schema of those already there."""
     schema = spark.read.option("pathGlobFilter", file_pattern).parquet(folder).schema
-    stream = (
+    return (
         spark.readStream.schema(schema).option("pathGlobFilter", file_pattern)
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     )
-    return stream if spread_to is None else stream.repartition(spread_to)
-
-
-def _drain(writer, checkpoint: str) -> None:
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
 
-def _append(stream: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(stream.sparkSession, name)
-    _drain(stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/table"), f"{path}/checkpoint")
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
 
-
-def _each_batch(stream: DataFrame, name: str, mode: str, step: Callable[[DataFrame, str, int], None]) -> str:
-    """Run ``step`` on every batch; the batch is written first, so that the steps that read it
-    several times do not run the stateful part of the stream again."""
-    path = scratch_path(stream.sparkSession, name)
-    _drain(
-        stream.writeStream.outputMode(mode).foreachBatch(
-            lambda batch, number: step(stage_table(batch, "batch"), f"{path}/table", number)),
-        f"{path}/checkpoint",
+def _contributions(stream: DataFrame, name: str, out: str | None, part: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What all batches so far contribute, ``part`` of each, including those of earlier calls with ``out``."""
+    spark = stream.sparkSession
+    path = out or scratch_path(spark, name)
+    schema = part(spark.createDataFrame([], stream.schema)).schema
+    (
+        stream.writeStream.foreachBatch(lambda batch, number: tables.write_delta(part(batch), f"{path}/parts", number))
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
-    return f"{path}/table"
+    return tables.read_deltas(spark, f"{path}/parts", schema)
 
 
-def enrich_reviews(reviews: DataFrame, lexicon: Mapping[str, float], stop_words: Sequence[str] | None = None) -> DataFrame:
+def enrich_reviews(reviews: DataFrame, lexicon: Mapping[str, float], stop_words: Sequence[str] | None = None, out: str | None = None) -> DataFrame:
     """Enrich each review once, as it arrives."""
-    return _append(enrich.enrich_reviews(reviews, lexicon, stop_words=stop_words), "enriched")
+    return _contributions(reviews, "enriched", out, lambda batch: enrich.enrich_reviews(batch, lexicon, stop_words=stop_words))
 
 
-def business_analytics(reviews: DataFrame, buckets: int = 64) -> DataFrame:
-    """Per-business measures kept current: changed businesses are merged into the result table."""
-    measured = aggregates.business_analytics(reviews)
-    path = _each_batch(
-        measured, "analytics", "update",
-        lambda batch, table, _: tables.merge_batch(batch, table, ["business_id"], [F.col("total_reviews").desc()], buckets),
-    )
-    return reviews.sparkSession.read.parquet(path).select(*measured.columns)
+def business_analytics(reviews: DataFrame, out: str | None = None) -> DataFrame:
+    """Per-business measures of all reviews that have arrived."""
+    return aggregates.analytics_of(_contributions(reviews, "analytics", out, aggregates.business_sums))
 
 
 PANE, SPAN = "6 hours", "7 days"
@@ -82,72 +65,37 @@ def keyword_panes(reviews: DataFrame) -> DataFrame:
 
 
 def sliding_keywords(panes: DataFrame) -> DataFrame:
-    """7-day windows that advance by 6 hours, summed from panes: ``window_start``, ``keyword``, ``count``.
-
-    The state holds each keyword once per pane instead of once per window it falls into (28 of them).
-    """
-    spread = panes.select(
+    """7-day windows that advance by 6 hours, summed from panes: ``window_start``, ``keyword``, ``count``."""
+    whole = panes.groupBy("pane", "keyword").agg(F.sum("count").alias("count"))
+    windowed = whole.select(
         F.explode(F.sequence(F.col("pane") - F.expr(f"INTERVAL {SPAN}") + F.expr(f"INTERVAL {PANE}"), "pane", F.expr(f"INTERVAL {PANE}"))).alias("window_start"),
         "keyword", "count")
-    return spread.groupBy("window_start", "keyword").agg(F.sum("count").alias("count"))
-
-
-def trending_keywords(reviews: DataFrame, stop_words: Sequence[str], lateness: str = "1 day") -> DataFrame:
-    """Sliding keyword counts over the panes that are closed; needs ``review_text`` and ``review_date``."""
-    keyed = reviews.select(F.col("review_date").cast("timestamp").alias("review_date"), text.keywords(F.col("review_text"), 10, stop_words).alias("keywords"))
-    closed = _append(keyword_panes(keyed.withWatermark("review_date", lateness)), "panes")
-    return sliding_keywords(closed)
-
-
-def rating_anomalies(reviews: DataFrame, ties: Sequence[str] = ("source_review_id",), buckets: int = 64, **kwargs) -> DataFrame:
-    """Anomalies kept current: a batch recomputes the buckets of the businesses it touches."""
-    spark = reviews.sparkSession
-    slim = reviews.select("business_id", "review_date", "rating", *ties)
-    log = scratch_path(spark, "review-log")
-
-    def step(batch: DataFrame, table: str, number: int) -> None:
-        placed = tables.with_bucket(batch, ["business_id"], buckets)
-        touched = tables.touched_buckets(placed)
-        if not touched:
-            return
-        # one folder per batch number: a replayed batch overwrites itself
-        placed.write.mode("overwrite").partitionBy(tables.BUCKET).parquet(f"{log}/batch={number}")
-        known = spark.read.option("basePath", log).parquet(log).filter(F.col(tables.BUCKET).isin(touched)).drop("batch")
-        found = tables.with_bucket(windows.rating_anomalies(known, ties=ties, **kwargs), ["business_id"], buckets)
-        # an empty row per bucket, so that a bucket left without anomalies is overwritten too
-        blank = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in touched])).alias(tables.BUCKET))
-        tables.overwrite_buckets(found.unionByName(blank, allowMissingColumns=True), table)
-
-    path = _each_batch(slim, "anomalies", "append", step)
-    return spark.read.parquet(path).drop(tables.BUCKET).filter(F.col("business_id").isNotNull())
-
-
-def with_arrival(stream: DataFrame) -> DataFrame:
-    """Arrival time of each row: when its file landed."""
-    return stream.select("*", F.col("_metadata.file_modification_time").alias("arrived_at"))
-
-
-def ingest_dedupe(landed: DataFrame, keys: Sequence[str], order: Sequence[Column], lateness: str = "7 days", buckets: int = 64) -> DataFrame:
-    """Landed rows upserted by key, the first in ``order`` winning.
-
-    Rows that repeat in every column are dropped while the watermark remembers them. The watermark
-    runs on ``arrived_at``, not on the date of the review, so an old review that arrives now is never
-    late; changed versions of a row all reach the upsert.
-    """
-    columns = [c for c in landed.columns if c != "arrived_at"]
-    fresh = landed.withWatermark("arrived_at", lateness).dropDuplicatesWithinWatermark(columns).select(*columns)
-    path = _each_batch(
-        fresh, "ingested", "append",
-        lambda batch, table, _: tables.merge_batch(batch, table, keys, order, buckets),
-    )
-    return landed.sparkSession.read.parquet(path).drop(tables.BUCKET)
+    return windowed.groupBy("window_start", "keyword").agg(F.sum("count").alias("count"))
 
 
-def monthly_sentiment(reviews: DataFrame) -> DataFrame:
-    """Month by label counts kept current; the state is one row per month."""
-    measured = aggregates.monthly_sentiment(reviews)
-    path = _each_batch(
-        measured, "monthly", "update",
-        lambda batch, table, _: tables.merge_batch(batch, table, ["month"], [F.col("total").desc()], 1),
-    )
-    return reviews.sparkSession.read.parquet(path).select(*measured.columns)
+def trending_keywords(reviews: DataFrame, stop_words: Sequence[str], out: str | None = None) -> DataFrame:
+    """Sliding keyword counts over all that has arrived; needs ``review_text`` and ``review_date``."""
+    def part(batch: DataFrame) -> DataFrame:
+        keywords = text.keywords(F.col("review_text"), 10, stop_words).alias("keywords")
+        return keyword_panes(batch.select(F.col("review_date").cast("timestamp").alias("review_date"), keywords))
+
+    return sliding_keywords(_contributions(reviews, "panes", out, part))
+
+
+def rating_anomalies(reviews: DataFrame, out: str | None = None, **kwargs) -> DataFrame:
+    """Anomalies over all reviews that have arrived, from sums per business and month."""
+    monthly = _contributions(reviews, "monthly-ratings", out, windows.monthly_ratings).groupBy("business_id", "month").agg(
+        *[F.sum(c).alias(c) for c in ("reviews", "rated", "rating_sum")])
+    return windows.anomalies_of(monthly, **kwargs)
+
+
+def ingest_dedupe(landed: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str | None = None) -> DataFrame:
+    """Landed rows by key, the first in ``order`` of all that have arrived winning, whenever it came."""
+    rows = _contributions(landed, "ingested", out, lambda batch: windows.latest_per_key(batch, keys, order))
+    return windows.latest_per_key(rows, keys, order)
+
+
+def monthly_sentiment(reviews: DataFrame, out: str | None = None) -> DataFrame:
+    """Month by label counts of all that has arrived."""
+    counts = _contributions(reviews, "monthly", out, aggregates.monthly_sentiment)
+    return counts.groupBy("month").agg(*[F.sum(c).alias(c) for c in counts.columns if c != "month"])

@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check import rows_of
+from streetlens import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +36,10 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_lists_the_catalog():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).columns == [
         "business_id", "month", "previous_rating", "current_rating", "rating_change", "type", "severity"]

@@ -1,10 +1,11 @@
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from streetlens.operators import aggregates, filters, joins
+from streetlens.operators import aggregates, filters, joins, windows
 from streetlens.sinks import maintenance, tables, upsert
 from streetlens.sources import pages, places
 from streetlens.streaming import streams
@@ -47,16 +48,6 @@ def test_deleted_and_kept_rows_make_the_whole(spark):
     assert {x.source_id for x in maintenance.delete_all_sources(b, b).collect()} == {"2"}
 
 
-def test_merge_batch_keeps_other_buckets_and_can_be_replayed(spark, tmp_path):
-    path = str(tmp_path / "t")
-    first = spark.createDataFrame([(i, f"old{i}") for i in range(50)], "k int, v string")
-    second = spark.createDataFrame([(3, "new3"), (99, "new99")], "k int, v string")
-    for batch in (first, second, second):
-        tables.merge_batch(batch, path, ["k"], [F.col("v")], buckets=8)
-    got = {r.k: r.v for r in spark.read.parquet(path).collect()}
-    assert got == {**{i: f"old{i}" for i in range(50)}, 3: "new3", 99: "new99"}
-
-
 def test_export_json_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 2, 3, 4, 5), None)], "id int, at timestamp, note string")
     paths = tables.export_json({"t": df}, str(tmp_path))
@@ -76,7 +67,9 @@ def test_bounds_are_inclusive_and_segments_exact(spark):
     df = spark.createDataFrame([("a", 4.0, 50), ("b", 3.9, 50), ("c", 4.0, 49), ("d", None, 80)], "source_id string, rating double, review_count int")
     assert {r.source_id for r in filters.apply_focus(df, "market_leaders").collect()} == {"a"}
     assert {r.source_id for r in filters.by_review_volume(df, 50, 50).collect()} == {"a", "b"}
-    assert filters.by_review_volume(df, 0, 10000).count() == 4
+    assert filters.by_review_volume(df).count() == 4
+    assert {r.source_id for r in filters.by_review_volume(df, max_reviews=10_000).collect()} == {"a", "b", "c", "d"}
+    assert {r.source_id for r in filters.by_rating_range(df, 1.0, 5.0).collect()} == {"a", "b", "c"}
     assert filters.with_required_columns(df).columns == ["source_id", "rating", "review_count", "name", "category", "city"]
 
 
@@ -121,7 +114,7 @@ def test_competitive_position(spark):
     data = [("me", "Me", 4.0, 10), ("a", "A", 3.0, 20), ("b", "B", 5.0, None), ("c", "C", None, 40)]
     df = spark.createDataFrame([(i, n, "Bar", "Rome", r, c, 1) for i, n, r, c in data],
                                "source_id string, name string, category string, city string, rating double, review_count int, price_level int")
-    row = aggregates.competitive_position(joins.competitors(df)).filter("business_id = 'me'").first()
+    row = aggregates.competitive_position(df).filter("business_id = 'me'").first()
     assert (row.rating_rank, row.total_businesses, row.percentile) == (3, 4, 25.0)
     assert row.avg_competitor_rating == pytest.approx(8 / 3) and row.avg_competitor_reviews == 20.0
 
@@ -168,20 +161,118 @@ def test_streams_of_several_batches_equal_the_batch_form(spark, tmp_path):
     read = lambda: streams.read_stream(spark, folder, "*.parquet", files_per_trigger=1)
     same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
 
-    from streetlens.operators import windows
-
-    ties = ("source_review_id", "seq")
-    assert same(windows.rating_anomalies(df, ties=ties), streams.rating_anomalies(read(), ties, buckets=4))
+    assert same(windows.rating_anomalies(df), streams.rating_anomalies(read()))
     assert same(aggregates.monthly_sentiment(df), streams.monthly_sentiment(read()))
     measures = ["business_id", "total_reviews", "latest_review", "earliest_review"]
-    assert same(aggregates.business_analytics(df).select(*measures), streams.business_analytics(read(), buckets=4).select(*measures))
-
-
-def test_ingest_drops_repeats_and_takes_changed_rows(spark, tmp_path):
+    assert same(aggregates.business_analytics(df).select(*measures), streams.business_analytics(read()).select(*measures))
+
+
+def landed_texts(spark, folder, days):
+    """One file per day, in this order of days."""
+    for day in days:
+        row = [(f"r{day}", f"b{day % 3}", "pizza pasta service", dt.datetime(2024, 1, 1) + dt.timedelta(days=day))]
+        spark.createDataFrame(row, "source_review_id string, business_id string, review_text string, review_date timestamp").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_late_files_count_and_a_second_call_reads_only_new_ones(spark, tmp_path):
+    folder, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    landed_texts(spark, folder, [19, 3, 11, 7])
+    read = lambda n: streams.read_stream(spark, folder, files_per_trigger=n)
+    count = lambda df: df.agg(F.sum("count")).first()[0]
+    assert count(streams.trending_keywords(read(1), [])) == count(streams.trending_keywords(read(100), [])) == 4 * 3 * 28
+    first = streams.trending_keywords(read(1), [], out)
+    assert count(first) == 4 * 3 * 28
+    batches = len(os.listdir(f"{out}/parts"))
+    assert count(streams.trending_keywords(read(1), [], out)) == 4 * 3 * 28
+    assert len(os.listdir(f"{out}/parts")) == batches
+    landed_texts(spark, folder, [1])
+    assert count(streams.trending_keywords(read(1), [], out)) == 5 * 3 * 28
+    assert len(os.listdir(f"{out}/parts")) == batches + 1
+    enriched = streams.enrich_reviews(read(1), {"pizza": 1.0}, [], str(tmp_path / "enriched"))
+    assert {r.source_review_id for r in enriched.collect()} == {"r19", "r3", "r11", "r7", "r1"}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2)], "business_id string, n int")
+    for number in (0, 1, 1):
+        tables.write_delta(df, str(tmp_path / "parts"), number)
+    assert tables.read_deltas(spark, str(tmp_path / "parts"), df.schema).count() == 2
+    assert tables.read_deltas(spark, str(tmp_path / "none"), df.schema).count() == 0
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
+def test_ingest_takes_the_first_in_order_whenever_it_comes(spark, tmp_path, order):
     folder = str(tmp_path / "landed")
     schema = "source_review_id string, source string, rating int, version int"
-    for batch in ([("a", "s", 1, 1), ("b", "s", 2, 1)], [("a", "s", 1, 1), ("b", "s", 5, 2)], [("c", "s", 3, 1)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
-    landed = streams.with_arrival(streams.read_stream(spark, folder, "*.parquet", files_per_trigger=1))
-    got = streams.ingest_dedupe(landed, ["source_review_id", "source"], [F.col("version").desc()], buckets=4)
+    batches = ([("a", "s", 1, 1), ("b", "s", 2, 1)], [("a", "s", 1, 1), ("b", "s", 5, 2)], [("c", "s", 3, 1)])
+    for number in order:
+        spark.createDataFrame(batches[number], schema).coalesce(1).write.mode("append").parquet(folder)
+    got = streams.ingest_dedupe(streams.read_stream(spark, folder, files_per_trigger=1), ["source_review_id", "source"], [F.col("version").desc()])
     assert {(r.source_review_id, r.rating) for r in got.collect()} == {("a", 1), ("b", 5), ("c", 3)}
+
+
+# -- nothing is cut unless asked for ------------------------------------------------------------------------------
+
+def test_all_words_reviews_and_businesses_count(spark):
+    from streetlens.functions import text
+
+    words = " ".join(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(8))
+    df = spark.createDataFrame([(words,)], "review_text string")
+    assert df.select(F.size(text.simple_keywords(F.col("review_text")))).first()[0] == 40
+    assert df.select(F.size(text.simple_keywords(F.col("review_text"), 15))).first()[0] == 15
+
+    old = [("b", dt.datetime(2019, 1, 1), 1, f"o{i}") for i in range(40)]
+    new = [("b", dt.datetime(2020, 1, 1) + dt.timedelta(days=i % 20), 4, f"n{i}") for i in range(600)]
+    reviews = spark.createDataFrame(old + new, "business_id string, review_date timestamp, rating int, source_review_id string")
+    assert [r.month for r in windows.rating_anomalies(reviews).collect()] == ["2020-01"]
+    assert windows.rating_anomalies(reviews, newest=500).count() == 0
+
+    many = spark.createDataFrame([(f"s{i}", f"n{i}", "Bar", "Rome", "a", i, float(i % 5), False) for i in range(1100)],
+                                 "source_id string, name string, category string, city string, address string, review_count int, rating double, reviews_fetched boolean")
+    of_each = many.select(F.col("source_id").alias("business_id"), F.lit(dt.datetime(2020, 1, 1)).alias("review_date"), F.col("source_id").alias("source_review_id"),
+                          F.lit(0.5).alias("sentiment_score"), F.lit("positive").alias("sentiment_label"))
+    assert joins.category_reviews(many, of_each, "Bar").count() == 1100
+    assert joins.get_reviews(many, of_each, "Bar").count() == 1100 and joins.get_reviews(many, of_each, "Bar", limit=1050).count() == 1050
+    assert filters.reviews_pending(many).count() == 1100
+    top = aggregates.competitive_position(many).filter("business_id = 's4'").first()
+    assert (top.total_businesses, top.rating_rank) == (1100, 881)
+
+
+def test_measures_cover_all_reviews_and_only_the_array_is_cut(spark):
+    b = spark.createDataFrame([("b",), ("empty",)], "source_id string")
+    r = spark.createDataFrame([("b", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), f"r{i:02d}", 1.0 if i < 30 else 0.0, "positive") for i in range(40)],
+                              "business_id string, review_date timestamp, source_review_id string, sentiment_score double, sentiment_label string")
+    rows = {x.source_id: x for x in joins.nest_reviews(b, r, 20).collect()}
+    assert (len(rows["b"].reviews), rows["b"].reviews_fetched, rows["b"].avg_sentiment, rows["b"].positive) == (20, 40, 0.75, 40)
+    assert (rows["empty"].reviews, rows["empty"].reviews_fetched) == ([], 0)
+
+
+def test_reviews_of_unknown_businesses_stay(spark):
+    r = spark.createDataFrame([("b",), ("x",), ("y",)], "business_id string")
+    b = spark.createDataFrame([("b", "B", "Bar", "Rome")], "source_id string, name string, category string, city string")
+    assert {(x.business_id, x.business_name) for x in joins.denormalise(r, b).collect()} == {("b", "B"), ("x", None), ("y", None)}
+
+
+def test_pages_give_all_links_cards_and_images(spark):
+    links = "".join(f'<a href="/biz/{i}">x</a>' for i in range(30))
+    cards = "".join(f'<div data-cid="{i}"><h3>n{i}</h3></div>' for i in range(25))
+    images = "".join(f'<div class="photo-box"><img src="/{i}.jpg"></div>' for i in range(12))
+    df = spark.createDataFrame([("u", f"<html>{links}{cards}{images}</html>")], "url string, html string")
+    assert pages.extract_links(df).count() == 30 and pages.extract_links(df, limit=20).count() == 20
+    assert pages.extract_search_cards(df).count() == 25
+    assert len(pages.extract_business_pages(df).first().images) == 12
+
+
+def test_full_run_keeps_processed_reviews_and_counts_them(spark, tmp_path):
+    from streetlens.plans import jobs
+
+    now = dt.datetime(2024, 1, 10)
+    rows = [("old", "b", 1, "pizza was bad", dt.datetime(2024, 1, 5), now), ("new", "b", 5, "pizza was good", dt.datetime(2024, 1, 6), None)]
+    reviews = spark.createDataFrame(rows, "source_review_id string, business_id string, rating int, review_text string, review_date timestamp, processed_at timestamp")
+    businesses = spark.createDataFrame([("b", "B"), ("c", "C")], "source_id string, name string")
+    out = jobs.full_run(reviews, businesses, now, {"good": 1.0}, [], out=str(tmp_path / "out"))
+    assert {r.source_review_id for r in out["reviews"].collect()} == {"old", "new"}
+    stored = {r.source_id: r for r in out["businesses"].collect()}
+    assert (stored["b"].analytics.total_reviews, stored["b"].analytics.avg_rating, stored["c"].analytics) == (2, 3.0, None)
+    assert {r.text: r["count"] for r in out["trending_keywords"].collect()} == {}
+    assert tuple(out["summary"].first())[:2] == (1, 1)
