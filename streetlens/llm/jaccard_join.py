@@ -28,6 +28,9 @@ SCAN_COST = 8.0
 #: Largest size that the boundary may take: more than two shingles left out give too many subsets.
 LARGEST_SMALL = 29
 
+#: Bytes of text a task works on at once.
+PIECE_BYTES = 1 << 20
+
 #: Sets of a group of candidates that one task compares with one another.
 BLOCK_SETS = 256
 
@@ -157,7 +160,7 @@ def describer(width: int):
     """Task: size and key of the set of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", PIECE_BYTES):
             values, first = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_shingles": np.diff(first),
@@ -171,7 +174,7 @@ def lister(width: int, share: int, boundary: int, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = Rule(share, boundary)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", PIECE_BYTES):
             values, first = shingle_sets(batch.column("text"), width)
             key, owner, need, kind = join_keys(rule, values, first)
             columns = {"key": signed(key), "set_id": signed(set_keys(values, first)[owner])}
@@ -188,7 +191,7 @@ def set_reader(width: int, wanted):
     """Task: the whole sets of documents whose set may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", PIECE_BYTES):
             values, first = shingle_sets(batch.column("text"), width)
             key = set_keys(values, first)
             keep = np.flatnonzero(maybe(wanted.value, key) & (key != 0))
