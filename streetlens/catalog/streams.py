@@ -21,7 +21,8 @@ from streetlens.streaming import streams
 
 
 def _landed(t: Tables, name: str) -> DataFrame:
-    return streams.read_stream(t.spark, t.sf_dir, f"{name}.parquet")
+    # the pattern makes a stream of a table that is one file, and of one that is a folder
+    return streams.read_stream(t.spark, f"{t.sf_dir}/{name}.parque[t]")
 
 
 def _review_stream(t: Tables) -> DataFrame:
