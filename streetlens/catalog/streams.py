@@ -88,14 +88,20 @@ FROM businesses LEFT JOIN (SELECT business_id, count(*) AS n FROM anomalies GROU
     lambda t: jobs.anomalies(t.reviews, t.businesses, _old_anomalies(t), dt.datetime(2001, 11, 1), TIES)[0].withColumn("anomalies", F.size("anomalies")))
 
 
-@query("job_import", "businesses:i reviews:i analytics:i", """
-SELECT (SELECT 2 * count(*) FROM businesses) AS businesses, (SELECT count(*) + count(DISTINCT (business_id, review_date)) FROM texts WHERE review_text <> '') AS reviews,
- (SELECT count(DISTINCT business_id) FROM texts WHERE review_text <> '') AS analytics""", "businesses texts")
-def _(t: Tables):
+def _imported(t: Tables) -> dict[str, DataFrame]:
     none_b, none_r = (t.spark.createDataFrame([], s) for s in (schemas.BUSINESSES, schemas.REVIEWS))
     return jobs.import_places(places_json(t), details_json(t, "business_id"), none_b, none_r, TEXT_AS_OF, WIDE_LEXICON, S.STOP_WORDS)
 
 
+query("job_import", "businesses:i reviews:i analytics:i", """
+SELECT (SELECT 2 * count(*) FROM businesses) AS businesses, (SELECT count(*) + count(DISTINCT (business_id, review_date)) FROM texts WHERE review_text <> '') AS reviews,
+ (SELECT count(DISTINCT business_id) FROM texts WHERE review_text <> '') AS analytics""", "businesses texts")(
+    lambda t: _imported(t)["summary"])
+query("job_import_analytics", "source_id total_reviews:i", """
+SELECT business_id AS source_id, count(*) + count(DISTINCT review_date) AS total_reviews FROM texts WHERE review_text <> '' GROUP BY 1""", "texts")(
+    lambda t: _imported(t)["analytics"].select("source_id", "total_reviews"))
+
+
 def _place_reviews(t: Tables) -> DataFrame:
     """Landed reviews of every business under its place id."""
     return t.reviews.select(
@@ -127,13 +133,18 @@ def _(t: Tables):
     return jobs.enrich_backlog(_prefixed(t), _place_reviews(t), stored, dt.datetime(2001, 11, 1), None)[0]
 
 
-@query("job_store_search", "table_name rows:i", f"""
-, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id {NEWEST}) AS rn FROM reviews) AS r WHERE rn <= 20)
-SELECT 'businesses' AS table_name, count(*) AS rows FROM businesses UNION ALL SELECT 'reviews', count(DISTINCT source_review_id) FROM n""", "businesses reviews")
-def _(t: Tables):
+def _stored_search(t: Tables) -> tuple[DataFrame, DataFrame]:
     nested = joins.nest_reviews(t.businesses.drop("source"), t.reviews.drop("source"), 20, ALL_TIES).withColumn("place_id", F.col("source_id"))
     nested = stage_table(nested, "search")
-    stored_b = t.businesses.filter("price_level > 2").withColumn("place_id", F.col("source_id"))
-    b, r = jobs.store_search(nested, stored_b, t.spark.createDataFrame([], schemas.REVIEWS), dt.datetime(2001, 11, 1))
-    count = F.count(F.lit(1)).alias("rows")
-    return b.agg(count).select(F.lit("businesses").alias("table_name"), "rows").unionByName(r.agg(count).select(F.lit("reviews").alias("table_name"), "rows"))
+    stored = t.businesses.filter("price_level > 2").withColumn("place_id", F.col("source_id"))
+    return jobs.store_search(nested, stored, t.spark.createDataFrame([], schemas.REVIEWS), dt.datetime(2001, 11, 1))
+
+
+query("job_store_search", "source_id name rating:d source reviews_fetched:b", """
+SELECT source_id, name, rating, 'google_places_enhanced' AS source, TRUE AS reviews_fetched FROM businesses""", "businesses")(
+    lambda t: _stored_search(t)[0])
+# a review id that several businesses have is stored once; which one is the one with the lowest place in its list
+query("job_store_search_reviews", "source_review_id source", f"""
+, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id {NEWEST}) AS rn FROM reviews) AS r WHERE rn <= 20)
+SELECT DISTINCT source_review_id, 'google_places' AS source FROM n""", "reviews")(
+    lambda t: _stored_search(t)[1])

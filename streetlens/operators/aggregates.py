@@ -73,12 +73,17 @@ def category_analytics(businesses: DataFrame, reviews: DataFrame, category: str,
 def business_profile(reviews: DataFrame, top_k: int = 20) -> DataFrame:
     """The analytics record of each business.
 
-    Rating distribution, monthly counts and sentiment trend come from one pass over (business,
+    Means, rating distribution, monthly counts and sentiment trend come from one pass over (business,
     month, rating) counts; top keywords from one over (business, keyword) counts. The collected
     lists hold ratings, months or ``top_k`` keywords, never reviews.
     """
     cells = reviews.groupBy("business_id", F.date_format("review_date", "yyyy-MM").alias("month"), "rating").agg(
-        _n().alias("n"), F.sum("sentiment_score").alias("s"), F.count("sentiment_score").alias("s_n"))
+        _n().alias("n"), F.sum("sentiment_score").alias("s"), F.count("sentiment_score").alias("s_n"),
+        F.max("review_date").alias("latest"), F.min("review_date").alias("earliest"))
+    rated = F.when(F.col("rating").isNotNull(), F.col("n"))
+    measures = cells.groupBy("business_id").agg(
+        F.try_divide(F.sum(F.col("rating").cast("double") * F.col("n")), F.sum(rated)).alias("avg_rating"), F.sum("n").alias("total_reviews"),
+        F.try_divide(F.sum("s"), F.sum("s_n")).alias("avg_sentiment"), F.max("latest").alias("latest_review"), F.min("earliest").alias("earliest_review"))
     ratings = cells.filter(F.col("rating").between(1, 5)).groupBy("business_id", "rating").agg(F.sum("n").alias("n"))
     months = cells.filter(F.col("month").isNotNull()).groupBy("business_id", "month").agg(
         F.sum("n").alias("n"), F.try_divide(F.sum("s"), F.sum("s_n")).alias("avg_sentiment"))
@@ -92,7 +97,7 @@ def business_profile(reviews: DataFrame, top_k: int = 20) -> DataFrame:
     by_word = best.groupBy("business_id").agg(
         F.sort_array(F.collect_list(F.struct("rank_no", "keyword", "n"))).alias("top_keywords"))
     return (
-        business_analytics(reviews).join(by_rating, "business_id", "left")
+        measures.join(by_rating, "business_id", "left")
         .join(by_month, "business_id", "left").join(by_word, "business_id", "left")
     )
 
@@ -188,7 +193,7 @@ def label_words(reviews: DataFrame, label: str, k: int = 10, longer_than: int =
 def top_keywords(reviews: DataFrame, k: int = 20) -> DataFrame:
     """Most frequent keywords with their share of all keyword occurrences."""
     counts = exploded(reviews, "keywords", "keyword").groupBy("keyword").agg(_n().alias("count"))
-    total = reviews.agg(F.sum(F.greatest(F.size("keywords"), F.lit(0))))
+    total = counts.agg(F.sum("count"))
     return counts.orderBy(F.col("count").desc(), "keyword").limit(k).withColumn(
         "frequency", F.col("count") / total.scalar())
 

@@ -1,4 +1,4 @@
-"""Composed jobs: plain functions over tables that return a one-row summary."""
+"""Composed jobs: plain functions over tables that return the new tables, and what they did."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def _summary(spark, **counts: Column) -> DataFrame:
     return spark.range(1).select(*[value.alias(name) for name, value in counts.items()])
 
 
+def _like(table: DataFrame, new: DataFrame) -> DataFrame:
+    """The columns of a stored table only; one without columns yet takes them all."""
+    return new.select(*table.columns) if table.columns else new
+
+
 def full_run(
     reviews: DataFrame, businesses: DataFrame, as_of: dt.datetime, lexicon: Mapping[str, float],
     stop_words: Sequence[str] | None = None, days: int = 7, out: str | None = None,
@@ -64,8 +69,12 @@ def import_places(
     raw_places: DataFrame, raw_details: DataFrame, businesses: DataFrame, reviews: DataFrame,
     as_of: dt.datetime, lexicon: Mapping[str, float], stop_words: Sequence[str] | None = None,
     days: int = 30, out: str | None = None,
-) -> DataFrame:
-    """Landed JSON to business and review tables, enriched, with analytics and trending keywords."""
+) -> dict[str, DataFrame]:
+    """Landed JSON to business and review tables, enriched, with analytics and trending keywords.
+
+    Returns ``businesses``, ``reviews``, ``analytics`` and ``trending_keywords`` as written, and their counts as
+    ``summary``.
+    """
     spark = raw_places.sparkSession
     out = out or scratch_path(spark, "import")
     stamp = F.lit(as_of)
@@ -90,10 +99,10 @@ def import_places(
         joins.with_business_analytics(new_businesses.select("source_id"), aggregates.business_analytics(new_reviews)), f"{out}/analytics")
     trending = tables.replace_table(
         aggregates.trending_keywords(new_reviews, as_of, days, stop_words=stop_words), f"{out}/trending_keywords")
-    return _summary(
+    summary = _summary(
         spark, businesses=_count(new_businesses), reviews=_count(new_reviews),
-        analytics=_count(analytics), trending_keywords=_count(trending),
-    )
+        analytics=_count(analytics), trending_keywords=_count(trending))
+    return {"businesses": new_businesses, "reviews": new_reviews, "analytics": analytics, "trending_keywords": trending, "summary": summary}
 
 
 def enrich_backlog(
@@ -111,7 +120,7 @@ def enrich_backlog(
         F.coalesce("category", F.lit("")).alias("business_category"), F.coalesce("city", F.lit("")).alias("business_city"))
     own = ("business_id", "business_name", "business_category", "business_city")
     arrived = landed.drop(*own).join(attributes, "place_id")
-    new_reviews = upsert.upsert_reviews(reviews, arrived, order or [F.col("review_date").desc()])
+    new_reviews = _like(reviews, upsert.upsert_reviews(reviews, arrived, order or [F.col("review_date").desc()]))
     marks = pending.select("source_id", "place_id").distinct().withColumns({
         "reviews_fetched": F.lit(True), "reviews_updated": F.lit(as_of)})
     return upsert.update_columns(businesses, marks, ["source_id"]), new_reviews
@@ -134,4 +143,4 @@ def store_search(
         F.col("place_id").alias("business_id"), F.col("name").alias("business_name"), F.col("category").alias("business_category"),
         F.col("city").alias("business_city"), F.explode("reviews").alias("r"))
     flat = rows.select("business_id", "business_name", "business_category", "business_city", "r.*").withColumn("source", F.lit("google_places"))
-    return new_businesses, upsert.upsert_reviews(reviews, flat, [F.col("review_no")])
+    return new_businesses, _like(reviews, upsert.upsert_reviews(reviews, flat, [F.col("review_no")]))
