@@ -110,7 +110,7 @@ query("src_place_profile", "place_id name city state category subcategory:l hour
 SELECT concat('place_', review_id) AS place_id, concat('Place ', review_id) AS name, 'Austin' AS city, 'TX' AS state, 'cafe' AS category, ['food', 'store'] AS subcategory, ['Monday: 0900 - 1700'] AS hours,
  3 AS reviews_fetched, (sentiment_score + 0.2 - 0.5) / 3 AS avg_sentiment, 1 + CAST(sentiment_label = 'positive' AS INT) AS positive, CAST(sentiment_label = 'neutral' AS INT) AS neutral,
  1 + CAST(sentiment_label = 'negative' AS INT) AS negative, 1 + CAST(rating = 1 AS INT) AS rating_1, 1 + CAST(rating = 3 AS INT) AS rating_3,
- len(list_distinct(list_concat(keywords, ['great', 'place', 'best']))) AS words FROM scored""", "scored")(
+ least(20, len(list_distinct(list_concat(keywords, ['great', 'place', 'best'])))) AS words FROM scored""", "scored")(
     lambda t: places.profiles_from_places(details_json(t)).withColumns({"words": F.size("top_keywords"), "hours": F.col("opening_hours")}))
 
 # -- landed pages ------------------------------------------------------------------------------

@@ -85,8 +85,8 @@ def reviews_from_places(
     return enrich.rating_sentiment_columns(shaped)
 
 
-def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: str = "place_id", max_reviews: int | None = None) -> DataFrame:
-    """Place-details responses to one profile row each, with measures over its reviews."""
+def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: str = "place_id", max_reviews: int | None = None, top_k: int = 20) -> DataFrame:
+    """Place-details responses to one profile row each, with measures over its reviews and its ``top_k`` keywords."""
     reviews = reviews_from_places(raw, json_column, id_column, max_reviews)
     measures = reviews.groupBy("place_id").agg(
         F.count(F.lit(1)).alias("reviews_fetched"), F.avg("sentiment_score").alias("avg_sentiment"),
@@ -95,7 +95,7 @@ def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: s
         F.sort_array(F.collect_list(F.struct("position", "reviewer_name", "rating", "review_text", "sentiment_label", "sentiment_score"))).alias("reviews"),
     )
     words = exploded(reviews, "keywords", "keyword", "place_id").groupBy("place_id", "keyword").agg(F.count(F.lit(1)).alias("count"))
-    best = top_n_per_group(words, ["place_id"], [F.col("count").desc(), F.col("keyword").asc()], 20, rank_column="rank_no")
+    best = top_n_per_group(words, ["place_id"], [F.col("count").desc(), F.col("keyword").asc()], top_k, rank_column="rank_no")
     keywords = best.groupBy("place_id").agg(F.sort_array(F.collect_list(F.struct("rank_no", "keyword", "count"))).alias("top_keywords"))
     place = scalars.city_state(_or(F.col("d.formattedAddress"), ""))
     base = _details(raw, json_column, id_column).withColumn("where", place).select(
