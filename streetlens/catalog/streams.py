@@ -14,9 +14,8 @@ from streetlens.catalog.base import Tables, query
 from streetlens.catalog.functions import _COUNTS, _SUM, ENRICHED, WIDE_LEXICON
 from streetlens.catalog.relations import _TOP_WORDS, ALL_TIES, ANOMALIES, NEWEST, TIES
 from streetlens.catalog.storage import _old_anomalies, details_json, places_json
-from streetlens.operators import joins, windows
+from streetlens.operators import windows
 from streetlens.plans import jobs
-from streetlens.session import stage_table
 from streetlens.streaming import streams
 
 
@@ -133,18 +132,23 @@ def _(t: Tables):
     return jobs.enrich_backlog(_prefixed(t), _place_reviews(t), stored, dt.datetime(2001, 11, 1), None)[0]
 
 
-def _stored_search(t: Tables) -> tuple[DataFrame, DataFrame]:
-    nested = joins.nest_reviews(t.businesses.drop("source"), t.reviews.drop("source"), 20, ALL_TIES).withColumn("place_id", F.col("source_id"))
-    nested = stage_table(nested, "search")
+def _stored_search(t: Tables, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = t.businesses.drop("source").withColumn("place_id", F.col("source_id"))
+    landed = reviews.drop("source").withColumn("place_id", F.col("business_id"))
     stored = t.businesses.filter("price_level > 2").withColumn("place_id", F.col("source_id"))
-    return jobs.store_search(nested, stored, t.spark.createDataFrame([], schemas.REVIEWS), dt.datetime(2001, 11, 1))
+    return jobs.store_search(
+        found, landed, stored, t.spark.createDataFrame([], schemas.REVIEWS), dt.datetime(2001, 11, 1), windows.newest_first(*ALL_TIES))
 
 
 query("job_store_search", "source_id name rating:d source reviews_fetched:b", """
 SELECT source_id, name, rating, 'google_places_enhanced' AS source, TRUE AS reviews_fetched FROM businesses""", "businesses")(
-    lambda t: _stored_search(t)[0])
-# a review id that several businesses have is stored once; which one is the one with the lowest place in its list
+    lambda t: _stored_search(t, t.reviews)[0])
+# this SQL is of a search that gave the newest 20 reviews of each business: only those are landed here
 query("job_store_search_reviews", "source_review_id source", f"""
 , n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id {NEWEST}) AS rn FROM reviews) AS r WHERE rn <= 20)
 SELECT DISTINCT source_review_id, 'google_places' AS source FROM n""", "reviews")(
-    lambda t: _stored_search(t)[1])
+    lambda t: _stored_search(t, windows.top_n_per_group(t.reviews, ["business_id"], windows.newest_first(*ALL_TIES), 20))[1])
+query("job_store_search_all_reviews", "source_review_id source business_id business_name", f"""
+SELECT source_review_id, 'google_places' AS source, business_id, name AS business_name FROM (
+SELECT *, row_number() OVER (PARTITION BY source_review_id {NEWEST}) AS rn FROM reviews) AS r JOIN businesses b ON b.source_id = r.business_id WHERE rn = 1""", "businesses reviews")(
+    lambda t: _stored_search(t, t.reviews)[1])

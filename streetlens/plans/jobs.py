@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,20 +127,23 @@ def enrich_backlog(
 
 
 def store_search(
-    nested: DataFrame, businesses: DataFrame, reviews: DataFrame, as_of: dt.datetime,
-    review_key: Callable[[Column], Column] | None = None,
+    found: DataFrame, landed: DataFrame, businesses: DataFrame, reviews: DataFrame, as_of: dt.datetime,
+    order: Sequence[Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Search results with nested reviews split into the two tables. Returns (businesses, reviews).
+    """Search results stored in the two tables. Returns (businesses, reviews).
 
-    The id of a business is its place id.
+    ``found`` holds the businesses and ``landed`` all their review rows, by ``place_id``: none is left out. The id
+    of a business is its place id. A review id that comes twice is stored once, the first in ``order``.
     """
     stamp = F.lit(as_of)
     measures = ("reviews", "positive", "neutral", "negative", "avg_sentiment", "reviews_fetched")
-    found = nested.drop(*measures).withColumns({
+    batch = found.drop(*measures).withColumns({
         "source": F.lit("google_places_enhanced"), "source_id": F.col("place_id"), "reviews_fetched": F.lit(True), "last_updated": stamp})
-    new_businesses = upsert.upsert_businesses_by_place(businesses, found, [F.col("name")])
-    rows = nested.select(
-        F.col("place_id").alias("business_id"), F.col("name").alias("business_name"), F.col("category").alias("business_category"),
-        F.col("city").alias("business_city"), F.explode("reviews").alias("r"))
-    flat = rows.select("business_id", "business_name", "business_category", "business_city", "r.*").withColumn("source", F.lit("google_places"))
-    return new_businesses, _like(reviews, upsert.upsert_reviews(reviews, flat, [F.col("review_no")]))
+    new_businesses = upsert.upsert_businesses_by_place(businesses, batch, [F.col("name")])
+    # one row per place, the one that is stored, so that no review is multiplied
+    attributes = windows.latest_per_key(found, ["place_id"], [F.col("name")]).select(
+        "place_id", F.col("place_id").alias("business_id"), F.col("name").alias("business_name"),
+        F.col("category").alias("business_category"), F.col("city").alias("business_city"))
+    own = ("business_id", "business_name", "business_category", "business_city")
+    rows = landed.drop(*own).join(attributes, "place_id").drop("place_id").withColumn("source", F.lit("google_places"))
+    return new_businesses, _like(reviews, upsert.upsert_reviews(reviews, rows, order or [F.col("review_date").desc()]))

@@ -276,3 +276,18 @@ def test_full_run_keeps_processed_reviews_and_counts_them(spark, tmp_path):
     assert (stored["b"].analytics.total_reviews, stored["b"].analytics.avg_rating, stored["c"].analytics) == (2, 3.0, None)
     assert {r.text: r["count"] for r in out["trending_keywords"].collect()} == {}
     assert tuple(out["summary"].first())[:2] == (1, 1)
+
+
+def test_a_search_stores_all_reviews_of_a_business(spark):
+    from streetlens import schemas
+    from streetlens.plans import jobs
+
+    found = spark.createDataFrame([("p", "B", "Bar", "Rome"), ("q", "C", "Bar", "Rome"), ("q", "D", "Bar", "Rome")], "place_id string, name string, category string, city string")
+    rows = [("p", f"r{i:02d}", dt.datetime(2020, 1, 1) + dt.timedelta(days=i)) for i in range(45)] + [("q", "r00", dt.datetime(2021, 1, 1)), ("q", "s", None)]
+    landed = spark.createDataFrame(rows, "place_id string, source_review_id string, review_date timestamp")
+    none = (spark.createDataFrame([], s) for s in (schemas.BUSINESSES, schemas.REVIEWS))
+    businesses, reviews = jobs.store_search(found, landed, *none, dt.datetime(2024, 1, 1))
+    stored = {r.source_review_id: (r.business_id, r.business_name) for r in reviews.collect()}
+    assert reviews.count() == len(stored) == 46
+    assert (stored["r00"], stored["r44"], stored["s"]) == (("q", "C"), ("p", "B"), ("q", "C"))
+    assert {(r.source_id, r.reviews_fetched) for r in businesses.collect()} == {("p", True), ("q", True)}
