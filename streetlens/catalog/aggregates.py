@@ -62,14 +62,28 @@ def tfidf_sql(k: int, recent: str = "TRUE") -> str:
     return TFIDF.format(k=k, recent=recent, stops=quoted(STOP_WORDS))
 
 
+# the vocabulary that this SQL has; the operators take all terms unless told otherwise
+SQL_TERMS = 500
+
+
+def all_terms(body: str) -> str:
+    return body.replace(f" LIMIT {SQL_TERMS})", ")")
+
+
 _CLOUD = "SELECT text, weight, (SELECT count(*) FROM src WHERE contains(lower(review_text), text)) AS count"
 query("tfidf_keywords", "text weight:d", tfidf_sql(50) + " SELECT * FROM ranked", "texts words")(
-    lambda t: tfidf.tfidf_keywords(t.texts, 50, stop_words=STOP_WORDS))
+    lambda t: tfidf.tfidf_keywords(t.texts, 50, stop_words=STOP_WORDS, max_terms=SQL_TERMS))
 query("agg_keyword_cloud", "text weight:d count:i", tfidf_sql(100) + f" {_CLOUD} FROM ranked", "texts words")(
-    lambda t: tfidf.keyword_cloud(t.texts, 100, stop_words=STOP_WORDS))
+    lambda t: tfidf.keyword_cloud(t.texts, 100, stop_words=STOP_WORDS, max_terms=SQL_TERMS))
 TRENDING = tfidf_sql(100, "review_date >= DATE '2024-11-23'")
 TRENDING_RESULT = TRENDING + f" {_CLOUD}, TIMESTAMP '2024-11-30' AS generated_at, 7 AS period_days FROM ranked"
 query("agg_trending_keywords", "text weight:d count:i generated_at:t period_days:i", TRENDING_RESULT, "texts words")(
+    lambda t: A.trending_keywords(t.texts, TEXT_AS_OF, 7, stop_words=STOP_WORDS, max_terms=SQL_TERMS))
+query("tfidf_keywords_all_terms", "text weight:d", all_terms(tfidf_sql(50) + " SELECT * FROM ranked"), "texts words")(
+    lambda t: tfidf.tfidf_keywords(t.texts, 50, stop_words=STOP_WORDS))
+query("agg_keyword_cloud_all_terms", "text weight:d count:i", all_terms(tfidf_sql(100) + f" {_CLOUD} FROM ranked"), "texts words")(
+    lambda t: tfidf.keyword_cloud(t.texts, 100, stop_words=STOP_WORDS))
+query("agg_trending_keywords_all_terms", "text weight:d count:i generated_at:t period_days:i", all_terms(TRENDING_RESULT), "texts words")(
     lambda t: A.trending_keywords(t.texts, TEXT_AS_OF, 7, stop_words=STOP_WORDS))
 
 # -- businesses ----------------------------------------------------------------------------------

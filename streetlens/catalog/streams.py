@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streetlens import schemas
 from streetlens.catalog import sql as S
-from streetlens.catalog.aggregates import _LABELS, TRENDING, TRENDING_RESULT
+from streetlens.catalog.aggregates import _LABELS, SQL_TERMS, TRENDING, TRENDING_RESULT, all_terms
 from streetlens.catalog.base import Tables, query
 from streetlens.catalog.functions import _COUNTS, _SUM, ENRICHED, WIDE_LEXICON
 from streetlens.catalog.relations import _TOP_WORDS, ALL_TIES, ANOMALIES, NEWEST, TIES
@@ -61,8 +61,8 @@ def _stored_texts(t: Tables) -> DataFrame:
         "review_date": F.col("review_date").cast("timestamp")})
 
 
-def _full(t: Tables) -> dict[str, DataFrame]:
-    return jobs.full_run(_stored_texts(t), t.more_businesses, TEXT_AS_OF, WIDE_LEXICON, S.STOP_WORDS)
+def _full(t: Tables, max_terms: int | None = SQL_TERMS) -> dict[str, DataFrame]:
+    return jobs.full_run(_stored_texts(t), t.more_businesses, TEXT_AS_OF, WIDE_LEXICON, S.STOP_WORDS, max_terms=max_terms)
 
 
 query("job_full_pipeline", "processed_reviews:i updated_businesses:i trending_keywords:i", TRENDING + """
@@ -78,6 +78,8 @@ FROM more_businesses LEFT JOIN texts t ON t.business_id = source_id LEFT JOIN sc
     lambda t: _full(t)["businesses"].select("source_id", "analytics.*", "analytics_updated"))
 query("job_full_pipeline_trending", "text weight:d count:i generated_at:t period_days:i", TRENDING_RESULT, "texts words")(
     lambda t: _full(t)["trending_keywords"])
+query("job_full_pipeline_trending_all_terms", "text weight:d count:i generated_at:t period_days:i", all_terms(TRENDING_RESULT), "texts words")(
+    lambda t: _full(t, None)["trending_keywords"])
 query("job_full_pipeline_reviews", "review_id:i processed:b words:i", """
 SELECT review_id, TRUE AS processed, CASE WHEN review_id % 4 <> 0 AND review_text <> '' THEN {c} END AS words FROM texts""".format(c=_COUNTS), "texts")(
     lambda t: _full(t)["reviews"].select("review_id", F.col("processed_at").isNotNull().alias("processed"), F.col("word_count").alias("words")))

@@ -1,4 +1,4 @@
-"""Corpus keyword ranking by TF-IDF, computed row by row plus two small aggregates."""
+"""Corpus keyword ranking by TF-IDF, from one written table of the terms of each text."""
 
 from __future__ import annotations
 
@@ -7,66 +7,57 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.functions.arrays import exploded, let, occurrence_counts
+from streetlens.functions.arrays import exploded, occurrence_counts
 from streetlens.functions.text import default_stop_words, ngram_tokens
 from streetlens.operators.joins import keyword_review_counts
+from streetlens.session import stage_table
 
 
 def tfidf_keywords(
     reviews: DataFrame, k: int = 50, text_column: str = "review_text",
-    stop_words: Iterable[str] | None = None, max_terms: int = 500, min_df: int = 2, max_df: float = 0.8,
+    stop_words: Iterable[str] | None = None, max_terms: int | None = None, min_df: int = 2, max_df: float = 0.8,
 ) -> DataFrame:
     """Mean TF-IDF per term over all non-empty texts: columns ``text``, ``weight``.
 
-    Terms are single words and pairs. Kept terms have ``min_df <= df <= max_df * n`` and are the
-    ``max_terms`` most frequent, A to Z on ties. ``idf = ln((1 + n) / (1 + df)) + 1``; each text's
-    weights are scaled to unit length over the kept terms; the score is their sum over ``n``.
+    Terms are single words and pairs. Kept terms have ``min_df <= df <= max_df * n``; with ``max_terms`` only
+    the most frequent of those, A to Z on ties. ``idf = ln((1 + n) / (1 + df)) + 1``; each text's
+    weights are scaled to unit length over the kept terms; the score is their sum over ``n``. Scores that agree
+    in 12 digits are listed A to Z.
 
-    A text is never shuffled: its terms are counted inside its row. Pass one shuffles (term, n,
-    df) partial sums, pass two (term, weight) partial sums of at most ``max_terms`` terms, the kept
-    terms being one array value.
+    The terms of a text are counted inside its row and written once as (text, term, count). The vocabulary, of
+    any size, is summed from that table, numbered and joined to it by term; from there on only numbers move, once
+    by text for the norms and as partial sums by term.
     """
     stops = default_stop_words() if stop_words is None else list(stop_words)
     texts = reviews.filter(F.length(text_column) > 0)
-    grams = texts.select(ngram_tokens(F.col(text_column), stops).alias("terms"))
+    counted = texts.select(
+        F.monotonically_increasing_id().alias("text_no"),
+        occurrence_counts(ngram_tokens(F.col(text_column), stops)).alias("terms"))
+    counts = stage_table(exploded(counted, "terms", "t", "text_no").select("text_no", "t.term", "t.n"), "tfidf-counts")
 
     n = texts.agg(F.count(F.lit(1)).alias("n"))
-    tally = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
-    )
-    totals = (
-        exploded(grams, tally, "t")
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.n").alias("total"), F.sum("t.d").alias("df"))
+    kept = (
+        counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n.scalar()))
     )
-    kept = totals.orderBy(F.col("total").desc(), "term").limit(max_terms)
+    if max_terms is not None:
+        kept = kept.orderBy(F.col("total").desc(), "term").limit(max_terms)
     idf = F.ln((1 + n.scalar()) / (1 + F.col("df"))) + 1
-    vocabulary = kept.agg(F.map_from_entries(F.collect_list(F.struct("term", idf.alias("idf")))))
+    vocabulary = stage_table(kept.select("term", F.monotonically_increasing_id().alias("no"), idf.alias("idf")), "tfidf-terms")
 
-    weighted = grams.select("terms", vocabulary.scalar().alias("idf")).select(
-        "idf",
-        let(
-            F.array_intersect("terms", F.map_keys("idf")),
-            lambda hit: occurrence_counts(F.filter("terms", lambda t: F.array_contains(hit, t))),
-        ).alias("terms"),
-    ).select(
-        F.transform(
-            "terms",
-            lambda t: F.struct(t["term"].alias("term"), (t["n"] * F.try_element_at(F.col("idf"), t["term"])).alias("w")),
-        ).alias("terms")
-    )
+    weighted = counts.join(vocabulary, "term").select("text_no", F.struct("no", (F.col("n") * F.col("idf")).alias("w")).alias("t"))
+    of_text = weighted.groupBy("text_no").agg(F.collect_list("t").alias("terms"))
     norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
     scores = (
-        exploded(weighted.select("terms", norm.alias("norm")), "terms", "t", "norm")
-        .groupBy(F.col("t.term").alias("text"))
+        exploded(of_text.select("terms", norm.alias("norm")), "terms", "t", "norm")
+        .groupBy(F.col("t.no").alias("no"))
         .agg((F.sum(F.col("t.w") / F.col("norm")) / n.scalar()).alias("weight"))
     )
-    return scores.orderBy(F.col("weight").desc(), "text").limit(k)
+    named = scores.join(vocabulary, "no").select(F.col("term").alias("text"), "weight")
+    return named.orderBy(F.round("weight", 12).desc(), "text").limit(k)
 
 
 def keyword_cloud(reviews: DataFrame, k: int = 100, text_column: str = "review_text", **kwargs) -> DataFrame:
     """TF-IDF keywords with the number of reviews that contain each: ``text``, ``weight``, ``count``."""
-    ranked = tfidf_keywords(reviews, k, text_column, **kwargs)
+    ranked = stage_table(tfidf_keywords(reviews, k, text_column, **kwargs), "tfidf-ranked")
     return keyword_review_counts(ranked, reviews.filter(F.length(text_column) > 0), text_column)

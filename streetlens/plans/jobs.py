@@ -31,7 +31,7 @@ def _like(table: DataFrame, new: DataFrame) -> DataFrame:
 
 def full_run(
     reviews: DataFrame, businesses: DataFrame, as_of: dt.datetime, lexicon: Mapping[str, float],
-    stop_words: Sequence[str] | None = None, days: int = 7, out: str | None = None,
+    stop_words: Sequence[str] | None = None, days: int = 7, out: str | None = None, max_terms: int | None = None,
 ) -> dict[str, DataFrame]:
     """Enrich what is new, then analytics and trending keywords over all reviews.
 
@@ -46,7 +46,7 @@ def full_run(
     table = tables.replace_table(known.select(*fresh.columns), f"{out}/reviews")
     measured = joins.with_stored_analytics(businesses, aggregates.business_analytics(table), as_of)
     measured = tables.replace_table(measured, f"{out}/businesses")
-    trending = aggregates.trending_keywords(table, as_of, days, stop_words=stop_words)
+    trending = aggregates.trending_keywords(table, as_of, days, stop_words=stop_words, max_terms=max_terms)
     trending = tables.replace_table(trending, f"{out}/trending_keywords")
     summary = _summary(
         spark, processed_reviews=_count(filters.unprocessed(reviews)),

@@ -78,6 +78,17 @@ def test_tfidf_against_brute_force(spark):
     assert got == brute_tfidf([t for _, t in data if t], {"and", "was"}, 7, 8)
 
 
+def test_tfidf_keeps_terms_behind_the_500_most_frequent(spark):
+    def word(i):
+        return f"{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    # 600 frequent words, then one text of two words that are the rarest of all
+    texts = [" ".join([word(i)] * 3) for i in range(600) for _ in range(2)] + ["zzrare zzword"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id int, review_text string").repartition(3)
+    got = [(r.text, round(r.weight, 9)) for r in tfidf.tfidf_keywords(df, 2000, stop_words=[]).collect()]
+    assert got == brute_tfidf(texts, set(), None, 2000)
+    assert {"zzrare", "zzword", "zzrare zzword"} <= {t for t, _ in got}
+
+
 def test_tfidf_without_surviving_terms_is_empty(spark):
     df = spark.createDataFrame([(1, "one text only")], "review_id int, review_text string")
     assert tfidf.keyword_cloud(df, 5, stop_words=STOPS).count() == 0
