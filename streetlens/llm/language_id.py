@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.llm.arrays import chunks, text_bytes
+from streetlens.llm.arrays import chunks, mixed, text_bytes
 from streetlens.llm.sampling import bounded_sample
 
 WIDTHS, FILTERS, EMBEDDING, WINDOW = (2, 3, 4), 16, 8, 256
@@ -30,6 +31,29 @@ def windows_of(data: np.ndarray, start: int, end: int, window: int) -> np.ndarra
     return out.reshape(rows, window)
 
 
+def training_windows(data: bytes) -> list[bytes]:
+    """At most ``TRAIN_WINDOWS`` windows with a letter, from the whole text: those of smallest hashed number."""
+    count = max(1, -(-len(data) // WINDOW))
+    order = np.argsort(mixed(np.arange(count, dtype=np.uint64) + np.uint64(zlib.crc32(data))), kind="stable")
+    drawn: list[bytes] = []
+    for i in order:
+        part = data[i * WINDOW:(i + 1) * WINDOW]
+        if _LETTER.search(part.decode(errors="ignore")):
+            drawn.append(part)
+            if len(drawn) == TRAIN_WINDOWS:
+                break
+    # every letter may be cut by the end of a window
+    return drawn or [data[i * WINDOW:(i + 1) * WINDOW] for i in order[:TRAIN_WINDOWS]]
+
+
+def drawer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: the training windows of each text in place of the text."""
+    for batch in chunks(batches, "text"):
+        drawn = [training_windows(t.encode()) for t in batch.column("text").to_pylist()]
+        columns = [pa.array(drawn, pa.list_(pa.binary())) if name == "text" else batch.column(name) for name in batch.schema.names]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def init(languages: int, seed: int) -> dict[str, np.ndarray]:
     random = np.random.default_rng(seed)
     net = {"embedding": random.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32)}
@@ -77,17 +101,22 @@ def step(net: dict[str, np.ndarray], rows: np.ndarray, label: np.ndarray) -> dic
 
 
 def fit(texts: list[str], labels: np.ndarray, languages: int, epochs: int = 6, batch: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam on windows of the texts; half of them are cut short, so that short texts are known too."""
+    """The network fitted on the training windows of whole texts."""
+    return fit_windows([training_windows(t.encode()) for t in texts], labels, languages, epochs, batch, seed)
+
+
+def fit_windows(
+    drawn: list[list[bytes]], labels: np.ndarray, languages: int, epochs: int = 6, batch: int = 64, seed: int = 7,
+) -> dict[str, np.ndarray]:
+    """Adam on the windows of each text; half of them are cut short, so that short texts are known too."""
     random = np.random.default_rng(seed)
     net = init(languages, seed)
     rows, label = [], []
-    for text, y in zip(texts, labels, strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        parts = windows_of(data, 0, len(data), WINDOW)
-        for i in random.permutation(len(parts))[:TRAIN_WINDOWS]:
+    for parts, y in zip(drawn, labels, strict=True):
+        for part in parts:
             for size in (WINDOW, int(np.exp(random.uniform(np.log(12), np.log(WINDOW))))):
-                row = parts[i].copy()
-                row[size:] = 0
+                row = np.zeros(WINDOW, np.uint8)
+                row[:min(size, len(part))] = np.frombuffer(part[:size], np.uint8)
                 rows.append(row)
                 label.append(y)
     rows, label = np.array(rows), np.array(label)
@@ -173,13 +202,15 @@ def trained_network(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[s
     Rows without text, letters or language teach nothing. Without any other row there is no network.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = bounded_sample(usable.select("doc_id", "lang", F.substring("text", 1, 8 * WINDOW).alias("text")), rows)
+    shaped = "doc_id {}, lang {}, text array<binary>, sample_order bigint".format(*(usable.schema[c].dataType.simpleString() for c in ("doc_id", "lang")))
+    sample = bounded_sample(
+        usable.select("doc_id", "lang", "text"), rows, shape=lambda some: some.mapInArrow(drawer, shaped))
     found = sample.column("lang").to_pylist()
     languages = sorted(set(found))
     if not found:
         return None, languages
     label = np.array([languages.index(x) for x in found])
-    return fit(sample.column("text").to_pylist(), label, len(languages)), languages
+    return fit_windows(sample.column("text").to_pylist(), label, len(languages)), languages
 
 
 def identify_language(docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -187,7 +218,7 @@ def identify_language(docs: DataFrame, labelled: DataFrame, keep: list[str] | No
 
     The network sees bytes of the text only: filters over 2, 3 and 4 bytes, max pooling over a window of 256
     bytes, softmax over the languages of ``labelled`` (``doc_id``, ``text``, ``lang``). It is fitted on a bounded
-    sample of those (``rows``; of each the windows of its first 2 KB) and applied to all windows of each text.
+    sample of those (``rows``; of each some windows with a letter, drawn from the whole text) and applied to all windows of each text.
     ``score`` is the share of the predicted language. A text that is null or has no letter, and every text
     where nothing is labelled, gets ``und`` with score 0. Repeated rows are predicted each. No shuffle of texts.
     """

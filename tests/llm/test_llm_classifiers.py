@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from streetlens.llm.language_id import fit, identify_language, init, responses, step, tables
+from streetlens.llm.language_id import fit, identify_language, init, responses, step, tables, trained_network, training_windows
 from streetlens.llm.quality import good_documents, score_quality, word_vectors
 
 from tests.llm.conftest import prose
@@ -93,3 +93,14 @@ def test_quality_of_unseen_texts(spark):
 def test_word_vectors_cover_all_texts_whatever_the_partitions(spark):
     docs, _ = qualities(spark)
     assert np.array_equal(word_vectors(docs), word_vectors(docs.repartition(7)))
+
+
+def test_training_windows_come_from_the_whole_text(spark):
+    head = "12345 67 89, " * 400
+    rows = [(i, head + word * 300, word[:2]) for i, word in enumerate(["theing ", "schkeit "] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert all(b"e" in part or b"c" in part for _, text, _ in rows for part in training_windows(text.encode()))
+    net, names = trained_network(docs)
+    assert names == ["sc", "th"]
+    got = identify_language(spark.createDataFrame([(1, "theing theing"), (2, "schkeit schkeit")], "doc_id bigint, text string"), docs)
+    assert {r.row.doc_id: r.lang_pred for r in got.collect()} == {1: "th", 2: "sc"}
