@@ -204,15 +204,18 @@ def score_quality(
     neighbourhoods in all texts of ``docs``; the network over their mean and spread is fitted on a bounded sample of
     labelled texts (``rows``). ``score`` is the calibrated probability of label 1, ``predicted`` is 1 from ``limit``
     on. A null or empty text has pooled zeros and is scored like any other; without any labelled text every
-    score is 0.5. Labels without a document and repeated rows do no harm. Texts are not shuffled.
+    score is 0.5. Labels without a document do no harm, and repeated rows teach once. Only labelled texts of the
+    sample are shuffled.
     """
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
     sample = spark.createDataFrame(bounded_sample(usable, rows).to_pandas(), usable.schema)
     # the sample has at most ``rows`` rows of two numbers
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    found = chosen.mapInArrow(pooler(vectors), "label int, x array<double>").orderBy("label", "x").limit(4 * rows).toArrow()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "doc_id", "text").distinct()
+    points = chosen.select("label", "text").mapInArrow(pooler(vectors), "label int, x array<double>")
+    # the bound takes both labels alike
+    found = points.orderBy(F.xxhash64("x"), "label", "x").limit(4 * rows).orderBy("label", "x").toArrow()
     net = None
     if found.num_rows:
         net = fit(np.array(found.column("x").to_pylist()), np.array(found.column("label").to_pylist(), float))

@@ -104,3 +104,13 @@ def test_training_windows_come_from_the_whole_text(spark):
     assert names == ["sc", "th"]
     got = identify_language(spark.createDataFrame([(1, "theing theing"), (2, "schkeit schkeit")], "doc_id bigint, text string"), docs)
     assert {r.row.doc_id: r.lang_pred for r in got.collect()} == {1: "th", 2: "sc"}
+
+
+def test_repeated_documents_do_not_crowd_out_a_label(spark):
+    rng = random.Random(9)
+    texts = [(i, prose(i, 40) if i % 2 else " ".join(rng.choice(["!!", "##", "A1"]) for _ in range(40))) for i in range(60)]
+    # each bad document is there 30 times: 900 rows, the bound is 4 * 60
+    docs = spark.createDataFrame([r for r in texts for _ in range(1 if r[0] % 2 else 30)], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, quality int")
+    got = {r.row.doc_id: r.predicted for r in score_quality(docs, labels, rows=60).collect()}
+    assert np.mean([got[i] == i % 2 for i, _ in texts]) > 0.9
