@@ -17,9 +17,19 @@ FEATURES = (
     "aside", "article", "elsewhere", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 #: Elements that hold no running text; their content is skipped.
-_SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video|textarea|select|button"
+_SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video|textarea"
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+#: Elements that end an unclosed button or select.
+_ENDS = (
+    "address|article|aside|blockquote|body|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|"
+    "html|legend|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul")
+#: A skipped element of another language may be empty ("/>"). A button or select without an end before the next of
+#: its name ends with the block it stands in.
 _PARTS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{_SKIPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math|iframe)(?=[\s/>]){_ATTRIBUTES}/>"
+    rf"|<(?P<skip>{_SKIPPED})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<(?P<control>button|select)(?=[\s/>]){_ATTRIBUTES}>"
+    rf"(?:(?:(?!<(?P=control)[\s/>]).)*?</(?P=control)\s*>|.*?(?=</?(?:{_ENDS}|(?P=control))[\s/>]|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b(?!-)|(display\s*:\s*none)", re.I)

@@ -23,6 +23,11 @@ LONG = "a sentence of the article that goes on for quite a while and then some m
     (f"<ul><li><a>m</a></li><li><a>n</a></li></ul><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><ul><li><a>o</a></li></ul>", "\n".join([LONG] * 3)),
     ("<article><p>never closed <i>at all", "never closed at all"),
     ("<article>5 &lt; 6 < 7<p>a<!-- open", "5 < 6 < 7\na"),
+    ("<article><p>A<svg class='icon'/>b</p><math/><iframe src='x'/><p>C</p></article>", "Ab\nC"),
+    ("<article><svg viewBox='0'><path d='M0'/><text>no</text></svg><p>A</p></article>", "A"),
+    ("<article><div><button>go</div><p>A</p><p>B <select><option>one<option>two</p><p>C</p></article>", "A\nB\nC"),
+    ("<article><p>A</p><button><div>go</div></button><p>B</p><select><option>one</option></select></article>", "A\nB"),
+    ("<article><p><button>one</p><p>A</p><p><button>two</button>B</p></article>", "A\nB"),
     ("", ""), ("<nav>only</nav>", ""), ("<article></article>", ""),
 ])
 def test_pages(page, want):
