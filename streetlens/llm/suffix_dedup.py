@@ -1,4 +1,4 @@
-"""Removal of long repeated strings: Burrows-Wheeler transforms of shards, merged by interleave refinement."""
+"""Removal of repeated byte strings: anchored buckets, grouping by hash, a radix sort of what is left in a bucket."""
 
 from __future__ import annotations
 
@@ -110,10 +110,10 @@ def range_minimum(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np
 def merge(bucket: np.ndarray, low: np.ndarray, high: np.ndarray, copies: np.ndarray, content: list[bytes], length: int) -> np.ndarray:
     """For every offset (rows) and window (columns): does the string that starts there occur again?
 
-    The windows of all shards in a bucket are aligned at their anchor; column by column from the right, the
-    byte before the suffixes sorted so far is the next symbol of their transforms. One step of refinement
-    deals the interleave of all shards out by that symbol, in the order it has: then the suffixes that are one
-    byte longer are sorted. No suffix is compared. The common prefix of two neighbours is one more than the
+    The windows of a bucket are aligned at their anchor and radix-sorted column by column from the right, from
+    their bytes: no shard builds a transform and none are merged. A column deals the suffixes sorted so far out
+    by the byte before them, in the order they have: then the suffixes that are one byte
+    longer are sorted. No suffix is compared. The common prefix of two neighbours is one more than the
     least between them before, or nothing if their symbols differ; neighbours with ``length`` common bytes are
     a repeated interval.
     """
