@@ -10,7 +10,7 @@ from streetlens.catalog.filters import CONTAINS, EQUAL
 from streetlens.catalog.sql import STOP_WORDS, quoted
 from streetlens.constants import GAZETTEER, LEGACY_GAZETTEER, LEGACY_PLACE_TYPES, PLACE_TYPES
 from streetlens.functions import text
-from streetlens.operators import aggregates, joins, windows
+from streetlens.operators import aggregates, joins, spatial, windows
 
 R = "source_review_id seq:i business_id rating:i sentiment_score:d review_date:t"
 NEWEST = "ORDER BY review_date DESC, source_review_id DESC, seq DESC, sentiment_score DESC, rating DESC"
@@ -115,6 +115,27 @@ _DISTANCE = """2 * 6378100 * asin(sqrt(least(1.0, pow(sin(radians(latitude - 26.
  + cos(radians(latitude)) * cos(radians(26.5)) * pow(sin(radians(longitude + 118) / 2), 2))))"""
 query("jn_near", "source_id name distance_m:d", f"SELECT source_id, name, {_DISTANCE} AS distance_m FROM businesses WHERE {_DISTANCE} <= 300000", "businesses")(
     lambda t: joins.near(t.businesses, -118.0, 26.5, 300_000))
+# each customer as a point; some stand beyond the ends of the map
+_POINTS = [
+    "c_custkey AS point_id",
+    "CASE WHEN c_custkey % 50 = 49 THEN NULL ELSE CAST(-121 + (c_custkey * 29) % 5300 / 100.0 AS DOUBLE) END AS longitude",
+    "CAST(24 + (c_custkey * 7) % 2700 / 100.0 AS DOUBLE) AS latitude",
+]
+_BETWEEN = """2 * 6378100 * asin(sqrt(least(1.0, pow(sin(radians(b.latitude - p.latitude) / 2), 2)
+ + cos(radians(b.latitude)) * cos(radians(p.latitude)) * pow(sin(radians(b.longitude - p.longitude) / 2), 2))))"""
+_PAIRS = f", p AS (SELECT {', '.join(_POINTS)} FROM customer), d AS (SELECT point_id, source_id, {_BETWEEN} AS distance_m FROM p, businesses b)"
+
+
+def _near_pairs(t: Tables, distance: float, k: int | None):
+    found = spatial.near_pairs(t.raw("customer").selectExpr(*_POINTS), t.businesses, distance, k)
+    return found.select("point.point_id", "place.source_id", "distance_m")
+
+
+query("jn_near_pairs", "point_id:i source_id distance_m:d", _PAIRS + " SELECT * FROM d WHERE distance_m <= 40000", "businesses")(
+    lambda t: _near_pairs(t, 40_000, None))
+query("jn_near_pairs_nearest", "point_id:i source_id distance_m:d", _PAIRS + """ SELECT * FROM d WHERE distance_m <= 300000
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round(distance_m, 6), source_id) <= 5""", "businesses")(
+    lambda t: _near_pairs(t, 300_000, 5))
 query("jn_nest_reviews", "source_id reviews_fetched:i avg_sentiment:d positive:i neutral:i negative:i newest:l", f"""
 , r AS (SELECT *, row_number() OVER (PARTITION BY business_id {NEWEST}) AS rn FROM reviews)
 SELECT source_id, count(business_id) AS reviews_fetched, coalesce(avg(sentiment_score), 0) AS avg_sentiment, count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
