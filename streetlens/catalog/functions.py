@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.catalog.base import Tables, query
@@ -9,7 +10,7 @@ from streetlens.catalog.relations import _TOP_PHRASES, _TOP_WORDS, CITY_QUERY, C
 from streetlens.catalog.aggregates import SEGMENT
 from streetlens.catalog.sql import LEXICON, RATING_SCORE, STOP_WORDS, clean, quoted
 from streetlens.functions import scalars, sentiment, text
-from streetlens.operators import enrich
+from streetlens.operators import enrich, lexicon
 
 # -- text ---------------------------------------------------------------------------------------
 
@@ -55,6 +56,43 @@ SELECT t.review_id, CASE WHEN full_ THEN score END AS sentiment_score, CASE WHEN
 FROM (SELECT *, coalesce(length(review_text) > 0, FALSE) AS full_ FROM texts) t JOIN scores USING (review_id) JOIN keyed USING (review_id) JOIN phrased USING (review_id)"""
 query("enrich_review", "review_id:i sentiment_score:d sentiment_label keywords:l phrases:l word_count:i character_count:i", ENRICHED, "texts words cleaned")(
     lambda t: enrich.enrich_reviews(t.texts, WIDE_LEXICON, stop_words=STOP_WORDS))
+
+# lexicon and stop list as tables: of the fixed words, and of all different words of the texts
+def _words(t: Tables) -> DataFrame:
+    return t.texts.select(F.explode(F.array_distinct(text.cleaned_tokens(F.col("review_text")))).alias("word")).distinct()
+
+
+def _fixed_lexicon(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(list(WIDE_LEXICON.items()), "word string, valence double")
+
+
+def _all_words_lexicon(t: Tables) -> DataFrame:
+    return _words(t).withColumn("valence", (F.length("word") % 5 - 2) / 2.0)
+
+
+def _stop_table(t: Tables) -> DataFrame:
+    return _words(t).filter("length(word) % 4 = 1")
+
+
+_ALL_SUM = """, sums AS (SELECT c.review_id, coalesce(sum((length(w.word) % 5 - 2) / 2.0), 0) AS s, count(w.word) AS hits
+ FROM cleaned c LEFT JOIN words w USING (review_id) GROUP BY 1)"""
+query("sent_lexicon_table", "review_id:i score:d label", f"""
+SELECT *, {_LABEL} AS label FROM (SELECT review_id, s / sqrt(s * s + 15) AS score FROM (SELECT review_id, {_SUM} AS s FROM cleaned) AS x) AS y""", "cleaned")(
+    lambda t: lexicon.lexicon_scores(t.texts, _fixed_lexicon(t)).withColumn("label", sentiment.label(F.col("score"))))
+query("sent_lexicon_all_words", "review_id:i score:d label", f"""{_ALL_SUM}
+SELECT *, {_LABEL} AS label FROM (SELECT review_id, s / sqrt(s * s + 15) AS score FROM sums) AS y""", "cleaned words")(
+    lambda t: lexicon.lexicon_scores(t.texts, _all_words_lexicon(t)).withColumn("label", sentiment.label(F.col("score"))))
+query("sent_lexicon_mean_all_words", "review_id:i score:d label", f"""{_ALL_SUM}
+SELECT *, CASE WHEN score > 0.1 THEN 'positive' WHEN score < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM (
+ SELECT review_id, CASE WHEN hits > 0 THEN s / hits ELSE 0 END AS score FROM sums) AS y""", "cleaned words")(
+    lambda t: lexicon.lexicon_scores(t.texts, _all_words_lexicon(t), mode="mean").withColumn("label", sentiment.label(F.col("score"), 0.1, inclusive=False)))
+_STOP_LIST = f"word NOT IN ({quoted(STOP_WORDS)})"
+_TABLE_ENRICHED = ENRICHED.replace(_STOP_LIST, "length(word) % 4 <> 1")
+for _side in "ab":
+    _TABLE_ENRICHED = _TABLE_ENRICHED.replace(f"{_side}.{_STOP_LIST}", f"length({_side}.word) % 4 <> 1").replace(f"{_side}.length(word)", f"length({_side}.word)")
+_TABLE_ENRICHED = _TABLE_ENRICHED.replace(f"(SELECT review_id, {_SUM} AS s FROM cleaned)", "(SELECT review_id, s FROM sums)")
+query("enrich_review_tables", "review_id:i sentiment_score:d sentiment_label keywords:l phrases:l word_count:i character_count:i", _ALL_SUM + _TABLE_ENRICHED, "texts words cleaned")(
+    lambda t: enrich.enrich_with_tables(t.texts, _all_words_lexicon(t), _stop_table(t)))
 query("scl_label", "source_review_id seq:i inclusive strict", """
 SELECT source_review_id, seq, CASE WHEN v >= 0.05 THEN 'positive' WHEN v <= -0.05 THEN 'negative' ELSE 'neutral' END AS inclusive,
  CASE WHEN v > 0.1 THEN 'positive' WHEN v < -0.1 THEN 'negative' ELSE 'neutral' END AS strict FROM (SELECT *, round(sentiment_score / 4, 2) AS v FROM reviews) AS r""", "reviews")(

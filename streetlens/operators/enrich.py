@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.functions import sentiment, text
+from streetlens.operators.lexicon import lexicon_totals, polarity, table_keywords, table_phrases, word_table
 
 ENRICHED = ("sentiment_score", "sentiment_label", "keywords", "phrases", "word_count", "character_count")
 
@@ -44,6 +45,45 @@ def enrich_reviews(
     }).drop("__tokens").withColumn("sentiment_label", sentiment.label(F.col("sentiment_score"), threshold, inclusive))
 
 
+def enrich_with_tables(
+    reviews: DataFrame, lexicon: DataFrame, stop_words: DataFrame, key: Sequence[str] = ("review_id",), text_column: str = "review_text",
+    mode: str = "compound", max_keywords: int = 10, max_phrases: int = 5,
+) -> DataFrame:
+    """``enrich_reviews`` with the lexicon (``word``, ``valence``) and the stop list (``word``) as tables of any size.
+
+    Scores, keywords and phrases are joined back by the key and a hash of the text, so rows that repeat a key keep what
+    belongs to their own text; a null key is a key.
+    """
+    body = F.col(text_column)
+    has_text = F.coalesce(F.length(body) > 0, F.lit(False))
+    threshold, inclusive = (0.05, True) if mode == "compound" else (0.1, False)
+    totals = lexicon_totals(reviews, word_table(lexicon, "word", "valence"), key, text_column)
+    found = [
+        (totals.withColumn("__score", polarity(F.col("total"), F.col("hits"), mode)).drop("total", "hits"), ["__score"]),
+        (table_keywords(reviews, stop_words, key, text_column, max_keywords), ["keywords"]),
+        (table_phrases(reviews, stop_words, key, text_column, max_phrases), ["phrases"]),
+    ]
+    rows = reviews.withColumn("__hash", F.xxhash64(text_column))
+    for frame, names in found:
+        side = frame.select(*[F.col(c).alias(f"__{c}_key") for c in key], F.col("text_hash").alias("__text_hash"), *names)
+        same = F.col("__hash") == F.col("__text_hash")
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}_key"))
+        rows = rows.join(side, same, "left").drop("__text_hash", *[f"__{c}_key" for c in key])
+    none = F.array().cast("array<string>")
+
+    def where_text(value: Column) -> Column:
+        return F.when(has_text, value)
+
+    return rows.withColumns({
+        "sentiment_score": where_text(F.coalesce("__score", F.lit(0.0))),
+        "keywords": where_text(F.coalesce("keywords", none)),
+        "phrases": where_text(F.coalesce("phrases", none)),
+        "word_count": where_text(text.word_count(body)),
+        "character_count": where_text(text.character_count(body)),
+    }).drop("__score", "__hash").withColumn("sentiment_label", sentiment.label(F.col("sentiment_score"), threshold, inclusive))
+
+
 def process_new_reviews(reviews: DataFrame, as_of: Column, **kwargs) -> DataFrame:
     """Enrich the reviews not yet processed and stamp them; reviews without text are stamped too."""
     return enrich_reviews(reviews.filter(F.col("processed_at").isNull()), **kwargs).withColumn("processed_at", as_of)
