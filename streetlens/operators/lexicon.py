@@ -23,10 +23,14 @@ def word_table(words: DataFrame, word_column: str = "word", value_column: str |
     return known.distinct()
 
 
+def _is_small(table: DataFrame) -> bool:
+    size = table.limit(SENT_WORDS + 1).agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
+    return size.words <= SENT_WORDS and size.bytes <= SENT_BYTES
+
+
 def _joinable(table: DataFrame) -> DataFrame:
     """Sent to every task behind a check of its size; beyond it both sides are dealt by word."""
-    size = table.limit(SENT_WORDS + 1).agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(table) if size.words <= SENT_WORDS and size.bytes <= SENT_BYTES else table
+    return F.broadcast(table) if _is_small(table) else table
 
 
 def _keyed(reviews: DataFrame, key: Sequence[str], text_column: str) -> DataFrame:
@@ -42,14 +46,19 @@ def _unkeyed(rows: DataFrame, key: Sequence[str], *results: str) -> DataFrame:
 def lexicon_totals(reviews: DataFrame, lexicon: DataFrame, key: Sequence[str], text_column: str = "review_text") -> DataFrame:
     """``key`` columns, ``text_hash``, ``total`` (valences of all matched words), ``hits`` (how many) of each review.
 
-    ``lexicon`` has ``word`` and ``value``, each word once. The different words of a text, with their counts, meet the
-    lexicon by word; what is summed up again by review is (key, total, hits), in the task that holds the
-    words wherever the lexicon is sent to it. Reviews without a matched word have zeros. Reviews that share the key
-    and the text are one row.
+    ``lexicon`` has ``word`` and ``value``, each word once. A small lexicon is sent to the words of each text; they are
+    summed up by review in the task that holds them, and only (key, total, hits) is exchanged. A large one is dealt by
+    word; then the different words of each text travel, with their counts. Reviews without a matched word have zeros.
+    Reviews that share the key and the text are one row.
     """
     keyed = _keyed(reviews, key, text_column)
-    words = exploded(keyed.select("key", occurrence_counts(cleaned_tokens(F.col("body"))).alias("terms")), "terms", "t", "key")
-    matched = words.select("key", F.col("t.term").alias("word"), F.col("t.n").alias("n")).join(_joinable(lexicon), "word")
+    tokens = cleaned_tokens(F.col("body"))
+    if _is_small(lexicon):
+        words = exploded(keyed.select("key", tokens.alias("words")), "words", "word", "key").withColumn("n", F.lit(1))
+        matched = words.join(F.broadcast(lexicon), "word")
+    else:
+        words = exploded(keyed.select("key", occurrence_counts(tokens).alias("terms")), "terms", "t", "key")
+        matched = words.select("key", F.col("t.term").alias("word"), F.col("t.n").alias("n")).join(lexicon, "word")
     zero = F.lit(0).cast("bigint")
     parts = matched.select("key", (F.col("n") * F.col("value")).alias("total"), F.col("n").cast("bigint").alias("hits"), zero.alias("copies"))
     parts = parts.union(keyed.select("key", F.lit(0.0), zero, F.lit(1).cast("bigint")))
