@@ -1,16 +1,82 @@
-"""Corpus keyword ranking by TF-IDF, from one written table of the terms of each text."""
+"""Corpus keyword ranking by TF-IDF over a vocabulary of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.functions.arrays import exploded, occurrence_counts
-from streetlens.functions.text import default_stop_words, ngram_tokens
+from streetlens.functions.text import clean_text, default_stop_words
 from streetlens.operators.joins import keyword_review_counts
 from streetlens.session import stage_table
+from streetlens.tasks.terms import frequency_counter, namer, scorer, weigher
+
+#: Most frequent terms that are sent to every task (20 bytes each), and those of them scored at first.
+FREQUENT_TERMS, SCORED_TERMS = 1 << 20, 1 << 16
+#: Largest bit map of rarer terms; beyond it more rows travel in vain, the result is the same.
+LARGEST_BITS = 1 << 28
+#: Norms of texts are sent to every task up to so many of them, 16 bytes each.
+SENT_NORMS = 2 << 20
+
+
+class Corpus:
+    """Cleaned texts, read again for each step; nothing of them is written but what a step finds."""
+
+    def __init__(self, reviews: DataFrame, text_column: str, stops: list[str]):
+        body = reviews.filter(F.length(text_column) > 0).select(clean_text(F.col(text_column)).alias("cleaned"))
+        self.spark, self.texts, self.stops = reviews.sparkSession, body, stops
+
+    def frequencies(self, with_totals: bool) -> DataFrame:
+        """``h``, ``df`` (, ``total``) of all terms: added up in the tasks, then by hash."""
+        names = ["df", "total"] if with_totals else ["df"]
+        counted = self.texts.mapInArrow(frequency_counter(self.stops, with_totals), ", ".join(f"{c} bigint" for c in ["h", *names]))
+        return counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in names])
+
+    def bit_map(self, hashes: DataFrame, count: int):
+        """Broadcast bit map of hashes, 16 bits for each up to ``LARGEST_BITS``; bits are set by bucket in the tasks."""
+        bits = min(LARGEST_BITS, 1 << max(15, (16 * count - 1).bit_length()))
+        at = F.col("h").bitwiseAND(bits - 1)
+        parts = hashes.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND((1 << 15) - 1).alias("bit"))
+        total = np.zeros(bits // 8, np.uint8)
+        for row in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+            total[row.bucket * 4096:(row.bucket + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
+        return self.spark.sparkContext.broadcast(total)
+
+    def named(self, hashes: DataFrame) -> DataFrame:
+        """``hashes`` (with a column ``h``) and the ``term`` of each: found in the texts, by a bit map, then by hash."""
+        names = self.texts.mapInArrow(namer(self.stops, self.bit_map(hashes, hashes.count())), "h bigint, term string")
+        return hashes.join(names.groupBy("h").agg(F.min("term").alias("term")), "h")
+
+
+def _vocabulary(corpus: Corpus, n: int, max_terms: int | None, min_df: int, max_df: float) -> DataFrame:
+    """``h``, ``df`` of the kept terms, written."""
+    allowed = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n)
+    kept = stage_table(corpus.frequencies(max_terms is not None).filter(allowed), "tfidf-terms")
+    if max_terms is None or kept.count() <= max_terms:
+        return kept.select("h", "df")
+    cut = kept.orderBy(F.desc("total")).limit(max_terms).agg(F.min("total").alias("cut")).first().cut
+    above, ties = kept.filter(F.col("total") > cut), kept.filter(F.col("total") == cut)
+    chosen = corpus.named(ties).orderBy("term").limit(max_terms - above.count())
+    return stage_table(above.select("h", "df").union(chosen.select("h", "df")), "tfidf-terms")
+
+
+def _step(df: Column) -> Column:
+    """Sixteenths of a power of two: few groups for any frequencies."""
+    return F.floor(F.log2(df) * 16).cast("bigint")
+
+
+def _least_step(kept: DataFrame, most: int) -> int:
+    """The lowest step from which on at most ``most`` terms are that frequent."""
+    found, total = 1 << 40, 0
+    for row in kept.groupBy(_step(F.col("df")).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        total += row.n
+        if total > most:
+            break
+        found = row.step
+    return found
 
 
 def tfidf_keywords(
@@ -22,39 +88,84 @@ def tfidf_keywords(
     Terms are single words and pairs. Kept terms have ``min_df <= df <= max_df * n``; with ``max_terms`` only
     the most frequent of those, A to Z on ties. ``idf = ln((1 + n) / (1 + df)) + 1``; each text's
     weights are scaled to unit length over the kept terms; the score is their sum over ``n``. Scores that agree
-    in 12 digits are listed A to Z.
+    in 12 digits are listed A to Z. An empty table gives no row; null and empty texts do not count.
 
-    The terms of a text are counted inside its row and written once as (text, term, count). The vocabulary, of
-    any size, is summed from that table, numbered and joined to it by term; from there on only numbers move, once
-    by text for the norms and as partial sums by term.
+    No row of (text, term) of a frequent term is ever written or exchanged. Frequencies are added up in the tasks and
+    exchanged by the 64-bit hash that stands for a term. The most frequent terms, a fixed number, are sent to the
+    tasks, which weigh them where the text is. Rarer terms that occur in more than one text (a bit map, sized from
+    their count, tells them) meet their idf by hash; as they are rare, no hash is hot. As a term's score is at most
+    df / n, the k best are among the terms scored first unless the k-th best does not beat that bound; then all
+    others are scored too. Only the winners are looked up by name.
     """
-    stops = default_stop_words() if stop_words is None else list(stop_words)
-    texts = reviews.filter(F.length(text_column) > 0)
-    counted = texts.select(
-        F.monotonically_increasing_id().alias("text_no"),
-        occurrence_counts(ngram_tokens(F.col(text_column), stops)).alias("terms"))
-    counts = stage_table(exploded(counted, "terms", "t", "text_no").select("text_no", "t.term", "t.n"), "tfidf-counts")
-
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    kept = (
-        counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n.scalar()))
-    )
-    if max_terms is not None:
-        kept = kept.orderBy(F.col("total").desc(), "term").limit(max_terms)
-    idf = F.ln((1 + n.scalar()) / (1 + F.col("df"))) + 1
-    vocabulary = stage_table(kept.select("term", F.monotonically_increasing_id().alias("no"), idf.alias("idf")), "tfidf-terms")
-
-    weighted = counts.join(vocabulary, "term").select("text_no", F.struct("no", (F.col("n") * F.col("idf")).alias("w")).alias("t"))
-    of_text = weighted.groupBy("text_no").agg(F.collect_list("t").alias("terms"))
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
-    scores = (
-        exploded(of_text.select("terms", norm.alias("norm")), "terms", "t", "norm")
-        .groupBy(F.col("t.no").alias("no"))
-        .agg((F.sum(F.col("t.w") / F.col("norm")) / n.scalar()).alias("weight"))
-    )
-    named = scores.join(vocabulary, "no").select(F.col("term").alias("text"), "weight")
-    return named.orderBy(F.round("weight", 12).desc(), "text").limit(k)
+    spark = reviews.sparkSession
+    corpus = Corpus(reviews, text_column, default_stop_words() if stop_words is None else list(stop_words))
+    n = corpus.texts.count()
+    kept = _vocabulary(corpus, n, max_terms, min_df, max_df)
+
+    least = _least_step(kept, FREQUENT_TERMS)
+    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
+    table = kept.filter(_step(F.col("df")) >= least).select("h", "df", idf.alias("idf")).toArrow().sort_by([("df", "descending"), ("h", "ascending")])
+    hashes, df = table.column("h").to_numpy(), table.column("df").to_numpy()
+    order = np.argsort(hashes)
+    frequent = spark.sparkContext.broadcast((hashes[order], order.astype(np.int32), table.column("idf").to_numpy()))
+    rare = kept.filter(_step(F.col("df")) < least)
+    rare_bound = rare.agg(F.max("df").alias("df"), F.count(F.lit(1)).alias("n")).first()
+    bits = corpus.bit_map(rare, rare_bound.n) if rare_bound.n else None
+    rare = rare.select("h", idf.alias("idf"))
+
+    def weighed(scored: int) -> DataFrame:
+        """Each text with its norm and the numbers and counts of its first ``scored`` terms."""
+        numbered = corpus.texts.select(F.monotonically_increasing_id().alias("text_no"), "cleaned")
+        found = numbered.mapInArrow(
+            weigher(corpus.stops, frequent, bits, scored),
+            "text_no bigint, squares double, numbers array<int>, counts array<int>, rare array<bigint>, rare_counts array<int>")
+        if bits is None:
+            return found.select("text_no", F.sqrt("squares").alias("norm"), "numbers", "counts", "rare", "rare_counts")
+        found = stage_table(found, "tfidf-weights")
+        squares = _rare_terms(found).join(rare, "h").groupBy("text_no").agg(F.sum(F.pow(F.col("n") * F.col("idf"), 2)).alias("more"))
+        norm = F.sqrt(F.col("squares") + F.coalesce("more", F.lit(0.0)))
+        norms = stage_table(found.select("text_no", "squares").join(squares, "text_no", "left").select("text_no", norm.alias("norm")), "tfidf-norms")
+        return found.join(F.broadcast(norms) if n <= SENT_NORMS else norms, "text_no").drop("squares")
+
+    def scores(texts: DataFrame, scored: int) -> DataFrame:
+        """``h``, ``weight`` of the first ``scored`` terms."""
+        sums = texts.select("norm", "numbers", "counts").mapInArrow(scorer(frequent, scored), "number int, weight double")
+        got = sums.groupBy("number").agg((F.sum("weight") / n).alias("weight")).toArrow()
+        named = pa.table({"h": hashes[got.column("number").to_numpy()], "weight": got.column("weight")})
+        return spark.createDataFrame(named, "h bigint, weight double")
+
+    def kth(found: DataFrame) -> float | None:
+        best = found.select(F.round("weight", 12).alias("w")).orderBy(F.desc("w")).limit(k).agg(F.min("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+        return best.w if best.n >= k else None
+
+    scored = min(len(hashes), SCORED_TERMS)
+    while True:
+        texts = weighed(scored)
+        found = scores(texts, scored) if scored else spark.createDataFrame([], "h bigint, weight double")
+        beyond = df[scored] if scored < len(hashes) else rare_bound.df
+        cut = kth(found)
+        if beyond is None or cut is not None and cut > beyond / n + 1e-11:
+            break
+        if scored < len(hashes):
+            scored = len(hashes)
+            continue
+        weight = F.sum(F.col("n") * F.col("idf") / F.col("norm")) / n
+        others = _rare_terms(texts, "norm").join(rare, "h").groupBy("h").agg(weight.alias("weight"))
+        found = stage_table(found.union(others), "tfidf-scores")
+        cut = kth(found)
+        break
+    for sent in (frequent, bits):
+        if sent is not None:
+            sent.destroy()
+    best = found if cut is None else found.filter(F.round("weight", 12) >= cut)
+    named = corpus.named(stage_table(best, "tfidf-best"))
+    return named.select(F.col("term").alias("text"), "weight").orderBy(F.round("weight", 12).desc(), "text").limit(k)
+
+
+def _rare_terms(texts: DataFrame, *others: str) -> DataFrame:
+    """One row ``text_no``, ``h``, ``n`` for each term that may be a rarer one of the vocabulary."""
+    pairs = F.explode(F.arrays_zip(F.col("rare").alias("h"), F.col("rare_counts").alias("n"))).alias("t")
+    return texts.select("text_no", *others, pairs).select("text_no", *others, "t.h", "t.n")
 
 
 def keyword_cloud(reviews: DataFrame, k: int = 100, text_column: str = "review_text", **kwargs) -> DataFrame:
