@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.functions.text import clean_text, default_stop_words
+from streetlens.functions.text import default_stop_words
 from streetlens.operators.joins import keyword_review_counts
 from streetlens.session import stage_table
 from streetlens.tasks.terms import frequency_counter, namer, scorer, weigher
@@ -23,10 +23,10 @@ SENT_NORMS = 2 << 20
 
 
 class Corpus:
-    """Cleaned texts, read again for each step; nothing of them is written but what a step finds."""
+    """Texts, read again for each step; nothing of them is written but what a step finds."""
 
     def __init__(self, reviews: DataFrame, text_column: str, stops: list[str]):
-        body = reviews.filter(F.length(text_column) > 0).select(clean_text(F.col(text_column)).alias("cleaned"))
+        body = reviews.filter(F.length(text_column) > 0).select(F.col(text_column).alias("body"))
         self.spark, self.texts, self.stops = reviews.sparkSession, body, stops
 
     def frequencies(self, with_totals: bool) -> DataFrame:
@@ -115,7 +115,7 @@ def tfidf_keywords(
 
     def weighed(scored: int) -> DataFrame:
         """Each text with its norm and the numbers and counts of its first ``scored`` terms."""
-        numbered = corpus.texts.select(F.monotonically_increasing_id().alias("text_no"), "cleaned")
+        numbered = corpus.texts.select(F.monotonically_increasing_id().alias("text_no"), "body")
         found = numbered.mapInArrow(
             weigher(corpus.stops, frequent, bits, scored),
             "text_no bigint, squares double, numbers array<int>, counts array<int>, rare array<bigint>, rare_counts array<int>")

@@ -11,7 +11,37 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text counted at once (a longer text is taken alone), and different terms a task holds before it gives them out.
-CHUNK_BYTES, HELD_TERMS = 4 << 20, 1 << 21
+CHUNK_BYTES, HELD_TERMS = 2 << 20, 1 << 20
+
+# what cleaning makes of each byte: a letter, a space, or 0 for nothing
+_CLEAN = np.zeros(256, np.uint8)
+_CLEAN[97:123] = np.arange(97, 123)
+_CLEAN[65:91] = np.arange(97, 123)
+_CLEAN[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 32
+# signs beyond ASCII that leave something: wide white space, and those whose lower case holds an ASCII letter
+_WIDE = {c: " " for c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]} | {0x130: "i", 0x212A: "k"}
+_WIDE_BYTES = [(np.frombuffer(chr(c).encode(), np.uint8), ord(left)) for c, left in _WIDE.items()]
+
+
+def cleaned(texts: pa.Array) -> pa.Array:
+    """Texts as ``functions.text.clean_text`` leaves them, but for repeated spaces; a null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    out = _CLEAN[raw]
+    leads = np.flatnonzero(raw >= 0xC2)
+    if len(leads):
+        padded = np.concatenate((raw, np.zeros(3, np.uint8)))
+        lead = raw[leads]
+        for sign, left in _WIDE_BYTES:
+            here = leads[lead == sign[0]]
+            for i in range(1, len(sign)):
+                here = here[padded[here + i] == sign[i]]
+            out[here] = left
+    keep = out != 0
+    ends = np.concatenate(([0], np.cumsum(keep)))[at - at[0]]
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out[keep])])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -48,12 +78,12 @@ class Terms:
         return [words[a] if b < 0 else f"{words[a]} {words[b]}" for a, b in zip(self.first[at].tolist(), self.second[at].tolist())]
 
 
-def terms_of(cleaned: pa.Array, stops: pa.Array) -> Terms:
+def terms_of(texts: pa.Array, stops: pa.Array) -> Terms:
     """Words of two letters or more that are no stop words, and the pairs of what is left, counted by text."""
-    lists = pc.split_pattern(pc.fill_null(cleaned, ""), " ")
+    lists = pc.split_pattern(cleaned(texts), " ")
     encoded = lists.flatten().dictionary_encode()
     words = encoded.dictionary
-    good = pc.and_(pc.greater_equal(pc.utf8_length(words), 2), pc.invert(pc.is_in(words, value_set=stops))).to_numpy(zero_copy_only=False)
+    good = pc.and_(pc.greater_equal(pc.utf8_length(words), 2), pc.invert(pc.is_in(words, value_set=stops.cast(words.type)))).to_numpy(zero_copy_only=False)
     own = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
     ids = encoded.indices.to_numpy().astype(np.int64)
     kept = good[ids] if len(ids) else np.zeros(0, bool)
@@ -85,8 +115,8 @@ def frequency_counter(stops: list[str], with_totals: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        for chunk in chunks(batches, "cleaned"):
-            t = terms_of(chunk.column("cleaned"), stop_words)
+        for chunk in chunks(batches, "body"):
+            t = terms_of(chunk.column("body"), stop_words)
             if not len(t.hash):
                 continue
             held.append([t.hash, np.ones(len(t.hash), np.int64), t.n][:len(names)])
@@ -130,8 +160,8 @@ def weigher(stops: list[str], frequent, light_bits, scored: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, numbers, idf = frequent.value
         bits = None if light_bits is None else light_bits.value
-        for chunk in chunks(batches, "cleaned"):
-            t, rows = terms_of(chunk.column("cleaned"), stop_words), chunk.num_rows
+        for chunk in chunks(batches, "body"):
+            t, rows = terms_of(chunk.column("body"), stop_words), chunk.num_rows
             order = np.argsort(t.own, kind="stable")
             own, h, n = t.own[order], t.hash[order], t.n[order]
             at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
@@ -170,8 +200,8 @@ def namer(stops: list[str], bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
-        for chunk in chunks(batches, "cleaned"):
-            t = terms_of(chunk.column("cleaned"), stop_words)
+        for chunk in chunks(batches, "body"):
+            t = terms_of(chunk.column("body"), stop_words)
             at = np.flatnonzero(in_bits(bits.value, t.hash))
             h, first = np.unique(t.hash[at], return_index=True)
             new = ~np.isin(h, seen)

@@ -89,7 +89,7 @@ def test_no_texts(spark, reviews):
 
 
 def test_chunks_and_held_terms_change_nothing(texts, monkeypatch):
-    batch = pa.RecordBatch.from_pydict({"cleaned": pa.array([t and " ".join(t.lower().split()) for t in texts])})
+    batch = pa.RecordBatch.from_pydict({"body": pa.array(texts)})
 
     def counted():
         total = collections.Counter()
@@ -103,6 +103,19 @@ def test_chunks_and_held_terms_change_nothing(texts, monkeypatch):
     assert counted() == whole
 
 
+def test_every_sign_is_cleaned_as_in_the_column_function(spark):
+    """Each sign alone, between letters, for all of Unicode."""
+    from pyspark.sql import functions as F
+
+    from streetlens.functions.text import clean_text
+
+    signs = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(f"a{c}B " for c in signs[i:i + 997]) for i in range(0, len(signs), 997)] + [None, "", "  ", "É\u3000x\u212a\u0130"]
+    want = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", clean_text(F.col("t")).alias("c")).orderBy("i").collect()]
+    array = pa.concat_arrays([pa.array(["skipped"]), pa.array(rows)])[1:]
+    assert [" ".join(t.split(" ")).split() for t in terms.cleaned(array).to_pylist()] == [t.split() for t in want]
+
+
 def test_bit_map(spark, reviews):
     values = np.random.default_rng(0).integers(-2**63, 2**63 - 1, 500)
     bits = tfidf.Corpus(reviews, "review_text", STOPS).bit_map(spark.createDataFrame([(int(v),) for v in values], "h bigint"), 500).value
