@@ -55,6 +55,22 @@ for _name, _pairs, _match in (("jn_competitors", CONTAINS, "contains"), ("jn_com
             "business_id", "c.source_id", "c.name", "c.rating", "c.review_count"))
 
 
+# each supplier asks by patterns: alternatives, anchors, single signs, plain names
+_REQUESTS = [
+    "source_id AS request_id", "name",
+    "CASE price_level WHEN 0 THEN '^rest|bar$' WHEN 1 THEN 'caf.' WHEN 2 THEN '^(fit|ser)' WHEN 3 THEN 'nothing' ELSE category END AS category_pattern",
+    "CASE WHEN review_count % 3 = 0 THEN '^nation_[0-9]$' WHEN review_count % 3 = 1 THEN 'NATION_1' ELSE city END AS city_pattern",
+]
+query("jn_competitors_pattern", "request_id source_id name rating:d review_count:i", f"""
+, requests AS (SELECT {', '.join(_REQUESTS)} FROM businesses),
+pairs AS (SELECT r.request_id, b.source_id, b.name, b.rating, b.review_count,
+  row_number() OVER (PARTITION BY r.request_id ORDER BY coalesce(b.rating, 0) DESC, b.source_id) AS rn
+ FROM requests r JOIN businesses b ON regexp_matches(b.category, r.category_pattern, 'i') AND regexp_matches(b.city, r.city_pattern, 'i') AND b.name <> r.name)
+SELECT * FROM pairs WHERE rn <= 20""", "businesses")(
+    lambda t: joins.competitors_by_pattern(t.businesses.selectExpr(*_REQUESTS), t.businesses).select("request_id", F.explode("competitors").alias("c")).select(
+        "request_id", "c.source_id", "c.name", "c.rating", "c.review_count"))
+
+
 def _type_sql(mapping, fallbacks, default) -> str:
     known = quoted(mapping)
     first = f"list_filter(types, lambda x: list_contains([{known}], x))[1]"
@@ -148,6 +164,10 @@ query("jn_denormalise", "source_review_id seq:i business_id business_name busine
 _KEYWORDS = "SELECT keyword AS text FROM (SELECT unnest(keywords) AS keyword FROM scored) AS k GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100"
 query("jn_keyword_review", "text count:i", f", k AS ({_KEYWORDS}) SELECT text, (SELECT count(*) FROM scored WHERE contains(lower(review_text), text)) AS count FROM k", "scored")(
     lambda t: joins.keyword_review_counts(aggregates.top_keywords(t.scored, 100).select(F.col("keyword").alias("text")), t.texts))
+# every different keyword of the texts, far too many for an array
+query("jn_keyword_review_many", "text count:i", """, k AS (SELECT DISTINCT unnest(keywords) AS text FROM scored)
+SELECT text, (SELECT count(*) FROM scored WHERE contains(lower(review_text), text)) AS count FROM k""", "scored")(
+    lambda t: joins.keyword_review_counts(t.scored.select(F.explode("keywords").alias("text")).distinct(), t.texts))
 query("jn_pair_compare", "first_id second_id first_name second_name first_rating:d second_rating:d first_review_count:i second_review_count:i first_price_level:i second_price_level:i", """
 , best AS (SELECT category, source_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rating DESC NULLS LAST, source_id) AS rn FROM businesses) AS r WHERE rn = 1)
 SELECT a.source_id AS first_id, c.source_id AS second_id, a.name AS first_name, c.name AS second_name, a.rating AS first_rating, c.rating AS second_rating,

@@ -15,6 +15,7 @@ from streetlens.functions.scalars import clean_city
 from streetlens.operators import topk
 from streetlens.operators.filters import by_category, by_review_city, filter_businesses
 from streetlens.operators.windows import newest_first, top_n_per_group
+from streetlens.session import stage_table
 
 
 def with_business_analytics(businesses: DataFrame, analytics: DataFrame) -> DataFrame:
@@ -184,6 +185,56 @@ def competitors(businesses: DataFrame, k: int = 20, match: str = "equal") -> Dat
     )
 
 
+#: Values that one pattern is tested against in one row.
+VALUE_BLOCK = 1024
+
+
+def matching_values(patterns: DataFrame, pattern_column: str, values: DataFrame, value_column: str) -> DataFrame:
+    """``pattern``, ``value``: every different value that every different pattern is found in, letter case aside.
+
+    Each pattern is tested once on each value, wherever they come from and however many rows have them. Values are put
+    into blocks of ``VALUE_BLOCK`` by hash and patterns are sent to every block, so no task holds all values. A pattern
+    that is no regular expression raises an error; nulls take no part.
+    """
+    known = values.select(F.col(value_column).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    blocks = F.greatest(F.lit(1).cast("bigint"), F.ceil(known.agg(F.count(F.lit(1)) / VALUE_BLOCK).scalar()).cast("bigint"))
+    packed = known.groupBy(F.pmod(F.xxhash64("value"), blocks).alias("block")).agg(F.collect_list("value").alias("values"))
+    asked = patterns.select(F.col(pattern_column).alias("pattern")).filter(F.col("pattern").isNotNull()).distinct()
+    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    pairs = exploded(sent.join(packed, "block"), "values", "value", "pattern")
+    return pairs.filter(F.rlike("value", F.concat(F.lit("(?i)"), F.col("pattern"))))
+
+
+def competitors_by_pattern(requests: DataFrame, businesses: DataFrame, k: int = 20, request_id: str = "request_id") -> DataFrame:
+    """Up to ``k`` best-rated businesses for each request whose category and city its two patterns are found in.
+
+    ``requests`` has ``request_id``, ``name``, ``category_pattern`` and ``city_pattern`` (regular expressions, found
+    anywhere, letter case aside); businesses of the request's own name are left out. Best-rated first, then by id.
+    Result: the request's columns and the array ``competitors``, empty where nothing matches; a request with a null
+    pattern finds nothing. A pattern that is no regular expression raises an error.
+
+    Patterns are tested on the different categories and cities alone. Each (category, city) is cut to the ``2 k``
+    candidates that any request can need (see :func:`competitors`), these are joined to the pairs of patterns that reach
+    them and cut again; no pair of businesses is formed.
+    """
+    order = [F.coalesce("rating", F.lit(0.0)).desc(), F.col("source_id").asc()]
+    keyed = businesses.select(*_FIELDS, F.col("category").alias("category_key"), F.col("city").alias("city_key"))
+    cut = _candidates(keyed.filter(F.col("category_key").isNotNull() & F.col("city_key").isNotNull()), ["category_key", "city_key"], order, k)
+    group = ["category_pattern", "city_pattern"]
+    pairs = requests.select(*group).distinct()
+    categories = matching_values(pairs, "category_pattern", businesses, "category").toDF("category_pattern", "category_key")
+    cities = matching_values(pairs, "city_pattern", businesses, "city").toDF("city_pattern", "city_key")
+    reach = pairs.join(categories, "category_pattern").join(cities, "city_pattern")
+    best = _candidates(reach.join(cut, ["category_key", "city_key"]), group, order, k)
+    candidate = F.struct((-F.coalesce("rating", F.lit(0.0))).alias("rank_key"), *[F.col(c) for c in _FIELDS])
+    lists = best.groupBy(*group).agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
+    mine = F.coalesce(F.col("name"), F.lit(""))
+    own = F.slice(F.filter("candidates", lambda c: F.coalesce(c["name"], F.lit("")) != mine), 1, k)
+    joined = requests.join(lists, group, "left")
+    none = F.array().cast(lists.schema["candidates"].dataType)
+    return joined.select(*requests.columns, F.coalesce(own, none).alias("competitors"))
+
+
 def _candidates(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     per_name = top_n_per_group(rows, [*group, "name"], order, k)
     return top_n_per_group(per_name, list(group), order, 2 * k)
@@ -283,18 +334,60 @@ def nest_reviews(
     })
 
 
+#: Keywords that travel as one array to every review; more of them are found by their grams.
+LISTED_KEYWORDS = 256
+#: Longest gram, and reviews read to find out which grams are rare.
+GRAM, GRAM_SAMPLE = 5, 2000
+
+
+def grams(text: Column, sizes: Sequence[int]) -> Column:
+    """The different pieces of a text of the given lengths."""
+    # a look ahead at every sign; substring() would count its way through the text for each
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]))
+
+
+def gram_index(keywords: DataFrame, texts: DataFrame) -> DataFrame:
+    """``gram``, ``text``: each different keyword under its piece of ``GRAM`` letters that fewest texts hold.
+
+    Shorter keywords stand under themselves. What is rare is read off ``GRAM_SAMPLE`` texts; it only changes how many
+    candidates are tested.
+    """
+    words = keywords.select("text").filter(F.length("text") > 0).distinct()
+    short = F.length("text") < GRAM
+    pieces = exploded(words, F.when(short, F.array("text")).otherwise(grams(F.col("text"), [GRAM])), "gram", "text")
+    seen = exploded(texts.limit(GRAM_SAMPLE), grams(F.col("body"), [GRAM]), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    rarity = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram")
+    return pieces.join(seen, "gram", "left").groupBy("text").agg(F.min(rarity)["gram"].alias("gram")).select("gram", "text")
+
+
+def _listed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
+    top = keywords.select("text").distinct().agg(F.collect_list("text").alias("top"))
+    found = texts.select("body", top.scalar().alias("top")).select(
+        let(F.col("body"), lambda b: F.filter("top", lambda t: F.contains(b, t))).alias("hits"))
+    return exploded(found, "hits", "text").groupBy("text").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _indexed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
+    index = stage_table(gram_index(keywords, texts), "gram-index")
+    sizes = [r.size for r in index.select(F.length("gram").alias("size")).distinct().collect()]
+    everywhere = keywords.filter("text = ''").select("text").distinct().withColumn("count", texts.filter("body is not null").agg(F.count(F.lit(1))).scalar())
+    if not sizes:
+        return everywhere
+    held = exploded(texts, grams(F.col("body"), sizes), "gram", "body")
+    candidates = held.join(index, "gram").filter(F.contains("body", "text"))
+    return candidates.groupBy("text").agg(F.count(F.lit(1)).alias("count")).unionByName(everywhere)
+
+
 def keyword_review_counts(keywords: DataFrame, reviews: DataFrame, text_column: str = "review_text") -> DataFrame:
     """Number of reviews whose lower-cased text contains each keyword anywhere; 0 is kept.
 
-    ``keywords`` is a top-k list with a column ``text``. It is computed once, travels as one array
-    value that every task reads, and each review emits only the keywords it contains: no pairs of
-    keywords and reviews are formed.
+    ``keywords`` has a column ``text``; its other columns and repeated rows stay. Up to ``LISTED_KEYWORDS`` travel as one
+    array that every task reads. More of them are put under one rare piece of ``GRAM`` letters each: a
+    review emits its different pieces, those that head a keyword meet it in an equi join, and only these candidates
+    are compared. No pairs of keywords and reviews are formed; a null keyword has 0, an empty one is in every text.
     """
-    top = keywords.agg(F.collect_list(F.struct(*keywords.columns)).alias("top"))
-    found = reviews.select(F.col(text_column).alias("body"), top.scalar().alias("top")).select(
-        let(F.lower("body"), lambda b: F.filter("top", lambda t: F.contains(b, t["text"]))).alias("hits")
-    )
-    found = exploded(found, "hits", "t").select("t.text")
-    counts = found.groupBy("text").agg(F.count(F.lit(1)).alias("count"))
-    listed = keywords.sparkSession.range(1).select(top.scalar().alias("top")).select(F.inline("top"))
-    return listed.join(counts, "text", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    texts = reviews.select(F.lower(text_column).alias("body"))
+    few = keywords.select("text").distinct().limit(LISTED_KEYWORDS + 1).count() <= LISTED_KEYWORDS
+    counts = (_listed_counts if few else _indexed_counts)(keywords, texts).withColumnRenamed("text", "counted")
+    joined = keywords.join(counts, F.col("text") == F.col("counted"), "left").drop("counted")
+    return joined.withColumn("count", F.coalesce("count", F.lit(0)))
