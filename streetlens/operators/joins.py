@@ -336,6 +336,8 @@ def nest_reviews(
 
 #: Keywords that travel as one array to every review; more of them are found by their grams.
 LISTED_KEYWORDS = 256
+#: Keywords and bytes of them that are sent to every review at once.
+SENT_KEYWORDS, SENT_KEYWORD_BYTES = 250_000, 8 << 20
 #: Longest gram, and reviews read to find out which grams are rare.
 GRAM, GRAM_SAMPLE = 5, 2000
 
@@ -369,13 +371,14 @@ def _listed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _indexed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
     index = stage_table(gram_index(keywords, texts), "gram-index")
-    sizes = [r.size for r in index.select(F.length("gram").alias("size")).distinct().collect()]
-    everywhere = keywords.filter("text = ''").select("text").distinct().withColumn("count", texts.filter("body is not null").agg(F.count(F.lit(1))).scalar())
-    if not sizes:
-        return everywhere
-    held = exploded(texts, grams(F.col("body"), sizes), "gram", "body")
-    candidates = held.join(index, "gram").filter(F.contains("body", "text"))
-    return candidates.groupBy("text").agg(F.count(F.lit(1)).alias("count")).unionByName(everywhere)
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.collect_set(F.length("gram")).alias("sizes")).first()
+    counts = keywords.filter("text = ''").select("text").distinct().withColumn("count", texts.filter("body is not null").agg(F.count(F.lit(1))).scalar())
+    blocks = max(-(-size.n // SENT_KEYWORDS), -(-size.bytes // SENT_KEYWORD_BYTES))
+    for number in range(blocks):
+        part = index.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number)
+        candidates = exploded(texts, grams(F.col("body"), sorted(size.sizes)), "gram", "body").join(F.broadcast(part), "gram")
+        counts = counts.unionByName(candidates.filter(F.contains("body", "text")).groupBy("text").agg(F.count(F.lit(1)).alias("count")))
+    return counts
 
 
 def keyword_review_counts(keywords: DataFrame, reviews: DataFrame, text_column: str = "review_text") -> DataFrame:
@@ -384,7 +387,9 @@ def keyword_review_counts(keywords: DataFrame, reviews: DataFrame, text_column:
     ``keywords`` has a column ``text``; its other columns and repeated rows stay. Up to ``LISTED_KEYWORDS`` travel as one
     array that every task reads. More of them are put under one rare piece of ``GRAM`` letters each: a
     review emits its different pieces, those that head a keyword meet it in an equi join, and only these candidates
-    are compared. No pairs of keywords and reviews are formed; a null keyword has 0, an empty one is in every text.
+    are compared. The index is sent to the reviews, behind a check of its size in blocks, so no text is exchanged; each
+    block reads the reviews once. No pairs of keywords and reviews are formed; a null keyword has 0, an empty one is
+    in every text.
     """
     texts = reviews.select(F.lower(text_column).alias("body"))
     few = keywords.select("text").distinct().limit(LISTED_KEYWORDS + 1).count() <= LISTED_KEYWORDS

@@ -40,9 +40,10 @@ def test_no_pair_of_businesses_is_formed(spark, businesses):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("listed", [256, 0])
-def test_keyword_counts(spark, listed, monkeypatch):
+@pytest.mark.parametrize("listed, sent", [(256, 1), (0, 250_000), (0, 100)])
+def test_keyword_counts(spark, listed, sent, monkeypatch):
     monkeypatch.setattr(joins, "LISTED_KEYWORDS", listed)
+    monkeypatch.setattr(joins, "SENT_KEYWORDS", sent)
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcÉ𝔸 \n") for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "a" * 20_000]
     words = ["", "a", "ab", "abc", "bca", "cé", "𝔸", "a𝔸b", "zzz", "abca", "abcab", "aaaaa", "aaaaaa", "a b c", "c\na", "ÉÉ"]
