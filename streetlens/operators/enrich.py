@@ -58,6 +58,7 @@ def enrich_with_tables(
     has_text = F.coalesce(F.length(body) > 0, F.lit(False))
     threshold, inclusive = (0.05, True) if mode == "compound" else (0.1, False)
     totals = lexicon_totals(reviews, word_table(lexicon, "word", "valence"), key, text_column)
+    stop_words = word_table(stop_words)
     found = [
         (totals.withColumn("__score", polarity(F.col("total"), F.col("hits"), mode)).drop("total", "hits"), ["__score"]),
         (table_keywords(reviews, stop_words, key, text_column, max_keywords), ["keywords"]),

@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 from streetlens.functions.arrays import adjacent_pairs, exploded, occurrence_counts
 from streetlens.functions.text import cleaned_tokens
+from streetlens.session import stage_table
 
 #: A word table is sent to every task up to so many words and bytes of them.
 SENT_WORDS, SENT_BYTES = 250_000, 8 << 20
 
 
 def word_table(words: DataFrame, word_column: str = "word", value_column: str | None = None) -> DataFrame:
-    """One row ``word`` (, ``value``) for each word; null words and values drop out, of a repeated word the mean."""
+    """One row ``word`` (, ``value``) for each word; null words and values drop out, of a repeated word the mean.
+
+    Written once: its size is asked for before it is joined.
+    """
     known = words.filter(F.col(word_column).isNotNull()).select(
         F.col(word_column).alias("word"), *([F.col(value_column).cast("double").alias("value")] if value_column else []))
     if value_column:
-        return known.filter(F.col("value").isNotNull()).groupBy("word").agg(F.avg("value").alias("value"))
-    return known.distinct()
+        return stage_table(known.filter(F.col("value").isNotNull()).groupBy("word").agg(F.avg("value").alias("value")), "lexicon")
+    return stage_table(known.distinct(), "stop-words")
 
 
 def _is_small(table: DataFrame) -> bool:
