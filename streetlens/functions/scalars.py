@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -170,12 +171,29 @@ def hours_text(periods: Column) -> Column:
     return F.coalesce(F.transform(usable, line), F.array().cast("array<string>"))
 
 
+_REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+
+_NAMED = ",".join(f"{name}:{code}" for name, code in sorted(name2codepoint.items()))
+
+
+def _referred(reference: Column) -> Column:
+    """The sign that a character reference stands for; null for an unknown one."""
+    body = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    digits = F.regexp_extract(body, "^#[xX]?(.*)$", 1)
+    number = F.when(F.lower(F.substring(body, 1, 2)) == "#x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    # one literal: a map written out entry by entry would be planned anew in every column that is unescaped
+    named = F.str_to_map(F.lit(_NAMED), F.lit(","), F.lit(":"))
+    code = F.when(F.startswith(body, F.lit("#")), number).otherwise(F.try_element_at(named, body).cast("bigint"))
+    sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32"))
+
+
 def unescape(text: Column) -> Column:
-    """Common named entities to characters; ``&amp;`` last, so it cannot chain."""
-    plain = text
-    for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"),
-        ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
-    ):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    """Character references (decimal, hexadecimal, and the named ones of HTML 4) to characters, in one pass.
+
+    What a reference gives is not looked at again, so ``&amp;lt;`` is ``&lt;``; an unknown reference stays.
+    """
+    parts, references = F.split(text, _REFERENCE), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    signs = F.transform(references, lambda r: F.coalesce(_referred(r), r))
+    pairs = F.zip_with(parts, signs, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pairs, "")).otherwise(text)

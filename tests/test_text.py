@@ -155,3 +155,17 @@ def test_label_counts_sum_to_the_total(spark):
     df = spark.createDataFrame([("b", "positive"), ("b", None), ("b", "negative"), ("b", "odd")], "business_id string, sentiment_label string")
     row = aggregates.label_distribution(df).first()
     assert (row.positive, row.neutral, row.negative) == (1, 1, 1)
+
+
+@pytest.mark.parametrize("text", [
+    "caf&eacute; &#233;&#xE9;&#x1F600; &#128512;", "&amp;lt; &#38;lt; &&#35;38; &amp;#38;", "&unknown; &#0; &#xD800; &#9999999; & ; &;", "no reference", "",
+    "&lt;b&gt;&quot;x&quot;&#39;&nbsp;&copy;&middot;", "&euro;", "a&amp;", "&Alpha;&alpha;&sup2;"])
+def test_character_references(spark, text):
+    import html
+    import re
+
+    kept = {"&unknown;", "&#0;", "&#xD800;", "&#9999999;"}
+    want = re.sub("&[#A-Za-z0-9]+;", lambda m: m[0] if m[0] in kept else html.unescape(m[0]), text)
+    # a column, not a literal, so that the expression is not folded away
+    got = spark.createDataFrame([(text,)], "t string").select(scalars.unescape(F.col("t")).alias("v")).first().v
+    assert got == want
