@@ -19,6 +19,9 @@ from streetlens.session import scratch_path
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
+#: Bytes of text encoded at once; the arrays beside them take some sixty times as much.
+PIECE_BYTES = 1 << 20
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -28,6 +31,32 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class IdTable:
+    """Ids of pieces by the hash of their bytes, as flat arrays: some 30 bytes a piece."""
+
+    def __init__(self):
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+    def add(self, keys: np.ndarray, lists: list[list[int]]) -> None:
+        """Puts in new keys, in ascending order, with their ids."""
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(size.sum()))
+        place = np.searchsorted(self.keys, keys)
+        begin = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        self.keys, self.begin, self.size = (
+            np.insert(old, place, new) for old, new in ((self.keys, keys), (self.begin, begin), (self.size, size)))
+        self.ids = np.concatenate((self.ids, flat))
+
+
 class PieceEncoder:
     """Encodes with a tokenizer of the ``tokenizers`` library, each distinct piece of text once.
 
@@ -44,7 +73,7 @@ class PieceEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = {b: sign for b, sign in enumerate(byte_alphabet())}
-        self.known: dict[int, list[int]] = {}
+        self.known = IdTable()
         self.keep = keep
         self.kinds = np.full(256, OTHER, np.uint8)
         self.kinds[[9, 10, 11, 12, 13, 32]] = SPACE
@@ -94,22 +123,18 @@ class PieceEncoder:
         data, starts, ends, plain, first = self.cut(data, offsets)
         keys = RangeHash(data).of(starts, ends) ^ plain.astype(np.uint64)
         values, at, piece = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
         if len(self.known) > self.keep:
-            self.known.clear()
-        lists = []
-        for key, i in zip(values.tolist(), at.tolist(), strict=True):
-            found = self.known.get(key)
-            if found is None:
-                found = self.known[key] = self.ids_of(data[starts[i]:ends[i]].tobytes(), bool(plain[i]))
-            lists.append(found)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
+            self.known = IdTable()
+        new = np.flatnonzero(~self.known.has(values))
+        self.known.add(values[new], [self.ids_of(data[starts[i]:ends[i]].tobytes(), bool(plain[i])) for i in at[new]])
+        place = np.searchsorted(self.known.keys, values)
         # the end id is one more piece behind those of each text
-        begin, sizes, flat = np.append(begin, len(flat)), np.append(sizes, 1), np.append(flat, np.uint32(end_id))
+        flat = np.append(self.known.ids, np.uint32(end_id))
+        begin, sizes = np.append(self.known.begin[place], len(flat) - 1), np.append(self.known.size[place], np.int32(1))
         piece = np.insert(piece, first[1:], len(values))
         lengths = sizes[piece]
-        stops = np.cumsum(lengths)
+        stops = np.cumsum(lengths, dtype=np.int64)
         out = flat[np.repeat(begin[piece] - (stops - lengths), lengths) + np.arange(stops[-1])]
         total = np.concatenate(([0], stops))
         edge = first + np.arange(len(first))
@@ -210,7 +235,7 @@ def file_writer(folder: str, tokenizer_path: str, end_id: int, length: int, batc
         with store.open_output_stream(inner + ".arrow") as sink, store.open_output_stream(inner + ".docs") as docs:
             sequences = SequenceWriter(sink, length, kind, batch_rows)
             with pa.ipc.new_file(docs, schema) as index:
-                for batch in chunks(itertools.chain([first], batches), "text"):
+                for batch in chunks(itertools.chain([first], batches), "text", PIECE_BYTES):
                     ids, counts = encoder.encode(batch.column("text"), end_id)
                     sequences.add(ids)
                     offset = n_ids + np.cumsum(counts) - counts

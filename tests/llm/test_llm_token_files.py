@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from streetlens.llm import token_files
 from streetlens.llm.token_files import PieceEncoder, SequenceFile, read_documents, write_token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -50,3 +51,23 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     ids, counts = ENCODER.encode(pa.array(texts, pa.string()), 1)
     assert ids.tolist() == [i for t in texts for i in whole(t)]
     assert counts.tolist() == [len(whole(t)) for t in texts]
+
+
+def test_a_small_table_of_pieces_gives_the_same_ids():
+    encoder = PieceEncoder(PATH, keep=3)
+    for texts in (["one two three four five", None], ["five six", "one"], [""], ["two two 77 two", "Zoë"]):
+        ids, counts = encoder.encode(pa.array(texts, pa.string()), 1)
+        assert ids.tolist() == [i for t in texts for i in whole(t)]
+        assert counts.tolist() == [len(whole(t)) for t in texts]
+
+
+def test_texts_longer_than_a_piece_of_work(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PIECE_BYTES", 64)
+    texts = ["short", "a longer text, " * 40, None, "", "Ünïcode wörds 123 " * 30, "x" * 500, "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r for r in read_documents(spark, write_token_files(docs, PATH, str(tmp_path / "ids"), length=8, batch_rows=2)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = whole(text)
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
