@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, lower_ascii, text_bytes, word_spans
+from streetlens.llm.columns import as_row, row_type
 
 #: Largest benchmark that is sent to the tasks; a larger one is screened in parts (see the docstring).
 MAX_BENCHMARK_BYTES = 128 << 20
@@ -231,8 +232,8 @@ def _sent(docs: DataFrame, benchmark: DataFrame, window: int):
 
 
 def _rows(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
-    rows = docs.select(F.struct(*keep).alias("row"), "text")
-    return rows, rows.schema["row"].dataType.simpleString()
+    rows = docs.select(as_row(keep), "text")
+    return rows, row_type(rows)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, keep: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import chunks
+from streetlens.llm.columns import as_row, row_type
 
 FEATURES = (
     "aside", "article", "elsewhere", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
@@ -260,6 +261,6 @@ def main_text(pages: DataFrame, keep: list[str] | None = None, tree: list | None
     give an empty text. Unclosed elements, comments and scripts end with the page. Repeated rows are
     extracted each. ``tree`` takes a tree grown from other labelled blocks. No shuffle.
     """
-    rows = pages.select(F.struct(*(keep or ["page_id", "url"])).alias("row"), "html")
-    kind = rows.schema["row"].dataType.simpleString()
+    rows = pages.select(as_row(keep or ["page_id", "url"]), "html")
+    kind = row_type(rows)
     return rows.mapInArrow(extractor(tree or trained_tree()), f"row {kind}, text string, n_chars bigint")

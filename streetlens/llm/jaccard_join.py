@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, mixed, signed
+from streetlens.llm.columns import as_row
 from streetlens.llm.components import connected_components, maybe, value_filter
 from streetlens.llm.shingles import shingle_sets
 from streetlens.session import stage_table
@@ -339,6 +340,6 @@ def one_of_each_group(docs: DataFrame, width: int = 5, share: int = 80) -> DataF
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
     kept = similar.groupBy("label").agg(first).select(F.col("first.key").alias("similar_key"))
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    rows = docs.filter(worded).select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("similar_key"))
+    rows = docs.filter(worded).select(as_row(docs.columns), F.xxhash64("doc_id", "text").alias("similar_key"))
     chosen = rows.join(stage_table(kept, "kept"), "similar_key").dropDuplicates(["similar_key"])
     return chosen.select("row.*").union(docs.filter(~worded))

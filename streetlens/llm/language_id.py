@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import chunks, mixed, text_bytes
+from streetlens.llm.columns import as_row, row_type
 from streetlens.llm.sampling import bounded_sample
 
 WIDTHS, FILTERS, EMBEDDING, WINDOW = (2, 3, 4), 16, 8, 256
@@ -19,7 +19,10 @@ WIDTHS, FILTERS, EMBEDDING, WINDOW = (2, 3, 4), 16, 8, 256
 #: Labelled rows the network is fitted on at most (those with the smallest hashed ids), and windows of each.
 TRAIN_ROWS, TRAIN_WINDOWS = 4000, 2
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str | None) -> bool:
+    """Whether some sign is a letter: numbers such as superscripts, fractions and Roman ones are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def windows_of(data: np.ndarray, start: int, end: int, window: int) -> np.ndarray:
@@ -38,7 +41,7 @@ def training_windows(data: bytes) -> list[bytes]:
     drawn: list[bytes] = []
     for i in order:
         part = data[i * WINDOW:(i + 1) * WINDOW]
-        if _LETTER.search(part.decode(errors="ignore")):
+        if has_letter(part.decode(errors="ignore")):
             drawn.append(part)
             if len(drawn) == TRAIN_WINDOWS:
                 break
@@ -166,7 +169,7 @@ def predictor(net: dict[str, np.ndarray] | None, languages: list[str]):
         looked = tables(net) if net else []
         for batch in chunks(batches, "text"):
             n = batch.num_rows
-            known = np.array([bool(_LETTER.search(t)) if t else False for t in batch.column("text").to_pylist()], bool)
+            known = np.array([has_letter(t) for t in batch.column("text").to_pylist()], bool)
             names, score = np.full(n, "und", object), np.zeros(n)
             if net and known.any():
                 data, offsets = text_bytes(batch.column("text"))
@@ -223,6 +226,6 @@ def identify_language(docs: DataFrame, labelled: DataFrame, keep: list[str] | No
     where nothing is labelled, gets ``und`` with score 0. Repeated rows are predicted each. No shuffle of texts.
     """
     net, languages = trained_network(labelled, rows)
-    chosen = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), "text")
-    kind = chosen.schema["row"].dataType.simpleString()
+    chosen = docs.select(as_row(keep or ["doc_id"]), "text")
+    kind = row_type(chosen)
     return chosen.mapInArrow(predictor(net, languages), f"row {kind}, lang_pred string, score double")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, mixed, text_bytes
+from streetlens.llm.columns import as_row, row_type
 
 #: Segments of up to so many bytes are solved side by side; longer ones stream alone.
 LANE_BYTES = 32
@@ -328,8 +329,8 @@ def encode_pieces(docs: DataFrame, model_path: str, keep: list[str] | None = Non
     the end backwards), with a space marked before the text as the model does. White space is kept as it is.
     A null or empty text has no ids and round-trips as empty; repeated rows are encoded each. No shuffle.
     """
-    rows = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
+    rows = docs.select(as_row(keep or ["doc_id"]), "text")
+    kind = row_type(rows)
     return rows.mapInArrow(encoder(model_path), (
         f"row {kind}, ids array<int>, n_pieces bigint, n_bytes_spelled bigint, ids_crc32 bigint, round_trip boolean"))
 
@@ -349,5 +350,5 @@ def decoder(path: str):
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     """The texts of the rows that ``encode_pieces`` gave: ``row`` and ``text``; null ids give an empty text."""
     rows = encoded.select("row", "ids")
-    kind = rows.schema["row"].dataType.simpleString()
+    kind = row_type(rows)
     return rows.mapInArrow(decoder(model_path), f"row {kind}, text string")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, mixed, text_bytes
+from streetlens.llm.columns import as_row, row_type
 from streetlens.llm.sampling import bounded_sample
 
 #: Words are hashed into so many buckets; the vectors of all of them together are small at any input size.
@@ -219,8 +220,8 @@ def score_quality(
     net = None
     if found.num_rows:
         net = fit(np.array(found.column("x").to_pylist()), np.array(found.column("label").to_pylist(), float))
-    every = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), "text")
-    kind = every.schema["row"].dataType.simpleString()
+    every = docs.select(as_row(keep or ["doc_id"]), "text")
+    kind = row_type(every)
     return every.mapInArrow(scorer(vectors, net, limit), f"row {kind}, score double, predicted int")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, mixed, runs, signed, text_bytes
+from streetlens.llm.columns import as_row, row_type
 from streetlens.llm.components import maybe, value_filter
 from streetlens.session import stage_table
 
@@ -337,9 +338,9 @@ def without_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None =
     ``merge``. A bucket with more than ``BUCKET_WINDOWS`` distinct windows is cut by offsets into pieces that can
     be merged apart, at last into single strings, so that no task holds a very common one.
     """
-    marked = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    marked = docs.select(as_row(keep or ["doc_id"]), F.xxhash64("doc_id", "text").alias("key"), "text")
     spans = repeated_spans(marked, length)
-    kind = marked.schema["row"].dataType.simpleString()
+    kind = row_type(marked)
     result = f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * cut_text
     return marked.join(spans, "key", "left").select("row", "text", "spans").mapInArrow(remover(cut_text), result)
 

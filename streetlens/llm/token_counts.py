@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import chunks
+from streetlens.llm.columns import as_row, row_type
 
 #: Distinct pre-tokens whose counts a task remembers.
 KNOWN = 400_000
@@ -199,7 +200,7 @@ def edited_token_counts(docs: DataFrame, ranks_path: str, pattern: str, keep: li
     A null text is empty; null edits, and edits with a null start, are left out; a null ``removed`` is 0, a null
     ``inserted`` empty; offsets beyond the text mean its end. Repeated rows are counted each. No shuffle.
     """
-    rows = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), "text", "edits")
-    kind = rows.schema["row"].dataType.simpleString()
+    rows = docs.select(as_row(keep or ["doc_id"]), "text", "edits")
+    kind = row_type(rows)
     return rows.mapInArrow(counting(ranks_path, pattern), (
         f"row {kind}, n_before bigint, n_tokens bigint, n_chars bigint, n_edits bigint, n_recounted bigint"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from streetlens.llm.language_id import fit, identify_language, init, responses, step, tables, trained_network, training_windows
+from streetlens.llm.language_id import fit, has_letter, identify_language, init, responses, step, tables, trained_network, training_windows
 from streetlens.llm.quality import good_documents, score_quality, word_vectors
 
 from tests.llm.conftest import prose
@@ -114,3 +114,8 @@ def test_repeated_documents_do_not_crowd_out_a_label(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, quality int")
     got = {r.row.doc_id: r.predicted for r in score_quality(docs, labels, rows=60).collect()}
     assert np.mean([got[i] == i % 2 for i, _ in texts]) > 0.9
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(has_letter, (None, "", "²½ Ⅷ 123", "_ 7", "€ 5")))
+    assert all(map(has_letter, ("² a", "日", "ß", "º 1 é")))
