@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from streetlens.session import scratch_path, stage_table
+
 #: Vectors of one shard, and query vectors of one block (a block is what the driver sends at once).
 SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
 
@@ -26,10 +29,10 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: flo
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of terms as floats, ``width`` columns; a missing term is 0. Sums below 2**53 are exact."""
+    """Rows of terms, ``width`` columns; a missing term is 0."""
     lengths = np.diff(np.asarray(column.offsets))
-    out = np.zeros((len(column), width))
-    flat = np.asarray(column.flatten(), dtype=float)
+    out = np.zeros((len(column), width), np.int64)
+    flat = np.asarray(column.flatten(), dtype=np.int64)
     row = np.repeat(np.arange(len(column)), lengths)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     keep = at < width
@@ -37,24 +40,38 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def exact_kind(queries: np.ndarray, shard: np.ndarray) -> type:
+    """The fastest numbers in which every sum of products of a query and a vector of the shard is exact.
+
+    Doubles hold whole numbers up to 2**53, longs up to 2**63, Python's own any; the margins cover the rounding
+    of the bound itself.
+    """
+    most = np.abs(queries.astype(float)) @ np.abs(shard.astype(float)).max(axis=0, initial=0)
+    bound = most.max(initial=0)
+    return float if bound < 2**52 else np.int64 if bound < 2**62 else object
+
+
 class Best:
     """The k best (score, id) of each query so far: higher score first, then smaller id."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.scores = [np.zeros(0)] * queries
+        self.scores = [np.zeros(0, np.int64)] * queries
         self.ids = [np.zeros(0, np.int64)] * queries
-        self.floor = np.full(queries, -np.inf)
+        #: The k-th best score, a whole number once there are k.
+        self.floor: list[float | int] = [-np.inf] * queries
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.concatenate((self.scores[q], scores)), np.concatenate((self.ids[q], ids))
+        if scores.dtype == object and not all(-2**63 <= s < 2**63 for s in scores):
+            raise OverflowError("an inner product among the best does not fit a long; take a smaller scale")
+        scores, ids = np.concatenate((self.scores[q], scores.astype(np.int64))), np.concatenate((self.ids[q], ids))
         if len(scores) > 8 * self.k:
             keep = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             scores, ids = scores[keep], ids[keep]
-        order = np.lexsort((ids, -scores))[:self.k]
+        order = np.lexsort((ids, ~scores))[:self.k]
         self.scores[q], self.ids[q] = scores[order], ids[order]
         if len(order) == self.k:
-            self.floor[q] = scores[order[-1]]
+            self.floor[q] = int(scores[order[-1]])
 
 
 def search_shard(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray) -> int:
@@ -66,18 +83,21 @@ def search_shard(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np
     shard; vectors whose score with all remaining bounds is still competitive are probed in the
     non-essential terms, largest bound first.
     """
-    lists = np.ascontiguousarray(shard.T)
+    kind = exact_kind(queries, shard)
+    queries, lists = queries.astype(kind), np.ascontiguousarray(shard.T.astype(kind))
     high, low = np.maximum(lists.max(axis=1), 0), np.minimum(lists.min(axis=1), 0)
     bounds = np.where(queries > 0, queries * high, queries * low)
     products = 0
-    for q in np.flatnonzero(bounds.sum(axis=1) >= best.floor):
+    for q, reachable in enumerate(bounds.sum(axis=1)):
+        if reachable < best.floor[q]:
+            continue
         order = np.argsort(bounds[q])
         reach = np.cumsum(bounds[q][order])
         split = int(np.searchsorted(reach, best.floor[q], "left"))
         essential, rest = order[split:], order[:split]
         partial = queries[q][essential] @ lists[essential]
         products += len(essential) * len(ids)
-        left = reach[split - 1] if split else 0.0
+        left = reach[split - 1] if split else 0
         alive = np.flatnonzero((partial + left >= best.floor[q]) & (ids != query_ids[q]))
         score = partial[alive]
         for t in rest[::-1]:
@@ -121,7 +141,7 @@ def searcher(block, k: int, shard_rows: int):
         if sum(counts):
             yield pa.RecordBatch.from_pydict({
                 "query_id": np.repeat(query_ids, counts), "vec_id": np.concatenate(best.ids),
-                "score": np.concatenate(best.scores).astype(np.int64)})
+                "score": np.concatenate(best.scores)})
 
     return run
 
@@ -136,25 +156,37 @@ def max_score_search(
     ``k`` rows where there are fewer vectors. A query never finds rows of its own id. Vectors that are
     null or hold a null or non-finite component take no part, on either side. Vectors of different
     length are compared over the terms both have. A vector that stands in the table twice takes two
-    ranks; of a repeated query id the smallest vector is searched. Other columns are ignored.
+    ranks; of a repeated query id the smallest vector is searched. Other columns are ignored. Scores are exact
+    as long as they fit a long; where one among the best does not, the search ends with an error. Components
+    beyond a long count as the nearest long.
 
     The query set is sent to the tasks in blocks of about ``block_queries`` vectors, whatever its size;
-    every block passes over all vectors once, without a shuffle of them. Tasks keep ``k`` rows per query
-    and only those are merged.
+    every block passes over all vectors once, without a shuffle of them. Where there are several, one is
+    worked off before the next is read, so that the driver holds a single block. Tasks keep ``k`` rows per
+    query and only those are merged.
     """
     spark = vectors.sparkSession
     candidates = quantised(vectors, id_column, vector_column, scale)
     asked = quantised(queries, id_column, vector_column, scale).groupBy("id").agg(F.min("terms").alias("terms"))
     blocks = max(1, -(-asked.count() // block_queries))
-    parts = []
-    for number in range(blocks):
+    if blocks > 1:
+        asked = stage_table(asked, "queries")
+
+    def part(number: int) -> tuple[DataFrame, Broadcast]:
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow()
         terms = block.column("terms").combine_chunks()
         width = int(np.diff(np.asarray(terms.offsets)).max(initial=0)) if len(terms) else 0
         sent = spark.sparkContext.broadcast((block.column("id").to_numpy(), matrix(terms, width)))
-        parts.append(candidates.mapInArrow(searcher(sent, k, shard_rows), "query_id bigint, vec_id bigint, score bigint"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+        return candidates.mapInArrow(searcher(sent, k, shard_rows), "query_id bigint, vec_id bigint, score bigint"), sent
+
+    found, sent = part(0)
+    if blocks > 1:
+        folder = scratch_path(spark, "found")
+        for number in range(blocks):
+            if number:
+                found, sent = part(number)
+            found.write.mode("append").parquet(folder)
+            sent.destroy()
+        found = spark.read.schema(found.schema).parquet(folder)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from streetlens.llm import components
 from streetlens.llm.components import connected_components, value_filter
 from streetlens.llm.token_counts import Counter, TokenTree, edited_token_counts
-from streetlens.llm.topk_search import max_score_search
+from streetlens.llm.topk_search import Best, max_score_search, search_shard
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -35,6 +36,30 @@ def test_search_equals_brute_force(spark, shard, block):
     assert max_score_search(vectors, vectors.filter("vec_id = -1")).count() == 0
 
 
+@pytest.mark.parametrize("size", [4e5, 3e6, 7e6])
+def test_large_scores_are_exact(spark, size):
+    """Sums around 2**53 and more, which doubles do not hold."""
+    rows = [(0, [size, size, 1.0])] + [(i, [size, size - i % 3, float(-i)]) for i in range(1, 40)] + [(50, [-size, 3.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in max_score_search(vectors, vectors.filter("vec_id % 50 = 0"), shard_rows=9).collect()}
+    whole = [(i, [int(256 * x // 1) for x in v]) for i, v in rows]
+    for q, v in whole:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:5]
+            assert [got[q, n] for n in range(1, 6)] == [(i, -s) for s, i in best]
+
+
+def test_scores_beyond_a_long_are_an_error():
+    best = Best(1, 2)
+    vectors = np.full((3, 2), 2**40, np.int64)
+    with pytest.raises(OverflowError):
+        search_shard(best, np.array([0]), vectors[:1], np.array([1, 2, 3]), vectors)
+    # terms of both signs may go beyond a long on the way
+    vectors = np.array([[2**40, 2**40], [2**40, -2**40 + 3]], np.int64)
+    search_shard(best, np.array([0]), vectors[:1], np.array([0, 2]), vectors)
+    assert best.ids[0].tolist() == [2] and best.scores[0].tolist() == [3 * 2**40]
+
+
 def test_trees_follow_edits():
     rng = random.Random(5)
     signs = "ab c  d\n\n 's12 é!?.日 \t'll"
@@ -79,9 +104,18 @@ def test_components(spark):
 
 
 def test_filters_never_drop_a_member(spark):
-    import numpy as np
-
     values = np.arange(-5000, 5000) * 977_331
     bits = value_filter(spark.createDataFrame([(int(v),) for v in values], "v bigint")).value
     assert components.maybe(bits, values).all()
     assert components.maybe(bits, values + 1).mean() < 0.01
+
+
+def test_filters_grow_with_their_values(spark):
+    assert components.filter_bits(0) == components.filter_bits(1) == 8 * components.SLICE_BYTES
+    assert components.filter_bits(1 << 20) == 1 << 24 and components.filter_bits(1 << 40) == components.MOST_BITS
+    values = np.arange(100_000) * 48_271
+    known = spark.range(100_000).selectExpr("id * 48271 AS v").repartition(5)
+    bits = value_filter(known.union(known)).value
+    assert 8 * len(bits) == 1 << 22 and components.maybe(bits, values).all() and components.maybe(bits, values + 1).mean() < 1 / 16
+    none = value_filter(spark.createDataFrame([(None,)], "v bigint")).value
+    assert not components.maybe(none, values).any()
