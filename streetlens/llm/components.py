@@ -1,7 +1,8 @@
-"""Connected components of links, and fixed-size filters for joins with few partners."""
+"""Connected components of links, and bounded filters for joins with few partners."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from streetlens.llm.arrays import mixed
 from streetlens.session import stage_table
 
-#: Bits of a filter: 4 MB, whatever the number of values.
-FILTER_BITS = 1 << 25
+#: Bits of a filter for each value, and at most; bytes of the slices it is merged in.
+BITS_A_VALUE, MOST_BITS, SLICE_BYTES = 16, 1 << 29, 1 << 17
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -38,35 +39,67 @@ def connected_components(links: DataFrame) -> DataFrame:
     return nodes
 
 
-def bits_of(values: np.ndarray) -> np.ndarray:
-    return (mixed(values.view(np.uint64) + np.uint64(11)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def bits_of(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(values.view(np.uint64) + np.uint64(11)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(FILTER_BITS, bool)
-    seen = False
-    for batch in batches:
-        if batch.num_rows:
-            total[bits_of(batch.column(0).to_numpy())] = seen = True
-    if seen:
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(total).tobytes()]})
+def marker(bits: int):
+    """Task: the slices of the bit map that its values mark, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = bits_of(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(total, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        for number, part in enumerate(total.reshape(-1, SLICE_BYTES)):
+            if part.any():
+                yield slice_row(number, part)
+
+    return run
+
 
+def slice_row(number: int, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "marks": [zlib.compress(part.tobytes(), 1)]})
 
-def value_filter(values: DataFrame, tasks: int = 8):
-    """Broadcast bit map of a column of 64-bit values, of fixed size, for dropping what surely is not among them.
 
-    It only saves shuffling: whoever uses it joins with the values afterwards. With very many values it is
-    full and lets everything through.
+def slice_merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: one row for each of its slices, with the marks of all tasks; slices come one after another."""
+    number, total = -1, np.zeros(SLICE_BYTES, np.uint8)
+    for batch in batches:
+        for at, marks in zip(batch.column("slice").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            if at != number and number >= 0:
+                yield slice_row(number, total)
+                total = np.zeros(SLICE_BYTES, np.uint8)
+            number = at
+            total |= np.frombuffer(zlib.decompress(marks), np.uint8)
+    if number >= 0:
+        yield slice_row(number, total)
+
+
+def value_filter(values: DataFrame):
+    """Broadcast bit map of a column of 64-bit values, for dropping what surely is not among them.
+
+    It has ``BITS_A_VALUE`` bits for each value counted, ``MOST_BITS`` (64 MB) at most: one in sixteen
+    others passes. Beyond 30 million values it fills up, and with very many it lets everything through. It only
+    saves shuffling: whoever uses it joins with the values afterwards. Tasks mark slices of the map, which are
+    merged by slice; the driver gets the merged map alone.
     """
     spark = values.sparkSession
-    parts = values.filter(F.col(values.columns[0]).isNotNull()).coalesce(tasks).mapInArrow(marker, "bits binary")
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in parts.collect():
-        total |= np.frombuffer(row.bits, np.uint8)
+    known = values.filter(F.col(values.columns[0]).isNotNull())
+    bits = filter_bits(known.count())
+    slices = known.mapInArrow(marker(bits), "slice int, marks binary").repartition(F.col("slice")).sortWithinPartitions("slice")
+    total = np.zeros(bits // 8, np.uint8)
+    for row in slices.mapInArrow(slice_merger, "slice int, marks binary").collect():
+        total[row.slice * SLICE_BYTES:(row.slice + 1) * SLICE_BYTES] = np.frombuffer(zlib.decompress(row.marks), np.uint8)
     return spark.sparkContext.broadcast(total)
 
 
+def filter_bits(count: int) -> int:
+    """A power of two."""
+    return min(MOST_BITS, max(8 * SLICE_BYTES, 1 << (BITS_A_VALUE * count - 1).bit_length() if count else 0))
+
+
 def maybe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values may be among those of the filter."""
-    at = bits_of(values)
+    at = bits_of(values, 8 * len(bits))
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
