@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from streetlens.catalog.base import Tables, query
 from streetlens.catalog.relations import ALL_TIES, ANOMALIES, NEWEST, TIES
 from streetlens.operators import windows
 from streetlens.session import scratch_path
-from streetlens.sinks import maintenance, tables, upsert
+from streetlens.sinks import layout, maintenance, tables, upsert
 from streetlens.sources import pages, places
 from streetlens.sources.collections import read_collection
 
@@ -296,3 +297,38 @@ query("delete_all_sources", R, "SELECT * FROM (SELECT * REPLACE (CASE WHEN seq %
 query("retention_cleanup", "source_review_id seq:i generated_at:t", """
 SELECT source_review_id, seq, CASE WHEN seq % 7 > 0 THEN review_date END AS generated_at FROM reviews WHERE NOT coalesce(seq % 7 > 0 AND review_date < TIMESTAMP '2001-08-03', FALSE)""", "reviews")(
     lambda t: maintenance.retention_cleanup(t.reviews.withColumn("generated_at", F.when(F.col("seq") % 7 > 0, F.col("review_date"))), AS_OF))
+
+
+# -- the same on tables laid out in folders and buckets ---------------------------------------------------
+
+def _folders(t: Tables, df: DataFrame, by: str) -> tuple:
+    path = scratch_path(t.spark, "folders")
+    layout.write_folders(df, path, by)
+    return t.spark, path, df.schema
+
+
+query("delete_by_source_folders", R, "SELECT * FROM reviews WHERE source <> 'city_search'", "reviews")(
+    lambda t: layout.delete_source(*_folders(t, t.reviews, "source"), "city_search"))
+query("delete_by_city_folders", B, f"SELECT * FROM businesses WHERE NOT ({_GONE} OR regexp_matches(address, 'NATION_1', 'i'))", "businesses")(
+    lambda t: layout.delete_business_city(*_folders(t, t.businesses, "city"), "city", "NATION_1"))
+query("delete_by_city_reviews_folders", R, f"""
+SELECT * FROM named_reviews WHERE NOT (regexp_matches(business_city, 'NATION_1', 'i') OR business_name IN (SELECT name FROM businesses WHERE {_GONE} OR regexp_matches(address, 'NATION_1', 'i')))""", "named_reviews")(
+    lambda t: layout.delete_review_city(*_folders(t, t.named_reviews, "business_city"), "business_city", t.businesses, "NATION_1"))
+
+
+@query("retention_cleanup_folders", "source_review_id seq:i generated_at:t", """
+SELECT source_review_id, seq, CASE WHEN seq % 7 > 0 THEN review_date END AS generated_at FROM reviews WHERE NOT coalesce(seq % 7 > 0 AND review_date < TIMESTAMP '2001-08-03', FALSE)""", "reviews")
+def _(t: Tables):
+    dated = t.reviews.withColumn("generated_at", F.when(F.col("seq") % 7 > 0, F.col("review_date"))).withColumn("month", layout.month_of("generated_at"))
+    # a month becomes a few files, not one of each task; AQE splits a hot one
+    return layout.retention(*_folders(t, dated.hint("rebalance", F.col("month")), "month"), AS_OF)
+
+
+@query("upsert_reviews_buckets", "source_review_id source seq:i rating:i sentiment_score:d review_date:t", f"""
+, a AS (SELECT * FROM {_FIRST.format(o=NEWEST, h=0)} WHERE rn = 1), b AS (SELECT * FROM {_FIRST.format(o=NEWEST, h=1)} WHERE rn = 1)
+SELECT * FROM b UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source_review_id = a.source_review_id AND b.source = a.source)""", "reviews")
+def _(t: Tables):
+    target, batch = _split_reviews(t)
+    path = scratch_path(t.spark, "reviews")
+    held = layout.write_buckets(target, os.path.basename(path).replace("-", "_"), upsert.REVIEW_KEY, 16, path)
+    return layout.upsert_buckets(held, batch, upsert.REVIEW_KEY, windows.newest_first(*ALL_TIES))
