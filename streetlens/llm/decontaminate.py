@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from types import SimpleNamespace
 
 import numpy as np
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, lower_ascii, text_bytes, word_spans
 from streetlens.llm.columns import as_row, row_type
+from streetlens.session import stage_table
 
-#: Largest benchmark that is sent to the tasks; a larger one is screened in parts (see the docstring).
+#: Benchmark text that is sent to the tasks at once; a larger benchmark is screened part by part.
 MAX_BENCHMARK_BYTES = 128 << 20
 
+#: Pairs of a hit and an item that a task holds at once.
+PAIR_ROWS = 1 << 22
+
 #: Benchmark suffixes looked up at once.
 SEARCH_ROWS = 1 << 17
 
@@ -149,15 +154,6 @@ def find(array: SuffixArray, benchmark: SimpleNamespace) -> tuple[np.ndarray, np
     return np.concatenate(positions), np.concatenate(windows)
 
 
-def pairs_of(benchmark: SimpleNamespace, doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, item) of the hits."""
-    seen = np.unique(doc * np.int64(len(benchmark.lengths)) + window)
-    doc, window = np.divmod(seen, max(1, len(benchmark.lengths)))
-    place, which = expand(benchmark.first[window], benchmark.first[window + 1])
-    n = max(1, len(benchmark.names))
-    return np.divmod(np.unique(doc[which] * n + benchmark.item[place]), n)
-
-
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
@@ -165,8 +161,54 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def longest_matches(words: np.ndarray, first: np.ndarray, benchmark: SimpleNamespace, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The maximal common runs of a shard's texts and the items: document, item, start in each, words.
+
+    Hits of the suffix array that follow one another in document and item are one match. They are paired with
+    the items of their window some documents at a time, so that a passage of many items does not fill the task.
+    """
+    position, found = find(SuffixArray(words, first, window), benchmark)
+    order = np.argsort(position, kind="stable")
+    position, found = position[order], found[order]
+    if not len(position):
+        return
+    doc = np.searchsorted(first, position, "right") - 1
+    sizes = benchmark.first[found + 1] - benchmark.first[found]
+    heads = np.flatnonzero(np.diff(doc, prepend=-1))
+    blocks = (np.cumsum(sizes)[heads] - sizes[heads]) // PAIR_ROWS
+    cuts = heads[np.flatnonzero(np.diff(blocks, prepend=-1))]
+    for start, stop in zip(cuts, np.append(cuts[1:], len(position)), strict=True):
+        window_of = found[start:stop]
+        place, which = expand(benchmark.first[window_of], benchmark.first[window_of + 1])
+        at, item, offset = position[start:stop][which], benchmark.item[place], benchmark.offset[place]
+        order = np.lexsort((at, at - offset, item))
+        at, item, offset, which = at[order], item[order], offset[order], which[order]
+        of, length = doc[start:stop][which], benchmark.lengths[window_of][which]
+        goes_on = np.zeros(len(at), bool)
+        goes_on[1:] = (item[1:] == item[:-1]) & (at[1:] == at[:-1] + 1) & (offset[1:] == offset[:-1] + 1) & (of[1:] == of[:-1])
+        head = np.flatnonzero(~goes_on)
+        tail = np.append(head[1:], len(at)) - 1
+        yield of[head], item[head], at[head] - first[of[head]], offset[head], at[tail] - at[head] + length[tail]
+
+
+def hits(words: np.ndarray, first: np.ndarray, benchmark: SimpleNamespace, window: int) -> tuple[np.ndarray, dict[int, list[str]]]:
+    """From the longest matches: which words are hit, and the sorted ids of the items of each document hit."""
+    flags = np.zeros(len(words), bool)
+    names: dict[int, list[str]] = {}
+    if not len(words) or not len(benchmark.lengths):
+        return flags, names
+    for doc, item, at, _, length in longest_matches(words, first, benchmark, window):
+        flags |= covered(len(words), first[doc] + at, length)
+        n = len(benchmark.names)
+        of, items = np.divmod(np.unique(doc * np.int64(n) + item), n)
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        for start, stop in zip(heads, np.append(heads[1:], len(of)), strict=True):
+            names[int(of[start])] = sorted({benchmark.names[i] for i in items[start:stop]})
+    return flags, names
+
+
 def reporter(sent, window: int, share: int):
-    """Task: a shard's suffix array is searched for all windows; one report per document, its row beside it."""
+    """Task: the longest matches of a shard's suffix array; one report per document, its row beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = SimpleNamespace(**sent.value)
@@ -174,19 +216,11 @@ def reporter(sent, window: int, share: int):
         for batch in chunks(batches, "text"):
             words, first = words_of(batch.column("text"))
             counts = np.diff(first)
-            n = len(counts)
-            hit, items = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            digests = [empty] * n
-            if len(words) and len(benchmark.lengths):
-                position, found = find(SuffixArray(words, first, window), benchmark)
-                flags = covered(len(words), position, benchmark.lengths[found])
-                hit = np.diff(np.concatenate(([0], np.cumsum(flags)))[first])
-                doc, item = pairs_of(benchmark, np.searchsorted(first, position, "right") - 1, found)
-                edges = np.flatnonzero(np.diff(doc, prepend=-1))
-                for start, stop in zip(edges, np.append(edges, len(doc))[1:], strict=True):
-                    names = sorted({benchmark.names[i] for i in item[start:stop]})
-                    items[doc[start]] = len(names)
-                    digests[doc[start]] = hashlib.sha256(",".join(names).encode()).hexdigest()
+            flags, names = hits(words, first, benchmark, window)
+            hit = np.diff(np.concatenate(([0], np.cumsum(flags)))[first])
+            items, digests = np.zeros(len(counts), np.int64), [empty] * len(counts)
+            for doc, found in names.items():
+                items[doc], digests[doc] = len(found), hashlib.sha256(",".join(found).encode()).hexdigest()
             yield pa.RecordBatch.from_pydict({
                 "row": batch.column("row"), "n_words": counts, "n_hit": hit, "n_items": items,
                 "items_sha256": digests, "contaminated": (hit > 0) & (share * hit >= counts)})
@@ -194,6 +228,36 @@ def reporter(sent, window: int, share: int):
     return run
 
 
+def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: the rows with their texts and word counts."""
+    for batch in chunks(batches, "text"):
+        _, first = words_of(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(np.diff(first), pa.int64())], names=["row", "text", "n_words"])
+
+
+def finder(sent, window: int):
+    """Task: for the documents that share words with one part of the benchmark, the runs hit and the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benchmark = SimpleNamespace(**sent.value)
+        for batch in chunks(batches, "text"):
+            words, first = words_of(batch.column("text"))
+            flags, names = hits(words, first, benchmark, window)
+            if not names:
+                continue
+            runs = []
+            for doc in names:
+                edge = np.diff(flags[first[doc]:first[doc + 1]].astype(np.int8), prepend=0, append=0)
+                pairs = zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)
+                runs.append([{"start": int(a), "stop": int(b)} for a, b in pairs])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("n").take(pa.array(list(names), pa.int64())),
+                pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                pa.array(list(names.values()), pa.list_(pa.string()))], names=["n", "runs", "items"])
+
+    return run
+
+
 def matcher(sent, window: int):
     """Task: maximal verbatim matches of benchmark items, with their place in document and item."""
 
@@ -203,32 +267,58 @@ def matcher(sent, window: int):
             words, first = words_of(batch.column("text"))
             if not len(words) or not len(benchmark.lengths):
                 continue
-            position, found = find(SuffixArray(words, first, window), benchmark)
-            place, which = expand(benchmark.first[found], benchmark.first[found + 1])
-            at, item, offset = position[which], benchmark.item[place], benchmark.offset[place]
-            # windows that follow one another in document and item are one match
-            order = np.lexsort((at, at - offset, item))
-            at, item, offset, length = at[order], item[order], offset[order], benchmark.lengths[found][which][order]
-            doc = np.searchsorted(first, at, "right") - 1
-            goes_on = np.zeros(len(at), bool)
-            goes_on[1:] = (item[1:] == item[:-1]) & (at[1:] == at[:-1] + 1) & (offset[1:] == offset[:-1] + 1) & (doc[1:] == doc[:-1])
-            head = np.flatnonzero(~goes_on)
-            tail = np.append(head[1:], len(at)) - 1
-            if len(head):
+            for doc, item, at, offset, length in longest_matches(words, first, benchmark, window):
                 yield pa.RecordBatch.from_pydict({
-                    "row": batch.column("row").take(pa.array(doc[head])), "item_id": [benchmark.names[i] for i in item[head]],
-                    "item_start": offset[head], "doc_start": at[head] - first[doc[head]],
-                    "n_words": at[tail] - at[head] + length[tail]})
+                    "row": batch.column("row").take(pa.array(doc)), "item_id": [benchmark.names[i] for i in item],
+                    "item_start": offset, "doc_start": at, "n_words": length})
 
     return run
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame, window: int):
+def _parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in parts of at most ``MAX_BENCHMARK_BYTES``, dealt by hash; one part where all fit."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; screen parts of {MAX_BENCHMARK_BYTES} bytes one after another")
-    return docs.sparkSession.sparkContext.broadcast(benchmark_windows(items.toArrow(), window))
+    size = F.octet_length("text").cast("bigint")
+    total, largest = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    if largest > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"an item of the benchmark has {largest} bytes, more than {MAX_BENCHMARK_BYTES}")
+    n = -(-total // MAX_BENCHMARK_BYTES)
+    while n > 1:
+        dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        # equal items are one, so that the parts get smaller as they get more
+        distinct = items.distinct()
+        if distinct.groupBy(dealt).agg(F.sum(size).alias("size")).agg(F.max("size")).first()[0] <= MAX_BENCHMARK_BYTES:
+            return [distinct.filter(dealt == part) for part in range(n)]
+        n *= 2
+    return [items]
+
+
+def _send(items: DataFrame, window: int):
+    return items.sparkSession.sparkContext.broadcast(benchmark_windows(items.toArrow(), window))
+
+
+def _in_parts(rows: DataFrame, kind: str, parts: list[DataFrame], window: int, share: int) -> DataFrame:
+    """The report where the benchmark is screened part by part: runs and items are united before the rule."""
+    counted = rows.mapInArrow(counter, f"row {kind}, text string, n_words bigint")
+    numbered = stage_table(counted.withColumn("n", F.monotonically_increasing_id()), "screened")
+    found = []
+    for part in parts:
+        sent = _send(part, window)
+        kinds = "n bigint, runs array<struct<start: bigint, stop: bigint>>, items array<string>"
+        found.append(stage_table(numbered.select("n", "text").mapInArrow(finder(sent, window), kinds), "benchmark_part"))
+        sent.destroy()
+    united = reduce(DataFrame.union, found).groupBy("n").agg(
+        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    # words of the union of the runs, which come in the order of their starts
+    begin = F.struct(F.lit(0).cast("bigint").alias("stop"), F.lit(0).cast("bigint").alias("words"))
+    n_hit = F.aggregate("runs", begin, lambda seen, run: F.struct(
+        F.greatest(seen.stop, run.stop).alias("stop"),
+        (seen.words + F.greatest(F.lit(0).cast("bigint"), run.stop - F.greatest(seen.stop, run.start))).alias("words")), lambda seen: seen.words)
+    summed = united.select("n", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("ids"))
+    hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    return numbered.drop("text").join(summed, "n", "left").select(
+        "row", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),
+        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def _rows(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
@@ -249,13 +339,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     item id is written as an empty string; items of one id count once; repeated rows are reported each.
     Empty tables give an empty or an all-clean report.
 
-    Each task sorts the suffixes of its own shard and looks all windows up: no shuffle. The benchmark is sent
-    to the tasks after a check of its size. Screen a larger benchmark in parts, each on what the part before
-    has kept.
+    Each task sorts the suffixes of its own shard, searches all windows and joins what follows one another to
+    the longest matches, from which hits and items come: no shuffle. A benchmark of up to ``MAX_BENCHMARK_BYTES``
+    is sent to the tasks whole. A larger one is sent in parts, one after another, and the runs and items that
+    each part finds are united per document before the rule is applied: the same report. A single item above
+    that size is an error.
     """
-    sent = _sent(docs, benchmark, window)
+    parts = _parts(benchmark)
     rows, kind = _rows(docs, keep or ["doc_id"])
-    return rows.mapInArrow(reporter(sent, window, share), f"row {kind}, {REPORT}")
+    if len(parts) > 1:
+        return _in_parts(rows, kind, parts, window, share)
+    return rows.mapInArrow(reporter(_send(parts[0], window), window, share), f"row {kind}, {REPORT}")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
@@ -266,8 +360,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, keep: list[str] | None = None) -> DataFrame:
     """The longest verbatim matches: ``row``, ``item_id``, ``item_start``, ``doc_start``, ``n_words``.
 
-    A match is a maximal run of common words of at least a window; starts count words from 0.
+    A match is a maximal run of common words of at least a window; starts count words from 0. A benchmark in
+    several parts is searched part by part; equal items of one id then count once.
     """
-    sent = _sent(docs, benchmark, window)
     rows, kind = _rows(docs, keep or ["doc_id"])
-    return rows.mapInArrow(matcher(sent, window), f"row {kind}, {MATCHES}")
+    found = [rows.mapInArrow(matcher(_send(part, window), window), f"row {kind}, {MATCHES}") for part in _parts(benchmark)]
+    return reduce(DataFrame.union, found)

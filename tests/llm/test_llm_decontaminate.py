@@ -64,7 +64,34 @@ def test_longest_matches_have_their_places(spark, benchmark, texts):
     assert found == {("b", 0, 7, 30), ("a", 0, 17, 13), ("e", 0, 17, 13)}
 
 
-def test_too_large_a_benchmark_is_refused(spark, clashing, benchmark, monkeypatch):
+@pytest.mark.parametrize("pairs", [1 << 22, 1])
+def test_parts_of_a_benchmark_give_the_report_of_the_whole(spark, clashing, benchmark, monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIR_ROWS", pairs)
+    # two halves of one passage that overlap, and one id in several parts
+    cut = clashing.filter("text IS NOT NULL").first().text.split()
+    more = benchmark.union(spark.createDataFrame([(f"h{i}", " ".join(cut[i:i + 16])) for i in range(0, 40, 5)] * 2, benchmark.schema))
+    whole = contamination(clashing, more, share=2)
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 1200)
+    parts = contamination(clashing, more, share=2)
+    assert 2 <= len(decontaminate._parts(more)) <= 16 and parts.columns == whole.columns
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert whole.filter("contaminated").count() and whole.filter("n_hit > 0 AND NOT contaminated").count()
+    assert decontaminated(clashing, more, share=2).columns == clashing.columns
+    assert benchmark_matches(clashing, more).distinct().count() > 0
+
+
+def test_an_item_above_the_bound_is_refused(spark, clashing, benchmark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 10)
-    with pytest.raises(ValueError, match="parts"):
+    with pytest.raises(ValueError, match="item"):
         contamination(clashing, benchmark)
+
+
+def test_a_text_longer_than_a_piece_of_work(spark, texts, benchmark, monkeypatch):
+    """One text of 5 MB among short ones, which is a piece of work by itself."""
+    long = " ".join(["filler words in between"] * 220_000)
+    body = f"{long} {texts[0]} {long[:1000]}"
+    docs = spark.createDataFrame([(1, body), (2, texts[0]), (3, None)], "doc_id int, text string")
+    got = {r.row.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(docs, benchmark).collect()}
+    want = expected([texts[0], None], [tuple(r) for r in benchmark.collect()])
+    assert (got[2], got[3]) == tuple(want)
+    assert got[1][1:4] == got[2][1:4] and got[1][0] == len(words(body)) and not got[1][4]
