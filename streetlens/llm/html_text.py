@@ -15,7 +15,7 @@ from streetlens.llm.arrays import chunks
 from streetlens.llm.columns import as_row, row_type
 
 FEATURES = (
-    "aside", "article", "elsewhere", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
+    "aside", "article", "elsewhere", "heading", "chrome", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 #: Elements that hold no running text; their content is skipped.
 _SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video|textarea"
@@ -33,7 +33,8 @@ _PARTS = re.compile(
     rf"(?:(?:(?!<(?P=control)[\s/>]).)*?</(?P=control)\s*>|.*?(?=</?(?:{_ENDS}|(?P=control))[\s/>]|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
-_HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b(?!-)|(display\s*:\s*none)", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 #: Elements that end a block of text; all others are part of the line they stand in.
 _BLOCK = frozenset((
@@ -52,16 +53,41 @@ _ASIDE_WORDS = frozenset((
     "recommended recommendations comment comments commentlist disqus reply replies respond widget pagination pager copyright legal "
     "complementary contentinfo skip hidden").split())
 _READERS = frozenset(("comment", "comments", "commentlist", "disqus", "replies", "respond", "related", "recommended"))
+#: Words behind a mark that only name its form: ``ad-slot`` is an ad, ``header-image`` is no header.
+_FORMS = frozenset((
+    "area bar block box btn button buttons card cards container content form group holder icon icons inner item items label link links "
+    "list module outer overlay panel post posts region row section slot stories story unit widget wrap wrapper").split())
+#: Words before a mark that speak of the page around it: ``has-sidebar`` is no sidebar.
+_STATES = frozenset(("has", "is", "no", "non", "not", "with", "without"))
+#: Marks of elements inside a line; other words of the list may well name a part of a sentence.
+_INLINE_WORDS = frozenset("ad ads advert advertisement hidden promo share sharing social sponsor sponsored".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Phrases by which a page speaks to its reader.
+_CHROME = re.compile(
+    r"\b(?:log ?in|sign (?:in|up)|subscribe|cookies?|share (?:this|on|via)|follow us|read more|all rights reserved|terms of (?:use|service)"
+    r"|privacy policy|advertisement|sponsored|newsletter|leave a (?:comment|reply)|back to top|skip to)\b|©", re.I)
+
+
+def mark(name: str) -> str:
+    """What one name of a class, id or role says an element is: its last word, without words for its form."""
+    words = [w.lower().rstrip("0123456789") for w in re.split(r"[_-]+|(?<=[a-z0-9])(?=[A-Z])", name)]
+    words = [w for w in words if w]
+    if not words or words[0] in _STATES:
+        return ""
+    while len(words) > 1 and words[-1] in _FORMS:
+        words.pop()
+    return words[-1]
 
 
 def hints(attributes: str) -> set[str]:
-    """Words of class, id, role and label, and ``hidden`` for what is not shown."""
+    """The marks of class, id, role and label, and ``hidden`` for what is not shown."""
     words: set[str] = set()
-    for a, b, c, hidden, shown in _HINT.findall(attributes):
-        if hidden or shown:
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role", "aria-label"):
+            words.update(mark(part) for part in value.split())
+        elif name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and _NOT_SHOWN.search(value):
             words.add("hidden")
-        for part in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", a or b or c):
-            words.add(part.lower().rstrip("0123456789"))
     return words
 
 
@@ -76,12 +102,15 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order: decoded, white space as one space, trimmed, none empty.
 
-    Each knows how many of its words are in links, and whether it stands in an article and aside of it.
+    Each knows how many of its words are in links, and whether it stands in an article and aside of it. Hints of
+    class, id, role and style are looked at on every element but ``main``; a marked element inside a line is left out.
     """
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    in_link = heading = False
+    in_link = heading = own_mark = False
+    # element inside a line that is left out: its name, its open namesakes and the blocks opened in it
+    muted, namesakes, inner = "", 0, 0
     # open containers: name, aside by element, aside by hint, reader comments or the like, article
     stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
 
@@ -92,12 +121,14 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             if text:
                 _, by_tag, by_hint, readers, article = stack[-1]
-                found.append(Block(text, linked, by_tag or by_hint or readers, article, heading))
+                found.append(Block(text, linked, by_tag or by_hint or readers or own_mark, article, heading))
         linked = 0
 
     for part in _PARTS.finditer(page):
         text = part["text"]
         if text is not None:
+            if muted:
+                continue
             if "&" in text:
                 text = html.unescape(text)
             parts.append(text)
@@ -108,22 +139,39 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        closes, attributes = part["close"], part["attributes"]
+        if muted:
+            if tag == muted:
+                namesakes += -1 if closes else 1
+            elif tag in _BLOCK and tag != "hr":
+                inner += -1 if closes else 1
+            if namesakes and inner >= 0:
+                continue
+            # ended, or the block that it stands in has
+            ended, muted = tag == muted, ""
+            if ended:
+                continue
         if tag == "a":
-            in_link = not part["close"]
-        elif tag == "br":
+            in_link = not closes
+        if tag == "br":
             parts.append(" ")
-        elif tag in _BLOCK:
+        elif tag not in _BLOCK:
+            if not closes and attributes and tag not in _VOID and not attributes.endswith("/") and hints(attributes) & _INLINE_WORDS:
+                muted, namesakes, inner = tag, 1, 0
+                in_link = False
+        else:
             flush()
+            own_mark = False
             if tag in _HEADINGS:
-                heading = not part["close"]
-            elif tag in _CONTAINER:
-                if part["close"]:
+                heading = not closes
+            if tag in _CONTAINER:
+                if closes:
                     if any(entry[0] == tag for entry in stack):
                         while stack[-1][0] != tag:
                             stack.pop()
                         stack.pop()
-                elif not part["attributes"].endswith("/"):
-                    words = hints(part["attributes"])
+                elif not attributes.endswith("/"):
+                    words = hints(attributes) if tag != "main" else set()
                     _, by_tag, by_hint, readers, article = stack[-1]
                     own = bool(words & _ASIDE_WORDS)
                     readers = readers or bool(words & _READERS)
@@ -134,6 +182,8 @@ def blocks(page: str) -> list[Block]:
                     own_header = tag == "header" and article and not words & (_ASIDE_WORDS - {"header"})
                     by_hint = by_hint or own and not own_header
                     stack.append((tag, by_tag, by_hint, readers, article))
+            elif not closes and attributes and tag not in ("body", "html"):
+                own_mark = bool(hints(attributes) & _ASIDE_WORDS)
     flush()
     return found
 
@@ -151,9 +201,10 @@ def features(page: list[Block]) -> np.ndarray:
     out[:, 0], out[:, 1] = aside, article
     out[:, 2] = ~article & bool((article & ~aside).any())
     out[:, 3] = [b.heading for b in page]
-    out[:, 4], out[:, 5] = words, links
-    out[1:, 6], out[1:, 7] = words[:-1], links[:-1]
-    out[:-1, 8], out[:-1, 9] = words[1:], links[1:]
+    out[:, 4] = [bool(_CHROME.search(b.text)) for b in page]
+    out[:, 5], out[:, 6] = words, links
+    out[1:, 7], out[1:, 8] = words[:-1], links[:-1]
+    out[:-1, 9], out[:-1, 10] = words[1:], links[1:]
     return out
 
 
@@ -182,15 +233,26 @@ def labelled_pages() -> list[str]:
             pages.append(f"{top}<article><p><a>{main(2)}</a></p><p>{main(size)}</p>{body}<p><a>{main(3)}</a></p><p>{main(3)}</p><ul><li><a>{main(size)}</a></li></ul></article>")
             pages.append(f"<article><p>{main(size)}</p><p><a>{main(3)}</a></p><p>{main(2)}</p></article>")
             pages += [f"<article><p>{main(size)}</p></article>", f"<main>{main(size)} <a>{main(1)}</a></main>"] * 2
+            # an article may speak of what pages say
+            speech = "".join(f"<p>{main(n)} cookies</p>" for n in (size, 2, beside, 1, size + 3))
+            pages += [f"{top}<article>{speech}{body}{speech}</article>{end}", f"<main><h1>{main(2)} cookies</h1>{speech}</main>"] * 2
             if size >= 20:
                 # pages that mark nothing: only the flow of long blocks tells
                 plain = "".join(f"<p>{main(size + i)}</p>" for i in (0, 20, 9, 33))
-                flow = f"<h1>{main(5)}</h1>{plain}<p>{main(3)}</p><p>{main(size)}</p>"
+                between = "".join(f"<p>{main(n)}</p><p>{main(size + n)}</p>" for n in (2, 4, 6, 9, 12))
+                flow = f"<h1>{main(5)}</h1>{plain}{between}"
                 links = f"<ul>{menu(1 + beside % 20)}</ul>"
                 pages.append(f"{links}<div>{flow}</div>{links}<p>{other(3)}</p>")
                 pages.append(f"{top}{links}<div>{flow}</div>{end}")
                 pages.append(f"<div>{flow}</div><footer>{other(beside)}</footer>")
                 pages.append(f"{links}<div>{flow}</div>")
+                # short lines before and behind the flow, side by side or with a phrase of the page's own
+                lines = "".join(f"<p>{other(1 + (beside + 5 * i) % 12)}</p>" for i in range(4))
+                pages += [f"{lines}<div>{flow}</div>{lines}", f"{lines}<div>{plain}{between}</div>{lines}"]
+                spoken = f"<p>{other(1 + beside % 4)} cookies</p>"
+                pages.append(f"{spoken}<div>{flow}{spoken}{plain}<p>{main(size)} cookies {main(size)}</p></div>{spoken}")
+                said = f"<p>{main(size)} cookies {main(size)}</p>"
+                pages.append(f"<div>{said}{plain}{said}{said}<p>{main(3)}</p>{said}</div>")
     return pages
 
 
@@ -228,7 +290,7 @@ def apply(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def trained_tree(depth: int = 8) -> list:
+def trained_tree(depth: int = 10) -> list:
     pages = [blocks(page) for page in labelled_pages()]
     x = np.concatenate([features(page) for page in pages])
     y = np.array([b.text.startswith("main") for page in pages for b in page], float)

@@ -1,6 +1,6 @@
 import pytest
 
-from streetlens.llm.html_text import apply, blocks, features, main_text, trained_tree
+from streetlens.llm.html_text import FEATURES, apply, blocks, features, main_text, trained_tree
 
 TREE = trained_tree()
 
@@ -28,6 +28,23 @@ LONG = "a sentence of the article that goes on for quite a while and then some m
     ("<article><div><button>go</div><p>A</p><p>B <select><option>one<option>two</p><p>C</p></article>", "A\nB\nC"),
     ("<article><p>A</p><button><div>go</div></button><p>B</p><select><option>one</option></select></article>", "A\nB"),
     ("<article><p><button>one</p><p>A</p><p><button>two</button>B</p></article>", "A\nB"),
+    # names that only contain a mark, or speak of the page around it
+    ("<main class='has-sidebar'><p>A</p></main>", "A"), ("<article class='post comments-open'><p>A</p></article>", "A"),
+    ("<article class='header-image'><p>A</p></article>", "A"), ("<article><div class='social-science'><p>A</p></div></article>", "A"),
+    ("<article><section class='legal-history'><p>A</p></section></article>", "A"), ("<article style='overflow:hidden' data-x='class=ad'><p>A</p></article>", "A"),
+    ("<article><p>A</p><div class='ad-slot'>b</div><div id=relatedPosts>c</div><div class='cookie_notice x'>d</div><div aria-hidden='true'>e</div></article>", "A"),
+    # marks of any element
+    ("<article><p class='ad'>Buy</p><p>A</p><p hidden>b</p><p>B</p><p style='display: none'>c</p><h2 class=x>C</h2></article>", "A\nB\nC"),
+    ("<article><p>A <span class='share'>Share <b>this <span>now</span></b></span>b</p><p>B<span class=ad>never closed</p><p>C</p></article>", "A b\nB\nC"),
+    ("<article><ul><li class='promo'>Buy<li>A</ul><p>see <a class='share' href=x>tweet</a><a href=y>this</a></p></article>", "A\nsee this"),
+    # pages without marks
+    (f"<p>Log in to post</p><div><p>{LONG}</p><p>{LONG}</p><p>We use cookies on this site</p><p>{LONG}</p></div><p>Share this</p>", "\n".join([LONG] * 3)),
+    ("<article><p>Cookies</p><p>They are baked.</p><p>Share this cake.</p></article>", "Cookies\nThey are baked.\nShare this cake."),
+    (f"<article><p>{LONG} cookies</p><p>Read more of cookies in the next part of this</p><p>We use cookies</p><p>{LONG}</p></article>",
+     f"{LONG} cookies\nRead more of cookies in the next part of this\nWe use cookies\n{LONG}"),
+    (f"<div><p>{LONG} cookies {LONG}</p><p>{LONG}</p><p>{LONG} subscribe</p></div>", f"{LONG} cookies {LONG}\n{LONG}\n{LONG} subscribe"),
+    (f"<p>Top of the site here</p><p>Small line</p><div><p>{LONG}</p><p>A short sentence stands between two.</p><p>{LONG}</p></div><p>Last line of all</p><p>And one more</p>",
+     f"{LONG}\nA short sentence stands between two.\n{LONG}"),
     ("", ""), ("<nav>only</nav>", ""), ("<article></article>", ""),
 ])
 def test_pages(page, want):
@@ -46,3 +63,10 @@ def test_very_long_page(spark):
     body = "".join(f"<p>paragraph number {i} of a page</p>" for i in range(40_000))
     page = spark.createDataFrame([(1, "u", f"<nav>n</nav><article>{body}</article><footer>f</footer>")], "page_id bigint, url string, html string")
     assert main_text(page).first().text.count("\n") == 39_999
+
+
+def test_the_tree_looks_at_words_and_neighbours():
+    def splits(tree):
+        return set() if len(tree) == 1 else {FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3])
+
+    assert {"words", "links", "aside"} <= splits(TREE) and splits(TREE) & {"words_before", "words_after", "links_before", "links_after"}
