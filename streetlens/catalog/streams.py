@@ -11,9 +11,9 @@ from streetlens import schemas
 from streetlens.catalog import sql as S
 from streetlens.catalog.aggregates import _LABELS, SQL_TERMS, TRENDING, TRENDING_RESULT, all_terms
 from streetlens.catalog.base import Tables, query
-from streetlens.catalog.functions import _COUNTS, _SUM, ENRICHED, WIDE_LEXICON
+from streetlens.catalog.functions import _COUNTS, _LABEL, _SUM, ENRICHED, WIDE_LEXICON
 from streetlens.catalog.relations import _TOP_WORDS, ALL_TIES, ANOMALIES, NEWEST, TIES
-from streetlens.catalog.storage import _old_anomalies, details_json, places_json
+from streetlens.catalog.storage import _PLACE_SQL, _old_anomalies, details_json, places_json
 from streetlens.operators import windows
 from streetlens.plans import jobs
 from streetlens.streaming import streams
@@ -101,6 +101,27 @@ SELECT (SELECT 2 * count(*) FROM businesses) AS businesses, (SELECT count(*) + c
 query("job_import_analytics", "source_id total_reviews:i", """
 SELECT business_id AS source_id, count(*) + count(DISTINCT review_date) AS total_reviews FROM texts WHERE review_text <> '' GROUP BY 1""", "texts")(
     lambda t: _imported(t)["analytics"].select("source_id", "total_reviews"))
+query("job_import_businesses", "source_id source name address city state rating:d review_count:i category price_level:i latitude:d longitude:d last_updated:t",
+      f"SELECT place_id AS source_id, 'google_places' AS source, TIMESTAMP '2024-11-30' AS last_updated, p.* FROM ({_PLACE_SQL}) AS p", "businesses")(
+    lambda t: _imported(t)["businesses"])
+# each response holds the text's own review and one anonymous review, which is the same for all texts of a business and a day
+_FIXED_SUM = sum(WIDE_LEXICON.get(word, 0.0) for word in "a great place the best".split())
+_IMPORTED = f"""
+, sums AS (SELECT review_id, {_SUM} AS s FROM cleaned),
+said AS (
+ SELECT business_id, 'user ' || review_id AS reviewer_name, rating, review_text, review_date, s FROM texts JOIN sums USING (review_id) WHERE review_text <> ''
+ UNION ALL SELECT DISTINCT business_id, 'Anonymous', 3, 'a great place, the best', review_date, {_FIXED_SUM} FROM texts WHERE review_text <> ''),
+imported AS (
+ SELECT * REPLACE (strptime(strftime(review_date, '%Y-%m-%d') || ' 10:20:30', '%Y-%m-%d %H:%M:%S') AS review_date), s / sqrt(s * s + 15) AS score FROM said)"""
+query("job_import_reviews", "source business_id business_city business_category reviewer_name rating:i review_text review_date:t sentiment_score:d sentiment_label processed_at:t", f"""{_IMPORTED}
+SELECT 'google_places' AS source, business_id, city AS business_city, CASE WHEN category IN ('Restaurant', 'Cafe', 'Bar') THEN category ELSE 'Service' END AS business_category,
+ reviewer_name, i.rating, review_text, review_date, score AS sentiment_score, {_LABEL} AS sentiment_label, TIMESTAMP '2024-11-30' AS processed_at
+FROM imported i JOIN businesses b ON source_id = business_id""", "businesses texts cleaned")(
+    lambda t: _imported(t)["reviews"])
+query("job_import_ratings", "source_id avg_rating:d total_reviews:i avg_sentiment:d latest_review:t earliest_review:t", f"""{_IMPORTED}
+SELECT business_id AS source_id, avg(rating) AS avg_rating, count(*) AS total_reviews, avg(score) AS avg_sentiment, max(review_date) AS latest_review, min(review_date) AS earliest_review
+FROM imported GROUP BY 1""", "texts cleaned")(
+    lambda t: _imported(t)["analytics"])
 
 
 def _place_reviews(t: Tables) -> DataFrame:
