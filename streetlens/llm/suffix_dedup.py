@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, mixed, runs, signed, text_bytes
@@ -262,6 +262,22 @@ def repeated_windows(windows: DataFrame, length: int, cuts: tuple[int, ...] = CU
     return found.union(owners.select(F.col("owner").alias("window"), "low", "high"))
 
 
+def runs_by_window(found: DataFrame) -> DataFrame:
+    """``window``, ``runs``: one row for each window, its runs of offsets in order; what touches or overlaps is one run.
+
+    A window that was cut into pieces has a run for each of them. A place is joined to its window once, not to all of these.
+    """
+    def joined(done: Column, r: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["low"].alias("low"), F.greatest(last["high"], r["high"]).alias("high"))
+        return F.when(last["high"] + 1 >= r["low"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(
+            F.concat(done, F.array(r)))
+
+    sorted_ = F.array_sort(F.collect_set(F.struct("low", "high")))
+    none = F.array().cast("array<struct<low:int,high:int>>")
+    return found.groupBy("window").agg(sorted_.alias("parts")).select("window", F.aggregate("parts", none, joined).alias("runs"))
+
+
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """``key``, ``spans`` (sorted begin and end of bytes in a repeated string, may touch or overlap) of documents
     that have any; ``docs`` has ``key`` and ``text``."""
@@ -276,10 +292,11 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = stage_table(whole.union(repeated_windows(windows, length)).distinct(), "repeated")
     places = docs.select("key", "text").mapInArrow(
         locator(length, value_filter(found.select("window"))), "key bigint, window bigint, at bigint, window_low int, window_high int")
-    span = F.struct(
-        (F.col("at") - F.least("high", "window_high")).alias("begin"), (F.col("at") - F.greatest("low", "window_low") + length).alias("end"))
-    runs_ = places.join(found, "window").filter("greatest(low, window_low) <= least(high, window_high)").select("key", span.alias("span"))
-    return runs_.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    low, high = (lambda r: F.greatest(r["low"], F.col("window_low"))), (lambda r: F.least(r["high"], F.col("window_high")))
+    spans = F.transform(F.filter("runs", lambda r: low(r) <= high(r)), lambda r: F.struct(
+        (F.col("at") - high(r)).alias("begin"), (F.col("at") - low(r) + length).alias("end")))
+    placed = places.join(runs_by_window(found), "window").select("key", spans.alias("spans")).filter(F.size("spans") > 0)
+    return placed.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def remover(cut_text: bool):

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from streetlens.llm import suffix_dedup
 from streetlens.llm.suffix_dedup import anchors, deduplicated, merge, range_minimum, without_repeats
@@ -75,3 +76,25 @@ def test_every_start_has_one_window():
     found = anchors(data, np.array([0, 400, 760, 765]), 200)
     starts = np.concatenate([np.arange(a - h, a - lo + 1) for a, h, lo in zip(found["at"], found["high"], found["low"], strict=True)])
     assert sorted(starts.tolist()) == [*range(201), *range(400, 561)]
+
+
+def test_a_window_cut_into_pieces_is_one_row(spark):
+    found = spark.createDataFrame(
+        [(1, o, o) for o in (4, 0, 2, 1, 9, 8)] + [(1, 1, 4), (2, 0, 160), (2, 3, 3), (3, 5, 5), (3, 5, 5)], "window long, low int, high int")
+    got = {r.window: [tuple(x) for x in r.runs] for r in suffix_dedup.runs_by_window(found).collect()}
+    assert got == {1: [(0, 4), (8, 9)], 2: [(0, 160)], 3: [(5, 5)]}
+
+
+def test_places_meet_their_window_once(spark, monkeypatch):
+    # near copies that share most of a long passage: all buckets are cut into single strings
+    monkeypatch.setattr(suffix_dedup, "BUCKET_WINDOWS", 1)
+    passage = " ".join(f"word{i * 7919 % 1000}" for i in range(120))
+    rows = [(i, f"{passage[:300 + 5 * i]} own{i} {passage[300 + 5 * i:]}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("key"), "text")
+    asked = []
+    whole = suffix_dedup.runs_by_window
+    monkeypatch.setattr(suffix_dedup, "runs_by_window", lambda found: asked.append(whole(found)) or asked[-1])
+    suffix_dedup.repeated_spans(docs, 200).collect()
+    assert asked[0].count() == asked[0].select("window").distinct().count() > 0
+    got = [tuple(r) for r in without_repeats(docs.withColumnRenamed("key", "doc_id"), 200).orderBy("row.doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert got == expected([text for _, text in rows], 200)
