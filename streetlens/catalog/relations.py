@@ -10,7 +10,9 @@ from streetlens.catalog.filters import CONTAINS, EQUAL
 from streetlens.catalog.sql import STOP_WORDS, quoted
 from streetlens.constants import GAZETTEER, LEGACY_GAZETTEER, LEGACY_PLACE_TYPES, PLACE_TYPES
 from streetlens.functions import text
+from streetlens.functions.arrays import exploded
 from streetlens.operators import aggregates, joins, spatial, windows
+from streetlens.session import stage_table
 
 R = "source_review_id seq:i business_id rating:i sentiment_score:d review_date:t"
 NEWEST = "ORDER BY review_date DESC, source_review_id DESC, seq DESC, sentiment_score DESC, rating DESC"
@@ -167,7 +169,7 @@ query("jn_keyword_review", "text count:i", f", k AS ({_KEYWORDS}) SELECT text, (
 # every different keyword of the texts, far too many for an array
 query("jn_keyword_review_many", "text count:i", """, k AS (SELECT DISTINCT unnest(keywords) AS text FROM scored)
 SELECT text, (SELECT count(*) FROM scored WHERE contains(lower(review_text), text)) AS count FROM k""", "scored")(
-    lambda t: joins.keyword_review_counts(t.scored.select(F.explode("keywords").alias("text")).distinct(), t.texts))
+    lambda t: joins.keyword_review_counts(stage_table(exploded(t.scored, "keywords", "text").distinct(), "all-keywords"), t.texts))
 query("jn_pair_compare", "first_id second_id first_name second_name first_rating:d second_rating:d first_review_count:i second_review_count:i first_price_level:i second_price_level:i", """
 , best AS (SELECT category, source_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rating DESC NULLS LAST, source_id) AS rn FROM businesses) AS r WHERE rn = 1)
 SELECT a.source_id AS first_id, c.source_id AS second_id, a.name AS first_name, c.name AS second_name, a.rating AS first_rating, c.rating AS second_rating,

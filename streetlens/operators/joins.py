@@ -13,9 +13,11 @@ from streetlens.constants import (
 from streetlens.functions.arrays import exploded, let
 from streetlens.functions.scalars import clean_city
 from streetlens.operators import topk
+from streetlens.operators.bitmaps import bit_map
 from streetlens.operators.filters import by_category, by_review_city, filter_businesses
 from streetlens.operators.windows import newest_first, top_n_per_group
 from streetlens.session import stage_table
+from streetlens.tasks.substrings import keyword_hasher, ladder, piece_counter
 
 
 def with_business_analytics(businesses: DataFrame, analytics: DataFrame) -> DataFrame:
@@ -334,32 +336,10 @@ def nest_reviews(
     })
 
 
-#: Keywords that travel as one array to every review; more of them are found by their grams.
+#: Keywords that travel as one array to every review; more of them are found by their hashes.
 LISTED_KEYWORDS = 256
-#: Keywords and bytes of them that are sent to every review at once.
-SENT_KEYWORDS, SENT_KEYWORD_BYTES = 250_000, 8 << 20
-#: Longest gram, and reviews read to find out which grams are rare.
-GRAM, GRAM_SAMPLE = 5, 2000
-
-
-def grams(text: Column, sizes: Sequence[int]) -> Column:
-    """The different pieces of a text of the given lengths."""
-    # a look ahead at every sign; substring() would count its way through the text for each
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]))
-
-
-def gram_index(keywords: DataFrame, texts: DataFrame) -> DataFrame:
-    """``gram``, ``text``: each different keyword under its piece of ``GRAM`` letters that fewest texts hold.
-
-    Shorter keywords stand under themselves. What is rare is read off ``GRAM_SAMPLE`` texts; it only changes how many
-    candidates are tested.
-    """
-    words = keywords.select("text").filter(F.length("text") > 0).distinct()
-    short = F.length("text") < GRAM
-    pieces = exploded(words, F.when(short, F.array("text")).otherwise(grams(F.col("text"), [GRAM])), "gram", "text")
-    seen = exploded(texts.limit(GRAM_SAMPLE), grams(F.col("body"), [GRAM]), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-    rarity = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram")
-    return pieces.join(seen, "gram", "left").groupBy("text").agg(F.min(rarity)["gram"].alias("gram")).select("gram", "text")
+#: Keywords whose bit map is sent to the tasks at once, and its size at most; more of them are looked for block by block.
+SENT_KEYWORDS, KEYWORD_BITS = 32 << 20, 1 << 29
 
 
 def _listed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
@@ -369,15 +349,20 @@ def _listed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
     return exploded(found, "hits", "text").groupBy("text").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _indexed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
-    index = stage_table(gram_index(keywords, texts), "gram-index")
-    size = index.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.collect_set(F.length("gram")).alias("sizes")).first()
+def _hashed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
+    words = stage_table(keywords.select("text").filter(F.length("text") > 0).distinct(), "keywords")
+    sizes = [r.size for r in words.select(F.octet_length("text").alias("size")).distinct().collect()]
     counts = keywords.filter("text = ''").select("text").distinct().withColumn("count", texts.filter("body is not null").agg(F.count(F.lit(1))).scalar())
-    blocks = max(-(-size.n // SENT_KEYWORDS), -(-size.bytes // SENT_KEYWORD_BYTES))
+    if not sizes:
+        return counts
+    blocks = max(1, -(-words.count() // SENT_KEYWORDS))
     for number in range(blocks):
-        part = index.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number)
-        candidates = exploded(texts, grams(F.col("body"), sorted(size.sizes)), "gram", "body").join(F.broadcast(part), "gram")
-        counts = counts.unionByName(candidates.filter(F.contains("body", "text")).groupBy("text").agg(F.count(F.lit(1)).alias("count")))
+        part = words.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number) if blocks > 1 else words
+        hashed = stage_table(part.mapInArrow(keyword_hasher([step for step, _ in ladder(sizes)]), "text string, h bigint"), "keyword-hashes")
+        named, beginnings = hashed.filter("text is not null"), hashed.filter("text is null").select("h").distinct()
+        sent = bit_map(named, named.count(), KEYWORD_BITS), bit_map(beginnings, beginnings.count(), KEYWORD_BITS)
+        found = texts.mapInArrow(piece_counter(sizes, *sent), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("count"))
+        counts = counts.unionByName(named.join(found, "h").select("text", "count"))
     return counts
 
 
@@ -385,14 +370,14 @@ def keyword_review_counts(keywords: DataFrame, reviews: DataFrame, text_column:
     """Number of reviews whose lower-cased text contains each keyword anywhere; 0 is kept.
 
     ``keywords`` has a column ``text``; its other columns and repeated rows stay. Up to ``LISTED_KEYWORDS`` travel as one
-    array that every task reads. More of them are put under one rare piece of ``GRAM`` letters each: a
-    review emits its different pieces, those that head a keyword meet it in an equi join, and only these candidates
-    are compared. The index is sent to the reviews, behind a check of its size in blocks, so no text is exchanged; each
-    block reads the reviews once. No pairs of keywords and reviews are formed; a null keyword has 0, an empty one is
-    in every text.
+    array that every task reads. More of them are told by 64-bit hashes: a task hashes the pieces of its texts that are as
+    long as a keyword, counts in how many texts each stands, and only these sums are exchanged and meet the keywords. Bit
+    maps of the hashes and of how keywords begin are sent before, so that few pieces are looked at. The texts are read once
+    for each ``SENT_KEYWORDS``; no pair of a keyword and a review is formed, no text is exchanged. A null keyword has 0, an
+    empty one is in every text.
     """
     texts = reviews.select(F.lower(text_column).alias("body"))
     few = keywords.select("text").distinct().limit(LISTED_KEYWORDS + 1).count() <= LISTED_KEYWORDS
-    counts = (_listed_counts if few else _indexed_counts)(keywords, texts).withColumnRenamed("text", "counted")
+    counts = (_listed_counts if few else _hashed_counts)(keywords, texts).withColumnRenamed("text", "counted")
     joined = keywords.join(counts, F.col("text") == F.col("counted"), "left").drop("counted")
     return joined.withColumn("count", F.coalesce("count", F.lit(0)))

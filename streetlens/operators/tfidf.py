@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.functions.text import default_stop_words
+from streetlens.operators.bitmaps import LARGEST_BITS, bit_map
 from streetlens.operators.joins import keyword_review_counts
 from streetlens.session import stage_table
 from streetlens.tasks.terms import frequency_counter, namer, scorer, weigher
 
 #: Most frequent terms that are sent to every task (20 bytes each), and those of them scored at first.
 FREQUENT_TERMS, SCORED_TERMS = 1 << 20, 1 << 16
-#: Largest bit map of rarer terms; beyond it more rows travel in vain, the result is the same.
-LARGEST_BITS = 1 << 28
 #: Norms of texts are sent to every task up to so many of them, 16 bytes each.
 SENT_NORMS = 2 << 20
 
@@ -37,13 +36,7 @@ class Corpus:
 
     def bit_map(self, hashes: DataFrame, count: int):
         """Broadcast bit map of hashes, 16 bits for each up to ``LARGEST_BITS``; bits are set by bucket in the tasks."""
-        bits = min(LARGEST_BITS, 1 << max(15, (16 * count - 1).bit_length()))
-        at = F.col("h").bitwiseAND(bits - 1)
-        parts = hashes.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND((1 << 15) - 1).alias("bit"))
-        total = np.zeros(bits // 8, np.uint8)
-        for row in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-            total[row.bucket * 4096:(row.bucket + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
-        return self.spark.sparkContext.broadcast(total)
+        return bit_map(hashes, count, LARGEST_BITS)
 
     def named(self, hashes: DataFrame) -> DataFrame:
         """``hashes`` (with a column ``h``) and the ``term`` of each: found in the texts, by a bit map, then by hash."""

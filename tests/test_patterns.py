@@ -61,3 +61,20 @@ def test_keyword_counts_of_empty_tables(spark, monkeypatch):
     texts = spark.createDataFrame([("some text",)], "review_text string")
     assert joins.keyword_review_counts(none, texts).collect() == []
     assert [tuple(r) for r in joins.keyword_review_counts(spark.createDataFrame([("some",)], "text string"), texts.limit(0)).collect()] == [("some", 0)]
+
+
+def test_all_keywords_are_looked_for_in_one_reading(spark, monkeypatch):
+    # many keywords built of the same syllables, within each other and as long as a whole text
+    syllables = ["ka", "lo", "mi", "é", "ru", "ß"]
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(1, 20))) for _ in range(700)})
+    texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(80)] + [words[3], words[3].upper(), "", None]
+    reviews = spark.createDataFrame([(t,) for t in texts], "review_text string").repartition(3)
+    keywords = spark.createDataFrame([(w,) for w in words], "text string")
+    asked = []
+    counter = joins.piece_counter
+    monkeypatch.setattr(joins, "piece_counter", lambda sizes, *sent: asked.append(sizes) or counter(sizes, *sent))
+    got = {r.text: r["count"] for r in joins.keyword_review_counts(keywords, reviews).collect()}
+    lowered = [t.lower() for t in texts if t is not None]
+    assert got == {w: sum(w in t for t in lowered) for w in words}
+    assert len(asked) == 1
