@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streetlens.operators import joins
 from streetlens.operators.filters import matches
+from streetlens.session import stage_table
 
 
 def _keep(df: DataFrame, condemned: Column) -> DataFrame:
@@ -50,9 +51,24 @@ def truncate(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], df.schema)
 
 
+#: Different sources that are sent to every task up to so many and so many bytes of them; beyond it, shares of a source.
+SENT_SOURCES, SENT_BYTES, SOURCE_SHARES = 250_000, 8 << 20, 64
+
+
 def delete_all_sources(df: DataFrame, businesses: DataFrame) -> DataFrame:
-    """Delete the rows of every source that occurs among the businesses; a null source survives."""
-    return df.join(businesses.select("source").distinct(), "source", "left_anti")
+    """Delete the rows of every source that occurs among the businesses; a null source survives.
+
+    A few sources are sent to the rows. Very many are dealt by source, each source of the rows to ``SOURCE_SHARES`` tasks
+    in turn, so that no task reads all rows of one.
+    """
+    sources = stage_table(businesses.select("source").filter(F.col("source").isNotNull()).distinct(), "sources")
+    size = sources.limit(SENT_SOURCES + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col("source").cast("string"))), F.lit(0)).alias("bytes")).first()
+    if size.n <= SENT_SOURCES and size.bytes <= SENT_BYTES:
+        return df.join(F.broadcast(sources), "source", "left_anti")
+    shares = sources.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_SHARES - 1))))
+    dealt = df.withColumn("__share", F.pmod(F.monotonically_increasing_id(), F.lit(SOURCE_SHARES)).cast("int"))
+    return dealt.join(shares, ["source", "__share"], "left_anti").drop("__share")
 
 
 def retention_cleanup(df: DataFrame, as_of: dt.datetime, days: int = 90, column: str = "generated_at") -> DataFrame:

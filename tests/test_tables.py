@@ -125,6 +125,20 @@ def test_keyword_counts_keep_zero(spark):
     assert {r.text: r["count"] for r in joins.keyword_review_counts(keywords, reviews).collect()} == {"pizza": 2, "soup": 0}
 
 
+@pytest.mark.parametrize("sent", [250_000, 1])
+def test_delete_all_sources_deals_no_source_to_one_task(spark, monkeypatch, sent):
+    monkeypatch.setattr(maintenance, "SENT_SOURCES", sent)
+    monkeypatch.setattr(maintenance, "SOURCE_SHARES", 4)
+    rows = [(i, ["a", "b", "c", None][i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "no int, source string")
+    known = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("z",)], "source string")
+    kept = maintenance.delete_all_sources(df, known)
+    assert sorted(r.no for r in kept.collect()) == [i for i, s in rows if s in ("c", None)]
+    assert sorted(kept.columns) == ["no", "source"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan if sent > 1 else "__share" in plan
+
+
 # -- sources -------------------------------------------------------------------------------------------------
 
 def test_page_without_fields_gives_nulls(spark):
