@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streetlens.functions import sentiment, text
 from streetlens.operators.lexicon import lexicon_totals, polarity, table_keywords, table_phrases, word_table
+from streetlens.tasks.terms import enricher
 
 ENRICHED = ("sentiment_score", "sentiment_label", "keywords", "phrases", "word_count", "character_count")
 
@@ -29,20 +30,23 @@ def enrich_reviews(
     stops = text.default_stop_words() if stop_words is None else list(stop_words)
     has_text = F.coalesce(F.length(body) > 0, F.lit(False))
     threshold, inclusive = (0.05, True) if mode == "compound" else (0.1, False)
-    tokens = F.col("__tokens")
-    score = score_fn(body) if score_fn else sentiment.lexicon_score_of(tokens, lexicon, mode)
+    found = F.col("__found")
+    # the words are cleaned and counted once, on Arrow batches, for the score, the keywords and the phrases
+    valences = {} if score_fn or lexicon is None else {word: float(v) for word, v in lexicon.items()}
+    counted = F.arrow_udf(
+        enricher(stops, valences, max_keywords, max_phrases), "total double, hits bigint, keywords array<string>, phrases array<string>")
+    score = score_fn(body) if score_fn else polarity(found["total"], found["hits"], "mean" if mode == "mean" else "compound")
 
     def where_text(value: Column) -> Column:
         return F.when(has_text, value)
 
-    # the words are cleaned once and read by the score, the keywords and the phrases
-    return reviews.withColumn("__tokens", text.cleaned_tokens(body)).withColumns({
+    return reviews.withColumn("__found", counted(body)).withColumns({
         "sentiment_score": where_text(score),
-        "keywords": where_text(text.keywords_of(tokens, max_keywords, stops)),
-        "phrases": where_text(text.phrases_of(tokens, max_phrases, stops)),
+        "keywords": where_text(found["keywords"]),
+        "phrases": where_text(found["phrases"]),
         "word_count": where_text(text.word_count(body)),
         "character_count": where_text(text.character_count(body)),
-    }).drop("__tokens").withColumn("sentiment_label", sentiment.label(F.col("sentiment_score"), threshold, inclusive))
+    }).drop("__found").withColumn("sentiment_label", sentiment.label(F.col("sentiment_score"), threshold, inclusive))
 
 
 def enrich_with_tables(

@@ -211,3 +211,70 @@ def namer(stops: list[str], bits):
                 seen = np.union1d(seen, h[new]) if len(seen) < HELD_TERMS else h
 
     return run
+
+
+@dataclass
+class Tokens:
+    """Cleaned words of some texts, in order: number of the text, number of the word, and the different words."""
+
+    own: np.ndarray
+    ids: np.ndarray
+    words: pa.Array
+
+
+def tokens_of(texts: pa.Array) -> Tokens:
+    lists = pc.split_pattern(cleaned(texts), " ")
+    encoded = lists.flatten().dictionary_encode()
+    own = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    ids = encoded.indices.to_numpy().astype(np.int64)
+    kept = pc.not_equal(encoded.dictionary, "").to_numpy(zero_copy_only=False)[ids] if len(ids) else np.zeros(0, bool)
+    return Tokens(own[kept], ids[kept], encoded.dictionary.cast(pa.string()))
+
+
+def most_common(own: np.ndarray, terms: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` most frequent terms of each text, first come first on ties, and where each text begins among them."""
+    order = np.lexsort((terms, own))
+    a, b = own[order], terms[order]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    n = np.diff(np.append(starts, len(a)))
+    # the sort is stable: the first of equal terms is the one that came first
+    first, a, b = order[starts], a[starts], b[starts]
+    rank = np.lexsort((first, -n, a))
+    a, b = a[rank], b[rank]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    a, b = a[place < k], b[place < k]
+    return b, np.searchsorted(a, np.arange(rows + 1)).astype(np.int32)
+
+
+def enriched(texts: pa.Array, stops: pa.Array, lexicon: dict[str, float], max_keywords: int, max_phrases: int) -> pa.StructArray:
+    """``total``, ``hits`` (valences of the words of a lexicon), ``keywords`` and ``phrases`` of each text."""
+    t, rows = tokens_of(texts), len(texts)
+    size = max(1, len(t.words))
+    length = pc.utf8_length(t.words).to_numpy(zero_copy_only=False)
+    free = pc.invert(pc.is_in(t.words, value_set=stops)).to_numpy(zero_copy_only=False)
+    if lexicon:
+        at = pc.index_in(t.words, value_set=pa.array(list(lexicon), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        value = np.append(np.array(list(lexicon.values()), float), 0.0)[at]
+        total, hits = np.bincount(t.own, value[t.ids], rows), np.bincount(t.own, (at >= 0)[t.ids], rows).astype(np.int64)
+    else:
+        total, hits = np.zeros(rows), np.zeros(rows, np.int64)
+    good = (free & (length >= 3))[t.ids]
+    word, word_at = most_common(t.own[good], t.ids[good], rows, max_keywords)
+    a, b = t.ids[:-1], t.ids[1:]
+    good = (t.own[:-1] == t.own[1:]) & free[a] & free[b] & (length[a] + length[b] + 1 >= 6)
+    pair, pair_at = most_common(t.own[:-1][good], a[good] * size + b[good], rows, max_phrases)
+    phrases = pc.binary_join_element_wise(t.words.take(pa.array(pair // size)), t.words.take(pa.array(pair % size)), " ")
+    return pa.StructArray.from_arrays([
+        pa.array(total), pa.array(hits), pa.ListArray.from_arrays(word_at, t.words.take(pa.array(word))),
+        pa.ListArray.from_arrays(pair_at, phrases)], ["total", "hits", "keywords", "phrases"])
+
+
+def enricher(stop_words: list[str], lexicon: dict[str, float], max_keywords: int, max_phrases: int):
+    """Arrow function of a column of texts, in pieces of ``CHUNK_BYTES``."""
+    def run(texts: pa.Array) -> pa.Array:
+        stops = pa.array(stop_words, pa.string())
+        batch = pa.record_batch([texts], ["body"])
+        found = [enriched(c.column("body"), stops, lexicon, max_keywords, max_phrases) for c in chunks(iter([batch]), "body")]
+        return pa.concat_arrays(found or [enriched(texts, stops, lexicon, max_keywords, max_phrases)])
+
+    return run

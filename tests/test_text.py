@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -169,3 +170,22 @@ def test_character_references(spark, text):
     # a column, not a literal, so that the expression is not folded away
     got = spark.createDataFrame([(text,)], "t string").select(scalars.unescape(F.col("t")).alias("v")).first().v
     assert got == want
+
+
+@pytest.mark.parametrize("mode, most", [("compound", 3), ("mean", 100)])
+def test_enrichment_counts_words_once_and_as_the_column_functions(spark, mode, most):
+    rng = random.Random(5)
+    words = ["the", "pizza", "Great", "bad", "ab", "abc", "x1y", "don't", "\u0130n", "\u212aeg", "caf\u00e9", "\u2003", "\u00a0", "\n\t", "...", "5"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", " ", None, "...", "a\x1cb abcd efgh", "x" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "no int, review_text string").repartition(3)
+    lexicon = {"great": 1.0, "bad": -1.5, "pizza": 0.5}
+    body = F.col("review_text")
+    plain = df.select(
+        "no", sentiment.lexicon_score(body, lexicon, mode).alias("score"), text.keywords(body, most, STOPS).alias("keywords"),
+        text.phrases(body, most, STOPS).alias("phrases"), (F.length(body) > 0).alias("full"))
+    want = {r.no: (round(r.score, 9), r.keywords, r.phrases) if r.full else (None, None, None) for r in plain.collect()}
+    found = enrich.enrich_reviews(df, lexicon, stop_words=STOPS, mode=mode, max_keywords=most, max_phrases=most)
+    got = {r.no: (r.sentiment_score if r.sentiment_score is None else round(r.sentiment_score, 9), r.keywords, r.phrases) for r in found.collect()}
+    assert got == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "sort_array" not in plan
