@@ -15,6 +15,9 @@ from streetlens.session import stage_table
 #: Businesses of one cell that one share of its points is compared with.
 CELL_ROWS = 4096
 
+#: Most steps in which the distance of the nearest grows.
+MOST_RINGS = 12
+
 
 class Grid:
     """Rows of latitude as high as the distance, each cut into columns no point can reach across.
@@ -74,10 +77,51 @@ def _within(points: DataFrame, businesses: DataFrame, max_distance: float) -> Da
     sent = grid.around(points.select("point", "point.longitude", "point.latitude"), "longitude", "latitude").drop("longitude", "latitude")
     sent = sent.join(shares, cell).withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).drop("shares")
     dealt = homes.join(shares, cell).withColumn("share", F.pmod(F.xxhash64("place"), F.col("shares"))).drop("shares")
+    return _measured(sent.join(dealt, [*cell, "share"]), grid, max_distance)
+
+
+def _measured(pairs: DataFrame, grid: Grid, max_distance: float, *others: str) -> DataFrame:
     here, there = F.col("point"), F.col("place")
-    pairs = sent.join(dealt, [*cell, "share"]).filter(F.abs(here["latitude"] - there["latitude"]) <= grid.reach)
+    pairs = pairs.filter(F.abs(here["latitude"] - there["latitude"]) <= grid.reach)
     metres = distance_m(there["longitude"].cast("double"), there["latitude"].cast("double"), here["longitude"].cast("double"), here["latitude"].cast("double"))
-    return pairs.select("point", "place", metres.alias("distance_m")).filter(F.col("distance_m") <= max_distance)
+    return pairs.select(*others, "point", "place", metres.alias("distance_m")).filter(F.col("distance_m") <= max_distance)
+
+
+def _nearest(points: DataFrame, businesses: DataFrame, max_distance: float, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` pairs within the distance of each point (``point``, ``place``, ``distance_m``).
+
+    Here a point stands in one cell and the businesses are sent around, so a task that holds a cell ranks what it
+    compares: pairs are never exchanged, only the first ``k`` of each point are. Cells with very many rows are
+    shared out on both sides.
+    """
+    grid = Grid(max_distance)
+    cell, key = ["cell_row", "cell_column"], ["cell_row", "cell_column", "share", "slot"]
+    homes = grid.home(points.select("point", "point.longitude", "point.latitude"), "longitude", "latitude").drop("longitude", "latitude")
+    sent = grid.around(businesses.select("place", "place.longitude", "place.latitude"), "longitude", "latitude").drop("longitude", "latitude")
+    parts = F.ceil(F.count(F.lit(1)) / CELL_ROWS)
+    sizes = homes.groupBy(*cell).agg(parts.alias("slots")).join(sent.groupBy(*cell).agg(parts.alias("shares")), cell)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    here = homes.join(sizes, cell).withColumn("slot", F.pmod(F.xxhash64("point"), F.col("slots"))).withColumn("share", each("shares"))
+    there = sent.join(sizes, cell).withColumn("share", F.pmod(F.xxhash64("place"), F.col("shares"))).withColumn("slot", each("slots"))
+    # both sides are dealt by cell, which is the partitioning that the ranking needs
+    pairs = here.select(*key, "point").hint("merge").join(there.select(*key, "place"), key)
+    near = _measured(pairs, grid, max_distance, *key)
+    return top_n_per_group(top_n_per_group(near, [*key, "point"], order, k, salts=1).drop(*key), ["point"], order, k, salts=1)
+
+
+def _rings(businesses: DataFrame, max_distance: float, k: int, rings: int) -> int:
+    """As many rings as leave ``k`` businesses, in the mean of all, in a cell of the first; ``rings`` at least."""
+    longitude, latitude = F.col("place.longitude"), F.col("place.latitude")
+
+    def cell(level: int) -> Column:
+        grid = Grid(max_distance / 2 ** level)
+        row = grid.row(latitude)
+        return F.struct(F.lit(level).alias("level"), row.alias("cell_row"), grid.column(longitude, grid.columns(row)).alias("cell_column"))
+
+    cells = businesses.select(F.explode(F.array(*[cell(level) for level in range(MOST_RINGS)])).alias("c"))
+    counts = cells.groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    means = counts.groupBy("c.level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()
+    return max([rings, *[row.level + 1 for row in means if row["mean"] >= k]])
 
 
 def near_pairs(
@@ -92,8 +136,8 @@ def near_pairs(
     agree to a micrometre are ties and go to the smaller business id.
 
     An equi join on grid cells: a business stands in one cell, a point is sent to the cells its distance reaches.
-    Cells with many businesses are shared out over several keys. With ``k`` the distance grows in ``rings`` steps,
-    each twice the one before: a point that has found ``k`` within a step is done, so dense places are compared on
+    Cells with many businesses are shared out over several keys. With ``k`` the distance grows in ``rings`` steps or
+    more, as the businesses lie dense, each twice the one before, and businesses are sent to the points: a point that has found ``k`` within a step is done, so dense places are compared on
     a fine grid and only lonely points look further.
     """
     def rows(table: DataFrame, name: str) -> DataFrame:
@@ -104,11 +148,11 @@ def near_pairs(
     if k is None:
         return _within(waiting, places, max_distance)
     order = [F.round("distance_m", 6).asc(), F.col("place")[business_id].asc(), F.xxhash64("place").asc()]
-    done = None
+    done, rings = None, _rings(places, max_distance, k, rings)
     for ring in range(rings):
         distance = max_distance / 2 ** (rings - 1 - ring)
         waiting = stage_table(waiting, "near-waiting")
-        found = top_n_per_group(_within(waiting, places, distance), ["point"], order, k)
+        found = _nearest(waiting, places, distance, order, k)
         if ring < rings - 1:
             found = stage_table(found, "near-found")
             full = found.groupBy("point").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("point")

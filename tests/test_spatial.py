@@ -78,3 +78,24 @@ def test_the_plan_has_no_nested_loop(tables):
 def test_empty_tables(tables):
     _, _, points, places = tables
     assert near_pairs(points.limit(0), places, 5000, 2).collect() == [] and near_pairs(points, places.limit(0), 5000).collect() == []
+
+
+def test_the_nearest_are_ranked_where_they_are_compared(spark, tables, monkeypatch):
+    _, _, points, places = tables
+    compared, rank = [], spatial.top_n_per_group
+    monkeypatch.setattr(spatial, "top_n_per_group", lambda df, keys, *args, **kw: compared.append((list(keys), rank(df, keys, *args, **kw))) or compared[-1][1])
+    monkeypatch.setattr(spatial, "MOST_RINGS", 2)
+    near_pairs(points, places, 60_000, 2, rings=1)
+    keys, ranked = compared[0]
+    assert "point" in keys and "cell_row" in keys
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan
+    prepared = ranked._jdf.queryExecution().executedPlan().toString()
+    above = prepared[:prepared.index("SortMergeJoin")]
+    assert "Window" in above and "Exchange" not in above
+
+
+def test_dense_places_begin_on_a_finer_grid(spark):
+    dense = spark.range(4000).selectExpr("struct(id AS source_id, id % 200 / 10.0D AS longitude, id DIV 200 / 10.0D AS latitude) AS place")
+    assert spatial._rings(dense, 300_000, 5, 3) > 3
+    assert spatial._rings(dense.limit(2), 300_000, 5, 3) == 3
