@@ -110,7 +110,7 @@ def _nearest(points: DataFrame, businesses: DataFrame, max_distance: float, orde
 
 
 def _rings(businesses: DataFrame, max_distance: float, k: int, rings: int) -> int:
-    """As many rings as leave ``k`` businesses, in the mean of all, in a cell of the first; ``rings`` at least."""
+    """As many rings as leave ``k`` businesses (four at least), in the mean of all, in a cell of the first; ``rings`` at least."""
     longitude, latitude = F.col("place.longitude"), F.col("place.latitude")
 
     def cell(level: int) -> Column:
@@ -121,7 +121,8 @@ def _rings(businesses: DataFrame, max_distance: float, k: int, rings: int) -> in
     cells = businesses.select(F.explode(F.array(*[cell(level) for level in range(MOST_RINGS)])).alias("c"))
     counts = cells.groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("n"))
     means = counts.groupBy("c.level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()
-    return max([rings, *[row.level + 1 for row in means if row["mean"] >= k]])
+    # every business is in its own cell, so one to a cell says nothing
+    return max([rings, *[row.level + 1 for row in means if row["mean"] >= max(k, 4)]])
 
 
 def near_pairs(

@@ -99,3 +99,8 @@ def test_dense_places_begin_on_a_finer_grid(spark):
     dense = spark.range(4000).selectExpr("struct(id AS source_id, id % 200 / 10.0D AS longitude, id DIV 200 / 10.0D AS latitude) AS place")
     assert spatial._rings(dense, 300_000, 5, 3) > 3
     assert spatial._rings(dense.limit(2), 300_000, 5, 3) == 3
+
+
+def test_lonely_places_need_no_finer_grid_for_one(spark):
+    lonely = spark.range(9).selectExpr("struct(id AS source_id, id * 20.0D AS longitude, 0.0D AS latitude) AS place")
+    assert spatial._rings(lonely, 300_000, 1, 1) == 1
