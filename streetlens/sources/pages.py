@@ -36,6 +36,11 @@ def _class(name: str) -> str:
     return rf'class="(?:[^"]* )?{name}(?: [^"]*)?"'
 
 
+def _own_class(name: str) -> str:
+    # a word boundary before the literal would be tested at every character; behind it Java looks for the literal first
+    return _class(name).replace('class="', r'class="(?<=\bclass=")', 1)
+
+
 _P, _SPAN, _A = r"<p\b[^>]*>([^<]+)", r"<span\b[^>]*>([^<]+)", r"<a\b[^>]*>([^<]+)"
 
 
@@ -94,23 +99,25 @@ def extract_review_pages(pages: DataFrame) -> DataFrame:
     """Review pages (``business_id``, ``business_name``, ``html``) to review rows with text."""
     listing = F.regexp_extract("html", rf'(?s){_test_id("reviews-list")}[^>]*>(.*)', 1)
     # each review block starts at its user-name element
-    pieces = F.split(listing, rf'(?=\b{_class("user-name")})')
-    rows = exploded(pages, pieces, "b", "business_id", "business_name").filter(F.contains("b", F.lit("user-name")))
-    b = F.col("b")
-    stars = _first(b, r'(?s)role="img"[^>]*aria-label="([^"]*)"')
-    helpful = _first(b, rf'\b{_class("helpful-count")}[^>]*>([^<]+)')
-    reviewer = _first(b, rf'(?s){_class("user-name")}[^>]*>\s*<a\b[^>]*href="([^"]*)"')
-    found = rows.select(
-        "business_id", "business_name", F.lit("yelp").alias("source"),
-        _first(b, rf'(?s){_class("user-name")}[^>]*>\s*<a\b[^>]*>([^<]+)').alias("reviewer_name"),
-        reviewer.alias("reviewer_id"),
-        F.regexp_extract(stars, r"(\d+) star", 1).try_cast("int").alias("rating"),
-        _first(b, rf'(?s){_class("comment")}[^>]*>\s*<p\b[^>]*>([^<]+)').alias("review_text"),
-        scalars.parse_date(_first(b, rf'\b{_class("review-date")}[^>]*>([^<]+)')).alias("review_date"),
-        scalars.leading_count(helpful).alias("helpful_votes"),
-        F.concat_ws("_", "business_id", F.coalesce(reviewer, F.lit("None"))).alias("source_review_id"),
+    pieces = F.filter(F.split(listing, rf'(?={_own_class("user-name")})'), lambda b: F.contains(b, F.lit("user-name")))
+    # the matches are elements of an array, so that each pattern runs once; a column that is read often would be matched anew
+    texts = F.transform(pieces, lambda b: F.struct(
+        b.alias("b"), F.regexp_extract(b, rf'(?s){_class("comment")}[^>]*>\s*<p\b[^>]*>([^<]+)', 1).alias("review_text")))
+    user = rf'(?s){_class("user-name")}[^>]*>\s*<a\b[^>]*'
+    patterns = {
+        "reviewer_name": rf"{user}>([^<]+)", "reviewer_id": rf'{user}href="([^"]*)"', "stars": r'(?s)role="img"[^>]*aria-label="([^"]*)"',
+        "date": rf'{_own_class("review-date")}[^>]*>([^<]+)', "helpful": rf'{_own_class("helpful-count")}[^>]*>([^<]+)'}
+    matches = F.transform(F.filter(texts, lambda t: t["review_text"] != ""), lambda t: F.struct(
+        t["review_text"].alias("review_text"), *[F.regexp_extract(t["b"], p, 1).alias(name) for name, p in patterns.items()]))
+    fields = F.transform(matches, lambda m: F.struct(
+        *[F.when(m[name] != "", unescape(m[name])).alias(name) for name in ("review_text", *patterns)]))
+    rows = exploded(pages, fields, "f", "business_id", "business_name").select("business_id", "business_name", "f.*")
+    return rows.select(
+        "business_id", "business_name", F.lit("yelp").alias("source"), "reviewer_name", "reviewer_id",
+        F.regexp_extract("stars", r"(\d+) star", 1).try_cast("int").alias("rating"), "review_text",
+        scalars.parse_date(F.col("date")).alias("review_date"), scalars.leading_count(F.col("helpful")).alias("helpful_votes"),
+        F.concat_ws("_", "business_id", F.coalesce("reviewer_id", F.lit("None"))).alias("source_review_id"),
     )
-    return found.filter(F.length("review_text") > 0)
 
 
 def extract_directory_pages(pages: DataFrame) -> DataFrame:
