@@ -11,6 +11,7 @@ from streetlens.catalog.aggregates import SEGMENT
 from streetlens.catalog.sql import LEXICON, RATING_SCORE, STOP_WORDS, clean, quoted
 from streetlens.functions import scalars, sentiment, text
 from streetlens.operators import enrich, lexicon
+from streetlens.tasks.terms import word_lister
 
 # -- text ---------------------------------------------------------------------------------------
 
@@ -59,7 +60,7 @@ query("enrich_review", "review_id:i sentiment_score:d sentiment_label keywords:l
 
 # lexicon and stop list as tables: of the fixed words, and of all different words of the texts
 def _words(t: Tables) -> DataFrame:
-    return t.texts.select(F.explode(F.array_distinct(text.cleaned_tokens(F.col("review_text")))).alias("word")).distinct()
+    return t.texts.select(F.col("review_text").alias("body")).mapInArrow(word_lister, "word string").distinct()
 
 
 def _fixed_lexicon(t: Tables) -> DataFrame:

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.functions.arrays import adjacent_pairs, exploded, occurrence_counts
 from streetlens.functions.text import cleaned_tokens
+from streetlens.operators.bitmaps import bit_map
+from streetlens.operators.tfidf import _least_step as least_step, _step as frequency_step
 from streetlens.session import stage_table
+from streetlens.tasks.terms import HashedWords, by_chunks, scored, scored_with_rest, word_counter, word_hasher
 
 #: A word table is sent to every task up to so many words and bytes of them.
 SENT_WORDS, SENT_BYTES = 250_000, 8 << 20
+#: As sorted 64-bit hashes words are sent up to so many bytes: 8 each, and 8 for a value.
+SENT_HASH_BYTES = 96 << 20
 
 
 def word_table(words: DataFrame, word_column: str = "word", value_column: str | None = None) -> DataFrame:
@@ -37,6 +43,28 @@ def _joinable(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if _is_small(table) else table
 
 
+def _sent(table: DataFrame) -> HashedWords:
+    """``h`` (, ``value``) of a bounded number of words, broadcast."""
+    got = table.toArrow()
+    hashes = got.column("h").to_numpy()
+    order = np.argsort(hashes)
+    values = got.column("value").to_numpy()[order] if "value" in got.column_names else None
+    return HashedWords(table.sparkSession.sparkContext.broadcast((hashes[order], values)))
+
+
+def _hashed(table: DataFrame) -> DataFrame:
+    return table.mapInArrow(word_hasher, "h bigint, value double" if "value" in table.columns else "h bigint")
+
+
+def hashed_words(table: DataFrame) -> HashedWords | None:
+    """A written table of words as what is sent to the tasks; None if it is too large for that.
+
+    Words whose 64-bit hashes collide would be taken for one: expected in some 8 of ten million tables of that size.
+    """
+    most = SENT_HASH_BYTES // (16 if "value" in table.columns else 8)
+    return None if table.limit(most + 1).count() > most else _sent(_hashed(table))
+
+
 def _keyed(reviews: DataFrame, key: Sequence[str], text_column: str) -> DataFrame:
     """``key`` (struct of the key and a hash of the text), ``body``."""
     return reviews.select(
@@ -50,22 +78,30 @@ def _unkeyed(rows: DataFrame, key: Sequence[str], *results: str) -> DataFrame:
 def lexicon_totals(reviews: DataFrame, lexicon: DataFrame, key: Sequence[str], text_column: str = "review_text") -> DataFrame:
     """``key`` columns, ``text_hash``, ``total`` (valences of all matched words), ``hits`` (how many) of each review.
 
-    ``lexicon`` has ``word`` and ``value``, each word once. A small lexicon is sent to the words of each text; they are
-    summed up by review in the task that holds them, and only (key, total, hits) is exchanged. A large one is dealt by
-    word; then the different words of each text travel, with their counts. Reviews without a matched word have zeros.
-    Reviews that share the key and the text are one row.
+    ``lexicon`` has ``word`` and ``value``, each word once, and is written. Up to ``SENT_HASH_BYTES`` it is sent to the
+    tasks as hashes; the words of a text are summed up where it is, and only (key, total, hits) is exchanged. Of a larger
+    one the words that are most frequent in the texts are sent; the others, told by a bit map, meet their values by hash
+    with their counts, and as they are rare, no hash is hot. Reviews without a matched word have zeros. Reviews that
+    share the key and the text are one row.
     """
     keyed = _keyed(reviews, key, text_column)
-    tokens = cleaned_tokens(F.col("body"))
-    if _is_small(lexicon):
-        words = exploded(keyed.select("key", tokens.alias("words")), "words", "word", "key").withColumn("n", F.lit(1))
-        matched = words.join(F.broadcast(lexicon), "word")
-    else:
-        words = exploded(keyed.select("key", occurrence_counts(tokens).alias("terms")), "terms", "t", "key")
-        matched = words.select("key", F.col("t.term").alias("word"), F.col("t.n").alias("n")).join(lexicon, "word")
+    sent = hashed_words(lexicon)
+    if sent:
+        counted = F.arrow_udf(by_chunks(scored, sent), "total double, hits bigint")
+        found = keyed.select("key", counted(F.col("body")).alias("found"))
+        sums = found.groupBy("key").agg(*[F.max(f"found.{c}").alias(c) for c in ("total", "hits")])
+        return _unkeyed(sums, key, "total", "hits")
+    used = keyed.select("body").mapInArrow(word_counter, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("df"))
+    used = stage_table(_hashed(lexicon).join(used, "h"), "lexicon-used")
+    least = least_step(used, SENT_HASH_BYTES // 16)
+    rare = used.filter(frequency_step(F.col("df")) < least).select("h", "value")
+    sent, bits = _sent(used.filter(frequency_step(F.col("df")) >= least).select("h", "value")), bit_map(rare.select("h"), rare.count())
+    counted = F.arrow_udf(by_chunks(scored_with_rest, sent, bits), "total double, hits bigint, rest array<bigint>, counts array<bigint>")
+    found = stage_table(keyed.select("key", counted(F.col("body")).alias("found")).select("key", "found.*"), "lexicon-found")
+    words = exploded(found, F.arrays_zip("rest", "counts"), "t", "key").select("key", F.col("t.rest").alias("h"), F.col("t.counts").alias("n"))
     zero = F.lit(0).cast("bigint")
-    parts = matched.select("key", (F.col("n") * F.col("value")).alias("total"), F.col("n").cast("bigint").alias("hits"), zero.alias("copies"))
-    parts = parts.union(keyed.select("key", F.lit(0.0), zero, F.lit(1).cast("bigint")))
+    parts = words.join(rare, "h").select("key", (F.col("n") * F.col("value")).alias("total"), F.col("n").alias("hits"), zero.alias("copies"))
+    parts = parts.union(found.select("key", "total", "hits", F.lit(1).cast("bigint")))
     sums = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", "hits", "copies")])
     # equal rows were added up once each
     return _unkeyed(sums.select(

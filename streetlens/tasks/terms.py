@@ -246,18 +246,77 @@ def most_common(own: np.ndarray, terms: np.ndarray, rows: int, k: int) -> tuple[
     return b, np.searchsorted(a, np.arange(rows + 1)).astype(np.int32)
 
 
-def enriched(texts: pa.Array, stops: pa.Array, lexicon: dict[str, float], max_keywords: int, max_phrases: int) -> pa.StructArray:
+class Words:
+    """Word list sent to tasks: which words are in it, and their values."""
+
+    def __init__(self, words: list[str], values: list[float] | None = None):
+        self.words, self.values = pa.array(words, pa.string()), None if values is None else np.append(np.array(values, float), 0.0)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are listed, and the values of all (0 for others)."""
+        if not len(self.words):
+            return np.zeros(len(words), bool), np.zeros(len(words))
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        return at >= 0, np.zeros(len(words)) if self.values is None else self.values[at]
+
+
+class HashedWords:
+    """As ``Words``, from a broadcast of sorted 64-bit hashes of the words and their values."""
+
+    def __init__(self, sent):
+        self.sent = sent
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        hashes, values = self.sent.value
+        if not len(hashes):
+            return np.zeros(len(words), bool), np.zeros(len(words))
+        h = word_hashes(words)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        known = hashes[at] == h
+        return known, np.zeros(len(words)) if values is None else np.where(known, values[at], 0.0)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, np.int64)
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)
+
+
+def word_hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: words, with or without a value, to their hashes."""
+    for batch in batches:
+        rest = {name: batch.column(name) for name in batch.schema.names if name != "word"}
+        yield pa.RecordBatch.from_pydict({"h": word_hashes(batch.column("word").cast(pa.string())), **rest})
+
+
+def word_lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: texts to their different cleaned words, each once a task while it holds them."""
+    seen = pa.array([], pa.string())
+    for chunk in chunks(batches, "body"):
+        words = tokens_of(chunk.column("body")).words
+        new = words.filter(pc.and_(pc.not_equal(words, ""), pc.invert(pc.is_in(words, value_set=seen))))
+        if len(new):
+            yield pa.RecordBatch.from_arrays([new], ["word"])
+            # beyond this many the task forgets: a word may then come twice
+            seen = pa.concat_arrays([seen, new]) if len(seen) < HELD_TERMS else new
+
+
+def scored(texts: pa.Array, lexicon: Words | HashedWords) -> pa.StructArray:
+    """``total`` and ``hits``: valences of the words of each text that are in a lexicon, and how many they are."""
+    t, rows = tokens_of(texts), len(texts)
+    known, value = lexicon.of(t.words)
+    return pa.StructArray.from_arrays(
+        [pa.array(np.bincount(t.own, value[t.ids], rows).astype(float)), pa.array(np.bincount(t.own, known[t.ids], rows).astype(np.int64))], ["total", "hits"])
+
+
+def enriched(texts: pa.Array, stops: Words | HashedWords, lexicon: Words | HashedWords, max_keywords: int, max_phrases: int) -> pa.StructArray:
     """``total``, ``hits`` (valences of the words of a lexicon), ``keywords`` and ``phrases`` of each text."""
     t, rows = tokens_of(texts), len(texts)
     size = max(1, len(t.words))
     length = pc.utf8_length(t.words).to_numpy(zero_copy_only=False)
-    free = pc.invert(pc.is_in(t.words, value_set=stops)).to_numpy(zero_copy_only=False)
-    if lexicon:
-        at = pc.index_in(t.words, value_set=pa.array(list(lexicon), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
-        value = np.append(np.array(list(lexicon.values()), float), 0.0)[at]
-        total, hits = np.bincount(t.own, value[t.ids], rows), np.bincount(t.own, (at >= 0)[t.ids], rows).astype(np.int64)
-    else:
-        total, hits = np.zeros(rows), np.zeros(rows, np.int64)
+    free = ~stops.of(t.words)[0]
+    known, value = lexicon.of(t.words)
+    total, hits = np.bincount(t.own, value[t.ids], rows).astype(float), np.bincount(t.own, known[t.ids], rows).astype(np.int64)
     good = (free & (length >= 3))[t.ids]
     word, word_at = most_common(t.own[good], t.ids[good], rows, max_keywords)
     a, b = t.ids[:-1], t.ids[1:]
@@ -269,12 +328,52 @@ def enriched(texts: pa.Array, stops: pa.Array, lexicon: dict[str, float], max_ke
         pa.ListArray.from_arrays(pair_at, phrases)], ["total", "hits", "keywords", "phrases"])
 
 
-def enricher(stop_words: list[str], lexicon: dict[str, float], max_keywords: int, max_phrases: int):
+def word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: texts to (h, n): how often each cleaned word stands in its texts."""
+    held, rows = [], 0
+
+    def merged() -> list[np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        return [h[starts], np.add.reduceat(n[order], starts) if len(h) else n]
+
+    for chunk in chunks(batches, "body"):
+        t = tokens_of(chunk.column("body"))
+        n = np.bincount(t.ids, minlength=len(t.words)).astype(np.int64)
+        held.append([word_hashes(t.words)[n > 0], n[n > 0]])
+        rows += len(held[-1][0])
+        if rows >= 2 * HELD_TERMS:
+            held = [merged()]
+            rows = len(held[0][0])
+            if rows >= HELD_TERMS:
+                yield from slices(dict(zip(("h", "n"), held[0])))
+                held, rows = [], 0
+    if held:
+        yield from slices(dict(zip(("h", "n"), merged())))
+
+
+def scored_with_rest(texts: pa.Array, lexicon: HashedWords, rest) -> pa.StructArray:
+    """As ``scored``, with the hashes of the other words that a bit map may hold (``rest``) and their counts (``counts``)."""
+    t, rows = tokens_of(texts), len(texts)
+    known, value = lexicon.of(t.words)
+    hashes = word_hashes(t.words)
+    open_ = (~known & in_bits(rest.value, hashes))[t.ids]
+    size = max(1, len(t.words))
+    found, n = np.unique(t.own[open_] * size + t.ids[open_], return_counts=True)
+    at = np.searchsorted(found // size, np.arange(rows + 1)).astype(np.int32)
+    return pa.StructArray.from_arrays([
+        pa.array(np.bincount(t.own, value[t.ids], rows).astype(float)), pa.array(np.bincount(t.own, known[t.ids], rows).astype(np.int64)),
+        pa.ListArray.from_arrays(at, pa.array(hashes[found % size])), pa.ListArray.from_arrays(at, pa.array(n.astype(np.int64)))],
+        ["total", "hits", "rest", "counts"])
+
+
+def by_chunks(work, *others):
     """Arrow function of a column of texts, in pieces of ``CHUNK_BYTES``."""
     def run(texts: pa.Array) -> pa.Array:
-        stops = pa.array(stop_words, pa.string())
         batch = pa.record_batch([texts], ["body"])
-        found = [enriched(c.column("body"), stops, lexicon, max_keywords, max_phrases) for c in chunks(iter([batch]), "body")]
-        return pa.concat_arrays(found or [enriched(texts, stops, lexicon, max_keywords, max_phrases)])
+        found = [work(c.column("body"), *others) for c in chunks(iter([batch]), "body")]
+        return pa.concat_arrays(found or [work(texts, *others)])
 
     return run

@@ -68,3 +68,21 @@ def test_empty_tables(reviews, words, stops):
     assert {r.score for r in lexicon.lexicon_scores(reviews, words.limit(0)).collect()} == {0.0}
     keywords = {tuple(r.keywords) for r in lexicon.table_keywords(reviews.filter("review_id = 1 and key = 'x'"), stops.limit(0)).collect()}
     assert keywords == {("bad",)}
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 40, 16, 0])
+def test_words_are_exchanged_for_large_tables_only(reviews, words, stops, sent, monkeypatch):
+    # 40 bytes hold the stop list, not the lexicon; of that two words are sent then, of 16 bytes one
+    monkeypatch.setattr(lexicon, "SENT_HASH_BYTES", sent)
+    monkeypatch.setattr(lexicon, "SENT_WORDS", 0)
+    scores = lexicon.lexicon_scores(reviews, words)
+    full = enrich_with_tables(reviews, words, stops)
+    want = {(r.review_id, round(r.s, 9)) for r in reviews.select("review_id", sentiment.lexicon_score(F.col("review_text"), WORDS).alias("s")).collect()}
+    assert {(r.review_id, round(r.score, 9)) for r in scores.collect()} == want
+    shown = [sorted(map(str, df.select("review_id", "key", F.round("sentiment_score", 9), "keywords", "phrases").collect()))
+             for df in (full, enrich_reviews(reviews, WORDS, stop_words=STOPS))]
+    assert shown[0] == shown[1]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (scores, full)]
+    assert ["Join" in plan for plan in plans] == [sent < 1 << 20] * 2
+    # no text is taken apart into rows of words
+    assert "regexp_replace" not in plans[0]
