@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from streetlens.constants import LEGACY_PLACE_TYPE_DEFAULT, LEGACY_PLACE_TYPE_FALLBACKS, LEGACY_PLACE_TYPES
 from streetlens.functions import scalars
-from streetlens.functions.arrays import exploded
+from streetlens.functions.arrays import exploded, occurrence_counts
 from streetlens.operators import aggregates, enrich
 from streetlens.operators.joins import type_category
-from streetlens.operators.windows import top_n_per_group
 from streetlens.schemas import LEGACY_RESPONSE, PLACE_DETAILS, PLACES_RESPONSE
 
 
@@ -93,10 +92,13 @@ def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: s
         *aggregates.label_counts(), *[F.count_if(F.col("rating") == r).alias(f"rating_{r}") for r in range(1, 6)],
         # no more entries than one landed response holds
         F.sort_array(F.collect_list(F.struct("position", "reviewer_name", "rating", "review_text", "sentiment_label", "sentiment_score"))).alias("reviews"),
+        F.flatten(F.collect_list("keywords")).alias("words"),
     )
-    words = exploded(reviews, "keywords", "keyword", "place_id").groupBy("place_id", "keyword").agg(F.count(F.lit(1)).alias("count"))
-    best = top_n_per_group(words, ["place_id"], [F.col("count").desc(), F.col("keyword").asc()], top_k, rank_column="rank_no")
-    keywords = best.groupBy("place_id").agg(F.sort_array(F.collect_list(F.struct("rank_no", "keyword", "count"))).alias("top_keywords"))
+    # counted in the row of the place, which holds its reviews anyway: the responses are parsed once for all measures
+    counts = F.sort_array(F.transform(occurrence_counts(F.col("words")), lambda w: F.struct((-w["n"]).alias("neg"), w["term"].alias("keyword"))))
+    best = F.transform(F.slice(counts, 1, top_k), lambda w, i: F.struct(
+        (i + 1).alias("rank_no"), w["keyword"].alias("keyword"), (-w["neg"]).cast("bigint").alias("count")))
+    measures = measures.withColumn("top_keywords", F.when(F.size("words") > 0, best)).drop("words")
     place = scalars.city_state(_or(F.col("d.formattedAddress"), ""))
     base = _details(raw, json_column, id_column).withColumn("where", place).select(
         "place_id", _or(F.col("d.displayName.text"), "Unknown Business").alias("name"), _or(F.col("d.formattedAddress"), "").alias("address"),
@@ -107,6 +109,6 @@ def profiles_from_places(raw: DataFrame, json_column: str = "json", id_column: s
         _or(F.col("d.nationalPhoneNumber"), "").alias("phone"), _or(F.col("d.websiteUri"), "").alias("website"),
         F.col("d.priceLevel").alias("price_level"), scalars.hours_text(F.col("d.regularOpeningHours.periods")).alias("opening_hours"),
     )
-    filled = base.join(measures, "place_id", "left").join(keywords, "place_id", "left")
+    filled = base.join(measures, "place_id", "left")
     zero = ("reviews_fetched", "positive", "neutral", "negative", *[f"rating_{r}" for r in range(1, 6)])
     return filled.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in zero}, "avg_sentiment": F.coalesce("avg_sentiment", F.lit(0.0))})
