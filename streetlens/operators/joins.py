@@ -17,7 +17,7 @@ from streetlens.operators.bitmaps import bit_map
 from streetlens.operators.filters import by_category, by_review_city, filter_businesses
 from streetlens.operators.windows import newest_first, top_n_per_group
 from streetlens.session import stage_table
-from streetlens.tasks.substrings import keyword_hasher, ladder, piece_counter
+from streetlens.tasks.substrings import keyword_hasher, ladder, listed_counter, piece_counter
 
 
 def with_business_analytics(businesses: DataFrame, analytics: DataFrame) -> DataFrame:
@@ -336,17 +336,15 @@ def nest_reviews(
     })
 
 
-#: Keywords that travel as one array to every review; more of them are found by their hashes.
+#: Keywords for which every review is searched one by one; more of them are found by their hashes.
 LISTED_KEYWORDS = 256
 #: Keywords whose bit map is sent to the tasks at once, and its size at most; more of them are looked for block by block.
 SENT_KEYWORDS, KEYWORD_BITS = 32 << 20, 1 << 29
 
 
-def _listed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
-    top = keywords.select("text").distinct().agg(F.collect_list("text").alias("top"))
-    found = texts.select("body", top.scalar().alias("top")).select(
-        let(F.col("body"), lambda b: F.filter("top", lambda t: F.contains(b, t))).alias("hits"))
-    return exploded(found, "hits", "text").groupBy("text").agg(F.count(F.lit(1)).alias("count"))
+def _listed_counts(keywords: list[bytes], texts: DataFrame) -> DataFrame:
+    found = texts.mapInArrow(listed_counter(keywords), "text binary, n bigint").groupBy("text").agg(F.sum("n").alias("count"))
+    return found.select(F.col("text").cast("string").alias("text"), "count")
 
 
 def _hashed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
@@ -369,15 +367,19 @@ def _hashed_counts(keywords: DataFrame, texts: DataFrame) -> DataFrame:
 def keyword_review_counts(keywords: DataFrame, reviews: DataFrame, text_column: str = "review_text") -> DataFrame:
     """Number of reviews whose lower-cased text contains each keyword anywhere; 0 is kept.
 
-    ``keywords`` has a column ``text``; its other columns and repeated rows stay. Up to ``LISTED_KEYWORDS`` travel as one
-    array that every task reads. More of them are told by 64-bit hashes: a task hashes the pieces of its texts that are as
+    ``keywords`` has a column ``text``; its other columns and repeated rows stay. Up to ``LISTED_KEYWORDS`` are sent to
+    the tasks, which search each text for each. More of them are told by 64-bit hashes: a task hashes the pieces of its texts that are as
     long as a keyword, counts in how many texts each stands, and only these sums are exchanged and meet the keywords. Bit
     maps of the hashes and of how keywords begin are sent before, so that few pieces are looked at. The texts are read once
     for each ``SENT_KEYWORDS``; no pair of a keyword and a review is formed, no text is exchanged. A null keyword has 0, an
     empty one is in every text.
     """
     texts = reviews.select(F.lower(text_column).alias("body"))
-    few = keywords.select("text").distinct().limit(LISTED_KEYWORDS + 1).count() <= LISTED_KEYWORDS
-    counts = (_listed_counts if few else _hashed_counts)(keywords, texts).withColumnRenamed("text", "counted")
+    listed = [r.text for r in keywords.select(F.col("text").cast("binary").alias("text")).distinct().limit(LISTED_KEYWORDS + 1).collect()]
+    if len(listed) <= LISTED_KEYWORDS:
+        counts = _listed_counts([bytes(k) for k in listed if k is not None], texts)
+    else:
+        counts = _hashed_counts(keywords, texts)
+    counts = counts.withColumnRenamed("text", "counted")
     joined = keywords.join(counts, F.col("text") == F.col("counted"), "left").drop("counted")
     return joined.withColumn("count", F.coalesce("count", F.lit(0)))

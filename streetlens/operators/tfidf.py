@@ -13,7 +13,7 @@ from streetlens.functions.text import default_stop_words
 from streetlens.operators.bitmaps import LARGEST_BITS, bit_map
 from streetlens.operators.joins import keyword_review_counts
 from streetlens.session import stage_table
-from streetlens.tasks.terms import frequency_counter, namer, scorer, weigher
+from streetlens.tasks.terms import frequency_merger, frequency_packer, namer, scorer, weigher
 
 #: Most frequent terms that are sent to every task (20 bytes each), and those of them scored at first.
 FREQUENT_TERMS, SCORED_TERMS = 1 << 20, 1 << 16
@@ -28,26 +28,35 @@ class Corpus:
         body = reviews.filter(F.length(text_column) > 0).select(F.col(text_column).alias("body"))
         self.spark, self.texts, self.stops = reviews.sparkSession, body, stops
 
-    def frequencies(self, with_totals: bool) -> DataFrame:
-        """``h``, ``df`` (, ``total``) of all terms: added up in the tasks, then by hash."""
+    def frequencies(self, with_totals: bool, min_df: int) -> DataFrame:
+        """``h``, ``df`` (, ``total``) of the terms in ``min_df`` texts or more: added up in the tasks, then by part of the hashes."""
         names = ["df", "total"] if with_totals else ["df"]
-        counted = self.texts.mapInArrow(frequency_counter(self.stops, with_totals), ", ".join(f"{c} bigint" for c in ["h", *names]))
-        return counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in names])
+        packed = self.texts.mapInArrow(
+            frequency_packer(self.stops, with_totals), ", ".join(["part int", *[f"{c} binary" for c in ["h", *names]]]))
+        parts = packed.repartition("part").sortWithinPartitions("part")
+        return parts.mapInArrow(frequency_merger(min_df), ", ".join(f"{c} bigint" for c in ["h", *names]))
 
     def bit_map(self, hashes: DataFrame, count: int):
         """Broadcast bit map of hashes, 16 bits for each up to ``LARGEST_BITS``; bits are set by bucket in the tasks."""
         return bit_map(hashes, count, LARGEST_BITS)
 
     def named(self, hashes: DataFrame) -> DataFrame:
-        """``hashes`` (with a column ``h``) and the ``term`` of each: found in the texts, by a bit map, then by hash."""
-        names = self.texts.mapInArrow(namer(self.stops, self.bit_map(hashes, hashes.count())), "h bigint, term string")
+        """``hashes`` (with a column ``h``) and the ``term`` of each: found in the texts, by a bit map, then by hash.
+
+        Up to ``FREQUENT_TERMS`` hashes are sent themselves, too: a task that has named all reads no more texts for it.
+        """
+        count = hashes.count()
+        wanted = None
+        if count <= FREQUENT_TERMS:
+            wanted = self.spark.sparkContext.broadcast(np.unique(hashes.select("h").toArrow().column("h").to_numpy()))
+        names = self.texts.mapInArrow(namer(self.stops, self.bit_map(hashes, count), wanted), "h bigint, term string")
         return hashes.join(names.groupBy("h").agg(F.min("term").alias("term")), "h")
 
 
 def _vocabulary(corpus: Corpus, n: int, max_terms: int | None, min_df: int, max_df: float) -> DataFrame:
     """``h``, ``df`` of the kept terms, written."""
-    allowed = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n)
-    kept = stage_table(corpus.frequencies(max_terms is not None).filter(allowed), "tfidf-terms")
+    found = corpus.frequencies(max_terms is not None, min_df)
+    kept = stage_table(found.filter(F.col("df") <= F.lit(max_df) * n), "tfidf-terms")
     if max_terms is None or kept.count() <= max_terms:
         return kept.select("h", "df")
     cut = kept.orderBy(F.desc("total")).limit(max_terms).agg(F.min("total").alias("cut")).first().cut
@@ -84,7 +93,7 @@ def tfidf_keywords(
     in 12 digits are listed A to Z. An empty table gives no row; null and empty texts do not count.
 
     No row of (text, term) of a frequent term is ever written or exchanged. Frequencies are added up in the tasks and
-    exchanged by the 64-bit hash that stands for a term. The most frequent terms, a fixed number, are sent to the
+    exchanged by the 64-bit hash that stands for a term, those of a part of all hashes in one row. The most frequent terms, a fixed number, are sent to the
     tasks, which weigh them where the text is. Rarer terms that occur in more than one text (a bit map, sized from
     their count, tells them) meet their idf by hash; as they are rare, no hash is hot. As a term's score is at most
     df / n, the k best are among the terms scored first unless the k-th best does not beat that bound; then all

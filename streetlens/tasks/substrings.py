@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
+from operator import contains
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,19 @@ class Pieces:
         return mixed(h + np.asarray(size, np.uint64)).view(np.int64)
 
 
+def listed_counter(keywords: list[bytes]):
+    """Task: texts to (text, n): in how many of its texts each keyword stands anywhere."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [0] * len(keywords)
+        for chunk in chunks(batches, "body"):
+            texts = chunk.column("body").cast(pa.large_binary()).drop_null().to_pylist()
+            for i, keyword in enumerate(keywords):
+                n[i] += sum(map(contains, texts, repeat(keyword)))
+        yield pa.RecordBatch.from_arrays([pa.array(keywords, pa.binary()), pa.array(n, pa.int64())], ["text", "n"])
+
+    return run
+
+
 def ladder(sizes: list[int]) -> list[tuple[int, list[int]]]:
     """Lengths by the greatest power of two in them: a piece of that length starts every longer one."""
     steps: dict[int, list[int]] = {}

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text counted at once (a longer text is taken alone), and different terms a task holds before it gives them out.
 CHUNK_BYTES, HELD_TERMS = 2 << 20, 1 << 20
+#: Upper bits of a hash that tell its part: terms are exchanged by part, a task holds one or a few at a time.
+PART_BITS = 14
 
 # what cleaning makes of each byte: a letter, a space, or 0 for nothing
 _CLEAN = np.zeros(256, np.uint8)
@@ -29,7 +31,7 @@ def cleaned(texts: pa.Array) -> pa.Array:
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
-    out = _CLEAN[raw]
+    out = np.frombuffer(bytearray(raw).translate(_CLEAN.tobytes()), np.uint8)
     leads = np.flatnonzero(raw >= 0xC2)
     if len(leads):
         padded = np.concatenate((raw, np.zeros(3, np.uint8)))
@@ -101,34 +103,99 @@ def terms_of(texts: pa.Array, stops: pa.Array) -> Terms:
         np.concatenate((single_n, pair_n)), words)
 
 
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Different hashes in order, and the sums of their other columns."""
+    order = np.argsort(columns[0])
+    h = columns[0][order]
+    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return [h[starts], *[np.add.reduceat(c[order], starts) if len(h) else c for c in columns[1:]]]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], stop_words: pa.Array, with_totals: bool) -> Iterator[list[np.ndarray]]:
+    """``h``, ``df`` (, ``total``) of the terms of some texts, in order of ``h``; a term comes again with later texts."""
+    def counted() -> list[np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(*fresh)]
+        if with_totals:
+            found = _summed([columns[0], np.ones(len(columns[0]), np.int64), columns[1]])
+        else:
+            found = list(np.unique(columns[0], return_counts=True))
+        return _summed([np.concatenate(x) for x in zip(held, found)]) if held else found
+
+    fresh, held, rows = [], [], 0
+    for chunk in chunks(batches, "body"):
+        t = terms_of(chunk.column("body"), stop_words)
+        if not len(t.hash):
+            continue
+        fresh.append([t.hash, t.n] if with_totals else [t.hash])
+        rows += len(t.hash)
+        if rows >= 2 * HELD_TERMS:
+            held, fresh = counted(), []
+            rows = len(held[0])
+            if rows >= HELD_TERMS:
+                yield held
+                held, rows = [], 0
+    if fresh:
+        yield counted()
+    elif held:
+        yield held
+
+
 def frequency_counter(stops: list[str], with_totals: bool):
     """Task: texts to (h, df, total): in how many of its texts each term stands, and how often in all."""
     stop_words = pa.array(stops, pa.string())
-    names = ["h", "df", "total"] if with_totals else ["h", "df"]
 
-    def merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
-        h = np.concatenate([x[0] for x in held])
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        return [h[starts], *[np.add.reduceat(np.concatenate([x[i] for x in held])[order], starts) for i in range(1, len(names))]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _frequencies(batches, stop_words, with_totals):
+            yield from slices(dict(zip(("h", "df", "total"), found)))
+
+    return run
+
+
+def frequency_packer(stops: list[str], with_totals: bool):
+    """Task: as ``frequency_counter``, with one row for each part of the hashes: its number, and the bytes of its columns."""
+    stop_words = pa.array(stops, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for chunk in chunks(batches, "body"):
-            t = terms_of(chunk.column("body"), stop_words)
-            if not len(t.hash):
+        for found in _frequencies(batches, stop_words, with_totals):
+            parts = found[0] >> 64 - PART_BITS
+            starts = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
+            ends = pa.py_buffer((np.append(starts, len(parts)) * 8).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(c.astype(np.int64, copy=False))]) for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array(parts[starts].astype(np.int32)), *packed], ["part", "h", "df", "total"][:len(found) + 1])
+
+    return run
+
+
+def frequency_merger(least: int):
+    """Task: rows of ``frequency_packer`` in order of their part to (h, df, total) of the terms in ``least`` texts or more."""
+    def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+        found = []
+        for column in batch.columns[1:]:
+            _, offsets, data = column.buffers()
+            at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1] // 8 if len(column) else [0, 0]
+            found.append(np.frombuffer(data, np.int64, at[-1])[at[0]:] if at[-1] else np.zeros(0, np.int64))
+        return found
+
+    def merged(held: list[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+        found = _summed([np.concatenate(x) for x in zip(*held)])
+        often = found[1] >= least
+        if often.any():
+            yield from slices(dict(zip(names, [c[often] for c in found])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, names = [], None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            held.append([t.hash, np.ones(len(t.hash), np.int64), t.n][:len(names)])
-            rows += len(t.hash)
-            if rows >= 2 * HELD_TERMS:
-                held = [merged(held)]
-                rows = len(held[0][0])
-                if rows >= HELD_TERMS:
-                    yield from slices(dict(zip(names, held[0])))
-                    held, rows = [], 0
+            names, parts = batch.schema.names[1:], batch.column("part").to_numpy()
+            # the last part may go on in the next batch
+            stop = int(np.searchsorted(parts, parts[-1]))
+            if stop or parts[-1] != last:
+                yield from merged([*held, unpacked(batch.slice(0, stop))], names)
+                held, last = [], parts[-1]
+            held.append(unpacked(batch.slice(stop)))
         if held:
-            yield from slices(dict(zip(names, merged(held))))
+            yield from merged(held, names)
 
     return run
 
@@ -145,6 +212,17 @@ def in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def find(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``h`` are in the sorted ``hashes``, and where those stand; looked up in order, which spares the cache."""
+    if not len(hashes):
+        return np.zeros(len(h), bool), np.zeros(0, np.int64)
+    order = np.argsort(h)
+    at = np.empty(len(h), np.int64)
+    at[order] = np.minimum(np.searchsorted(hashes, h[order]), len(hashes) - 1)
+    known = hashes[at] == h
+    return known, at[known]
+
+
 def weigher(stops: list[str], frequent, light_bits, scored: int):
     """Task: texts to what their weights need.
 
@@ -164,9 +242,8 @@ def weigher(stops: list[str], frequent, light_bits, scored: int):
             t, rows = terms_of(chunk.column("body"), stop_words), chunk.num_rows
             order = np.argsort(t.own, kind="stable")
             own, h, n = t.own[order], t.hash[order], t.n[order]
-            at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-            known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-            number = numbers[at[known]] if len(hashes) else np.zeros(0, np.int32)
+            known, at = find(hashes, h)
+            number = numbers[at]
             weight = n[known] * idf[number]
             top = number < scored
             rare = np.zeros(len(h), bool) if bits is None else ~known & in_bits(bits, h)
@@ -194,21 +271,28 @@ def scorer(frequent, scored: int):
     return run
 
 
-def namer(stops: list[str], bits):
-    """Task: texts to (h, term) of the terms whose hash may be in a bit map, each once a task."""
+def namer(stops: list[str], bits, wanted=None):
+    """Task: texts to (h, term) of the terms whose hash may be in a bit map, each once a task.
+
+    With ``wanted`` (broadcast, sorted) only of those hashes; a task that has named all of them looks no further.
+    """
     stop_words = pa.array(stops, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for chunk in chunks(batches, "body"):
+            if wanted is not None and len(seen) == len(wanted.value):
+                continue
             t = terms_of(chunk.column("body"), stop_words)
             at = np.flatnonzero(in_bits(bits.value, t.hash))
+            if wanted is not None:
+                at = at[find(wanted.value, t.hash[at])[0]]
             h, first = np.unique(t.hash[at], return_index=True)
             new = ~np.isin(h, seen)
             if new.any():
                 yield pa.RecordBatch.from_pydict({"h": h[new], "term": t.names(at[first[new]])})
                 # beyond this many the task forgets: a name may then come twice
-                seen = np.union1d(seen, h[new]) if len(seen) < HELD_TERMS else h
+                seen = np.union1d(seen, h[new]) if wanted is not None or len(seen) < HELD_TERMS else h
 
     return run
 

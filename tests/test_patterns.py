@@ -78,3 +78,20 @@ def test_all_keywords_are_looked_for_in_one_reading(spark, monkeypatch):
     lowered = [t.lower() for t in texts if t is not None]
     assert got == {w: sum(w in t for t in lowered) for w in words}
     assert len(asked) == 1
+
+
+def test_few_keywords_are_searched_on_batches(spark):
+    """Anywhere in the lower-cased text, also across words and in other scripts; null texts count nowhere."""
+    import pyarrow as pa
+
+    from streetlens.tasks import substrings
+
+    texts = ["Great SOUP", "soupsoup", None, "", "thé noir", "at so", "á"]
+    batch = pa.RecordBatch.from_pydict({"body": pa.array([t if t is None else t.lower() for t in texts])})
+    words = ["soup", "t so", "é", "", "none", "a"]
+    (out,) = substrings.listed_counter([w.encode() for w in words])(iter([batch, batch]))
+    want = {w: sum(w in t.lower() for t in texts if t is not None) for w in words}
+    assert dict(zip(out.column("text").to_pylist(), out.column("n").to_pylist())) == {w.encode(): 2 * n for w, n in want.items()}
+    keywords = spark.createDataFrame([(w,) for w in [*words, "soup", None]], "text string")
+    got = joins.keyword_review_counts(keywords, spark.createDataFrame([(t,) for t in texts], "review_text string")).collect()
+    assert sorted((r.text or "-", r["count"]) for r in got) == sorted([*((w or "-", n) for w, n in want.items()), ("soup", want["soup"]), ("-", 0)])

@@ -121,3 +121,52 @@ def test_bit_map(spark, reviews):
     bits = tfidf.Corpus(reviews, "review_text", STOPS).bit_map(spark.createDataFrame([(int(v),) for v in values], "h bigint"), 500).value
     assert terms.in_bits(bits, values).all()
     assert terms.in_bits(bits, np.random.default_rng(1).integers(-2**63, 2**63 - 1, 10_000)).mean() < 0.1
+
+
+@pytest.mark.parametrize("with_totals", [False, True])
+def test_packed_frequencies_equal_the_counted(texts, with_totals, monkeypatch):
+    """Terms travel as one row a part; parts that go over several batches are added up whole."""
+    for name, value in (("CHUNK_BYTES", 200), ("HELD_TERMS", 50), ("PART_BITS", 3)):
+        monkeypatch.setattr(terms, name, value)
+    tasks = [pa.RecordBatch.from_pydict({"body": pa.array(some, pa.string())}) for some in (texts[:40], texts[40:], [None, ""])]
+    want, packed = collections.defaultdict(lambda: [0, 0]), []
+    for task in tasks:
+        for out in terms.frequency_counter(STOPS, True)(iter([task])):
+            for h, df, n in zip(*(c.to_pylist() for c in out.columns)):
+                want[h] = [want[h][0] + df, want[h][1] + n]
+        found = list(terms.frequency_packer(STOPS, with_totals)(iter([task])))
+        assert all(out.num_rows <= 8 for out in found)
+        packed += found
+    rows = pa.Table.from_batches(packed).sort_by("part").combine_chunks()
+    assert 8 < rows.num_rows < len(want)
+    for size in (1, 5, 1000):
+        got = [row for out in terms.frequency_merger(2)(iter(rows.to_batches(size))) for row in zip(*(c.to_pylist() for c in out.columns))]
+        assert sorted(got) == sorted((h, *v[:1 + with_totals]) for h, v in want.items() if v[0] >= 2)
+    assert list(terms.frequency_merger(2)(iter([]))) == []
+
+
+def test_a_task_that_has_named_all_terms_reads_no_more(monkeypatch):
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    texts = ["soup bread", "soup salt", "fish soup"] + ["other words", "soup bread fish"] * 20
+    h = {}
+    for out in terms.namer(STOPS, Sent(np.full(4096, 255, np.uint8)))(iter([pa.RecordBatch.from_pydict({"body": pa.array(texts)})])):
+        h.update(zip(out.column("term").to_pylist(), out.column("h").to_pylist()))
+    read = []
+    monkeypatch.setattr(terms, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(terms, "terms_of", lambda body, stops, plain=terms.terms_of: read.append(len(body)) or plain(body, stops))
+    wanted = Sent(np.sort([h["soup salt"], h["fish"], h["soup"]]))
+    got = [row for out in terms.namer(STOPS, Sent(np.full(4096, 255, np.uint8)), wanted)(iter([pa.RecordBatch.from_pydict({"body": pa.array(texts)})]))
+           for row in zip(*(c.to_pylist() for c in out.columns))]
+    assert sorted(got) == sorted((h[t], t) for t in ("fish", "soup", "soup salt")) and sum(read) == 3
+
+
+def test_hashes_are_found_in_any_order():
+    rng = np.random.default_rng(3)
+    table, sought = np.unique(rng.integers(-50, 50, 40)), rng.integers(-60, 60, 500)
+    known, at = terms.find(table, sought)
+    assert (known == np.isin(sought, table)).all() and (table[at] == sought[known]).all()
+    known, at = terms.find(table[:0], sought)
+    assert not known.any() and not len(at)
