@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetlens.llm.arrays import RangeHash, chunks, mixed, signed
@@ -32,6 +32,9 @@ LARGEST_SMALL = 29
 #: Bytes of text a task works on at once.
 PIECE_BYTES = 1 << 20
 
+#: Marks that a task holds at once, that a part of all has, about, and the least number of parts.
+TASK_MARKS, PART_MARKS, LEAST_PARTS = 1 << 19, 1 << 17, 1 << 10
+
 #: Sets of a group of candidates that one task compares with one another.
 BLOCK_SETS = 256
 
@@ -170,29 +173,91 @@ def describer(width: int):
     return run
 
 
-def lister(width: int, share: int, boundary: int, wanted):
-    """Task: the rows of the inverted lists; with a filter only those of keys that may be wanted, with what they need."""
+def pieces_of(batches: Iterator[pa.RecordBatch], chosen) -> Iterator[pa.RecordBatch]:
+    """The documents that may stand for their set, in pieces."""
+    for batch in chunks(batches, "text", PIECE_BYTES):
+        batch = batch.filter(pa.array(maybe(chosen.value, batch.column("key").to_numpy())))
+        if batch.num_rows:
+            yield batch
+
+
+def packed(marks: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the marks, what is above their lower 32 bits; of equal ones two say as much as more."""
+    marks = np.sort(marks)
+    keep = np.ones(len(marks), bool)
+    keep[2:] = marks[2:] != marks[:-2]
+    marks = marks[keep]
+    part = (marks >> np.uint64(32)).astype(np.int64)
+    low = (marks & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    edge = np.flatnonzero(np.diff(part, prepend=-1))
+    rows = [low[i:j].tobytes() for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(low)], strict=True)]
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[edge]), "marks": pa.array(rows, pa.binary())})
+
+
+def marker(width: int, share: int, boundary: int, chosen, shift: int):
+    """Task: the marks of the lists that its sets are in, the upper bits of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = Rule(share, boundary)
-        for batch in chunks(batches, "text", PIECE_BYTES):
+        held: list[np.ndarray] = []
+        for batch in pieces_of(batches, chosen):
+            held.append(join_keys(rule, *shingle_sets(batch.column("text"), width))[0] >> np.uint64(shift))
+            if sum(map(len, held)) >= TASK_MARKS:
+                yield packed(np.concatenate(held))
+                held = []
+        if any(map(len, held)):
+            yield packed(np.concatenate(held))
+
+    return run
+
+
+def repeated_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: marks that occur more than once in its parts; the rows of a part come one after another."""
+
+    def repeated(part: int, rows: list[bytes]) -> pa.RecordBatch:
+        low = np.sort(np.frombuffer(b"".join(rows), np.uint32))
+        again = np.unique(low[1:][low[1:] == low[:-1]])
+        return pa.RecordBatch.from_pydict({"mark": again.astype(np.int64) | (part << 32)})
+
+    at, held = -1, []
+    for batch in batches:
+        for part, row in zip(batch.column("part").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            if part != at and held:
+                yield repeated(at, held)
+                held = []
+            at = part
+            held.append(row)
+    if held:
+        yield repeated(at, held)
+
+
+def mark_shift(total: float) -> int:
+    """Bits of a key that its mark leaves out: the more marks, the more parts of some ``PART_MARKS`` each."""
+    parts = max(LEAST_PARTS, math.ceil(total / PART_MARKS))
+    return max(1, 32 - (parts - 1).bit_length())
+
+
+def lister(width: int, share: int, boundary: int, chosen, wanted, shift: int):
+    """Task: the rows of the inverted lists whose mark may be wanted, with what they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = Rule(share, boundary)
+        for batch in pieces_of(batches, chosen):
             values, first = shingle_sets(batch.column("text"), width)
             key, owner, need, kind = join_keys(rule, values, first)
-            columns = {"key": signed(key), "set_id": signed(set_keys(values, first)[owner])}
-            if wanted is not None:
-                columns |= {"need": need.astype(np.int32), "kind": kind.astype(np.int32)}
-                keep = np.flatnonzero(maybe(wanted.value, key))
-                columns = {name: column[keep] for name, column in columns.items()}
-            yield pa.RecordBatch.from_pydict(columns)
+            keep = np.flatnonzero(maybe(wanted.value, key >> np.uint64(shift)))
+            yield pa.RecordBatch.from_pydict({
+                "key": signed(key[keep]), "set_id": signed(set_keys(values, first)[owner[keep]]),
+                "need": need[keep].astype(np.int32), "kind": kind[keep].astype(np.int32)})
 
     return run
 
 
-def set_reader(width: int, wanted):
+def set_reader(width: int, chosen, wanted):
     """Task: the whole sets of documents whose set may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", PIECE_BYTES):
+        for batch in pieces_of(batches, chosen):
             values, first = shingle_sets(batch.column("text"), width)
             key = set_keys(values, first)
             keep = np.flatnonzero(maybe(wanted.value, key) & (key != 0))
@@ -265,6 +330,21 @@ def comparer(share: int):
     return run
 
 
+def rarest_lists(members: DataFrame) -> DataFrame:
+    """``key``, ``set_id``: of the lists that a set shares, the rarest in which it must meet every partner.
+
+    ``members`` (``key``, ``set_id``, ``kind``, ``need``) has each set once in a list. Linked sets share ``need``
+    lists of a kind at least. With lists in one order for all sets, here by size and key, the first that two linked
+    sets share is among the first ``n - need + 1`` of the ``n`` of either; a set with fewer than ``need`` has no
+    partner. Lists of a common passage, which chain unlike texts to one large group, come last and are left out.
+    """
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    own = Window.partitionBy("set_id", "kind")
+    ranked = members.join(shared, "key").select(
+        "key", "set_id", "need", F.row_number().over(own.orderBy("sets", "key")).alias("place"), F.count(F.lit(1)).over(own).alias("n"))
+    return ranked.filter("place <= n - need + 1").select("key", "set_id")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """Groups of similar documents: ``doc_id``, ``n_shingles``, ``component_id``, ``key``, ``set_id``, ``label``.
 
@@ -282,34 +362,39 @@ def similar_groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFram
       an inverted list for each segment's content. Lists of single shingles would hold a third of all documents
       where a passage is common; lists of segments hold only texts that agree around it, too. The boundary between
       small and large is the one of least cost for the sizes counted.
-    * Only the least and the greatest set of each list are kept first; lists with one set only are dropped. A set
-      that is left in fewer lists than it must share with any partner has none and is dropped, too. Lists of the
-      rest give each set a link to the least one: a star, no pairs. Connected stars are a group of candidates.
+    * Lists are first told by marks, upper bits of their keys that are sent packed; only what may be in a list whose
+      mark occurs twice becomes a row. Lists with one set only are dropped. A set that is left in fewer lists than
+      it must share with any partner has none and is dropped, too. Of the others'
+      lists the rarest stay, as many as it takes to meet every partner (``rarest_lists``). These give each set a link
+      to the least one: a star, no pairs. Connected stars are a group of candidates.
     * Groups are compared in blocks of bounded size, with whole sets, and each task gives only the links that
       connect. No candidate is left out.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    plain = texts.select("text")
+    plain = texts.select("key", "text")
     about = stage_table(texts.mapInArrow(describer(width), "doc_id bigint, key bigint, n_shingles bigint, set_id bigint"), "sets")
     limit = Rule(share).largest(LARGEST_SMALL)
     sizes = about.filter(F.col("n_shingles").between(1, limit)).groupBy("n_shingles").agg(F.count(F.lit(1)))
-    boundary = best_boundary(share, {int(s): int(n) for s, n in sizes.collect()})
-
-    rows = plain.mapInArrow(lister(width, share, boundary, None), "key bigint, set_id bigint")
-    lists = rows.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"))
-    lists = stage_table(lists.filter("least <> most").select("key", "least"), "lists")
+    counts = {int(s): int(n) for s, n in sizes.collect()}
+    boundary = best_boundary(share, counts)
+    shingles = about.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    shift = mark_shift(shingles + sum(n * Rule(share, boundary).subset_cost(s) for s, n in counts.items()))
+
+    # one document stands for all of its set; where the filter lets copies through they do no harm
+    chosen = value_filter(about.filter("set_id <> 0").groupBy("set_id").agg(F.min("key").alias("key")).select("key"))
+    marks = plain.mapInArrow(marker(width, share, boundary, chosen, shift), "part bigint, marks binary")
+    marks = marks.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(repeated_marks, "mark bigint")
+    wanted = value_filter(stage_table(marks, "marks"))
     members = plain.mapInArrow(
-        lister(width, share, boundary, value_filter(lists.select("key"))), "key bigint, set_id bigint, need int, kind int")
-    # copies are one row; what is in too few shared lists has no partner
-    members = stage_table(members.join(lists.select("key"), "key").distinct(), "members")
-    able = members.groupBy("set_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need")
-    members = stage_table(members.join(stage_table(able.select("set_id", "kind"), "able"), ["set_id", "kind"]).select("key", "set_id"), "members")
+        lister(width, share, boundary, chosen, wanted, shift), "key bigint, set_id bigint, need int, kind int")
+    members = stage_table(members.distinct(), "members")
+    members = stage_table(rarest_lists(members), "rarest")
     least = stage_table(members.groupBy("key").agg(F.min("set_id").alias("least")), "least")
     stars = members.join(least, "key").filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct()
     groups = connected_components(stars).select(F.col("id").alias("set_id"), F.col("label").alias("group"))
 
-    whole = plain.mapInArrow(set_reader(width, value_filter(groups.select("set_id"))), "set_id bigint, shingles binary")
+    whole = plain.mapInArrow(set_reader(width, chosen, value_filter(groups.select("set_id"))), "set_id bigint, shingles binary")
     whole = whole.groupBy("set_id").agg(F.min("shingles").alias("shingles"))
     blocks = stage_table(groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks")), "blocks")
     placed = groups.join(blocks, "group").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))

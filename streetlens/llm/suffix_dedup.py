@@ -16,7 +16,7 @@ from streetlens.llm.components import maybe, value_filter
 from streetlens.session import stage_table
 
 #: Bytes of the gram that anchors a string, and of text a task works on at once.
-GRAM, PIECE_BYTES = 40, 2 << 20
+GRAM, PIECE_BYTES = 40, 1 << 20
 
 #: Windows of one bucket that are merged in one task; a larger bucket is cut by offsets, at last into single ones.
 BUCKET_WINDOWS, CUTS = 256, (8, 1)

@@ -17,6 +17,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: Shuffle files of a query go when it ends; by default they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "streetlens", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the recommended settings; cluster settings given outside win over defaults."""
@@ -54,8 +57,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several later steps read, and read it back.
 
-    Cuts the lineage at a written table, so a lost executor never recomputes what is upstream.
+    Cuts the lineage at a written table, so a lost executor never recomputes what is upstream. What the write has
+    shuffled is deleted as soon as the table is there: steps don't add up on disk.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,10 @@
+import random
 import re
 
 import pytest
 
 from streetlens.llm import jaccard_join
-from streetlens.llm.jaccard_join import Rule, best_boundary, one_of_each_group, similar_groups
+from streetlens.llm.jaccard_join import Rule, best_boundary, one_of_each_group, rarest_lists, similar_groups
 
 
 def shingles(text, width):
@@ -32,6 +33,43 @@ def test_equals_brute_force(spark, clashing, monkeypatch, width, share, block):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected(rows, width, share)))
 
 
+def test_a_common_passage_makes_no_large_group_of_candidates(spark, monkeypatch):
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(60)
+    rows = []
+    for i in range(30):
+        own = words(140)
+        rows += [(2 * i, f"{own} {passage}"), (2 * i + 1, f"{own} {passage} {words(1)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = []
+
+    def grouped(links, real=jaccard_join.connected_components):
+        groups.append(found := real(links))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "connected_components", grouped)
+    got = similar_groups(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(expected(docs.collect(), 5, 80))
+    # by the passage alone all sixty were one group, each set of it sent once for every block of the group
+    assert [r["count"] for r in groups[0].groupBy("label").count().collect()] == [2] * 30
+
+
+def test_rarest_lists_hold_one_of_every_pair(spark):
+    rng = random.Random(3)
+    sets = {i: rng.sample(range(40), rng.randrange(1, 25)) for i in range(60)}
+    need = {i: rng.randrange(1, 8) for i in sets}
+    rows = [(key, i, i % 2, need[i]) for i, keys in sets.items() for key in keys]
+    kept = {}
+    for r in rarest_lists(spark.createDataFrame(rows, "key bigint, set_id bigint, kind int, need int")).collect():
+        kept.setdefault(r.set_id, set()).add(r.key)
+    assert all(kept.get(i, set()) <= set(keys) for i, keys in sets.items()) and sum(map(len, kept.values())) < len(rows)
+    for a in sets:
+        for b in sets:
+            if a < b and a % 2 == b % 2 and len({*sets[a]} & {*sets[b]}) >= max(need[a], need[b]):
+                assert kept[a] & kept[b]
+
+
 def test_one_document_of_each_group_stays(spark, clashing, no_documents):
     kept = one_of_each_group(clashing)
     assert kept.columns == clashing.columns
